@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -242,9 +243,8 @@ def near_duplicates(
     split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     rest = cut(placed.join(split, "bucket").join(nodes.select("node", "signature"), "node"))
     k, sigma = bands * rows, math.sqrt(threshold * (1 - threshold) / (bands * rows))
-    agree = _agreement("signature_a", "signature_b")
     x, y = (rest.select("bucket", F.col("node").alias(n), F.col("root").alias(f"root_{n}"), F.col("signature").alias(f"signature_{n}")) for n in "ab")
-    pairs = x.join(y, "bucket").where((F.col("root_a") < F.col("root_b")) & (agree(F.col("signature_a"), F.col("signature_b")) >= k * (threshold - 4 * sigma)))
+    pairs = x.join(y, "bucket").where((F.col("root_a") < F.col("root_b")) & (_agreement("signature_a", "signature_b") >= k * (threshold - 4 * sigma)))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(pairs.join(tried, ["a", "b"], "left_anti"))
@@ -263,15 +263,31 @@ def near_duplicates(
     return known.select(*columns).unionByName(alone.select(*columns))
 
 
-def _agreement(*_: str):
-    """Equal 4-byte coordinates of two signatures, as a column function."""
+def deduplicated(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The rows of least doc_id of each class, in full; of repeated rows one stays, null texts all stay.
 
-    @F.pandas_udf("int")
-    def agree(a, b):
-        rows = [np.frombuffer(b"".join(s), "<u4").reshape(len(s), -1) for s in (a, b)] if len(a) else []
-        return __import__("pandas").Series((rows[0] == rows[1]).sum(axis=1).astype("int32") if rows else [], dtype="int32")
-
-    return agree
+    Rows find their class by doc_id and content key, so two texts under one doc_id are told apart.
+    """
+    found = near_duplicates(docs)
+    classed = found.where("h1 is not null and class_id <=> first_id and doc_id <=> class_id")
+    # One first row for each class: of several contents under one doc_id the least key stays.
+    stay = classed.groupBy("class_id").agg(F.min(F.struct("h1", "h2")).alias("k"), F.count("*").alias("_rows"))
+    stay = cut(stay.select("class_id", F.col("k.h1").alias("_h1"), F.col("k.h2").alias("_h2"), "_rows"))
+    rows = keyed(docs, tuple(c for c in keep if c != "text"))
+    match = rows.doc_id.eqNullSafe(stay.class_id) & (rows.h1 == stay["_h1"]) & (rows.h2 == stay["_h2"])
+    first = rows.join(stay, match)
+    single = first.where("_rows = 1").select(*keep)
+    repeated = first.where("_rows > 1").dropDuplicates(["class_id", "_h1", "_h2"]).select(*keep)
+    return single.unionByName(repeated).unionByName(rows.where("h1 is null").select(*keep))
+
+
+@F.pandas_udf("int")
+def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Equal 4-byte coordinates of two signatures."""
+    if not len(a):
+        return pd.Series([], dtype="int32")
+    x, y = (np.frombuffer(b"".join(s), "<u4").reshape(len(s), -1) for s in (a, b))
+    return pd.Series((x == y).sum(axis=1).astype("int32"))
 
 
 def keyed(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:

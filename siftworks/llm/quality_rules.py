@@ -14,6 +14,7 @@ equal results; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -31,8 +32,9 @@ MOST_REPEATED = 30  # per cent
 COMMON = 64
 #: Documents that a language needs for a reference of its own.
 LEAST_DOCUMENTS = 10
-#: Jensen-Shannon distances (base 2, 0 to 1) from which a document is rejected.
-FAR_CLASSES, FAR_WORDS = 0.30, 0.75
+#: A document is rejected if a Jensen-Shannon distance (base 2, 0 to 1) is over this and what
+#: chance alone makes of a text of its length.
+FAR_CLASSES, FAR_WORDS = 0.25, 0.10
 #: Shorter documents are not judged by the histogram: characters, and words.
 GUARD_CHARS, GUARD_WORDS = 100, 80
 
@@ -46,6 +48,11 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
+def by_chance(cells: int, draws: int) -> float:
+    """About the distance of ``draws`` independent draws to the distribution over ``cells`` that they come from."""
+    return math.sqrt(cells / (8 * math.log(2) * draws))
+
+
 def base(text: str | None) -> tuple[int, int, int, int, int, bool]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     if not text:
@@ -126,11 +133,11 @@ def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, list[bytes], np.nda
         refs = shared.value
         place = {lang: {w: i for i, w in enumerate(words)} for lang, (_, words, _) in refs.items()}
 
-        def distances(text: str, lang: str | None) -> tuple[float | None, float | None]:
+        def distances(text: str, lang: str | None) -> tuple[float | None, float | None, bool]:
             of = [lang] if lang in refs else list(refs)
             kinds = class_counts(text)
             words = words_of(text)
-            best = None
+            best, chance = None, (by_chance(len(CLASSES), len(text)), by_chance(COMMON + 1, max(1, len(words))))
             for k in of:
                 q, _, share = refs[k]
                 a = float(jensen_shannon(kinds / kinds.sum(), q)) if len(text) >= GUARD_CHARS else None
@@ -141,14 +148,15 @@ def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, list[bytes], np.nda
                     b = float(jensen_shannon(p, share))
                 if best is None or (b or 0) + (a or 0) < (best[1] or 0) + (best[0] or 0):
                     best = (a, b)
-            return best or (None, None)
+            a, b = best or (None, None)
+            return a, b, (a is not None and a > FAR_CLASSES + chance[0]) or (b is not None and b > FAR_WORDS + chance[1])
 
         def call(texts, batch):
             rows = [base(t) for t in texts]
-            far = [distances(t, lang) if t and not r[-1] else (None, None) for t, lang, r in zip(texts, batch.column("lang").to_pylist(), rows, strict=True)]
+            far = [distances(t, lang) if t and not r[-1] else (None, None, True) for t, lang, r in zip(texts, batch.column("lang").to_pylist(), rows, strict=True)]
             out = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), map(list, zip(*rows, strict=True)), strict=True))
-            out["class_distance"], out["word_distance"] = map(list, zip(*far, strict=True))
-            out["kept"] = [not r[-1] and (a is None or a <= FAR_CLASSES) and (b is None or b <= FAR_WORDS) for r, (a, b) in zip(rows, far, strict=True)]
+            out["class_distance"], out["word_distance"], failed = map(list, zip(*far, strict=True))
+            out["kept"] = [not r[-1] and not f for r, f in zip(rows, failed, strict=True)]
             return out
 
         return call
