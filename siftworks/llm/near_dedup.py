@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .common import cut, map_texts, slices, table, words_of
 from .graph import components
@@ -281,7 +282,7 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return single.unionByName(repeated).unionByName(rows.where("h1 is null").select(*keep))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """Equal 4-byte coordinates of two signatures."""
     if not len(a):
