@@ -17,9 +17,9 @@ From signatures to classes:
    members makes n - 1 candidates.
 3. Candidates are verified on the whole texts: Jaccard of their shingle sets of at
    least the threshold.
-4. Links form components. Buckets that still hold more than one component are gone
-   through again: members of different components whose signatures agree closely
-   enough are verified as well, so no link is lost to the choice of hub.
+4. Links form components. Hubs also tie looser neighbourhoods together; members of a
+   neighbourhood outside its largest component are held against all of its members, in
+   blocks, so no link is lost to the choice of hub.
 
 Nodes, links and components stay in the cluster. Defined results: a text of fewer than
 five words is one shingle; texts without words are copies only of equal texts; a null
@@ -32,12 +32,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from .common import cut, map_texts, slices, table, words_of
 from .graph import components
@@ -46,6 +44,10 @@ WORDS = 5
 THRESHOLD = 0.8
 #: 24 bands of 4: a pair at 0.8 shares no bucket with probability 3e-6.
 BANDS, ROWS = 24, 4
+#: Pairs of at least this share of the threshold tie a neighbourhood together.
+NEIGHBOURHOOD = 0.6
+#: Strays that a task holds, and members that it streams past them.
+STRAY_BLOCK, MEMBER_CHUNK = 1_000, 5_000
 
 _U = np.uint64
 # Cumulative Poisson(1) chances of at most 0, 1, 2 ... darts in a unit cell.
@@ -192,8 +194,8 @@ def shingle_set(text: str, size: int = WORDS) -> set:
     return set(zip(*(words[i:] for i in range(size)), strict=False))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, size: int = WORDS) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have the Jaccard similarity. ``texts``: node, text."""
+def similarities(pairs: DataFrame, texts: DataFrame, size: int = WORDS) -> DataFrame:
+    """Jaccard similarity of the shingle sets of each pair (a, b). ``texts``: node, text."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").sortWithinPartitions("b")
@@ -202,17 +204,83 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, s
         last, last_set = None, set()
         for whole in batches:
             for batch in slices(whole, "text_a"):
-                same = []
+                found = []
                 for b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b")), strict=True):
                     if b != last:
                         last, last_set = b, shingle_set(tb, size)
-                    other = shingle_set(ta, size)
-                    common = len(other & last_set)
-                    same.append(common >= threshold * (len(other) + len(last_set) - common) - 1e-9)
-                kept = batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
-                yield kept
+                    found.append(jaccard(shingle_set(ta, size), last_set))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "j"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, j double")
+
+
+def jaccard(x: set, y: set) -> float:
+    common = len(x & y)
+    return common / max(1, len(x) + len(y) - common)
+
+
+def stray_links(nodes: DataFrame, texts: DataFrame, threshold: float, size: int = WORDS) -> DataFrame:
+    """Links between different components of one neighbourhood that no hub has made.
+
+    ``nodes``: node, signature, group (neighbourhood), root (component so far). The
+    members of a group outside its largest component are its strays. Strays, in blocks
+    of bounded size, are a query set against all members, in chunks of bounded size: a
+    task holds one block and streams one chunk. Signatures tell which pairs are worth
+    an exact comparison; a task gives only links that join components, so at most as
+    many as it has strays and components.
+    """
+    parts = nodes.groupBy("group", "root").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
+    sizes = sizes.select("group", "main", F.ceil((F.col("n") - F.col("most")) / STRAY_BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / MEMBER_CHUNK).cast("int").alias("chunks"))
+    rows = nodes.join(sizes, "group").join(texts, "node")
+    at = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["group", "block", "chunk", "role", "node", "root", "signature", "text"]
+    strays = rows.where("root <> main").withColumns({"role": F.lit(0), "block": at(1, "blocks")}).withColumn("chunk", all_of("chunks"))
+    members = rows.withColumns({"role": F.lit(1), "chunk": at(2, "chunks")}).withColumn("block", all_of("blocks"))
+    dealt = strays.select(columns).unionByName(members.select(columns))
+    key = ["group", "block", "chunk"]
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "role")
+
+    def run(batches):
+        now, held, signed, sets, roots, parent = None, [], [], [], None, {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                out: list[tuple[int, int]] = []
+                values = [batch.column(c).to_pylist() for c in ("group", "block", "chunk", "role", "node", "root", "signature", "text")]
+                for group, block, chunk, role, node, root, signature, text in zip(*values, strict=True):
+                    if (group, block, chunk) != now:
+                        now, held, signed, sets, roots, parent = (group, block, chunk), [], [], [], None, {}
+                    if role == 0:
+                        held.append((node, root))
+                        signed.append(np.frombuffer(signature, "<u4"))
+                        sets.append(text)
+                        continue
+                    if roots is None:
+                        matrix = np.stack(signed) if signed else np.zeros((0, 1), "<u4")
+                        least = matrix.shape[1] * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / matrix.shape[1]))
+                        roots = [r for _, r in held]
+                    if not held:
+                        continue
+                    mine = None
+                    for i in np.flatnonzero((matrix == np.frombuffer(signature, "<u4")).sum(axis=1) >= least):
+                        if held[i][0] == node or find(roots[i]) == find(root):
+                            continue
+                        mine = shingle_set(text, size) if mine is None else mine
+                        if isinstance(sets[i], str):
+                            sets[i] = shingle_set(sets[i], size)
+                        if jaccard(mine, sets[i]) >= threshold - 1e-9:
+                            parent[find(roots[i])] = find(root)
+                            out.append((held[i][0], node))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -236,22 +304,16 @@ def near_duplicates(
 
     needed = nodes.join(live.select("node").distinct(), "node", "left_semi").select("h1", "h2", "first_id", "node")
     texts = _texts_of(docs, needed)
-    links = cut(verified(stars, texts, threshold, size))
+    near = cut(similarities(stars, texts, size))
+    links = near.where(F.col("j") >= threshold - 1e-9).select("a", "b")
     roots = cut(components(links))
 
-    # What the hubs did not join: members of one bucket in different components.
-    placed = live.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    rest = cut(placed.join(split, "bucket").join(nodes.select("node", "signature"), "node"))
-    k, sigma = bands * rows, math.sqrt(threshold * (1 - threshold) / (bands * rows))
-    x, y = (rest.select("bucket", F.col("node").alias(n), F.col("root").alias(f"root_{n}"), F.col("signature").alias(f"signature_{n}")) for n in "ab")
-    pairs = x.join(y, "bucket").where((F.col("root_a") < F.col("root_b")) & (_agreement("signature_a", "signature_b") >= k * (threshold - 4 * sigma)))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    # Neighbourhoods: what hubs tie together at a lower similarity. Pairs that the hubs missed lie inside one.
+    groups = components(near.where(F.col("j") >= NEIGHBOURHOOD * threshold).select("a", "b")).withColumnRenamed("root", "group")
+    placed = groups.join(nodes.select("node", "signature"), "node").join(roots, "node", "left")
+    more = cut(stray_links(placed.withColumn("root", F.coalesce("root", "node")), texts, threshold, size))
     if not more.isEmpty():
-        links = links.unionByName(cut(verified(more, texts, threshold, size)))
-        roots = cut(components(links))
+        roots = cut(components(links.unionByName(more)))
 
     named = nodes.join(roots, "node", "left").select("h1", "h2", "first_id", F.coalesce("root", "node").alias("root"))
     named = cut(named)
@@ -282,15 +344,6 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return single.unionByName(repeated).unionByName(rows.where("h1 is null").select(*keep))
 
 
-@F.pandas_udf(IntegerType())
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Equal 4-byte coordinates of two signatures."""
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(s), "<u4").reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).sum(axis=1).astype("int32"))
-
-
 def keyed(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Rows with their content key and text."""
 
