@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import data_queries, score_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(sorted({**data_queries.QUERIES, **score_queries.QUERIES}.items()))
+ORACLE_SQL: dict[str, str] = {**data_queries.SQL, **score_queries.SQL}
