@@ -128,9 +128,9 @@ class Automaton:
             c = columns[begin[:n] + i]
             following = table[state[:n] + c]
             missed = following == 0
-            count[:n] += missed
+            count[:n] += missed | (state[:n] == 0)  # a phrase begins; an unknown letter is one of its own
             state[:n] = np.where(missed, table[c], following)
-        return count + 1
+        return count
 
 
 @lru_cache(1)
