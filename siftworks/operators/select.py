@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def bounded_prefix(rows: DataFrame, keys: list[str], order: list[str], size: Column, most_rows: int, most_size: float) -> DataFrame:
     """Of each group the longest prefix with at most so many rows and so much size; nothing if the first row alone is too large.
@@ -58,11 +60,10 @@ def round_robin(rows: DataFrame, order: list[str], per_row: int, values: list[st
     """Each row with ``per_row`` values in turn: number (i * per_row + j) modulo the list.
 
     Row numbers come from range partitions: each numbers its own rows, offset by the
-    counts of those before it, so no task sees all rows.
+    counts of those before it, so no task sees all rows. The partition of each row is
+    written down first, as another run could draw other ranges.
     """
-    spark = rows.sparkSession
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").count()
     before = counts.withColumn("_before", F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     w = Window.partitionBy("_p").orderBy(*order)
