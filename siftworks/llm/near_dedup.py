@@ -288,7 +288,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Each document's content key, its class (least doc_id of all near copies) and its node's first doc_id.
 
-    Columns: doc_id, h1, h2, class_id, first_id (least doc_id with equal words).
+    Columns: doc_id, h1, h2, class_id, first_id (least doc_id with equal words), class_node
+    (a number that tells classes apart in this result even where ids are null).
     """
     docs = docs.select("doc_id", "text")
     signed = cut(signatures(docs, bands * rows, size, weighted))
@@ -318,11 +319,11 @@ def near_duplicates(
     named = nodes.join(roots, "node", "left").select("h1", "h2", "first_id", F.coalesce("root", "node").alias("root"))
     named = cut(named)
     least = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classes = named.join(least, "root").select("h1", "h2", "first_id", "class_id")
+    classes = named.join(least, "root").select("h1", "h2", "first_id", "class_id", F.col("root").alias("class_node"))
     known = signed.where("h1 is not null").select("doc_id", "h1", "h2").join(classes, ["h1", "h2"])
     alone = signed.where("h1 is null").select("doc_id", "h1", "h2")
-    alone = alone.withColumns({"class_id": F.col("doc_id"), "first_id": F.col("doc_id")})
-    columns = ["doc_id", "h1", "h2", "class_id", "first_id"]
+    alone = alone.withColumns({"class_id": F.col("doc_id"), "first_id": F.col("doc_id"), "class_node": F.lit(None).cast("long")})
+    columns = ["doc_id", "h1", "h2", "class_id", "first_id", "class_node"]
     return known.select(*columns).unionByName(alone.select(*columns))
 
 
@@ -334,7 +335,7 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     found = near_duplicates(docs)
     classed = found.where("h1 is not null and class_id <=> first_id and doc_id <=> class_id")
     # One first row for each class: of several contents under one doc_id the least key stays.
-    stay = classed.groupBy("class_id").agg(F.min(F.struct("h1", "h2")).alias("k"), F.count("*").alias("_rows"))
+    stay = classed.groupBy("class_node").agg(F.first("class_id").alias("class_id"), F.min(F.struct("h1", "h2")).alias("k"), F.count("*").alias("_rows"))
     stay = cut(stay.select("class_id", F.col("k.h1").alias("_h1"), F.col("k.h2").alias("_h2"), "_rows"))
     rows = keyed(docs, tuple(c for c in keep if c != "text"))
     match = rows.doc_id.eqNullSafe(stay.class_id) & (rows.h1 == stay["_h1"]) & (rows.h2 == stay["_h2"])

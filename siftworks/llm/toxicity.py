@@ -111,9 +111,16 @@ def _counted(sample: DataFrame) -> DataFrame:
     once = sample.groupBy(F.xxhash64("text").alias("k"), F.md5("text").alias("m")).agg(F.min_by(F.struct("text", "label", "fold"), "doc_id").alias("r"))
     names = [f"{x}{k}" for x in "tc" for k in range(FOLDS)]
 
+    def sums(total):
+        columns = list(zip(*total.values(), strict=True)) if total else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(total, pa.string()), *(pa.array(c, pa.int32()) for c in columns)], names=["key", *names])
+
     def run(batches):
         total: dict[str, list[int]] = {}
         for batch in batches:
+            if len(total) > 500_000:  # partial sums may go out at any time
+                yield sums(total)
+                total = {}
             for text, label, of in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
                 at = of if label else FOLDS + of
                 for key in keys_of(set(plain_words(text or "")[0])):
@@ -121,8 +128,7 @@ def _counted(sample: DataFrame) -> DataFrame:
                     if row is None:
                         row = total[key] = [0] * (2 * FOLDS)
                     row[at] += 1
-        columns = list(zip(*total.values(), strict=True)) if total else [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), *(pa.array(c, pa.int32()) for c in columns)], names=["key", *names])
+        yield sums(total)
 
     rows = once.select("r.text", "r.label", "r.fold").mapInArrow(run, "key string, " + ", ".join(f"{n} int" for n in names))
     return rows.groupBy("key").agg(*(F.sum(n).cast("long").alias(n) for n in names))

@@ -31,7 +31,7 @@ def prose(draw, n, vocabulary):
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = documents(spark, ODD).unionByName(documents(spark, ["same row, twice"] * 2, start=100).withColumn("doc_id", F.lit(100).cast("long")))
-    return rows.unionByName(documents(spark, ["no id", None]).withColumn("doc_id", F.lit(None).cast("long")))
+    return rows.unionByName(documents(spark, ["no id", None, "another without id"]).withColumn("doc_id", F.lit(None).cast("long")))
 
 
 @pytest.fixture(scope="module")
@@ -100,7 +100,7 @@ def test_near_duplicates_odd(spark, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     kept = near_dedup.deduplicated(odd, ("doc_id", "text", "lang"))
     assert kept.columns == ["doc_id", "text", "lang"]
-    assert kept.where("doc_id = 100").count() == 1 and kept.where("text is null").count() == 2 and kept.where("doc_id is null and text is not null").count() == 1
+    assert kept.where("doc_id = 100").count() == 1 and kept.where("text is null").count() == 2 and kept.where("doc_id is null and text is not null").count() == 2
 
 
 def test_components(spark):
