@@ -250,13 +250,23 @@ def q33_structural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.*")
 
 
-@query()
+@query(f"""WITH r AS (SELECT p_partkey, p_brand AS category, bin FROM ({_BINS})),
+s AS (SELECT category, bin, count(*) AS n FROM r GROUP BY category, bin),
+b AS (SELECT category, bin, n, least(n, greatest(1, least(3, 180 // (SELECT count(*) FROM s)))) AS base FROM s),
+t AS (SELECT least(180 - sum(base), sum(n - base)) AS seats, sum(n - base) AS room FROM b),
+i AS (SELECT category, bin, base, seats, (seats * (n - base)) // room AS gain, (seats * (n - base)) % room AS rest FROM b, t),
+k AS (SELECT category, bin, base + gain + CASE WHEN row_number() OVER (ORDER BY rest DESC, category, bin) <= seats - sum(gain) OVER () THEN 1 ELSE 0 END AS quota FROM i),
+d AS (SELECT p_partkey, category, bin, row_number() OVER (PARTITION BY category, bin ORDER BY md5(concat_ws(chr(31), '42', category, bin, p_partkey::VARCHAR)), p_partkey) AS n FROM r)
+SELECT p_partkey, category || '|' || bin AS quota_cell, false AS filled_beyond_quota FROM d JOIN k USING (category, bin) WHERE n <= quota""")
 def q34_stratified_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _binned(spark, sf_dir).select("p_partkey", "bin", F.col("p_brand").alias("category"), F.array("p_brand").alias("categories"))
     return sample.draw(parts, 180, "p_partkey")
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10))[1:7], lambda x: trim(x)) AS ls FROM documents),
+s AS (SELECT doc_id, len(ls) AS n, list_transform(range(1, 8), lambda i: coalesce(ls[i], '')) AS st FROM l)
+SELECT doc_id, n::INTEGER AS n_steps, array_to_string(list_filter(list_transform(range(1, 8), lambda i: CASE WHEN st[i] = '' THEN 'S' || i END), lambda x: x IS NOT NULL), ',') AS missing,
+  sha256(array_to_string(st, chr(30))) AS digest FROM s""")
 def q35_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents made into Markdown answers by their lines, and read back."""
     lines = F.split("text", "\n")
