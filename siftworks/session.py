@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where neither the session nor the context names a folder, as in tests.
@@ -28,3 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder; its lineage ends there."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package: sends it along unless they find it as this process does."""
+    home = Path(__file__).resolve().parents[1]
+    known = {Path(p).resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p}
+    context = spark.sparkContext
+    if home in known or getattr(context, "_siftworks_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="siftworks-"), "siftworks.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(Path(__file__).parent.rglob("*.py")):
+            out.write(source, source.relative_to(home))
+    context.addPyFile(str(path))
+    context._siftworks_shipped = True
