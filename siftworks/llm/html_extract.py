@@ -58,6 +58,11 @@ _NAME_PART = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A path is a menu if links make this share of its text and a block of it has fewer characters.
+MENU_LINKS, MENU_CHARS = 0.6, 60
+
+
 @dataclass
 class Block:
     path: tuple[str, ...]
@@ -199,6 +204,11 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
+def _reads(path: tuple[str, ...], row: list[float]) -> bool:
+    length, punctuation, n, _ = row
+    return path[-1].split(".")[0] in HEADLINES or punctuation >= n or length >= MENU_CHARS * n
+
+
 def content(found: list[Block]) -> list[Block]:
     """The blocks of the article."""
     paths: dict[tuple[str, ...], list[float]] = {}
@@ -210,8 +220,8 @@ def content(found: list[Block]) -> list[Block]:
         row[1] += len(_PUNCTUATION.findall(b.text))
         row[2] += 1
         row[3] += min(b.linked, len(b.text))
-    # Paths that are links for the most part are menus, whatever they are called.
-    live = {p: r for p, r in paths.items() if r[3] <= 0.6 * r[0]} or {}
+    # Paths of short texts that are links for the most part are menus, whatever they are called.
+    live = {p: r for p, r in paths.items() if r[3] <= MENU_LINKS * r[0] or r[0] >= MENU_CHARS * r[2]}
     if not live:
         return []
     order = list(live)
@@ -231,6 +241,9 @@ def content(found: list[Block]) -> list[Block]:
     container = max(whole, key=lambda c: (len(c), weight[c]))
     if container in live and len(container) > 1 and container[-1].split(".")[0] not in ("article", "main", "div", "section", "body"):
         container = container[:-1]
+    # It grows while what it takes in besides reads like the article: headlines and punctuated or longer text.
+    while len(container) > 1 and all(_reads(p, live[p]) for p in live if p[: len(container) - 1] == container[:-1] and p[: len(container)] != container):
+        container = container[:-1]
     named = [i for i, part in enumerate(container) if part.split(".")[0] in ("article", "main")]
     if named:
         container = container[: named[-1] + 1]
