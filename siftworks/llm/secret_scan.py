@@ -38,7 +38,7 @@ REACH = 48
 #: Characters around a candidate that count as its surroundings.
 AROUND = 160
 #: Marginal compressed bits for each character from which a candidate is novel.
-NOVEL_BITS = 4.0
+NOVEL_BITS = 6.5
 
 #: Identifiers and plain words that prime the compressor (fixed values).
 IDENTIFIERS = """
@@ -51,6 +51,10 @@ std vector iterator begin end size push_back unsigned long double float boolean
 SELECT FROM WHERE INSERT UPDATE DELETE CREATE TABLE PRIMARY KEY NOT NULL DEFAULT VALUES GROUP ORDER
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef xxxxxxxxxxxxxxxx ----------------
 ________________ ================ 0000000000000000 1111111111111111 aaaaaaaaaaaaaaaa ................
+release build version production staging development test report final draft module package service server client
+profile setting settings_ variable _variable_name long_name super_long counter index_ total value_ values_ number_ handler
+manager controller factory provider repository database connection request response message session context
+document template component element container resource 2020 2021 2022 2023 2024 2025 2026 -01- -02- -production- -release-
 the and that with this from have which will there their about would these other into could than then
 """
 
