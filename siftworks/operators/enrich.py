@@ -53,6 +53,6 @@ def match_counts(rows: DataFrame) -> DataFrame:
 
 def coverage(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     """Rows with a value before and after, as one row."""
-    a = before.agg(F.count_if(F.col(column).isNotNull()).alias("before"))
-    b = after.agg(F.count_if(F.col(column).isNotNull()).alias("after"))
-    return a.crossJoin(b)  # one row each
+    known = [df.select(F.lit(when).alias("stage"), F.col(column).isNotNull().alias("known")) for when, df in (("before", before), ("after", after))]
+    stage = lambda when: F.count_if((F.col("stage") == when) & F.col("known")).alias(when)
+    return known[0].unionByName(known[1]).agg(stage("before"), stage("after"))

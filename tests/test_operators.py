@@ -36,6 +36,11 @@ def test_cascade(spark):
     assert got == {1: ("key", "first"), 2: ("title", "second"), 3: ("none", None)}
 
 
+def test_coverage(spark):
+    rows = spark.createDataFrame([(1, None), (2, "a")], "id int, v string")
+    assert tuple(enrich.coverage(rows, rows.na.fill("x"), "v").first()) == (1, 2)
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_allocation_invariants(seed):
     draw = random.Random(seed)
