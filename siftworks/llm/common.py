@@ -19,7 +19,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..session import checkpoint_root, cut
 
-__all__ = ["checkpoint_root", "cut", "fold", "map_texts", "slices", "table", "words_of", "written"]
+__all__ = ["checkpoint_root", "cut", "discard", "fold", "map_texts", "shared_path", "slices", "table", "words_of", "written"]
 
 #: Text bytes that one call of a batch function sees at most (one text may be longer).
 SLICE_BYTES = 8 << 20
@@ -40,12 +40,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = path or shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table of the shared folder that nothing will read any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -69,6 +78,7 @@ def map_texts(
     keep: tuple[str, ...] = ("doc_id",),
     text: str = "text",
     also: tuple[str, ...] = (),
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """``keep`` columns of each row plus the columns that a batch function makes from its texts.
 
@@ -87,7 +97,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make()
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, slice_bytes):
                 made = call(batch.column(text).to_pylist(), batch)
                 rows = made.get("@")
                 base = batch.select(list(keep))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, slices, table, words_of
+from .common import cut, discard, map_texts, shared_path, slices, table, words_of, written
 from .graph import components
 
 WORDS = 5
@@ -47,7 +47,9 @@ BANDS, ROWS = 24, 4
 #: Pairs of at least this share of the threshold tie a neighbourhood together.
 NEIGHBOURHOOD = 0.6
 #: Strays that a task holds, and members that it streams past them.
-STRAY_BLOCK, MEMBER_CHUNK = 1_000, 5_000
+STRAY_BLOCK, MEMBER_CHUNK = 500, 1_000
+#: Text bytes whose darts are thrown at once; a dart takes about 100 bytes while it flies.
+SIGNED_BYTES = 2 << 20
 
 _U = np.uint64
 # Cumulative Poisson(1) chances of at most 0, 1, 2 ... darts in a unit cell.
@@ -178,7 +180,7 @@ def signatures(docs: DataFrame, k: int = BANDS * ROWS, words: int = WORDS, weigh
 
         return call
 
-    return map_texts(docs, make, "h1 long, h2 long, signature binary", keep)
+    return map_texts(docs, make, "h1 long, h2 long, signature binary", keep, slice_bytes=SIGNED_BYTES)
 
 
 def _buckets(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -304,7 +306,9 @@ def near_duplicates(
     stars = cut(live.join(hub, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
 
     needed = nodes.join(live.select("node").distinct(), "node", "left_semi").select("h1", "h2", "first_id", "node")
-    texts = _texts_of(docs, needed)
+    # The texts of candidates are read several times, so they are written once and removed at the end.
+    place = shared_path(docs.sparkSession, "near-dedup-texts")
+    texts = written(_texts_of(docs, needed), "", place)
     near = cut(similarities(stars, texts, size))
     links = near.where(F.col("j") >= threshold - 1e-9).select("a", "b")
     roots = cut(components(links))
@@ -313,6 +317,7 @@ def near_duplicates(
     groups = components(near.where(F.col("j") >= NEIGHBOURHOOD * threshold).select("a", "b")).withColumnRenamed("root", "group")
     placed = groups.join(nodes.select("node", "signature"), "node").join(roots, "node", "left")
     more = cut(stray_links(placed.withColumn("root", F.coalesce("root", "node")), texts, threshold, size))
+    discard(docs.sparkSession, place)
     if not more.isEmpty():
         roots = cut(components(links.unionByName(more)))
 
