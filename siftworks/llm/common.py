@@ -22,7 +22,7 @@ from ..session import checkpoint_root, cut
 __all__ = ["checkpoint_root", "cut", "discard", "fold", "map_texts", "shared_path", "slices", "table", "words_of", "written"]
 
 #: Text bytes that one call of a batch function sees at most (one text may be longer).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 #: Lower-cases A-Z and turns every ASCII character but letters and digits into a space.
 WORD_TABLE = bytes(

@@ -33,6 +33,8 @@ DOCUMENTS, CHARACTERS = 128, 40_000
 PER_DOCUMENT = 2_048
 #: Characters of a block.
 BLOCK = 1_024
+#: Text bytes that are parsed in step; fewer would leave numpy little to do at once.
+PARSED_BYTES = 8 << 20
 #: Chosen ids are broadcast only up to so many languages.
 BROADCAST_LANGUAGES = 500
 
@@ -200,7 +202,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...],
 
         return call
 
-    return map_texts(docs, make, "lang_pred string, score double", keep)
+    return map_texts(docs, make, "lang_pred string, score double", keep, slice_bytes=PARSED_BYTES)
 
 
 def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

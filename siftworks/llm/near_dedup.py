@@ -50,6 +50,8 @@ NEIGHBOURHOOD = 0.6
 STRAY_BLOCK, MEMBER_CHUNK = 500, 1_000
 #: Text bytes whose darts are thrown at once; a dart takes about 100 bytes while it flies.
 SIGNED_BYTES = 2 << 20
+#: Distinct words whose hashes a task remembers before it starts anew.
+REMEMBERED = 200_000
 
 _U = np.uint64
 # Cumulative Poisson(1) chances of at most 0, 1, 2 ... darts in a unit cell.
@@ -123,7 +125,7 @@ class Shingler:
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > REMEMBERED:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)

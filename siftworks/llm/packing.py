@@ -35,7 +35,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces of one length are numbered in so many parts.
 PARTS = 64
 #: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 # Characters whose handling is the same in every version of Unicode: texts made of
 # these are split here, all others by the tokenizer itself.

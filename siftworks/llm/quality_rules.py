@@ -88,7 +88,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[bytes], np.n
                     else:
                         row[0] += 1
                         row[1] += n / len(words)
-            if len(total) > 2_000_000:  # partial sums may go out at any time
+            if len(total) > 300_000:  # partial sums may go out at any time
                 yield sums(total, {})
                 total = {}
         yield sums(total, classes)

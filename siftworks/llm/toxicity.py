@@ -30,6 +30,8 @@ from .text_stats import class_counts
 CUT = 0.3
 #: Entries of a lexicon, and its tiers by rank.
 ENTRIES, TIERS = 256, (16, 64, 256)
+#: Keys of most toxic documents that the driver ranks lexicons from.
+CANDIDATES = 50_000
 #: Lengths of word beginnings that a lexicon may hold.
 STEMS = (4, 5, 6)
 #: Toxic documents that an entry must occur in.
@@ -118,7 +120,7 @@ def _counted(sample: DataFrame) -> DataFrame:
     def run(batches):
         total: dict[str, list[int]] = {}
         for batch in batches:
-            if len(total) > 500_000:  # partial sums may go out at any time
+            if len(total) > 200_000:  # partial sums may go out at any time
                 yield sums(total)
                 total = {}
             for text, label, of in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
@@ -171,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     clean = sum(F.col(f"c{k}") for k in range(FOLDS))
     # An entry's rate in toxic documents must be e times that in clean ones in every lexicon; a looser bound here.
     useful = _counted(sample).where((toxic >= min(SUPPORT, max(1, int(n[:FOLDS].sum())))) & (toxic * float(n[FOLDS:].sum() + 1) > clean * float(n[:FOLDS].sum() + 1) * 1.5))
-    rows = useful.orderBy(toxic.desc(), "key").limit(50_000).toPandas()
+    rows = useful.orderBy(toxic.desc(), "key").limit(CANDIDATES).toPandas()
     counts = rows.drop(columns="key").to_numpy(np.int64).reshape(len(rows), 2 * FOLDS)
     keys = rows["key"].tolist()
     lexicons = [_lexicon(counts, keys, n, k) for k in (*range(FOLDS), None)]
