@@ -16,6 +16,7 @@ in start go by kind order; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from functools import lru_cache
 
@@ -37,8 +38,11 @@ SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-
 REACH = 48
 #: Characters around a candidate that count as its surroundings.
 AROUND = 160
-#: Marginal compressed bits for each character from which a candidate is novel.
-NOVEL_BITS = 6.5
+#: A candidate is novel if it costs at least this share of the bits that a random string over its own alphabet has.
+#: Where the surroundings have coded that alphabet already, a random string costs little more than those bits.
+NOVEL_SHARE = 0.75
+#: Alphabets from the smallest, by what a candidate consists of, and their bits for each character.
+ALPHABETS = tuple((re.compile(p), math.log2(n)) for p, n in (("[0-9A-F=-]+|[0-9a-f=-]+", 16), ("[^A-Za-z]+|[0-9A-Z=_-]+|[0-9a-z=_-]+", 36), ("[0-9A-Za-z=_-]+", 62), (".+", 64)))
 
 #: Identifiers and plain words that prime the compressor (fixed values).
 IDENTIFIERS = """
@@ -74,6 +78,10 @@ def marginal_bits(before: str, candidate: str, after: str) -> float:
     return 8 * (size(before + candidate + after) - size(before + after)) / max(1, len(candidate))
 
 
+def alphabet_bits(candidate: str) -> float:
+    return next(bits for p, bits in ALPHABETS if p.fullmatch(candidate))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     low = text.lower()
@@ -85,8 +93,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]], bits: float = NOVEL_BITS) -> list[tuple[int, int, str]]:
-    """Candidates in a sensitive context whose marginal compressed size is near that of a random string."""
+def novel_spans(text: str, taken: list[tuple[int, int, str]], share: float = NOVEL_SHARE) -> list[tuple[int, int, str]]:
+    """Candidates in a sensitive context whose marginal compressed size is near that of a random string of their alphabet."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change length; positions must hold
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -102,7 +110,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], bits: float = NOVE
             continue
         if not any(k in low[max(0, a - REACH) : a] for k in SENSITIVE):
             continue
-        if marginal_bits(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= bits:
+        if marginal_bits(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= share * alphabet_bits(s):
             out.append((a, b, "novel"))
     return out
 
@@ -111,7 +119,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))))
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), bits: float = NOVEL_BITS, redact: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: float = NOVEL_SHARE, redact: str | None = None) -> DataFrame:
     """Spans of each document; with ``redact``, also the text with each span replaced by it (``clean_text``)."""
 
     def make():
@@ -119,7 +127,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), bits: float = NOV
             n = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans", "clean_text")}
             for text in texts:
                 base = base_spans(text) if text else []
-                spans = [*base, *novel_spans(text, base, bits)] if text else []
+                spans = [*base, *novel_spans(text, base, share)] if text else []
                 for k in KINDS:
                     n[f"n_{k}"].append(sum(x[2] == k for x in spans))
                 n["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())

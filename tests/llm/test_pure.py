@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import string
 from collections import Counter
 
 import numpy as np
@@ -90,6 +91,24 @@ def test_secrets_and_novelty():
     assert secret_scan.base_spans("PASSWORD=secret=value1") and not secret_scan.base_spans("paſſword=abcdefgh")
 
 
+BASE64 = string.ascii_letters + string.digits + "+/"
+RANDOM = {"base64": BASE64, "alnum": BASE64[:62], "base32": string.ascii_uppercase + "234567", "hex": "0123456789ABCDEF"}
+
+
+@pytest.mark.parametrize("alphabet", RANDOM)
+@pytest.mark.parametrize("length", [40, 1000])
+def test_secrets_in_a_list(alphabet, length):
+    """Random strings are found where others have paid for coding their alphabet, and at any length."""
+    draw, found, n = random.Random(length), 0, 0
+    for _ in range(20):
+        secrets = ["".join(draw.choices(RANDOM[alphabet], k=length)) for _ in range(9)]
+        text = "".join(f"{x}_credential = {s}\n" for x, s in zip(("db", "mail", "queue", "cache", "search", "media", "billing", "audit", "proxy"), secrets, strict=True))
+        base = secret_scan.base_spans(text)
+        got = {text[a:b] for a, b, _ in [*base, *secret_scan.novel_spans(text, base)]}
+        found, n = found + sum(s in got for s in secrets), n + len(secrets)
+    assert found >= 0.95 * n
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <div id="header"><a href="/">Site</a></div><div class="menu"><ul><li><a>One</a><li><a>Two</a></ul></div>
 <div class="content has-sidebar"><h1>Big &amp; Bold</h1><p>First <b>para</b>graph, with&nbsp;text. And&#32;more.<p>Short.<blockquote>A quote, here it is.</blockquote>
