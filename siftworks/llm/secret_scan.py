@@ -4,9 +4,9 @@ The base patterns always count. The method looks at the other candidates: string
 of key-like characters that stand in a sensitive context (a word such as ``key``,
 ``auth`` or ``credential`` shortly before them). A zstandard dictionary made of
 code identifiers and common words primes the compressor; a candidate's marginal
-size is what it adds to its compressed surroundings. Ordinary words and identifiers
-cost little more than a reference; random strings stay near their own entropy and
-are reported with kind ``novel``.
+size is what it adds to its compressed surroundings, in which its copies are blank.
+Ordinary words and identifiers cost little more than a reference; random strings stay
+near their own entropy and are reported with kind ``novel``.
 
 Defined results: null and empty texts have no spans; spans of one kind never
 overlap; a candidate that touches a base span is that base span's already; ties
@@ -31,7 +31,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Order of kinds among spans with the same start.
 KINDS = ("assign", "access", "hex", "novel")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters of the shortest candidate, and of the shortest stretch that counts as its copy.
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Words that make what follows them sensitive.
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "private", "bearer", "authorization", "auth_", "access_key", "accesskey", "signature", "client_id", "private_key")
 #: A sensitive word counts within so many characters before the candidate.
@@ -78,6 +80,22 @@ def marginal_bits(before: str, candidate: str, after: str) -> float:
     return 8 * (size(before + candidate + after) - size(before + after)) / max(1, len(candidate))
 
 
+def without_copies(around: str, candidate: str) -> str:
+    """``around`` with spaces for what it shares with the candidate; a copy must not make the candidate cheap."""
+    parts = {candidate[i : i + LEAST] for i in range(len(candidate) - LEAST + 1)}
+    out = list(around)
+    for i in range(len(around) - LEAST + 1):
+        if around[i : i + LEAST] in parts:
+            out[i : i + LEAST] = " " * LEAST
+    return "".join(out)
+
+
+def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
+    """What stands before and after a candidate; copies that the edges cut are blanked with the others."""
+    before = without_copies(text[max(0, a - AROUND - LEAST + 1) : a], text[a:b])
+    return before[-AROUND:], without_copies(text[b : b + AROUND + LEAST - 1], text[a:b])[:AROUND]
+
+
 def alphabet_bits(candidate: str) -> float:
     return next(bits for p, bits in ALPHABETS if p.fullmatch(candidate))
 
@@ -110,7 +128,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], share: float = NOV
             continue
         if not any(k in low[max(0, a - REACH) : a] for k in SENSITIVE):
             continue
-        if marginal_bits(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= share * alphabet_bits(s):
+        before, after = surroundings(text, a, b)
+        if marginal_bits(before, s, after) >= share * alphabet_bits(s):
             out.append((a, b, "novel"))
     return out
 

@@ -109,6 +109,15 @@ def test_secrets_in_a_list(alphabet, length):
     assert found >= 0.95 * n
 
 
+def test_copied_secrets():
+    """A copy nearby, whole, in a longer candidate or cut by the surroundings' edge, hides neither."""
+    s = "q8Zt3LwX9vB2nM7kR5pY1cD4"
+    for first, second in ((f"credential: {s}", f"curl -H 'Authorization: Bearer {s}'"), (f"API_CREDENTIAL={s}", f"bearer {s}"), (f"bearer {s}", f"bearer {s}")):
+        for gap in range(0, 180, 5):
+            text = f"private {first}\n" + "and so it goes on, "[: gap % 19] + "as it was said. " * (gap // 16) + f"\nthe {second}"
+            assert [s in text[a:b] for a, b, _ in secret_scan.novel_spans(text, [])] == [True, True], (first, gap)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <div id="header"><a href="/">Site</a></div><div class="menu"><ul><li><a>One</a><li><a>Two</a></ul></div>
 <div class="content has-sidebar"><h1>Big &amp; Bold</h1><p>First <b>para</b>graph, with&nbsp;text. And&#32;more.<p>Short.<blockquote>A quote, here it is.</blockquote>
