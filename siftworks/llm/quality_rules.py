@@ -6,9 +6,10 @@ The references are averages over all documents that pass the base rules: charact
 class, and the words that most documents of the language use. A document is rejected if
 it is too far from its reference and long enough to tell.
 
-Defined results: a null text has no words and fails the base rules; a document whose
-language has no reference (null, or too few documents) is held against all of them and
-the nearest counts; without any reference the base rules decide alone; repeated rows get
+Defined results: a null text has no words and fails the base rules; a document without
+a language is held against all references and the nearest counts; so are the character
+classes of one whose language has too few documents for a reference, but its words are
+not held against those of other languages; without any reference the base rules decide alone; repeated rows get
 equal results; extra columns are not read.
 """
 
@@ -142,7 +143,7 @@ def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, list[bytes], np.nda
                 q, _, share = refs[k]
                 a = float(jensen_shannon(kinds / kinds.sum(), q)) if len(text) >= GUARD_CHARS else None
                 b = None
-                if len(words) >= GUARD_WORDS:
+                if len(words) >= GUARD_WORDS and (lang is None or lang in refs):
                     at = place[k]
                     p = np.bincount(np.fromiter((at.get(w, len(at)) for w in words), np.int64, len(words)), minlength=len(share)) / len(words)
                     b = float(jensen_shannon(p, share))

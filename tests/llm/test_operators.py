@@ -306,3 +306,15 @@ def test_rules(spark, learned, odd, empty):
     assert few[6]["n_repeat_words"] == 3000 and few[7]["n_symbols"] == 0
     assert quality_rules.references(empty) == {} and quality_rules.judge(empty, {}).count() == 0
     assert quality_rules.judge(docs, {}).where("kept = base_failed").count() == 0
+
+
+def test_quality_rules_rare_language(spark):
+    """A clean text of a language with too few documents is not rejected by the words of another; odd characters still are."""
+    draw = random.Random(21)
+    words = lambda: ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 8))) for _ in range(90)]
+    common, rare = words(), words()
+    texts = [prose(draw, 120, common) for _ in range(30)] + [prose(draw, 120, rare) for _ in range(4)] + [" ".join(f"{draw.randint(0, 10**6)}" for _ in range(120))]
+    docs = documents(spark, texts, ["en"] * 30 + ["xx"] * 3 + [None, "xx"])
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, quality_rules.references(docs)).collect()}
+    assert all(got[i]["kept"] and got[i]["word_distance"] is None for i in (30, 31, 32)) and all(got[i]["kept"] for i in range(30))
+    assert not got[33]["kept"] and got[33]["word_distance"] is not None and not got[34]["kept"] and got[34]["class_distance"] is not None
