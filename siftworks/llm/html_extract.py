@@ -3,193 +3,278 @@
 A page is read into text blocks, each with the path of tags from the root to it.
 All blocks of one path are taken together: their text length for each occurrence and
 their punctuation make the path's two ratios. Ratios are smoothed over neighbouring
-paths in page order and fused; paths over a threshold are content. The container
-that holds most of the content then stands for the article: every path below it that
-is not boilerplate by its tags, names or links belongs to the text, so headlines and
-one-word paragraphs stay.
+paths in page order and fused; names and tags that tell of a page's frame weigh on the
+fused score. Paths over the threshold are content. The innermost element that holds
+nearly all of them bounds the article. Among them there, a lower threshold, on the
+weight alone, takes in headlines, short paragraphs, tables and lists.
+
+A name weighs on a score and decides nothing alone: where a page's only prose has such
+a name, or all of it stands in a form, its paths are still those of the highest score.
+
+The reader passes over a page once, as browsers do: quotes count in values of
+attributes only, scripts and the like end at their own end tag, comments at theirs.
+Open elements and paths are found by number, so time is linear in the page, at any
+depth of nesting.
 
 Defined results: null and empty html give an empty text; unclosed and crossed tags are
-closed as browsers do, for the tags that matter here; text outside any tag counts as
-the body's; a page of nothing but boilerplate gives an empty text; no length limit;
-repeated rows get equal results; extra columns are not read.
+closed as browsers do, for the tags that matter here; a tag that the page ends in is
+no text; text outside any tag counts as the body's; a page of nothing but menus,
+footers and the like gives an empty text; no length limit; repeated rows get equal
+results; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from dataclasses import dataclass
+from collections import defaultdict
+from math import log2
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
-_NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:(=?[^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+)")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
-_SPACE = re.compile(r"[\s\xa0]+")
+_SPACE = re.compile(r"\s+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # Fixed values from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select xmp noframes noembed".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style textarea title iframe xmp noframes noembed".split())
+#: Block tags close an open paragraph.
+CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+#: All other tags, unknown ones too, stand inside a line of text.
+BLOCKS = CLOSE_P | frozenset("html head body li dt dd tr td th thead tbody tfoot caption colgroup option optgroup select button legend noscript template object svg canvas audio video textarea iframe xmp noframes noembed title script style".split()) - {"script", "style"}
 #: Open tags that a start tag closes, up to a tag that bounds the search.
 CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
-    "body": ({"head"}, {"html"}),
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "tbody": (("thead", "tbody"), ("table",)), "tfoot": (("thead", "tbody"), ("table",)), "body": (("head",), ("html",)),
 }
-#: Block tags close an open paragraph.
-CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-
-#: Tags whose text is never article text.
-BOILERPLATE_TAGS = frozenset("head nav footer aside form button select menu dialog header".split())
-#: Words of class, id or role names that mark boilerplate.
-BOILERPLATE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs "
-    "sidebar sidebars aside footer header masthead comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar skip search "
-    "copyright legal disclaimer hidden complementary contentinfo dialog outbrain taboola tags toc".split()
+HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLE_TAGS = frozenset("main article".split())
+
+#: Tags that are never the article, tags of a page's frame, and those of what is not shown as text.
+OTHER_TAGS = frozenset("nav footer button select menu dialog".split())
+FRAME_TAGS = frozenset("aside form header search".split())
+UNSHOWN_TAGS = frozenset("head noscript template object svg canvas audio video".split())
+#: Parts of class, id or role names that tell of the frame whatever stands beside them ...
+FRAME_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars footer masthead "
+    "comment comments commentlist disqus cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login share sharing pagination pager toolbar outbrain taboola widget widgets".split()
 )
-#: Names of the page's own frame, which also sit on containers of the article; they mark nothing there.
-ARTICLE_TAGS = frozenset("html body main article".split())
+#: ... and those that do if nothing else does: an ``article-header`` is the article's, a ``site-header`` the page's.
+FAINT_NAMES = frozenset(
+    "aside header reply replies respond notice notices alert overlay social related recommended recommendations skip search copyright legal disclaimer hidden complementary contentinfo dialog tags toc".split()
+)
+PLACE_NAMES = frozenset("site page top bottom left right main global web the box block bar list area wrapper wrap container inner outer section content group js l m u c".split())
 _NAME_PART = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-
-HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What a frame tag, a frame name, a faint name beside others, and being hidden leave of a score.
+FRAME_TAG, FRAME, FAINT, HIDDEN = 0.003, 0.01, 0.5, 0.0001
+#: Shares of the best score that a content path has, and of the best path's weight that a path among them has.
+CONTENT, WITHIN = 0.1, 0.3
+#: Share of the content's text that the container holds.
+HELD = 0.9
 #: A path is a menu if links make this share of its text and a block of it has fewer characters.
 MENU_LINKS, MENU_CHARS = 0.6, 60
 
 
-@dataclass
-class Block:
-    path: tuple[str, ...]
-    text: str
-    linked: int  # characters inside links
-    boiler: bool
-
-
-def _marked(attributes: str) -> tuple[bool, str]:
-    """Whether names or attributes mark boilerplate, and the first class as part of the path."""
-    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False, ""
-    boiler, label = False, ""
-    for m in _NAMES.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            boiler = True
-        elif name == "style":
-            boiler |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-        else:
-            if name == "class" and value:
-                label = "." + value.split()[0].lower() if value.split() else ""
-            for word in value.split():
-                parts = [p.lower() for p in _NAME_PART.findall(_CAMEL.sub(" ", word))]
-                if parts and (parts[0] in {"has", "with", "without", "no"} or parts[-1] in {"open", "closed", "enabled", "disabled"}):
-                    continue  # names that tell of a page's parts, not of this one
-                boiler |= any(p in BOILERPLATE_NAMES for p in parts)
-    return boiler, label
-
-
-def blocks(page: str) -> list[Block]:
+class Page:
+    """Paths by number, each after its parent, and the text blocks in page order."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.weight = [-1], ["html"], [1.0]
+        self.article = [False]  # inside an article or main
+        self.known: dict[tuple[int, str, str, float], int] = {}
+        self.blocks: list[tuple[int, str, int]] = []  # path, text, characters in links
+
+    def path(self, above: int, tag: str, label: str, weight: float) -> int:
+        key = (above, tag, label, weight)
+        found = self.known.get(key)
+        if found is None:
+            found = self.known[key] = len(self.parent)
+            self.parent.append(above)
+            self.tag.append(tag)
+            self.weight.append(self.weight[above] * weight)
+            self.article.append(self.article[above] or tag in ARTICLE_TAGS)
+        return found
+
+
+def _name_weight(value: str) -> float:
+    """What the names in a class, id or role attribute leave of a score."""
+    least = 1.0
+    for word in value.split():
+        parts = [p.lower() for p in _NAME_PART.findall(_CAMEL.sub(" ", word))]
+        if not parts or parts[0] in {"has", "with", "without", "no"} or parts[-1] in {"open", "closed", "enabled", "disabled"}:
+            continue  # names that tell of a page's parts, not of this one
+        if any(p in FRAME_NAMES for p in parts):
+            least = FRAME
+        elif any(p in FAINT_NAMES for p in parts):
+            least = min(least, FRAME if all(p in FAINT_NAMES or p in PLACE_NAMES for p in parts) else FAINT)
+    return least
+
+
+def _attributes(page: str, at: int) -> tuple[int, bool, str, float]:
+    """End of a start tag (-1 if the page ends first), whether it closes itself, its first class, and its weight."""
+    label, weight = "", 1.0
+    while True:
+        m = _ATTRIBUTE.match(page, at)
+        at = m.end()
+        name = m[1].lower()
+        if not name:
+            if at >= len(page):
+                return -1, False, label, weight
+            if page[at] == ">":
+                return at + 1, page[at - 1] == "/", label, weight
+            at += 1
+            continue
+        if name in ("class", "id", "role"):
+            value = m[2] or m[3] or m[4] or ""
+            weight = min(weight, _name_weight(value))
+            if name == "class" and value.split():
+                label = value.split()[0].lower()
+        elif name == "hidden" or name == "style" and _HIDDEN.search(m[2] or m[3] or m[4] or ""):
+            weight = HIDDEN
+        elif name == "aria-hidden" and (m[2] or m[3] or m[4] or "").lower() == "true":
+            weight = min(weight, FRAME)
+
+
+def read(page: str) -> Page:
     """Text blocks of a page in order, white space collapsed, references decoded."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = [("html", "html", False, 0)]  # tag, path part, boilerplate here or above, articles open
+    out = Page()
+    stack: list[tuple[str, int]] = [("html", 0)]  # tag, path
+    where: dict[str, list[int]] = defaultdict(list)  # places in the stack of each open tag
+    where["html"].append(0)
+    block_at = [0]  # places in the stack of what is not inside a line
     parts: list[str] = []
-    linked = links = 0
-    raw_until = -1
+    linked = 0
 
     def end_block() -> None:
-        nonlocal parts, linked
+        nonlocal linked
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip(" ")
             if text:
-                deep = [s for s in stack if s[0] not in INLINE]
-                out.append(Block(tuple(s[1] for s in deep), text, linked, stack[-1][2]))
-        parts, linked = [], 0
+                out.blocks.append((stack[-1][1], text, min(linked, len(text))))
+            parts.clear()
+        linked = 0
 
     def text_of(a: int, b: int) -> None:
         nonlocal linked
         if b > a:
-            t = entities.unescape(page[a:b]) if "&" in page[a:b] else page[a:b]
+            t = page[a:b]
+            if "&" in t:
+                t = entities.unescape(t)
             parts.append(t)
-            if links:
+            if where["a"]:
                 linked += len(t)
 
     def pop(to: int) -> None:
-        nonlocal links
         while len(stack) > to:
-            if stack.pop()[0] == "a":
-                links -= 1
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < raw_until:
+            where[stack.pop()[0]].pop()
+            if block_at[-1] >= len(stack):
+                block_at.pop()
+
+    def last(*tags: str) -> int:
+        return max((where[t][-1] for t in tags if where[t]), default=-1)
+
+    at = look = 0
+    no_cdata_end = False
+    while True:
+        lt = page.find("<", look)
+        if lt < 0:
+            text_of(at, len(page))
+            break
+        m = _TAG.match(page, lt)
+        if m is None:
+            following = page[lt + 1 : lt + 2]
+            if following not in ("!", "?", "/") or not following:
+                look = lt + 1  # a sign, not a tag
+                continue
+            text_of(at, lt)
+            if page.startswith("<!--", lt):
+                end = lt + 5 if page.startswith("<!-->", lt) else page.find("-->", lt + 4) + 3
+                end = len(page) if end == 2 else end
+            else:
+                end = 0
+                if not no_cdata_end and page.startswith("<![CDATA[", lt):
+                    end = page.find("]]>", lt) + 3
+                    no_cdata_end = end == 2
+                if end <= 2:
+                    end = page.find(">", lt) + 1 or len(page)
+            at = look = end
             continue
-        text_of(at, m.start())
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        text_of(at, lt)
+        closing, tag = page[lt + 1] == "/", m[1].lower()
+        at, closed, label, weight = _attributes(page, m.end())
+        look = at
+        if at < 0:
+            break  # a tag that the page ends in
+        if tag == "br":
+            parts.append(" ")
             continue
-        tag = tag.lower()
-        if m[1]:  # end tag
-            if tag == "p" and not any(s[0] == "p" for s in stack):
+        block = tag in BLOCKS
+        if closing:
+            if tag == "p" and not where["p"]:
                 end_block()
                 continue
-            if tag not in INLINE:
+            if block:
                 end_block()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break  # an inline end tag closes nothing outside its block
-                if stack[i][0] in {"article", "main", "table", "body"} and tag in {"p", "li", "td", "tr"}:
-                    break
-            continue
-        if tag in RAW and not m[4]:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            end_block() if tag not in {"svg", "math", "canvas"} else None
-            at = raw_until = close.end() if close else len(page)
+            to = where[tag][-1] if where[tag] else 0
+            if to <= 0 or not block and block_at[-1] > to or tag in ("p", "li", "td", "tr") and last("article", "main", "table", "body") > to:
+                continue  # it closes nothing: an inline end tag nothing outside its block
+            if not block and block_at[-1] == to:  # a marked part of a line
+                end_block()
+            pop(to)
             continue
-        if tag == "br":
-            parts.append(" ")
+        if tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            if tag not in ("script", "style"):
+                end_block()
+            if end:
+                stop = page.find(">", end.end())
+                at = look = stop + 1 if stop >= 0 else len(page)
+            elif not closed:
+                at = look = len(page)
             continue
-        if tag in VOID or m[4] and tag in INLINE:
-            if tag not in INLINE:
+        if tag in VOID:
+            if block:  # a rule
                 end_block()
             continue
-        if tag not in INLINE:
+        if closed and not block:
+            continue
+        split = not block and weight < WITHIN  # a marked part of a line is a block of its own
+        if block:
             end_block()
-            if tag in CLOSE_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+            if tag in CLOSE_P and where["p"] and where["p"][-1] >= block_at[-1]:
+                pop(where["p"][-1])
             if tag in CLOSES:
-                closed, bound = CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in bound:
-                        break
-                    if stack[i][0] in closed:
-                        pop(i)
-                        if tag not in ("tr", "tbody", "body"):
-                            break
-            if tag in ("html", "body") and any(s[0] == tag for s in stack):
+                ends, bounds = CLOSES[tag]
+                if (to := last(*ends)) > max(0, last(*bounds)):
+                    pop(to)
+            if tag in ("html", "body") and where[tag]:
                 continue
-        marked, label = _marked(m[3])
-        articles = stack[-1][3] + (tag in ("article", "main"))
-        boiler = stack[-1][2] or tag not in ARTICLE_TAGS and marked or tag in BOILERPLATE_TAGS and not (tag == "header" and stack[-1][3])
-        links += tag == "a"
-        stack.append((tag, tag + label, boiler, articles))
-    if at < len(page):
-        tail = page[at:]
-        cut_ = re.search(r"<[a-zA-Z/!?][^>]*\Z", tail)  # a tag the page ends in
-        text_of(at, at + cut_.start() if cut_ else len(page))
+        elif split:
+            end_block()
+        elif tag == "a" and where["a"] and where["a"][-1] > block_at[-1]:
+            pop(where["a"][-1])  # links don't nest
+        above = stack[-1][1]
+        if block or split:
+            if tag in UNSHOWN_TAGS or tag in OTHER_TAGS:
+                weight = 0.0
+            elif tag in FRAME_TAGS and not (tag == "header" and out.article[above]):
+                weight = min(weight, FRAME_TAG)
+            elif tag in ("html", "body", "main", "article") and weight > HIDDEN and label not in ("comment", "comments"):
+                weight = 1.0  # names of the page's own frame also sit on containers of the article
+            above = out.path(above, tag, label, weight)
+            block_at.append(len(stack))
+        where[tag].append(len(stack))
+        stack.append((tag, above))
+        if closed and tag in ("svg", "canvas"):
+            pop(len(stack) - 1)
     end_block()
     return out
 
@@ -204,55 +289,80 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def _reads(path: tuple[str, ...], row: list[float]) -> bool:
-    length, punctuation, n, _ = row
-    return path[-1].split(".")[0] in HEADLINES or punctuation >= n or length >= MENU_CHARS * n
+def ratios(page: Page) -> tuple[dict[int, list[int]], dict[int, float]]:
+    """Of each path, in page order: text length, punctuation, blocks and characters in links; and its fused score.
 
-
-def content(found: list[Block]) -> list[Block]:
-    """The blocks of the article."""
-    paths: dict[tuple[str, ...], list[float]] = {}
-    for b in found:
-        if b.boiler:
-            continue
-        row = paths.setdefault(b.path, [0, 0, 0, 0])
-        row[0] += len(b.text)
-        row[1] += len(_PUNCTUATION.findall(b.text))
+    Menus have no score. Repetition counts for a path's mass, though only by its logarithm
+    where a frame's name weighs on the path: lists of comments and adverts repeat as well.
+    """
+    found: dict[int, list[int]] = {}
+    for path, text, linked in page.blocks:
+        row = found.setdefault(path, [0, 0, 0, 0])
+        row[0] += len(text)
+        row[1] += len(_PUNCTUATION.findall(text))
         row[2] += 1
-        row[3] += min(b.linked, len(b.text))
-    # Paths of short texts that are links for the most part are menus, whatever they are called.
-    live = {p: r for p, r in paths.items() if r[3] <= MENU_LINKS * r[0] or r[0] >= MENU_CHARS * r[2]}
-    if not live:
-        return []
-    order = list(live)
-    length = _smoothed([live[p][0] / live[p][2] for p in order])
-    punctuation = _smoothed([(live[p][1] + 0.5) / live[p][2] for p in order])
-    # Fused by the path's own mass, so that one long notice does not outweigh an article in parts.
-    fused = [a * b * live[p][2] for a, b, p in zip(length, punctuation, order, strict=True)]
-    top = max(fused)
-    chosen = [p for p, f in zip(order, fused, strict=True) if f >= 0.1 * top]
-    weight: dict[tuple[str, ...], float] = {}
-    for p in chosen:
-        for i in range(1, len(p) + 1):
-            weight[p[:i]] = weight.get(p[:i], 0) + live[p][0]
-    total = sum(live[p][0] for p in chosen)
-    # The deepest container with nearly all content text; a container named article or main is enough.
-    whole = [c for c, w in weight.items() if w >= 0.9 * total]
-    container = max(whole, key=lambda c: (len(c), weight[c]))
-    if container in live and len(container) > 1 and container[-1].split(".")[0] not in ("article", "main", "div", "section", "body"):
-        container = container[:-1]
-    # It grows while what it takes in besides reads like the article: headlines and punctuated or longer text.
-    while len(container) > 1 and all(_reads(p, live[p]) for p in live if p[: len(container) - 1] == container[:-1] and p[: len(container)] != container):
-        container = container[:-1]
-    named = [i for i, part in enumerate(container) if part.split(".")[0] in ("article", "main")]
-    if named:
-        container = container[: named[-1] + 1]
-    n = len(container)
-    return [b for b in found if not b.boiler and b.path[:n] == container and b.path in live]
+        row[3] += linked
+    order = [p for p, r in found.items() if page.article[p] or not is_menu(r)]
+    length = _smoothed([found[p][0] / found[p][2] for p in order])
+    punctuation = _smoothed([(found[p][1] + 0.5) / found[p][2] for p in order])
+    usual = WITHIN * max((page.weight[p] for p in order), default=1.0)
+    mass = [found[p][2] if page.weight[p] > usual else log2(1 + found[p][2]) for p in order]
+    return found, {p: a * b * m * page.weight[p] for p, a, b, m in zip(order, length, punctuation, mass, strict=True)}
+
+
+def is_menu(row: list[int]) -> bool:
+    """Paths of short texts that are links for the most part are menus, whatever they are called."""
+    return row[3] > MENU_LINKS * row[0] and row[0] < MENU_CHARS * row[2]
+
+
+def chosen(page: Page) -> list[bool]:
+    """Whether each path is the article's."""
+    found, score = ratios(page)
+    n = len(page.parent)
+    if not score:
+        return [False] * n
+    best = max(score, key=score.__getitem__)
+    if not score[best]:
+        return [False] * n
+    unmarked = WITHIN * page.weight[best]  # the best path may stand in a form or have a frame's name itself
+    core = {p for p, s in score.items() if s >= CONTENT * score[best] and page.weight[p] > unmarked}
+    held, rest = [0] * n, [0] * n  # content text, and paths of other kinds that don't read like an article
+    for p in score:
+        if p in core:
+            held[p] = found[p][0]
+        elif page.weight[p] > unmarked:
+            length, punctuation, times, _ = found[p]
+            rest[p] = page.tag[p] not in HEADLINES and punctuation < times and length < MENU_CHARS * times
+    for p in range(n - 1, 0, -1):
+        held[page.parent[p]] += held[p]
+        rest[page.parent[p]] += rest[p]
+    # The deepest element with nearly all content text ...
+    container, within = 0, HELD * held[0]
+    for p in range(n):
+        if page.parent[p] == container and held[p] >= within:
+            container = p
+    if container in found and container and page.tag[container] not in ("article", "main", "div", "section", "body"):
+        container = page.parent[container]
+    # ... grows while what it takes in besides reads like the article: headlines and punctuated or longer text.
+    while container and rest[page.parent[container]] == rest[container]:
+        container = page.parent[container]
+    p = container
+    while p and page.tag[p] not in ARTICLE_TAGS:
+        p = page.parent[p]
+    container = p or container
+    inside, out = [False] * n, [False] * n
+    for p in range(n):
+        inside[p] = p == container or p > 0 and inside[page.parent[p]]
+        out[p] = inside[p] and p in score and page.weight[p] > unmarked
+    return out
 
 
 def main_text(page: str | None) -> str:
-    return " ".join(b.text for b in content(blocks(page))) if page else ""
+    if not page:
+        return ""
+    made = read(page)
+    of = chosen(made)
+    return " ".join(text for path, text, _ in made.blocks if of[path])
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), column: str = "html") -> DataFrame:
