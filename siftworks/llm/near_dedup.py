@@ -17,9 +17,15 @@ From signatures to classes:
    members makes n - 1 candidates.
 3. Candidates are verified on the whole texts: Jaccard of their shingle sets of at
    least the threshold.
-4. Links form components. Hubs also tie looser neighbourhoods together; members of a
-   neighbourhood outside its largest component are held against all of its members, in
-   blocks, so no link is lost to the choice of hub.
+4. Links form components. What hubs tie together at a lower similarity is a group, and
+   so is each bucket with a member too far from its hub for that. Members of a group
+   outside its largest component are held against all of its members, in blocks.
+
+Of two texts in one bucket, either both are tied to its hub, and so are in one group, or
+the bucket is a group itself. In that group they are in one component, or one of them is
+held against the other. So no link is lost to the choice of hub; what remains is the
+chance that a pair shares no bucket (3e-6 at 0.8) or is ruled out by its signatures (see
+``SIGMAS``), each less above 0.8, and that a shingle's 64-bit hash is another's.
 
 Nodes, links and components stay in the cluster. Defined results: a text of fewer than
 five words is one shingle; texts without words are copies only of equal texts; a null
@@ -46,8 +52,13 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 #: Pairs of at least this share of the threshold tie a neighbourhood together.
 NEIGHBOURHOOD = 0.6
-#: Strays that a task holds, and members that it streams past them.
-STRAY_BLOCK, MEMBER_CHUNK = 1_000, 5_000
+#: Strays that a task holds at most, by rows and by bytes of text, and members that it streams past them.
+STRAY_BLOCK, BLOCK_BYTES, MEMBER_CHUNK = 1_000, 4 << 20, 5_000
+#: Smaller cells than these are made of groups that have few, of so many rows.
+FINE = 128
+#: Signatures that agree on fewer coordinates than so many deviations below the threshold rule a pair out: at 96
+#: coordinates and 0.8, under 58 of them, which a pair at exactly 0.8 has with probability 3e-6.
+SIGMAS = 5
 #: Text bytes whose darts are thrown at once; a dart takes about 100 bytes while it flies.
 SIGNED_BYTES = 2 << 20
 #: Distinct words whose hashes a task remembers before it starts anew.
@@ -191,100 +202,151 @@ def _buckets(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
     return nodes.where("signature is not null").select("node", F.explode(F.array(*keys)).alias("k")).select("k.bucket", "node")
 
 
-def shingle_set(text: str, size: int = WORDS) -> set:
-    words = words_of(text)
-    if len(words) < size:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[i:] for i in range(size)), strict=False))
+class Profile:
+    """The shingles of a text, as sorted distinct hashes, with their weights."""
+
+    def __init__(self, text: str, shingler: Shingler, weighted: bool = False) -> None:
+        self.hash, n = np.unique(shingler.hashes(words_of(text)), return_counts=True)
+        self.weight = n if weighted else None
+        self.total = int(n.sum()) if weighted else len(n)
 
+    def similarity(self, other: Profile) -> float:
+        """Jaccard of both sets, weighted (least over greatest weights) if the profiles are."""
+        if self.weight is None:
+            common = len(np.intersect1d(self.hash, other.hash, assume_unique=True))
+        else:
+            _, i, j = np.intersect1d(self.hash, other.hash, assume_unique=True, return_indices=True)
+            common = int(np.minimum(self.weight[i], other.weight[j]).sum())
+        return common / max(1, self.total + other.total - common)
 
-def similarities(pairs: DataFrame, texts: DataFrame, size: int = WORDS) -> DataFrame:
-    """Jaccard similarity of the shingle sets of each pair (a, b). ``texts``: node, text."""
+
+def similarities(pairs: DataFrame, texts: DataFrame, size: int = WORDS, weighted: bool = False) -> DataFrame:
+    """Jaccard similarity of the shingles of each pair (a, b). ``texts``: node, text."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").sortWithinPartitions("b")
 
     def run(batches):
-        last, last_set = None, set()
+        shingler, last, held = Shingler(size), None, None
         for whole in batches:
             for batch in slices(whole, "text_a"):
                 found = []
                 for b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b")), strict=True):
                     if b != last:
-                        last, last_set = b, shingle_set(tb, size)
-                    found.append(jaccard(shingle_set(ta, size), last_set))
+                        last, held = b, Profile(tb, shingler, weighted)
+                    found.append(Profile(ta, shingler, weighted).similarity(held))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "j"])
 
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, j double")
 
 
-def jaccard(x: set, y: set) -> float:
-    common = len(x & y)
-    return common / max(1, len(x) + len(y) - common)
+KEY = ["kind", "group"]
+CELL = [*KEY, "block", "chunk"]
 
 
-def stray_links(nodes: DataFrame, texts: DataFrame, threshold: float, size: int = WORDS) -> DataFrame:
-    """Links between different components of one neighbourhood that no hub has made.
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Each group's strays against its members, as cells: a block of strays (role 0), then a chunk of members (role 1).
 
-    ``nodes``: node, signature, group (neighbourhood), root (component so far). The
-    members of a group outside its largest component are its strays. Strays, in blocks
-    of bounded size, are a query set against all members, in chunks of bounded size: a
-    task holds one block and streams one chunk. Signatures tell which pairs are worth
-    an exact comparison; a task gives only links that join components, so at most as
-    many as it has strays and components.
+    The members of a group outside its largest component are its strays; groups of one
+    component have no cells. A large group has many cells, each bounded by rows and by
+    the strays' bytes, so that none is one task's work.
     """
-    parts = nodes.groupBy("group", "root").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
-    sizes = sizes.select("group", "main", F.ceil((F.col("n") - F.col("most")) / STRAY_BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / MEMBER_CHUNK).cast("int").alias("chunks"))
-    rows = nodes.join(sizes, "group").join(texts, "node")
+    size = F.octet_length("text") if "text" in rows.columns else F.lit(0)
+    parts = rows.groupBy(*KEY, "root").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    sizes = parts.groupBy(*KEY).agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > top.n")
+    some = lambda n, few, most: F.greatest(F.least(F.ceil(n / FINE), F.lit(few)), F.ceil(n / most))
+    blocks = F.greatest(some(F.col("n") - F.col("top.n"), 4, STRAY_BLOCK), F.ceil((F.col("bytes") - F.col("top.bytes")) / BLOCK_BYTES))
+    sizes = sizes.select(*KEY, F.col("top.root").alias("main"), blocks.cast("int").alias("blocks"), some(F.col("n"), 24, MEMBER_CHUNK).cast("int").alias("chunks"))
+    rows = rows.join(sizes, KEY)
     at = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["group", "block", "chunk", "role", "node", "root", "signature", "text"]
+    columns = [*CELL, "role", "node", "root", "signature", *(["text"] if "text" in rows.columns else [])]
     strays = rows.where("root <> main").withColumns({"role": F.lit(0), "block": at(1, "blocks")}).withColumn("chunk", all_of("chunks"))
     members = rows.withColumns({"role": F.lit(1), "chunk": at(2, "chunks")}).withColumn("block", all_of("blocks"))
-    dealt = strays.select(columns).unionByName(members.select(columns))
-    key = ["group", "block", "chunk"]
-    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "role")
+    return strays.select(columns).unionByName(members.select(columns)).repartition(*CELL).sortWithinPartitions(*CELL, "role")
 
-    def run(batches):
-        now, held, signed, sets, roots, parent = None, [], [], [], None, {}
+
+def stray_links(nodes: DataFrame, texts: DataFrame, threshold: float, size: int = WORDS, weighted: bool = False) -> DataFrame:
+    """Links between different components of one group that no hub has made.
+
+    ``nodes``: kind, group, node, signature, root (component so far). Strays are a query
+    set against all members of their group, in blocks. First the signatures alone are
+    compared: they tell which nodes are worth an exact comparison, and only the texts of
+    those are sent. A task then gives only links that join components, so at most as
+    many as it has strays and components.
+    """
+    def close(signatures: list[bytes], signature: bytes) -> np.ndarray:
+        matrix = np.frombuffer(b"".join(signatures), "<u4").reshape(len(signatures), -1)
+        least = matrix.shape[1] * (threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / matrix.shape[1]))
+        return np.flatnonzero((matrix == np.frombuffer(signature, "<u4")).sum(axis=1) >= least)
+
+    def cells(batches, text=None):
+        """(new cell, rows) of one role at a time."""
+        now = None
+        for whole in batches:
+            for batch in slices(whole, text) if text else [whole]:
+                for row in zip(*(batch.column(c).to_pylist() for c in [*CELL, "role", "node", "root", "signature", *([text] if text else [])]), strict=True):
+                    yield row[:4] != now, row[:2], row[4:]
+                    now = row[:4]
+
+    def worth(batches):
+        held, signed, out = [], [], set()
+        for fresh, key, (role, node, root, signature) in cells(batches):
+            if fresh:
+                held, signed = [], []
+            if role == 0:
+                held.append((node, root))
+                signed.append(signature)
+                continue
+            others = [(key, held[i][0]) for i in (close(signed, signature) if held else []) if held[i][1] != root]
+            if others:
+                out.update(others, [(key, node)])
+            if len(out) > 100_000:
+                yield flagged(out)
+                out = set()
+        yield flagged(out)
+
+    def flagged(out):
+        kinds, groups, found = ([x[0][0] for x in out], [x[0][1] for x in out], [x[1] for x in out])
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(groups, pa.int64()), pa.array(found, pa.int64())], names=[*KEY, "node"])
+
+    def exact(batches):
+        shingler = Shingler(size)
+        held, signed, profiles, parent, out = [], [], [], {}, []
 
         def find(x):
             while parent.setdefault(x, x) != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                out: list[tuple[int, int]] = []
-                values = [batch.column(c).to_pylist() for c in ("group", "block", "chunk", "role", "node", "root", "signature", "text")]
-                for group, block, chunk, role, node, root, signature, text in zip(*values, strict=True):
-                    if (group, block, chunk) != now:
-                        now, held, signed, sets, roots, parent = (group, block, chunk), [], [], [], None, {}
-                    if role == 0:
-                        held.append((node, root))
-                        signed.append(np.frombuffer(signature, "<u4"))
-                        sets.append(text)
-                        continue
-                    if roots is None:
-                        matrix = np.stack(signed) if signed else np.zeros((0, 1), "<u4")
-                        least = matrix.shape[1] * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / matrix.shape[1]))
-                        roots = [r for _, r in held]
-                    if not held:
-                        continue
-                    mine = None
-                    for i in np.flatnonzero((matrix == np.frombuffer(signature, "<u4")).sum(axis=1) >= least):
-                        if held[i][0] == node or find(roots[i]) == find(root):
-                            continue
-                        mine = shingle_set(text, size) if mine is None else mine
-                        if isinstance(sets[i], str):
-                            sets[i] = shingle_set(sets[i], size)
-                        if jaccard(mine, sets[i]) >= threshold - 1e-9:
-                            parent[find(roots[i])] = find(root)
-                            out.append((held[i][0], node))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
+        for fresh, _, (role, node, root, signature, text) in cells(batches, "text"):
+            if fresh:
+                held, signed, profiles, parent = [], [], [], {}
+                if out:
+                    yield linked(out)
+                    out = []
+            if role == 0:
+                held.append((node, root))
+                signed.append(signature)
+                profiles.append(Profile(text, shingler, weighted))
+                continue
+            mine = None
+            for i in close(signed, signature) if held else []:
+                other, its = held[i]
+                if other == node or find(its) == find(root):
+                    continue
+                mine = mine or Profile(text, shingler, weighted)
+                if mine.similarity(profiles[i]) >= threshold - 1e-9:
+                    parent[find(its)] = find(root)
+                    out.append((other, node))
+        yield linked(out)
+
+    def linked(out):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    wanted = cut(_dealt(nodes).mapInArrow(worth, "kind int, group long, node long").distinct())
+    rows = nodes.join(wanted, [*KEY, "node"], "left_semi").join(texts, "node")
+    return _dealt(rows).mapInArrow(exact, "a long, b long")
 
 
 def near_duplicates(
@@ -305,20 +367,26 @@ def near_duplicates(
     live = cut(members.join(shared, "bucket"))
     degree = live.groupBy("node").agg(F.sum("mates").alias("degree"))
     hub = live.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("b"))
-    stars = cut(live.join(hub, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    spokes = live.join(hub, "bucket").where("node <> b")
+    stars = cut(spokes.select(F.col("node").alias("a"), "b").distinct())
 
     needed = nodes.join(live.select("node").distinct(), "node", "left_semi").select("h1", "h2", "first_id", "node")
     # The texts of candidates are read several times, so they are written once and removed at the end.
     place = shared_path(docs.sparkSession, "near-dedup-texts")
     texts = written(_texts_of(docs, needed), "", place)
-    near = cut(similarities(stars, texts, size))
+    near = cut(similarities(stars, texts, size, weighted))
     links = near.where(F.col("j") >= threshold - 1e-9).select("a", "b")
     roots = cut(components(links))
 
-    # Neighbourhoods: what hubs tie together at a lower similarity. Pairs that the hubs missed lie inside one.
-    groups = components(near.where(F.col("j") >= NEIGHBOURHOOD * threshold).select("a", "b")).withColumnRenamed("root", "group")
-    placed = groups.join(nodes.select("node", "signature"), "node").join(roots, "node", "left")
-    more = cut(stray_links(placed.withColumn("root", F.coalesce("root", "node")), texts, threshold, size))
+    # Groups in which pairs that the hubs missed may lie: what hubs tie together, and buckets with a foreign hub.
+    bound = NEIGHBOURHOOD * threshold
+    tied = components(near.where(F.col("j") >= bound).select("a", "b")).select(F.lit(0).alias("kind"), F.col("root").alias("group"), "node")
+    far = near.where(F.col("j") < bound).select(F.col("a").alias("node"), "b")
+    foreign = spokes.where("mates > 2").join(far, ["node", "b"]).select("bucket").distinct()
+    apart = live.join(foreign, "bucket", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("group"), "node")
+    placed = tied.unionByName(apart).join(nodes.select("node", "signature"), "node").join(roots, "node", "left")
+    placed = cut(placed.withColumn("root", F.coalesce("root", "node")))
+    more = cut(stray_links(placed, texts, threshold, size, weighted))
     discard(docs.sparkSession, place)
     if not more.isEmpty():
         roots = cut(components(links.unionByName(more)))
@@ -335,7 +403,9 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The rows of least doc_id of each class, in full; of repeated rows one stays, null texts all stay.
+    """The rows of least doc_id of each class, in full; null texts all stay.
+
+    Of several rows of that id and of equal words the least stays, by the columns in ``keep`` in order.
 
     Rows find their class by doc_id and content key, so two texts under one doc_id are told apart.
     """
@@ -348,7 +418,7 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     match = rows.doc_id.eqNullSafe(stay.class_id) & (rows.h1 == stay["_h1"]) & (rows.h2 == stay["_h2"])
     first = rows.join(stay, match)
     single = first.where("_rows = 1").select(*keep)
-    repeated = first.where("_rows > 1").dropDuplicates(["class_id", "_h1", "_h2"]).select(*keep)
+    repeated = first.where("_rows > 1").groupBy("class_id", "_h1", "_h2").agg(F.min(F.struct(*keep)).alias("_row")).select("_row.*")
     return single.unionByName(repeated).unionByName(rows.where("h1 is null").select(*keep))
 
 

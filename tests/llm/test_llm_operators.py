@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 from siftworks.llm import decontaminate, html_extract, language_id, near_dedup, packing, quality_model, quality_rules, secret_scan, sharding, toxicity
 from siftworks.llm.graph import components
 
+from llm_plain import shingle_set
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _part int, node string, h1 string, score string"
 ODD = [None, "", " ", "a", "!!!", "x" * 50_000, "word " * 3_000, "a\x00b\n\n", "é中文😀"]
 
@@ -40,7 +45,7 @@ def empty(spark):
 
 
 def brute_classes(texts, least=0.8):
-    found = [near_dedup.shingle_set(t) if t else set() for t in texts]
+    found = [shingle_set(t) for t in texts]
     parent = list(range(len(texts)))
 
     def find(x):
@@ -93,6 +98,79 @@ def test_strays_are_linked_within_their_neighbourhood(spark):
     assert got == dict(enumerate(brute_classes(texts)))
 
 
+def test_no_link_is_lost_to_a_foreign_hub(spark):
+    """Texts that share a passage of half their words have each other's hubs; the pairs among them are found all the same."""
+    draw = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    passage = prose(draw, 110, vocabulary)
+    texts = [f"{passage} {prose(draw, 70, vocabulary)}" for _ in range(400)]
+    for i in range(40):
+        words = texts[i].split()
+        words[140] = f"y{i}"
+        texts.append(" ".join(words[:-12]))  # J of about 0.82
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    want = dict(enumerate(brute_classes(texts)))
+    assert sum(i != c for i, c in want.items()) == 40
+    assert got == want
+
+
+def test_a_large_group_of_strays(spark):
+    """More strays and members than one cell holds, none near the hub's component."""
+    draw = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = prose(draw, 200, vocabulary).split()
+    texts = []
+    for i in range(700):
+        words = list(base)
+        for at in draw.sample(range(200), 7 + i % 3):
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_classes(texts)))
+
+
+def test_weighted_near_duplicates(spark):
+    """With weights, repetition counts: sets of equal shingles are apart if their counts are."""
+    draw = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(500)]
+    a, b = prose(draw, 60, vocabulary), prose(draw, 60, vocabulary)
+    texts = [f"{a} {b} {a} {b}", f"{a} {b} {a} {b} {a} {b} {a} {b} {a} {b}", f"{a} {b} {a} {b} last", prose(draw, 90, vocabulary)]
+    classes = lambda weighted: [r["class_id"] for r in near_dedup.near_duplicates(documents(spark, texts), weighted=weighted).orderBy("doc_id").collect()]
+    assert classes(False) == [0, 0, 0, 3] and classes(True) == [0, 1, 0, 3]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+def test_recall_at_the_threshold(spark):
+    """All pairs of all documents at 0.8 or more, by an inverted index, against the classes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    sets = {i: shingle_set(t) for i, t in rows.items()}
+    holders, common = {}, Counter()
+    for i, found in sets.items():
+        for x in found:
+            holders.setdefault(x, []).append(i)
+    for ids in holders.values():
+        common.update(combinations(ids, 2))
+    links = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert len(links) > 20 and np.mean([got[a] == got[b] for a, b in links]) >= 0.999
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    same = {}
+    for i, t in rows.items():
+        if t is not None:
+            links.append((i, same.setdefault(t, i)))
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in rows}  # nothing else is in one class
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()

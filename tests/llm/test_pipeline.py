@@ -7,10 +7,12 @@ import os
 import pytest
 
 import corpus_pipeline
-from siftworks.llm import decontaminate, near_dedup, secret_scan
+from siftworks.llm import decontaminate, secret_scan
 from siftworks.llm.common import table, written
 from siftworks.llm.queries import ORACLE_SQL, QUERIES
 
+from llm_plain import jaccard, shingle_set
+
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 
@@ -28,8 +30,8 @@ def test_stages(spark):
             assert sorted(docs.columns) == sorted(corpus_pipeline.COLUMNS)
             assert {r["doc_id"] for r in after} <= set(before)
         if name == "near_dedup":
-            sets = [near_dedup.shingle_set(r["text"]) for r in after]
-            assert all(near_dedup.jaccard(sets[a], sets[b]) < 0.8 for a in range(len(sets)) for b in range(a) if sets[a] and sets[b])
+            sets = [shingle_set(r["text"]) for r in after]
+            assert all(jaccard(sets[a], sets[b]) < 0.8 for a in range(len(sets)) for b in range(a) if sets[a] and sets[b])
         if name == "decontamination":
             hit = {d for d, t in before.items() if t and (w := decontaminate.words_of(t)) and len(block.occurrences(block.numbers(w))[0])}
             assert {r["doc_id"] for r in after} == set(before) - hit
