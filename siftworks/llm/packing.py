@@ -7,11 +7,18 @@ pieces that fill the widened gap more tightly, and the finished pattern of lengt
 is repeated as often as the histogram allows. Pieces then take their places by
 their rank among pieces of equal length.
 
-Ranks come from counts per (length, part), so a length that a third of all rows
-share is numbered by many tasks.
-
-Defined results: null and empty texts are the closing id alone (length 1); repeated
-rows are packed one by one; an empty table gives no rows; extra columns are not read.
+Ranks come from counts per (length, part), with as many parts as the length has rows
+for, so a length that a third of all rows share is numbered by many tasks.
+
+What the driver sends out is the patterns. Each of them leaves some length with less
+than half of its rest, so a length k ends at most log2(4096 / k) + 2 patterns, and a bin
+has at most 90 distinct lengths: 14,000 patterns and 41 MB at the very most, whatever the
+rows; 0.3 to 1.5 MB as measured. Counts per part are one for each length and each
+million rows.
+
+Defined results: null and empty texts are the closing id alone (length 1); strings of
+special tokens in a text are those tokens, as the tokenizer has it; repeated rows are
+packed one by one; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +26,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import pairwise
+from functools import lru_cache
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +40,10 @@ from .common import cut, map_texts, table
 CAPACITY = 4096
 CLOSING = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces of one length are numbered in so many parts.
-PARTS = 64
-#: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 200_000
+#: Rows of one length that one part numbers.
+PART_ROWS = 1_000_000
+#: Distinct words whose ids a process remembers in each of two generations.
+REMEMBERED = 150_000
 
 # Characters whose handling is the same in every version of Unicode: texts made of
 # these are split here, all others by the tokenizer itself.
@@ -58,8 +66,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -76,12 +85,21 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in pairwise(ends)]
 
+    def splits(self, text: str) -> bool:
+        """Whether the text is split here: known characters, and no special token in it."""
+        return bool(_PLAIN.match(text)) and not any(t in text for t in self.special)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [_SPLIT.findall(t.lower()) if t and _PLAIN.match(t) else None for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = list({w for words in split if words for w in words if w not in known})
+        split = [_SPLIT.findall(t.lower()) if t and self.splits(t) else None for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known  # words that go on occurring come back from the older generation
+        known, older = self.known, self.older
+        fresh = []
+        for w in {w for words in split if words for w in words if w not in known}:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            else:
+                fresh.append(w)
         for i in range(0, len(fresh), 1_000):
             part = fresh[i : i + 1_000]
             known.update(zip(part, self.words(part), strict=True))
@@ -89,11 +107,17 @@ class Encoder:
         return [b"" if not t else b"".join(map(get, words)) if words is not None else self.whole([t])[0] for t, words in zip(texts, split, strict=True)]
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for a worker process, so that its tasks share the vocabulary and the words it knows."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each piece of each document: its place, length and crc32; only documents over ``capacity`` are cut."""
 
     def make():
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         closing = np.array([CLOSING], "<u4").tobytes()
 
         def call(texts, _):
@@ -167,50 +191,52 @@ def _best_pair(own: np.ndarray, live: np.ndarray, small: int, room: int) -> list
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Pieces with their sequence and their offset in it. ``found`` is read three times: keep it in a table."""
-    part = F.pmod(F.xxhash64(*keep, "piece", "ids_crc32"), F.lit(PARTS)).cast("int")
-    dealt = found.withColumn("_part", part)
-    cells = {(r[0], r[1]): r[2] for r in dealt.groupBy("length", "_part").count().collect()}
-    count: dict[int, int] = {}
-    before = []  # of each (length, part): pieces of that length in earlier parts
-    for (length, p), n in sorted(cells.items()):
-        before.append((length, p, count.get(length, 0)))
-        count[length] = count.get(length, 0) + n
-    # Each place in a pattern takes a run of ranks of its length: first rank, first sequence, offset.
-    runs: dict[int, list[tuple[int, int, int]]] = {}
+    """Pieces with their sequence and their offset in it; they (no texts) are kept in the shared folder meanwhile."""
+    names = [*keep, "piece", "start", "length", "ids_crc32"]
+    # Rows get a number of their own before they are kept: it deals equal rows over the parts, and stays as it is.
+    found = cut(found.select(*names, F.monotonically_increasing_id().alias("_row")))
+    count = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # at most one row for each length
+    parts = found.sparkSession.createDataFrame([(n, -(-c // PART_ROWS)) for n, c in count.items()], "length long, _parts int")
+    dealt = found.join(F.broadcast(parts), "length").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int"))
+    before: dict[int, np.ndarray] = {}  # of each part of a length: pieces of that length in earlier parts
+    for r in dealt.groupBy("length", "_part").count().collect():
+        before.setdefault(r[0], np.zeros(-(-count[r[0]] // PART_ROWS) + 1, np.int64))[r[1] + 1] = r[2]
+    before = {n: x.cumsum() for n, x in before.items()}
+    # Each length of a pattern takes a run of ranks: first rank, first sequence, offset, uses of the pattern.
+    runs: dict[int, list[tuple[int, int, int, int]]] = {}
     used: dict[int, int] = {}
     sequence = 0
     for lengths, times in best_two_fit(count, capacity):
         offset = 0
-        for length in lengths:
-            runs.setdefault(length, []).append((used.get(length, 0), sequence, offset))
-            used[length] = used.get(length, 0) + times
-            offset += length
+        for length, same in groupby(lengths):
+            n = len(list(same))
+            runs.setdefault(length, []).append((used.get(length, 0), sequence, offset, times))
+            used[length] = used.get(length, 0) + n * times
+            offset += n * length
         sequence += times
-    spark = found.sparkSession
     table_of = {k: tuple(np.array(x, np.int64) for x in zip(*v, strict=True)) for k, v in runs.items()}
-    shared = spark.sparkContext.broadcast(table_of)  # a few entries for each length: bounded by the capacity, not by the rows
-    starts = F.broadcast(spark.createDataFrame(before, "length long, _part int, _before long"))
-    order = Window.partitionBy("length", "_part").orderBy(*keep, "piece", "ids_crc32")
-    ranked = dealt.withColumn("_n", F.row_number().over(order)).join(starts, ["length", "_part"])
-    ranked = ranked.select(*keep, "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_n") - 1).alias("_rank"))
-    names = [*keep, "piece", "start", "length", "ids_crc32"]
+    shared = found.sparkSession.sparkContext.broadcast((table_of, before))
+    order = Window.partitionBy("length", "_part").orderBy(*keep, "piece", "ids_crc32", "_row")
+    ranked = dealt.withColumn("_n", F.row_number().over(order)).select(*names, "_part", "_n")
 
     def run(batches):
-        places = shared.value
+        places, before = shared.value
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
-            seq, off = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+            length, part, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_part", "_n"))
+            seq, off = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
             order = np.argsort(length, kind="stable")
             edges = [0, *(np.flatnonzero(np.diff(length[order])) + 1).tolist(), len(order)]
             for a, b in pairwise(edges):
                 if a == b:
                     continue
                 rows = order[a:b]
-                first, sequence, offset = places[int(length[rows[0]])]
-                i = np.searchsorted(first, rank[rows], "right") - 1
-                seq[rows] = sequence[i] + rank[rows] - first[i]
-                off[rows] = offset[i]
+                own = int(length[rows[0]])
+                first, sequence, offset, times = places[own]
+                rank = before[own][part[rows]] + n[rows] - 1
+                i = np.searchsorted(first, rank, "right") - 1
+                nth, use = np.divmod(rank - first[i], times[i])
+                seq[rows] = sequence[i] + use
+                off[rows] = offset[i] + nth * own
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(*names).schema)
@@ -224,8 +250,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Tokenizes, cuts and packs; the pieces (no texts) are kept in the shared folder meanwhile."""
-    return pack(cut(pieces(docs, path or tokenizer_path(), capacity, keep)), capacity, keep)
+    """Tokenizes, cuts and packs."""
+    return pack(pieces(docs, path or tokenizer_path(), capacity, keep), capacity, keep)
 
 
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import cut, table
 
 #: Slots of a map. The map is broadcast, so this is also the bound of what is broadcast.
 SLOTS = 4096
-#: A slot's rows are numbered in so many parts, so that one hot slot is not one task's work.
-PARTS = 8
+#: Rows of one slot that one part numbers, so that one hot slot is not one task's work.
+PART_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -150,31 +150,31 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
 def assign(records: DataFrame, slot_map: SlotMap) -> DataFrame:
     """Records with their shard and a gapless place (``slot``) in it, from 0.
 
-    Places come from counts per (slot, part), which the driver holds (a fixed
-    number of rows), plus the row's number in its part; no shard is sorted as a whole.
+    Places come from counts per (slot, part), one for each slot and each million rows,
+    plus the row's number in its part; no shard is sorted as a whole. Rows get a number
+    of their own before they are kept in the shared folder, which deals equal rows over
+    the parts.
     """
-    spark = records.sparkSession
-    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "text_crc32"), F.lit(PARTS)).cast("int")
-    dealt = records.withColumn("_part", part)
+    spark, names = records.sparkSession, records.columns
+    records = cut(records.withColumn("_row", F.monotonically_increasing_id()))
+    sizes = {r[0]: -(-r[1] // PART_ROWS) for r in records.groupBy("virtual_slot").count().collect()}
+    parts = spark.createDataFrame(sorted(sizes.items()), "virtual_slot int, _parts int")
+    dealt = records.join(F.broadcast(parts), "virtual_slot").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int"))
     counts = {(r[0], r[1]): r[2] for r in dealt.groupBy("virtual_slot", "_part").count().collect()}
     place, rows = [0] * slot_map.shards, []
     for slot, shard in enumerate(slot_map.owner):
-        for p in range(PARTS):
+        for p in range(sizes.get(slot, 0)):
             rows.append((slot, p, shard, place[shard]))
             place[shard] += counts.get((slot, p), 0)
     start = spark.createDataFrame(rows, "virtual_slot int, _part int, shard int, _start long")
-    order = Window.partitionBy("virtual_slot", "_part").orderBy("doc_id", "text_crc32", "size")
-    return (
-        dealt.withColumn("_n", F.row_number().over(order))
-        .join(F.broadcast(start), ["virtual_slot", "_part"])
-        .withColumn("slot", F.col("_start") + F.col("_n") - 1)
-        .drop("_part", "_n", "_start")
-    )
+    order = Window.partitionBy("virtual_slot", "_part").orderBy("doc_id", "text_crc32", "size", "_row")
+    placed = dealt.withColumn("_n", F.row_number().over(order)).join(F.broadcast(start), ["virtual_slot", "_part"])
+    return placed.select(*names, "shard", (F.col("_start") + F.col("_n") - 1).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
     """All records in shards of nearly equal bytes, and the map that says so (version 2, edited from the even one)."""
-    records = measured(docs, slots=slots)
+    records = cut(measured(docs, slots=slots))
     load = {r["virtual_slot"]: r["bytes"] for r in slot_loads(records).collect()}
     slot_map = rebalanced(even_map(shards, slots), load)
     return assign(records, slot_map), slot_map

@@ -240,16 +240,18 @@ def test_decontamination_odd(spark, odd, empty):
     assert kept.columns[:3] == ["doc_id", "text", "lang"] and kept.count() == odd.count()
 
 
-def test_packing(spark, odd, empty):
+@pytest.mark.parametrize("part_rows", [1_000_000, 7])
+def test_packing(spark, odd, empty, monkeypatch, part_rows):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "PART_ROWS", part_rows)
     draw = random.Random(13)
-    vocabulary = ["don't", "İstanbul", "naïve", "x1y2", "!!'s", "12½", "ΣΑΣ", "中文字", "<|endoftext|>", "we've'll", "été", "\x1c", "plain", "words"]
-    texts = [prose(draw, draw.randint(0, 400), vocabulary) for _ in range(60)] + ["same words here"] * 40 + ["long " * 10_000]
+    vocabulary = ["don't", "İstanbul", "naïve", "<|startoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|>b", "x1y2", "!!'s", "12½", "ΣΑΣ", "中文字", "<|endoftext|>", "we've'll", "été", "\x1c", "plain", "words"]
+    plain = [w for w in vocabulary if "oftext|>" not in w]
+    texts = [prose(draw, draw.randint(0, 400), plain if i % 2 else vocabulary) for i in range(60)] + ["same words here"] * 40 + ["long " * 10_000]
     docs = documents(spark, texts)
     rows = packing.pack_documents(docs).collect()
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     for i, t in enumerate(texts):
         ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
         mine = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i)
@@ -278,8 +280,9 @@ def test_secret_scan(spark, odd, empty):
     assert secret_scan.scan(odd).count() == odd.count() and secret_scan.scan(empty).count() == 0
 
 
-def test_sharding(spark, odd, empty, tmp_path):
+def test_sharding(spark, odd, empty, tmp_path, monkeypatch):
     texts = ["x" * n for n in random.Random(14).choices(range(500), k=400)]
+    monkeypatch.setattr(sharding, "PART_ROWS", 3)
     placed, slot_map = sharding.shard_documents(documents(spark, texts), 8)
     rows = placed.collect()
     assert len(rows) == 400 and all(r["size"] == len(texts[r["doc_id"]]) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in rows)
@@ -292,6 +295,8 @@ def test_sharding(spark, odd, empty, tmp_path):
     sharding.save_map(spark, slot_map, path)
     assert sharding.load_map(spark, path) == slot_map and sharding.load_map(spark, path, 1) == sharding.even_map(8)
     placed, _ = sharding.shard_documents(odd, 8)
+    hot, _ = sharding.shard_documents(documents(spark, ["same"] * 50).withColumn("doc_id", F.lit(None).cast("long")), 8)
+    assert sorted(r["slot"] for r in hot.collect()) == list(range(50)) and hot.select("shard").distinct().count() == 1
     assert placed.count() == odd.count() and placed.where("doc_id = 100").select("shard", "slot").distinct().count() == 2
     assert sharding.shard_documents(empty, 8)[0].count() == 0
 
