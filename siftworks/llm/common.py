@@ -86,8 +86,11 @@ def map_texts(
     takes the texts and the batch and returns a list or array for each name in
     ``columns`` (DDL), as long as the texts. A returned key ``"@"`` holds, for
     each output row, the input row it belongs to; without it rows map one to one.
-    ``also`` names further columns that the batch function reads.
+    ``also`` names further columns that the batch function reads. A made column takes the
+    place of a kept one of its name.
     """
+    made_names = {f.name for f in _parse_datatype_string(columns).fields}
+    keep = tuple(c for c in keep if c not in made_names)
     passed = [df.schema[c] for c in keep]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in passed), columns])
     fields = _parse_datatype_string(columns).fields

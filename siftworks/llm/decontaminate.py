@@ -28,6 +28,8 @@ from .common import map_texts, table, words_of
 WINDOW = 10
 #: Words of a shingle. Three word numbers under 2**21 fit one 64-bit key exactly.
 SHINGLE = 3
+#: Columns of the result and those used inside; a kept column of such a name gives way.
+MADE = ("n_words", "n_hit", "hit_ranges", "items", "_hits", "_items", "_h", "_i", "_t")
 #: Words of the items in one block; a block is what is broadcast, about 100 bytes a word.
 BLOCK_WORDS = 400_000
 
@@ -42,8 +44,6 @@ class Block:
             ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words)
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
                 owners.setdefault(ids[i : i + window], set()).add(item)
-        if len(self.number) >= 1 << 21:
-            raise ValueError("a block of items has too many words")
         self.windows = sorted(owners)
         self.owners = [sorted(owners[w]) for w in self.windows]
         self.length = np.array([len(w) for w in self.windows], np.int64)
@@ -145,18 +145,25 @@ def _counted(docs: DataFrame, block: Block) -> dict[int, int]:
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW):
-    """The items in blocks; one block is in the driver's memory at a time."""
+    """The items in blocks; one block is in the driver's memory at a time.
+
+    An item of more words than a block has goes in overlapping parts: each of its windows is in one of them.
+    """
+    block_words = min(block_words, (1 << 21) - 1 - window)  # so that word numbers fit a shingle's key
     held, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         words = words_of(row["text"])
         if not words:
             continue
         item = "null" if row["item_id"] is None else str(row["item_id"])
-        if held and size + len(words) > block_words:
-            yield Block(held, window)
-            held, size = [], 0
-        held.append((item, words))
-        size += len(words)
+        step = max(1, block_words - window + 1)
+        for at in range(0, max(1, len(words) - window + 1), step):
+            part = words[at : at + step + window - 1]
+            if held and size + len(part) > block_words:
+                yield Block(held, window)
+                held, size = [], 0
+            held.append((item, part))
+            size += len(part)
     if held:
         yield Block(held, window)
 
@@ -196,6 +203,7 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """``keep`` of every document, with its words, hit words as ranges, and the ids of the items found in it."""
+    keep = tuple(c for c in keep if c not in MADE)
     docs = docs.select(*dict.fromkeys([*keep, "text"]))
     found = docs.withColumns({"_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
     carried = tuple(c for c in keep if c != "text")

@@ -5,14 +5,17 @@ into the longest phrases that a language's automaton accepts; phrases times the
 bits of a pointer into the reference, per character, estimate the cross entropy.
 The language with the least wins.
 
-All texts of a batch are parsed in step: they are cut into equal blocks (a phrase
-ends where a block ends, for every language alike), and one numpy operation moves all
-blocks by one character. Every character of every text is parsed.
+All texts of a batch are parsed in step: they are cut into equal blocks, and one numpy
+operation moves all blocks by one character. A block's parse begins at its first
+character, and is then begun anew where the block before it really ends its last phrase,
+until both parses meet, as they soon do. So the phrases are those of one parse of the
+whole text, whatever the blocks.
 
 Defined results: a null text and a text without letters are ``und`` with score 0;
 so is every text when nothing can be learned; on equal entropy the least language
-name wins; rows of null language or null id teach nothing; repeated rows get equal
-results; extra columns are not read.
+name wins; rows of null language or null id teach nothing; of several texts of one id
+and language the least teaches; repeated rows get equal results; extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -25,18 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fold, map_texts, table
+from .common import cut, fold, map_texts, table
 
-#: The sample that a language is learned from: documents of least hash, and characters in all.
-DOCUMENTS, CHARACTERS = 128, 40_000
-#: Most characters from one document; they start at a place chosen by hash.
-PER_DOCUMENT = 2_048
-#: Characters of a block.
+#: The bounds of the labelled sample: languages of most documents, documents of least hash of each, characters of a
+#: language in all, and characters from one document, which start at a place chosen by hash.
+LANGUAGES, DOCUMENTS, CHARACTERS, PER_DOCUMENT = 1_000, 128, 40_000, 2_048
+#: Characters of a block. No result depends on it.
 BLOCK = 1_024
 #: Text bytes that are parsed in step; fewer would leave numpy little to do at once.
 PARSED_BYTES = 8 << 20
-#: Chosen ids are broadcast only up to so many languages.
-BROADCAST_LANGUAGES = 500
 
 
 def normalised(text: str) -> np.ndarray:
@@ -120,19 +120,63 @@ class Automaton:
         return np.where(self.letters[at] == codes, at, self.width - 1).astype(np.int32)
 
     def phrases(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Phrases of each block ``codes[begin:end]``; blocks are in order of falling length."""
+        """Phrases of each text ``codes[begin:end]``; texts are in order and adjoin."""
         columns = self.columns(codes)
-        table, count = self.table, np.zeros(len(begin), np.int32)
-        state = np.zeros(len(begin), np.int32)
-        size = end - begin
-        for i in range(int(size[0]) if len(size) else 0):
-            n = int(np.searchsorted(-size, -i, "left"))  # blocks longer than i
-            c = columns[begin[:n] + i]
-            following = table[state[:n] + c]
+        marks = np.zeros(len(codes) + 1, bool)  # where a phrase begins, by the parse so far
+        blocks = -(-(end - begin) // BLOCK)
+        text = np.repeat(np.arange(len(begin)), blocks)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        first = begin[text] + BLOCK * nth
+        last = np.minimum(first + BLOCK, end[text])
+        leaves = self._parsed(columns, marks, first, last, end[text])
+        later = np.flatnonzero(nth > 0)
+        while True:
+            enters = leaves[later - 1]
+            # Blocks whose parse doesn't begin where the block before ends its last phrase; a phrase may span blocks.
+            spanned = enters >= last[later]
+            leave = np.where(spanned, enters, leaves[later])
+            wrong = ~spanned & ~marks[enters]
+            stale = spanned | wrong | (enters > first[later])
+            for k, e in zip(later[stale], np.minimum(enters, last[later])[stale], strict=True):
+                marks[first[k] : e] = False
+            again = later[wrong]
+            if len(again):
+                leave[wrong] = self._parsed(columns, marks, enters[wrong], last[again], end[text[again]], leaves[again])
+            if (leave == leaves[later]).all():
+                break
+            leaves[later] = leave
+        counted = np.concatenate([[0], np.cumsum(marks[:-1])])
+        return counted[end] - counted[begin]
+
+    def _parsed(self, columns, marks, at, last, end, left=None) -> np.ndarray:
+        """Marks the phrases of blocks parsed from ``at`` on; returns where the first phrase past ``last`` begins (at most
+        the text's end). With ``left``, the ends of an earlier parse, a parse stops where it meets that one."""
+        table, out = self.table, np.array(end, np.int64)
+        lane, pos, state = np.arange(len(at)), at.astype(np.int64), np.zeros(len(at), np.int32)
+        while len(lane):
+            live = pos < end
+            if not live.all():
+                lane, pos, state, last, end = (x[live] for x in (lane, pos, state, last, end))
+            c = columns[pos]
+            following = table[state + c]
             missed = following == 0
-            count[:n] += missed | (state[:n] == 0)  # a phrase begins; an unknown letter is one of its own
-            state[:n] = np.where(missed, table[c], following)
-        return count
+            fresh = missed | (state == 0)  # a phrase begins; an unknown letter is one of its own
+            stop = fresh & (pos >= last)
+            out[lane[stop]] = pos[stop]
+            if left is not None:
+                met = fresh & ~stop & marks[pos]
+                out[lane[met]] = left[lane[met]]
+                stop |= met
+                marks[pos[~fresh & (pos < last)]] = False
+            state = np.where(missed, table[c], following)
+            if stop.any():
+                marks[pos[fresh & ~stop]] = True
+                go = ~stop
+                lane, pos, state, last, end = (x[go] for x in (lane, pos, state, last, end))
+            else:
+                marks[pos[fresh]] = True
+            pos = pos + 1
+        return out
 
 
 @lru_cache(1)
@@ -149,13 +193,7 @@ def parse(texts: list[str | None], automata: list[tuple[str, Automaton]]) -> tup
         return names, scores
     flat = np.concatenate(codes)
     first = np.cumsum(length) - length
-    blocks = -(-length // BLOCK)
-    owner = np.repeat(np.arange(len(texts)), blocks)
-    begin = first[owner] + BLOCK * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-    end = np.minimum(begin + BLOCK, (first + length)[owner])
-    order = np.argsort(begin - end, kind="stable")
-    begin, end, owner = begin[order], end[order], owner[order]
-    bits = np.stack([np.log2(a.size + 2) * np.bincount(owner, a.phrases(flat, begin, end), len(texts)) for _, a in automata], axis=1)
+    bits = np.stack([np.log2(a.size + 2) * a.phrases(flat, first, first + length) for _, a in automata], axis=1)
     best = bits.argmin(axis=1)  # names are in order, so the least wins a tie
     # Chance of the best language if each bit of difference counted a quarter, as phrases overlap.
     chance = 1 / np.exp2(-(bits - bits.min(axis=1, keepdims=True)) / 4).sum(axis=1)
@@ -165,26 +203,24 @@ def parse(texts: list[str | None], automata: list[tuple[str, Automaton]]) -> tup
 
 
 def learn(docs: DataFrame, parts: int = 5, held: int = 0) -> tuple[tuple[str, tuple[str, ...]], ...]:
-    """Sample texts of each language from labelled rows outside the held-out fold."""
+    """Sample texts of each language from labelled rows outside the held-out fold; at most the sample's bounds come to the driver."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null").where(fold("doc_id", parts) != held)
+    ids = rows.select("lang", "doc_id").distinct()
+    langs = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCUMENTS)
-    chosen = chosen.select("doc_id", "lang", "n").persist()
-    few = chosen.select("lang").distinct().count() <= BROADCAST_LANGUAGES
-    ids = chosen.select("doc_id").distinct()
-    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(ids) if few else ids, "doc_id")
+    chosen = ids.join(F.broadcast(langs), "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCUMENTS)
+    chosen = cut(chosen.select("doc_id", "lang"))  # at most LANGUAGES times DOCUMENTS rows
     room = F.greatest(F.length("text") - PER_DOCUMENT, F.lit(0)) + 1
     place = 1 + F.pmod(F.xxhash64("doc_id", F.lit(4)), room.cast("long")).cast("int")
-    part = F.col("text").substr(place, F.lit(PER_DOCUMENT))
+    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    once = texts.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # repeats are combined before the exchange
     found: dict[str, list[tuple[int, str]]] = {}
-    for r in texts.select("lang", F.xxhash64("doc_id", F.lit(3)).alias("h"), part.alias("t")).collect():
+    for r in once.select("lang", F.xxhash64("doc_id", F.lit(3)).alias("h"), F.col("text").substr(place, F.lit(PER_DOCUMENT)).alias("t")).collect():
         found.setdefault(r["lang"], []).append((r["h"], r["t"]))
-    chosen.unpersist()
     out = []
     for lang, held_texts in sorted(found.items()):
-        held_texts = sorted(held_texts)[:DOCUMENTS]
         each = max(1, CHARACTERS // len(held_texts))
-        kept = tuple(t[:each] for _, t in held_texts if any(c.isalpha() for c in t[:each]))
+        kept = tuple(t[:each] for _, t in sorted(held_texts) if any(c.isalpha() for c in t[:each]))
         if kept:
             out.append((lang, kept))
     return tuple(out)

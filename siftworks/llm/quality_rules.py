@@ -4,19 +4,25 @@ A document's histogram of character classes and its histogram over a language's
 common words are compared with that language's references by Jensen-Shannon distance.
 The references are averages over all documents that pass the base rules: characters by
 class, and the words that most documents of the language use. A document is rejected if
-it is too far from its reference and long enough to tell.
+it is too far from its reference and long enough to tell. What chance alone makes of a
+text of its length, and of a reference of that many words, is added to the distance
+allowed; a language's character classes are averaged with those of all documents, which
+weigh as much as ten of its own. So a language of few documents has a reference that
+tells little and rejects little, at every size by the same rule.
 
 Defined results: a null text has no words and fails the base rules; a document without
-a language is held against all references and the nearest counts; so are the character
-classes of one whose language has too few documents for a reference, but its words are
-not held against those of other languages; without any reference the base rules decide alone; repeated rows get
-equal results; extra columns are not read.
+a language is held against all languages' references and the nearest counts; one whose
+language has no passing document, or is beyond the languages that have references of
+their own, is held against the character classes of all documents alone; without any
+reference the base rules decide alone; repeated rows get equal results; extra columns
+are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_texts, table, words_of
+from .common import cut, map_texts, slices, table, words_of
 from .text_stats import CLASSES, SYMBOLS, class_counts, duplicate_lines, repeated_words, split_words
 
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent
 #: Common words of a reference.
 COMMON = 64
-#: Documents that a language needs for a reference of its own.
-LEAST_DOCUMENTS = 10
+#: Documents of a language that the mean of all documents weighs as much as.
+POOLED = 10
+#: Languages of most documents that have references of their own; this bounds what is broadcast (1,000: 6 MB).
+LANGUAGES = 1_000
 #: A document is rejected if a Jensen-Shannon distance (base 2, 0 to 1) is over this and what
 #: chance alone makes of a text of its length.
 FAR_CLASSES, FAR_WORDS = 0.25, 0.10
@@ -54,6 +62,16 @@ def by_chance(cells: int, draws: int) -> float:
     return math.sqrt(cells / (8 * math.log(2) * draws))
 
 
+@dataclass
+class Reference:
+    """Mean share of each character class, common words, their mean shares (rest last), and words it was made from."""
+
+    classes: np.ndarray
+    words: list[bytes]
+    shares: np.ndarray
+    size: int
+
+
 def base(text: str | None) -> tuple[int, int, int, int, int, bool]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     if not text:
@@ -61,45 +79,58 @@ def base(text: str | None) -> tuple[int, int, int, int, int, bool]:
     words = split_words(text)
     repeated = repeated_words(words)
     symbols = sum(map(text.count, SYMBOLS))
-    failed = len(words) < LEAST_WORDS or 100 * repeated > MOST_REPEATED * len(words)
-    return len(words), sum(map(len, words)), symbols, duplicate_lines(text), repeated, failed
+    return len(words), sum(map(len, words)), symbols, duplicate_lines(text), repeated, fails(words, repeated)
+
+
+def fails(words: list[str], repeated: int) -> bool:
+    return len(words) < LEAST_WORDS or 100 * repeated > MOST_REPEATED * len(words)
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """Of each language: mean share of each character class, its common words, and their mean shares (rest last)."""
+def references(docs: DataFrame) -> dict[str | None, Reference]:
+    """A reference for each language, and one of all documents' character classes under None (no words)."""
+    classes_n = len(CLASSES)
 
     def run(batches):
-        total: dict[tuple[str, bytes], list[float]] = {}
+        total: dict[str, dict[bytes, list[float]]] = {}
         classes: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if not text or lang is None or base(text)[-1]:
-                    continue
-                found = class_counts(text) / len(text)
-                held = classes.get(lang)
-                if held is None:
-                    held = classes[lang] = np.zeros(len(CLASSES) + 1)
-                held[:-1] += found
-                held[-1] += 1
-                words = words_of(text)
-                for w, n in Counter(words).items():
-                    row = total.get((lang, w))
-                    if row is None:
-                        total[lang, w] = [1, n / len(words)]
-                    else:
-                        row[0] += 1
-                        row[1] += n / len(words)
-            if len(total) > 300_000:  # partial sums may go out at any time
-                yield sums(total, {})
-                total = {}
+        size = 0
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    if not text or lang is None:
+                        continue
+                    split = split_words(text)
+                    if len(split) < LEAST_WORDS or fails(split, repeated_words(split)):
+                        continue
+                    held = classes.get(lang)
+                    if held is None:
+                        held = classes[lang] = np.zeros(classes_n + 2)
+                    words = words_of(text)
+                    held[:-2] += class_counts(text) / len(text)
+                    held[-2:] += 1, len(words)
+                    own = total.setdefault(lang, {})
+                    size -= len(own)
+                    part = 1 / max(1, len(words))
+                    for w, n in Counter(words).items():
+                        row = own.get(w)
+                        if row is None:
+                            own[w] = [1, n * part]
+                        else:
+                            row[0] += 1
+                            row[1] += n * part
+                    size += len(own)
+                    if size > 300_000:  # partial sums may go out at any time
+                        yield sums(total, {})
+                        total, size = {}, 0
         yield sums(total, classes)
 
     def sums(total, classes):
-        lang = [*(k[0] for k in total), *(k for k, v in classes.items() for _ in v)]
-        word = [*(k[1] for k in total), *(None for v in classes.values() for _ in v)]
-        kind = [*(-1 for _ in total), *(i for v in classes.values() for i in range(len(v)))]
-        docs_ = [*(v[0] for v in total.values()), *(0 for v in classes.values() for _ in v)]
-        share = [*(v[1] for v in total.values()), *(float(x) for v in classes.values() for x in v)]
+        lang = [*(k for k, v in total.items() for _ in v), *(k for k, v in classes.items() for _ in v)]
+        word = [*(w for v in total.values() for w in v), *(None for v in classes.values() for _ in v)]
+        rows = [r for v in total.values() for r in v.values()]
+        kind = [*(-1 for _ in rows), *(i for v in classes.values() for i in range(len(v)))]
+        docs_ = [*(r[0] for r in rows), *(0 for v in classes.values() for _ in v)]
+        share = [*(r[1] for r in rows), *(float(x) for v in classes.values() for x in v)]
         return pa.RecordBatch.from_arrays(
             [pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(kind, pa.int32()), pa.array(docs_, pa.int64()), pa.array(share, pa.float64())],
             names=["lang", "word", "kind", "docs", "share"],
@@ -109,48 +140,52 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[bytes], np.n
     rows = rows.groupBy("lang", "kind", "word").agg(F.sum("docs").alias("docs"), F.sum("share").alias("share"))
     # The words of most documents, and the few rows of class sums; ranks are limited before the exchange.
     order = Window.partitionBy("lang").orderBy(F.col("kind") < 0, F.col("docs").desc(), "word")
-    top = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= COMMON + len(CLASSES) + 1)
-    out: dict[str, tuple[np.ndarray, list[bytes], np.ndarray]] = {}
+    top = cut(rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= COMMON + classes_n + 2))
+    pooled = {r["kind"]: r["share"] for r in top.where(F.col("kind").between(0, classes_n)).groupBy("kind").agg(F.sum("share").alias("share")).collect()}
+    if not pooled:
+        return {}
+    mean = np.array([pooled.get(i, 0.0) for i in range(classes_n)]) / pooled[classes_n]
+    kept = top.where(F.col("kind") == classes_n).orderBy(F.desc("share"), "lang").limit(LANGUAGES).select("lang")
     by: dict[str, list] = {}
-    for r in top.orderBy("lang", "n").collect():
+    for r in top.join(F.broadcast(kept), "lang").collect():
         by.setdefault(r["lang"], []).append(r)
-    for lang, found in by.items():
+    out: dict[str | None, Reference] = {None: Reference(mean / mean.sum(), [], np.ones(1), 0)}
+    for lang, found in sorted(by.items()):
         sums_ = {r["kind"]: r["share"] for r in found if r["kind"] >= 0}
-        n = sums_.get(len(CLASSES), 0)
-        if n < LEAST_DOCUMENTS:
-            continue
-        words = [bytes(r["word"]) for r in found if r["kind"] < 0]
-        shares = np.array([r["share"] / n for r in found if r["kind"] < 0])
-        kinds = np.array([sums_.get(i, 0.0) for i in range(len(CLASSES))])
-        out[lang] = (kinds / kinds.sum(), words, np.append(shares, max(0.0, 1 - shares.sum())))
+        n = sums_[classes_n]
+        common = sorted((r for r in found if r["kind"] < 0), key=lambda r: r["n"])
+        shares = np.array([r["share"] / n for r in common])
+        kinds = np.array([sums_.get(i, 0.0) for i in range(classes_n)]) + POOLED * mean
+        out[lang] = Reference(kinds / kinds.sum(), [bytes(r["word"]) for r in common], np.append(shares, max(0.0, 1 - shares.sum())), int(sums_[classes_n + 1]))
     return out
 
 
-def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, list[bytes], np.ndarray]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, refs: dict[str | None, Reference], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Base columns, both distances (null where a guard holds) and the verdict."""
     shared = docs.sparkSession.sparkContext.broadcast(refs)
 
     def make():
         refs = shared.value
-        place = {lang: {w: i for i, w in enumerate(words)} for lang, (_, words, _) in refs.items()}
+        place = {lang: {w: i for i, w in enumerate(r.words)} for lang, r in refs.items()}
+        every = [k for k in refs if k is not None] or list(refs)
 
         def distances(text: str, lang: str | None) -> tuple[float | None, float | None, bool]:
-            of = [lang] if lang in refs else list(refs)
-            kinds = class_counts(text)
-            words = words_of(text)
-            best, chance = None, (by_chance(len(CLASSES), len(text)), by_chance(COMMON + 1, max(1, len(words))))
-            for k in of:
-                q, _, share = refs[k]
-                a = float(jensen_shannon(kinds / kinds.sum(), q)) if len(text) >= GUARD_CHARS else None
+            kinds, words = class_counts(text), words_of(text)
+            kinds = kinds / kinds.sum()
+            best = (None, None, False)
+            for i, k in enumerate(every if lang is None else [lang if lang in refs else None] if refs else []):
+                ref = refs[k]
+                a = float(jensen_shannon(kinds, ref.classes)) if len(text) >= GUARD_CHARS else None
                 b = None
-                if len(words) >= GUARD_WORDS and (lang is None or lang in refs):
+                if len(words) >= GUARD_WORDS and ref.size:
                     at = place[k]
-                    p = np.bincount(np.fromiter((at.get(w, len(at)) for w in words), np.int64, len(words)), minlength=len(share)) / len(words)
-                    b = float(jensen_shannon(p, share))
-                if best is None or (b or 0) + (a or 0) < (best[1] or 0) + (best[0] or 0):
-                    best = (a, b)
-            a, b = best or (None, None)
-            return a, b, (a is not None and a > FAR_CLASSES + chance[0]) or (b is not None and b > FAR_WORDS + chance[1])
+                    p = np.bincount(np.fromiter((at.get(w, len(at)) for w in words), np.int64, len(words)), minlength=len(ref.shares)) / len(words)
+                    b = float(jensen_shannon(p, ref.shares))
+                if not i or (b or 0) + (a or 0) < (best[1] or 0) + (best[0] or 0):
+                    far = a is not None and a > FAR_CLASSES + by_chance(len(CLASSES), len(text))
+                    far |= b is not None and b > FAR_WORDS + by_chance(COMMON + 1, len(words)) + by_chance(COMMON + 1, ref.size)
+                    best = (a, b, far)
+            return best
 
         def call(texts, batch):
             rows = [base(t) for t in texts]

@@ -17,7 +17,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: i
     """(doc_id, text, label, fold) of at most ``rows`` labelled documents outside the held-out fold.
 
     Null ids and null labels are left out. Repeated label rows count once if they agree
-    and not at all if they contradict each other.
+    and not at all if they contradict each other. Of several documents of one id the
+    least text counts (a null one before all others), so the rows have the sample's bound.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.where(fold("doc_id", parts) != held)
@@ -25,4 +26,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: i
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
     chosen = cut(chosen.withColumn("fold", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(FOLDS)).cast("int")))
     # The chosen ids have a fixed bound, so this side may be broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Repeats of an id are combined before the exchange.
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "label", "fold")).alias("r")).select("doc_id", "r.*")

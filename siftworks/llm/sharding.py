@@ -147,16 +147,21 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return SlotMap(int(version), max(owner) + 1, owner)
 
 
+def numbered(records: DataFrame) -> DataFrame:
+    """Records with a number of their own (``_row``); it holds where they are kept afterwards."""
+    return records.withColumn("_row", F.monotonically_increasing_id())
+
+
 def assign(records: DataFrame, slot_map: SlotMap) -> DataFrame:
     """Records with their shard and a gapless place (``slot``) in it, from 0.
 
     Places come from counts per (slot, part), one for each slot and each million rows,
     plus the row's number in its part; no shard is sorted as a whole. Rows get a number
-    of their own before they are kept in the shared folder, which deals equal rows over
-    the parts.
+    of their own and are kept in the shared folder, unless they are already; the number
+    deals equal rows over the parts.
     """
-    spark, names = records.sparkSession, records.columns
-    records = cut(records.withColumn("_row", F.monotonically_increasing_id()))
+    spark, names = records.sparkSession, [c for c in records.columns if c != "_row"]
+    records = records if "_row" in records.columns else cut(numbered(records))
     sizes = {r[0]: -(-r[1] // PART_ROWS) for r in records.groupBy("virtual_slot").count().collect()}
     parts = spark.createDataFrame(sorted(sizes.items()), "virtual_slot int, _parts int")
     dealt = records.join(F.broadcast(parts), "virtual_slot").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int"))
@@ -174,7 +179,7 @@ def assign(records: DataFrame, slot_map: SlotMap) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
     """All records in shards of nearly equal bytes, and the map that says so (version 2, edited from the even one)."""
-    records = cut(measured(docs, slots=slots))
+    records = cut(numbered(measured(docs, slots=slots)))
     load = {r["virtual_slot"]: r["bytes"] for r in slot_loads(records).collect()}
     slot_map = rebalanced(even_map(shards, slots), load)
     return assign(records, slot_map), slot_map

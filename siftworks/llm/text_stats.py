@@ -42,6 +42,14 @@ def repeated_words(words: list[str], window: int = 8) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
+    # Unequal hashes rule repetition out, which is the usual case; equal ones are looked at exactly.
+    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    key = h[:n]
+    for j in range(1, window):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + h[j : n + j]
+    key = np.sort(key)
+    if not (key[1:] == key[:-1]).any():
+        return 0
     number: dict[str, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
     # Exact window numbers by doubling: 1, 2, 4 ... words.

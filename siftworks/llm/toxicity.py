@@ -9,7 +9,7 @@ calibrate the scores.
 
 Defined results: a null text scores as an empty one; without labels of both classes
 the score is the labels' rate (0.5 without any); equal texts count once when the
-lexicon is learned; a null id is scored and never held out; extra columns are not read.
+lexicon is learned; equal gains go by the entry; a null id is scored and never held out; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, fold, map_texts, table
 from .learn import Isotonic, Trees
@@ -30,18 +31,17 @@ from .text_stats import class_counts
 CUT = 0.3
 #: Entries of a lexicon, and its tiers by rank.
 ENTRIES, TIERS = 256, (16, 64, 256)
-#: Keys of most toxic documents that the driver ranks lexicons from.
-CANDIDATES = 50_000
 #: Lengths of word beginnings that a lexicon may hold.
 STEMS = (4, 5, 6)
-#: Toxic documents that an entry must occur in.
-SUPPORT = 3
+#: Toxic documents that an entry must occur in, and the logarithm of its rate in toxic over that in clean documents.
+SUPPORT, LEAST_WEIGHT = 3, 1.0
 #: Words between a hit and a second-person word that still count as near.
 NEAR = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letter runs with a digit or sign amid them, as in l0ser or st*pid.
-_MASKED = re.compile(r"[^\W\d_]+(?:[0134579@$!*]+[^\W\d_]+)+")
+#: A run is tried once, from its beginning, so long runs take linear time.
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0134579@$!*]++[^\W\d_]++)+")
 _SPELT = re.compile(r"\b(?:[^\W\d_][ ._*-]){3,}[^\W\d_]\b")
 _PLAIN = str.maketrans("0134579@$!", "oieastgasi")
 #: Second-person words of the languages at hand (fixed values).
@@ -136,23 +136,29 @@ def _counted(sample: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(*(F.sum(n).cast("long").alias(n) for n in names))
 
 
-def _lexicon(rows: np.ndarray, keys: list[str], docs: np.ndarray, out: int | None) -> dict[str, tuple[float, int]]:
-    """The best entries by likelihood ratio without fold ``out``. ``docs``: documents of each fold, toxic then clean."""
-    use = np.ones(2 * FOLDS, bool)
-    if out is not None:
-        use[[out, FOLDS + out]] = False
-    t, c = (rows[:, i * FOLDS : (i + 1) * FOLDS][:, use[i * FOLDS : (i + 1) * FOLDS]].sum(1).astype(float) for i in (0, 1))
-    nt, nc = docs[:FOLDS][use[:FOLDS]].sum(), docs[FOLDS:][use[FOLDS:]].sum()
-    if not nt or not nc:
-        return {}
-    p, q = (t + 0.5) / (nt + 1), (c + 0.5) / (nc + 1)
-    weight = np.log(p / q)
-    mean = (t + c + 1) / (nt + nc + 2)
-    entropy = lambda k, n, p: k * np.log(np.maximum(p, 1e-12)) + (n - k) * np.log(np.maximum(1 - p, 1e-12))
-    gain = entropy(t, nt, np.minimum(p, 1 - 1e-9)) + entropy(c, nc, np.minimum(q, 1 - 1e-9)) - entropy(t, nt, mean) - entropy(c, nc, mean)
-    ok = np.flatnonzero((t >= min(SUPPORT, nt)) & (weight > 1.0))
-    best = sorted(ok.tolist(), key=lambda i: (-gain[i], keys[i]))[:ENTRIES]
-    return {keys[i]: (float(weight[i]), r) for r, i in enumerate(best)}
+def lexicons(counted: DataFrame, docs: np.ndarray) -> list[dict[str, tuple[float, int]]]:
+    """Entry to (weight, rank) of a lexicon without each fold, and of one with all of them last.
+
+    ``docs``: documents of each fold, toxic then clean. The gain of every key is worked out
+    in the cluster, by likelihood ratio; only the best of each lexicon come to the driver.
+    """
+    made = []
+    for out in (*range(FOLDS), None):
+        folds = [k for k in range(FOLDS) if k != out]
+        sums = {"t": sum((F.col(f"t{k}") for k in folds), F.lit(0)), "c": sum((F.col(f"c{k}") for k in folds), F.lit(0))}
+        sizes = {"nt": F.lit(int(sum(docs[k] for k in folds))), "nc": F.lit(int(sum(docs[FOLDS + k] for k in folds)))}
+        made.append(F.struct(F.lit(len(made)).alias("i"), *(c.alias(n) for n, c in (sums | sizes).items())))
+    t, c, nt, nc = map(F.col, ("t", "c", "nt", "nc"))
+    rows = counted.select("key", F.explode(F.array(*made)).alias("e")).select("key", "e.*").where((t >= F.least(F.lit(SUPPORT), nt)) & (nt > 0) & (nc > 0))
+    rows = rows.withColumns({"p": (t + 0.5) / (nt + 1), "q": (c + 0.5) / (nc + 1), "m": (t + c + 1) / (nt + nc + 2)}).withColumn("weight", F.log(F.col("p") / F.col("q")))
+    entropy = lambda k, n, p: k * F.log(F.greatest(p, F.lit(1e-12))) + (n - k) * F.log(F.greatest(1 - p, F.lit(1e-12)))
+    gain = entropy(t, nt, F.col("p")) + entropy(c, nc, F.col("q")) - entropy(t, nt, F.col("m")) - entropy(c, nc, F.col("m"))
+    rows = rows.where(F.col("weight") > LEAST_WEIGHT).select("i", "key", "weight", gain.alias("gain"))
+    best = rows.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("gain"), "key"))).where(F.col("n") <= ENTRIES)
+    found: list[dict[str, tuple[float, int]]] = [{} for _ in made]
+    for r in best.select("i", "key", "weight", "n").collect():
+        found[r["i"]][r["key"]] = (r["weight"], r["n"] - 1)
+    return found
 
 
 @dataclass
@@ -169,15 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     sample = cut(labelled(docs, labels, label, parts, held).where("text is not null"))
     sizes = {(r["label"], r["fold"]): r["count"] for r in sample.groupBy("label", "fold").count().collect()}
     n = np.array([sizes.get((1 - i // FOLDS, i % FOLDS), 0) for i in range(2 * FOLDS)])
-    toxic = sum(F.col(f"t{k}") for k in range(FOLDS))
-    clean = sum(F.col(f"c{k}") for k in range(FOLDS))
-    # An entry's rate in toxic documents must be e times that in clean ones in every lexicon; a looser bound here.
-    useful = _counted(sample).where((toxic >= min(SUPPORT, max(1, int(n[:FOLDS].sum())))) & (toxic * float(n[FOLDS:].sum() + 1) > clean * float(n[:FOLDS].sum() + 1) * 1.5))
-    rows = useful.orderBy(toxic.desc(), "key").limit(CANDIDATES).toPandas()
-    counts = rows.drop(columns="key").to_numpy(np.int64).reshape(len(rows), 2 * FOLDS)
-    keys = rows["key"].tolist()
-    lexicons = [_lexicon(counts, keys, n, k) for k in (*range(FOLDS), None)]
-    shared = docs.sparkSession.sparkContext.broadcast(lexicons)
+    found = lexicons(_counted(sample), n)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def make():
         lexicons = shared.value
@@ -188,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
 
         return call
 
+    entries = found[-1]
     found = map_texts(sample, make, "x array<double>", ("label", "fold")).toPandas()  # bounded by the sample
     x = np.array(found["x"].tolist(), float).reshape(len(found), len(FEATURES))
     y, of = found["label"].to_numpy(float), found["fold"].to_numpy()
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     for k in range(FOLDS):
         if (of == k).any():
             margin[of == k] = Trees().fit(x[of != k], y[of != k]).margin(x[of == k])
-    return ToxicityModel(lexicons[-1], Trees().fit(x, y), Isotonic.fit(margin, y))
+    return ToxicityModel(entries, Trees().fit(x, y), Isotonic.fit(margin, y))
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

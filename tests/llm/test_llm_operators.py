@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -392,12 +393,88 @@ def test_rules(spark, learned, odd, empty):
 
 
 def test_quality_rules_rare_language(spark):
-    """A clean text of a language with too few documents is not rejected by the words of another; odd characters still are."""
+    """A clean text of a language of few documents is not rejected by the words of another; odd characters still are."""
     draw = random.Random(21)
     words = lambda: ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 8))) for _ in range(90)]
     common, rare = words(), words()
-    texts = [prose(draw, 120, common) for _ in range(30)] + [prose(draw, 120, rare) for _ in range(4)] + [" ".join(f"{draw.randint(0, 10**6)}" for _ in range(120))]
-    docs = documents(spark, texts, ["en"] * 30 + ["xx"] * 3 + [None, "xx"])
-    got = {r["doc_id"]: r for r in quality_rules.judge(docs, quality_rules.references(docs)).collect()}
-    assert all(got[i]["kept"] and got[i]["word_distance"] is None for i in (30, 31, 32)) and all(got[i]["kept"] for i in range(30))
-    assert not got[33]["kept"] and got[33]["word_distance"] is not None and not got[34]["kept"] and got[34]["class_distance"] is not None
+    texts = [prose(draw, 120, common) for _ in range(30)] + [prose(draw, 120, rare) for _ in range(3)] + [" ".join(f"{draw.randint(0, 10**6)}" for _ in range(120)), prose(draw, 120, rare)]
+    docs = documents(spark, texts, ["en"] * 30 + ["xx"] * 4 + ["zz"])
+    refs = quality_rules.references(docs.where("doc_id < 34"))
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, refs).collect()}
+    assert all(got[i]["kept"] for i in range(33))
+    assert not got[33]["kept"] and got[33]["class_distance"] is not None
+    assert got[34]["kept"] and got[34]["word_distance"] is None  # a language without a reference
+
+
+def test_distances_equal_plain_ones(spark, learned):
+    """References and distances from their definitions, document by document."""
+    rows, docs, _ = learned
+    refs = quality_rules.references(docs)
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, refs).collect()}
+    passing = [r for r in rows if not got[r[0]]["base_failed"]]
+    kind = lambda ch: 3 if ch.isspace() else 2 if ch.isdigit() else 1 if ch.isupper() else 0 if ch.isalpha() else 4 if ch in ".,;:'\"-()" else 5 if ch in "#*$%&|<>" else 6
+    classes = lambda t: np.array([sum(kind(ch) == k for ch in t) for k in range(8)]) / len(t)
+    split = lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    pooled = np.mean([classes(r[1]) for r in passing], axis=0)
+
+    def distance(p, q):
+        part = lambda x, m: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a)
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        return math.sqrt(max(0, (part(p, m) + part(q, m)) / 2))
+
+    for lang in ("xx", "yy"):
+        own = [r[1] for r in passing if r[2] == lang]
+        q = (sum(map(classes, own)) + 10 * pooled) / (len(own) + 10)
+        holders = Counter(w.encode() for t in own for w in set(split(t)))
+        common = [w.decode() for w, _ in sorted(holders.items(), key=lambda x: (-x[1], x[0]))[:64]]
+        share = [np.mean([split(t).count(w) / len(split(t)) for t in own]) for w in common]
+        share.append(1 - sum(share))
+        for i, text, *_ in [r for r in passing if r[2] == lang][:40]:
+            words = split(text)
+            p = [words.count(w) / len(words) for w in common]
+            assert got[i]["class_distance"] == pytest.approx(distance(classes(text), q))
+            if len(words) >= 80:
+                assert got[i]["word_distance"] == pytest.approx(distance([*p, 1 - sum(p)], share), abs=1e-6)
+
+
+def test_lexicon_equals_plain_ranking(spark, learned):
+    """Likelihood-ratio ranks of all keys of the labelled sample, counted document by document."""
+    rows, docs, labels = learned
+    sample = toxicity.labelled(docs, labels, "toxic", 4, 2)
+    held = sample.collect()
+    assert len(held) == len({r["doc_id"] for r in held})
+    once = {}
+    for r in held:
+        if r["text"] not in once or r["doc_id"] < once[r["text"]]["doc_id"]:
+            once[r["text"]] = r
+    n = np.array([sum(r["label"] == lab and r["fold"] == k for r in held) for lab in (1, 0) for k in range(5)])
+    got = toxicity.lexicons(toxicity._counted(sample), n)
+    log = lambda x: math.log(max(x, 1e-12))
+    for out in (2, None):
+        nt, nc = (sum(n[k] for k in part if k % 5 != out) for part in (range(5), range(5, 10)))
+        t, c = Counter(), Counter()
+        for r in once.values():
+            if r["fold"] != out:
+                words = set(re.findall(r"[^\W\d_]+", r["text"].lower()))
+                (t if r["label"] else c).update(words | {w[:k] + "*" for w in words for k in (4, 5, 6) if len(w) > k})
+        found = []
+        for key in t:
+            p, q, m = (t[key] + 0.5) / (nt + 1), (c[key] + 0.5) / (nc + 1), (t[key] + c[key] + 1) / (nt + nc + 2)
+            e = lambda k, n, p: k * log(p) + (n - k) * log(1 - p)
+            if t[key] >= 3 and math.log(p / q) > 1:
+                found.append((-(e(t[key], nt, p) + e(c[key], nc, q) - e(t[key], nt, m) - e(c[key], nc, m)), key, math.log(p / q)))
+        want = {key: (w, i) for i, (_, key, w) in enumerate(sorted(found)[:256])}
+        mine = got[5 if out is None else out]
+        assert mine.keys() == want.keys() and all(mine[k][0] == pytest.approx(w) for k, (w, _) in want.items())
+
+
+def test_repeats_of_a_labelled_id_count_once(spark, learned):
+    """A hundred thousand rows under one labelled id give the learners one row, and the others what they had."""
+    rows, docs, labels = learned
+    hot = next(r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 5 and zlib.crc32(str(r[0]).encode()) % 4 != 2)
+    many = spark.range(100_000).select(F.lit(hot).cast("long").alias("doc_id"), F.concat(F.lit("z repeated "), F.col("id").cast("string")).alias("text"), F.lit("xx").alias("lang"), F.lit("s").alias("source"))
+    both = docs.unionByName(many)
+    for label, parts, out in (("quality", 5, 0), ("toxic", 4, 2)):
+        got = toxicity.labelled(both, labels, label, parts, out)
+        assert got.count() == got.select("doc_id").distinct().count() == toxicity.labelled(docs, labels, label, parts, out).count()
+    assert {k: len(v) for k, v in language_id.learn(both)} == {k: len(v) for k, v in language_id.learn(docs)}

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 import string
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from siftworks.llm import html_extract, language_id, learn, near_dedup, packing, secret_scan, sharding, text_stats
+from siftworks.llm import html_extract, language_id, learn, near_dedup, packing, quality_rules, secret_scan, sharding, text_stats, toxicity
 from siftworks.llm.common import words_of
 
 
@@ -162,15 +163,20 @@ def naive_phrases(text, reference):
     return n
 
 
-def test_phrases_equal_naive_parse():
+@pytest.mark.parametrize("block", [1, 3, 7, 50, 1024])
+def test_phrases_equal_naive_parse(monkeypatch, block):
+    """Whatever the blocks, and for several texts at once; some texts repeat the reference, so phrases span blocks."""
+    monkeypatch.setattr(language_id, "BLOCK", block)
     draw = random.Random(6)
-    for _ in range(40):
-        reference = ["".join(draw.choices("abcd ", k=draw.randint(1, 40))) for _ in range(3)]
-        text = "".join(draw.choices("abcde ", k=draw.randint(1, 60)))
-        code = lambda s: np.array([ord(c) for c in s])
+    for _ in range(25):
+        reference = ["".join(draw.choices("abcd ", k=draw.randint(1, 60))) for _ in range(3)]
+        texts = ["".join(draw.choices("abcde ", k=draw.randint(0, 90))) + draw.choice(["", reference[0], reference[0] * 3]) for _ in range(6)]
+        code = lambda s: np.array([ord(c) for c in s], np.int64)
         automaton = language_id.Automaton([code(r) for r in reference])
-        got = automaton.phrases(code(text), np.array([0]), np.array([len(text)]))[0]
-        assert got == naive_phrases(text, reference)
+        length = np.array([len(t) for t in texts])
+        first = np.cumsum(length) - length
+        got = automaton.phrases(code("".join(texts)), first, first + length)
+        assert got.tolist() == [naive_phrases(t, reference) for t in texts]
 
 
 def test_normalised():
@@ -226,3 +232,12 @@ def test_slot_map_edits():
     sums = [sum(load[i] for i in range(512) if third.owner[i] == s) for s in range(9)]
     assert sums[8] > 0.8 * sum(load.values()) / 9 and max(sums) < 1.3 * sum(load.values()) / 9
     assert sharding.rebalanced(first, {}).owner == first.owner
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000, "x1" * 500_000, "a " * 500_000, "a.b" * 300_000, "key=" * 250_000, "0" * 1_000_000, "\n" * 1_000_000, "BEGIN " * 150_000, "AKIA" * 250_000, "key " + "aB3" * 300_000])
+def test_long_texts_take_linear_time(text):
+    lexicon = {"abcd*": (1.0, 0)}
+    for f in (lambda t: toxicity.features(t, lexicon), text_stats.statistics, quality_rules.base, lambda t: secret_scan.novel_spans(t, secret_scan.base_spans(t)), language_id.normalised):
+        began = time.process_time()
+        f(text)
+        assert time.process_time() - began < 5
