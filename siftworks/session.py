@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where neither the session nor the context names a folder, as in tests.
+#: Used only in local mode, where neither the session nor the context names a folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/siftworks-checkpoints"
 
 
@@ -22,8 +23,12 @@ def session(name: str = "siftworks", **settings: str) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL_CHECKPOINTS
+    """The shared folder that the session names in ``spark.checkpoint.dir``; without one a cluster is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = LOCAL_CHECKPOINTS
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
