@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftworks.llm import decontaminate, near_dedup, packing, quality_model, secret_scan
-from siftworks.llm.common import table, written
+from siftworks.llm.common import discard, shared_path, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MARK = "[secret]"
@@ -58,11 +58,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``. Each stage's result is written to the shared folder and read again; it is removed
+    when the next one is there. Packing keeps what it needs itself before it returns."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = shared_path(spark, name)
+        docs = written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            discard(spark, before)
+        before = path
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    discard(spark, before)
+    return packed
 
 
 #: No SQL: classifier, signatures and packing can't be expressed there; tests hold the stages against brute force.

@@ -42,6 +42,35 @@ def test_stages(spark):
             assert {r["doc_id"] for r in after} == set(before)
 
 
+ODD = [None, "", " ", "!!!", "x" * 30_000, "word " * 2_000, "secret=abcdef12 " * 3, "a\x00b\n\n", "é中文😀"]
+
+
+def test_odd_documents(spark, tmp_path):
+    """Null and repeated ids and texts, long and empty ones, and columns whose names the operators use inside."""
+    good = [r for r in table(spark, DATA, "documents").limit(60).collect()]
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], 1, "h", 0.5, "x") for r in good]
+    rows += [(10_000 + i, t, None, None, None, 1, "h", 0.5, "x") for i, t in enumerate(ODD)]
+    rows += [(None, good[0]["text"] + " more", "en", "s", 1, 1, "h", 0.5, "x"), (None, None, None, None, None, None, None, None, None), rows[0], rows[0], (rows[1][0], *rows[2][1:])]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, node int, h1 string, score double, _row string"
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        table(spark, DATA, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.count()
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.count() <= before or i == 4
+        if i < 4:
+            assert tuple(sorted(docs.columns)) == tuple(sorted(corpus_pipeline.COLUMNS))
+        if name == "near_dedup":
+            assert docs.where(docs.doc_id == rows[0][0]).count() <= 1
+    assert docs.count() > 20 and corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+    spark.createDataFrame([], ddl).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        table(spark, DATA, name).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_names():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
 
