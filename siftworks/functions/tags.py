@@ -1,4 +1,8 @@
-"""Named patterns over texts: which of them match, as an array column in a fixed order."""
+"""Named patterns over texts: which of them match, as an array column in a fixed order.
+
+Words, digits and white space are those of Unicode: a letter beyond ASCII is part of a
+word, so ``\\b`` stands between neither of its sides and another letter.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +45,7 @@ PYTHON2 = (
 def matching(c: Column | str, patterns: tuple[tuple[str, str], ...]) -> Column:
     """Names of the patterns that the text matches; none for null."""
     text = F.coalesce(column(c), F.lit(""))
-    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(name)) for name, p in patterns)))
+    return F.array_compact(F.array(*(F.when(text.rlike("(?U)" + p), F.lit(name)) for name, p in patterns)))
 
 
 def many_answers(c: Column | str) -> Column:

@@ -102,13 +102,13 @@ def q19_first_error_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.localisation(rows).drop("error_type_accuracy")
 
 
-@query(r"""WITH g AS (SELECT lang AS labelled, CASE WHEN regexp_matches(text, '\b(the|and)\b') THEN 'en' WHEN regexp_matches(text, '\b(der|und)\b') THEN 'de' WHEN regexp_matches(text, '\b(les|des)\b') THEN 'fr' ELSE 'es' END AS predicted FROM documents WHERE lang IS NOT NULL),
+@query(r"""WITH g AS (SELECT lang AS labelled, CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9_])(the|and)([^A-Za-z0-9_]|$)') THEN 'en' WHEN regexp_matches(text, '(^|[^A-Za-z0-9_])(der|und)([^A-Za-z0-9_]|$)') THEN 'de' WHEN regexp_matches(text, '(^|[^A-Za-z0-9_])(les|des)([^A-Za-z0-9_]|$)') THEN 'fr' ELSE 'es' END AS predicted FROM documents WHERE lang IS NOT NULL),
 c AS (SELECT unnest([labelled, predicted]) AS class, labelled = predicted AS hit, unnest(['l', 'p']) AS side FROM g),
 s AS (SELECT class, count(*) FILTER (hit AND side = 'l') AS tp, count(*) FILTER (side = 'l') AS support, count(*) FILTER (side = 'p') AS called FROM c GROUP BY class)
 SELECT coalesce(round(avg(round(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / called) * (tp / support) / (tp / called + tp / support) END, 4)), 4), 0) AS macro_f1 FROM s""")
 def q20_macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    guess = F.when(t.rlike(r"\b(the|and)\b"), "en").when(t.rlike(r"\b(der|und)\b"), "de").when(t.rlike(r"\b(les|des)\b"), "fr").otherwise("es")
+    guess = F.when(t.rlike(r"(^|[^A-Za-z0-9_])(the|and)([^A-Za-z0-9_]|$)"), "en").when(t.rlike(r"(^|[^A-Za-z0-9_])(der|und)([^A-Za-z0-9_]|$)"), "de").when(t.rlike(r"(^|[^A-Za-z0-9_])(les|des)([^A-Za-z0-9_]|$)"), "fr").otherwise("es")
     docs = table(spark, sf_dir, "documents").where("lang is not null").select(F.col("lang").alias("labelled"), guess.alias("predicted"))
     return metrics.macro_f1(docs.groupBy("labelled", "predicted").agg(F.count("*").alias("n")))
 
@@ -187,7 +187,7 @@ CONFIGS = {
     "full": {"symbols": True, "shouting": True, "short": True}, "no_symbols": {"symbols": False, "shouting": True, "short": True}, "no_shouting": {"symbols": True, "shouting": False, "short": True},
     "no_short": {"symbols": True, "shouting": True, "short": False}, "symbols_only": {"symbols": True, "shouting": False, "short": False}, "none": {"symbols": False, "shouting": False, "short": False},
 }
-_RULES = {"symbols": "len(regexp_extract_all(text, '[!$%&*|]')) * 50 > length(text)", "shouting": r"regexp_matches(text, '\b[A-Z]{6,}\b')", "short": "length(text) < 100"}
+_RULES = {"symbols": "len(regexp_extract_all(text, '[!$%&*|]')) * 50 > length(text)", "shouting": r"regexp_matches(text, '(^|[^A-Za-z0-9_])[A-Z]{6,}([^A-Za-z0-9_]|$)')", "short": "length(text) < 100"}
 
 
 @query(
@@ -202,7 +202,7 @@ _RULES = {"symbols": "len(regexp_extract_all(text, '[!$%&*|]')) * 50 > length(te
 def q36_ablation_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.size(F.regexp_extract_all("text", F.lit("[!$%&*|]"), F.lit(0))) * 50 > F.length(t)).alias("symbols"), t.rlike(r"\b[A-Z]{6,}\b").alias("shouting"), (F.length(t) < 100).alias("short")
+        "doc_id", (F.size(F.regexp_extract_all("text", F.lit("[!$%&*|]"), F.lit(0))) * 50 > F.length(t)).alias("symbols"), t.rlike("(^|[^A-Za-z0-9_])[A-Z]{6,}([^A-Za-z0-9_]|$)").alias("shouting"), (F.length(t) < 100).alias("short")
     )
     rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("labelled_invalid")), "doc_id")
 
