@@ -11,39 +11,30 @@ from .text import column, literal_map, stripped
 CATEGORIES = ("DP", "Graph", "DataStructure", "BinarySearch", "Greedy", "Simulation")
 
 CONTEST_TAGS = {
-    "DP": ("dp",),
-    "Graph": (
-        "graphs", "trees", "dfs and similar", "shortest paths", "dsu", "flows", "graph matchings", "2-sat",
-        "bipartite matching", "strongly connected components", "topological sort",
-    ),
-    "DataStructure": ("data structures", "sqrt decomposition", "sparse table", "segment tree", "fenwick", "disjoint set union"),
-    "BinarySearch": ("binary search", "ternary search", "ternary"),
-    "Greedy": ("greedy",),
-    "Simulation": (
-        "implementation", "brute force", "simulation", "math", "constructive algorithms", "strings", "sortings",
-        "number theory", "combinatorics", "geometry", "games", "probabilities", "matrices", "bitmasks", "two pointers",
-        "expression parsing", "schedules", "chinese remainder theorem", "fft", "meet-in-the-middle",
-        "divide and conquer", "hashing", "interactive",
-    ),
+    "dp": "DP", "graphs": "Graph", "trees": "Graph", "dfs and similar": "Graph", "shortest paths": "Graph", "dsu": "Graph", "flows": "Graph",
+    "graph matchings": "Graph", "2-sat": "Graph", "bipartite matching": "Graph", "strongly connected components": "Graph",
+    "topological sort": "Graph", "data structures": "DataStructure", "sqrt decomposition": "DataStructure", "sparse table": "DataStructure",
+    "segment tree": "DataStructure", "fenwick": "DataStructure", "disjoint set union": "DataStructure", "binary search": "BinarySearch",
+    "ternary search": "BinarySearch", "ternary": "BinarySearch", "greedy": "Greedy", "implementation": "Simulation", "brute force": "Simulation",
+    "simulation": "Simulation", "math": "Simulation", "constructive algorithms": "Simulation", "strings": "Simulation", "sortings": "Simulation",
+    "number theory": "Simulation", "combinatorics": "Simulation", "geometry": "Simulation", "games": "Simulation", "probabilities": "Simulation",
+    "matrices": "Simulation", "bitmasks": "Simulation", "two pointers": "Simulation", "expression parsing": "Simulation", "schedules": "Simulation",
+    "chinese remainder theorem": "Simulation", "fft": "Simulation", "meet-in-the-middle": "Simulation", "divide and conquer": "Simulation",
+    "hashing": "Simulation", "interactive": "Simulation",
 }
 TOPIC_TAGS = {
-    "DP": ("dynamic programming",),
-    "Graph": (
-        "graph algorithms", "graph traversal", "directed graphs", "shortest paths", "paths and circuits", "spanning trees",
-        "strong connectivity", "flows and cuts", "tree algorithms", "graph theory", "graph", "tree", "trees",
-    ),
-    "DataStructure": (
-        "data structures", "data structure", "range queries", "segment trees revisited", "square root algorithms",
-        "tree queries", "amortized analysis",
-    ),
-    "BinarySearch": ("binary search", "searching"),
-    "Greedy": ("greedy algorithms", "greedy"),
-    "Simulation": (
-        "ad-hoc", "bit manipulation", "combinatorics", "complete search", "constructive algorithms", "divide and conquer",
-        "fundamentals", "game theory", "geometry", "implementation", "mathematics", "math", "matrices", "number theory",
-        "polynomials and generating functions", "preprocessing", "probability", "sorting", "string algorithms", "string",
-        "strings", "sweep line algorithms", "simulation", "brute force", "recursion",
-    ),
+    "dynamic programming": "DP", "graph algorithms": "Graph", "graph traversal": "Graph", "directed graphs": "Graph", "shortest paths": "Graph",
+    "paths and circuits": "Graph", "spanning trees": "Graph", "strong connectivity": "Graph", "flows and cuts": "Graph", "tree algorithms": "Graph",
+    "graph theory": "Graph", "graph": "Graph", "tree": "Graph", "trees": "Graph", "data structures": "DataStructure",
+    "data structure": "DataStructure", "range queries": "DataStructure", "segment trees revisited": "DataStructure",
+    "square root algorithms": "DataStructure", "tree queries": "DataStructure", "amortized analysis": "DataStructure",
+    "binary search": "BinarySearch", "searching": "BinarySearch", "greedy algorithms": "Greedy", "greedy": "Greedy", "ad-hoc": "Simulation",
+    "bit manipulation": "Simulation", "combinatorics": "Simulation", "complete search": "Simulation", "constructive algorithms": "Simulation",
+    "divide and conquer": "Simulation", "fundamentals": "Simulation", "game theory": "Simulation", "geometry": "Simulation",
+    "implementation": "Simulation", "mathematics": "Simulation", "math": "Simulation", "matrices": "Simulation", "number theory": "Simulation",
+    "polynomials and generating functions": "Simulation", "preprocessing": "Simulation", "probability": "Simulation", "sorting": "Simulation",
+    "string algorithms": "Simulation", "string": "Simulation", "strings": "Simulation", "sweep line algorithms": "Simulation",
+    "simulation": "Simulation", "brute force": "Simulation", "recursion": "Simulation",
 }
 KEYWORDS = (
     ("DP", r"(?i)\b(dynamic programming|dp\b|knapsack|subsequence|memoiz)"),
@@ -61,8 +52,7 @@ LETTER_BINS = ((7, 9, 1), (10, 12, 2), (13, 16, 3), (17, 28, 4))
 
 def tag_map() -> dict[str, str]:
     """Tag to category; where both vocabularies have a tag, the contest's meaning holds."""
-    turned = lambda v: {t: c for c, tags in v.items() for t in tags}
-    return {**turned(TOPIC_TAGS), **turned(CONTEST_TAGS)}
+    return {**TOPIC_TAGS, **CONTEST_TAGS}
 
 
 def tag_category(tag: Column) -> Column:

@@ -140,13 +140,15 @@ def experiment(rows: DataFrame, ks: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     )
 
 
-def zero_filled(rows: DataFrame, column: str, values: tuple[str, ...], row_id: str, default: str) -> DataFrame:
-    """Counts of all values, also those that do not occur, with the ids of rows that are not the default."""
+def zero_filled(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
+    """Counts of all values, also those that do not occur."""
     known = rows.sparkSession.createDataFrame([(v,) for v in values], f"`{column}` string")
-    ids = F.array_sort(F.collect_list(F.when(F.col(column) != default, F.col(row_id))))
-    got = rows.groupBy(column).agg(F.count("*").alias("n"), ids.alias("ids"))
-    empty = F.array().cast(got.schema["ids"].dataType)
-    return known.join(got, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", empty).alias("ids"))
+    return known.join(rows.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def other_than(rows: DataFrame, column: str, default: str, row_id: str) -> DataFrame:
+    """The ids of rows whose value is not the default, one a row: their number grows with the input."""
+    return rows.where(F.col(column).isNotNull() & (F.col(column) != default)).select(column, row_id)
 
 
 def histogram(rows: DataFrame, *columns: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # ---- Fixed values: severities of the simple judge. ----
 SEVERITY = ("WA", "RE", "TLE")
@@ -62,15 +63,13 @@ def two_stage(results: DataFrame, keys: list[str], order: str, probe: int = 3, m
     # All probe cases run; after them nothing runs past the first failure.
     last = F.when(F.col("_probe_failed"), F.lit(probe - 1)).otherwise(F.col("_first"))
     ran = results.join(firsts.select(*keys, last.alias("_last")), keys).where(F.col("_last").isNull() | (F.col(order) <= F.col("_last")))
-    fail = F.when(bad, F.struct(F.col(order).alias("index"), F.col("status").alias("verdict")))
-    summed = ran.groupBy(*keys).agg(
-        F.count("*").alias("cases_run"),
-        F.count_if(~bad).alias("cases_passed"),
-        F.max("time_ms").alias("max_ms"),
-        F.sum("time_ms").alias("total_ms"),
-        F.slice(F.array_sort(F.collect_list(fail)), 1, most_failures).alias("failures"),
-    )
-    out = firsts.join(summed, keys)
+    summed = ran.groupBy(*keys).agg(F.count("*").alias("cases_run"), F.count_if(~bad).alias("cases_passed"), F.max("time_ms").alias("max_ms"), F.sum("time_ms").alias("total_ms"))
+    # Failures are ranked first, so that no list grows beyond those that are kept.
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "status"))
+    failed = ran.where(bad).withColumn("_n", nth).where(F.col("_n") <= most_failures)
+    kept = failed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("index"), F.col("status").alias("verdict")))).alias("failures"))
+    out = firsts.join(summed, keys).join(kept, keys, "left")
+    out = out.withColumn("failures", F.coalesce("failures", F.array().cast(kept.schema["failures"].dataType)))
     verdict = F.coalesce(F.get("failures", F.lit(0))["verdict"], F.lit("AC"))
     return out.withColumns({"verdict": verdict, "ok": verdict == "AC", "skipped": F.col("cases_total") - F.col("cases_run")}).drop("_first", "_probe_failed")
 
