@@ -131,7 +131,7 @@ def budget(repairs: Column, conflict: Column, low_confidence: Column, rating: Co
     return F.when(high, "HIGH").otherwise("LOW")
 
 
-def layered(structural: DataFrame, scan: DataFrame, fine: DataFrame, consistency: DataFrame, counterexample: DataFrame, executions: DataFrame, **switches: bool) -> DataFrame:
+def layered(structural: DataFrame, scan: DataFrame, fine: DataFrame, consistency: DataFrame, counterexample: DataFrame, executions: DataFrame, /, **switches: bool) -> DataFrame:
     """Fusion with layers switched on and off; a layer that is off brings no rows.
 
     Switches: ``rules``, ``semantic``, ``fine``, ``consistency``, ``counterexample``, ``execution``; all on by default.

@@ -266,6 +266,21 @@ def q34_stratified_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.draw(parts, 180, "p_partkey")
 
 
+@query(f"""WITH r AS (SELECT p_partkey, p_type AS category, CASE WHEN p_size <= 15 THEN 'small' WHEN p_size <= 40 THEN 'medium' ELSE 'large' END AS bin FROM part),
+s AS (SELECT category, bin, count(*) AS n FROM r GROUP BY category, bin),
+w AS (SELECT *, least(n, 5, greatest(1, least(3, 100 // (SELECT count(*) FROM s)))) AS wanted FROM s),
+k AS (SELECT category, bin, CASE WHEN coalesce(sum(wanted) OVER (PARTITION BY category ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5 THEN wanted ELSE 0 END AS quota FROM w),
+d AS (SELECT p_partkey, category, bin, row_number() OVER (PARTITION BY category, bin ORDER BY md5(concat_ws(chr(31), '42', category, bin, p_partkey::VARCHAR)), p_partkey) AS n FROM r),
+t AS (SELECT p_partkey, category || '|' || bin AS quota_cell, n <= quota AS picked FROM d JOIN k USING (category, bin)),
+f AS (SELECT p_partkey, quota_cell, row_number() OVER (ORDER BY md5(concat_ws(chr(31), '42', p_partkey::VARCHAR)), p_partkey) AS n FROM t WHERE NOT picked)
+SELECT p_partkey, quota_cell, false AS filled_beyond_quota FROM t WHERE picked UNION ALL SELECT p_partkey, quota_cell, true FROM f WHERE n <= 100 - (SELECT count(*) FROM t WHERE picked)""")
+def q67_capped_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw in which the cap of each category binds, so that the rest is filled beyond the quotas."""
+    bin_ = F.when(F.col("p_size") <= 15, "small").when(F.col("p_size") <= 40, "medium").otherwise("large")
+    parts = table(spark, sf_dir, "part").select("p_partkey", bin_.alias("bin"), F.col("p_type").alias("category"), F.array("p_type").alias("categories"))
+    return sample.draw(parts, 100, "p_partkey", share=0.05)
+
+
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 s AS (SELECT doc_id, len(ls) AS n, list_transform(range(1, 8), lambda i: CASE WHEN i < 7 THEN coalesce(trim(ls[i], ' ' || chr(9) || chr(10) || chr(13)), '') ELSE coalesce(trim(array_to_string(ls[7:], chr(10)), ' ' || chr(9) || chr(10) || chr(13)), '') END) AS st FROM l)
 SELECT doc_id, least(n, 7)::INTEGER AS n_steps, array_to_string(list_filter(list_transform(range(1, 8), lambda i: CASE WHEN st[i] = '' THEN 'S' || i END), lambda x: x IS NOT NULL), ',') AS missing,
