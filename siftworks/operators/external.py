@@ -1,7 +1,10 @@
-"""Where results of things outside the engine come in: program runs by a pluggable runner, prompts, scripted replies."""
+"""Where results of things outside the engine come in: program runs by a pluggable runner, prompts, replies of a pluggable model."""
 
 from __future__ import annotations
 
+import re
+import resource
+import shutil
 import subprocess
 import sys
 import tempfile
@@ -14,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.noisy_json import first_object
+from .verdicts import case_status
+
 
 class Outcome(NamedTuple):
     stdout: str
@@ -27,21 +33,61 @@ class Outcome(NamedTuple):
 Runner = Callable[[str, str, Iterator[str], float], Iterator[Outcome]]
 
 
-def local_python(code: str, language: str, inputs: Iterator[str], seconds: float) -> Iterator[Outcome]:
-    """Runs trusted Python in a process of its own for each input, without isolation. For other code pass a sandbox's runner."""
-    if language != "python":
+class CompileError(ValueError):
+    """The program does not compile; its run has status CE."""
+
+
+def local_program(memory_mb: int = 512, compiler: str = "g++") -> Runner:
+    """A runner of trusted Python and C++ in a process of its own for each input, under a limit of memory, without isolation.
+
+    For other code pass a sandbox's runner. A C++ program is compiled once for all its inputs.
+    """
+
+    def limited() -> None:
+        resource.setrlimit(resource.RLIMIT_AS, (memory_mb << 20, memory_mb << 20))
+
+    def command(folder: str, code: str, language: str) -> list[str]:
+        if language == "python":
+            Path(folder, "main.py").write_text(code, encoding="utf-8")
+            return [sys.executable, "-I", str(Path(folder, "main.py"))]
+        if language == "cpp" and shutil.which(compiler):
+            Path(folder, "main.cpp").write_text(code, encoding="utf-8")
+            made = subprocess.run([compiler, "-O2", "-std=c++17", "main.cpp", "-o", "main"], cwd=folder, capture_output=True, text=True, timeout=60, check=False)
+            if made.returncode:
+                raise CompileError(made.stderr[:500])
+            return [str(Path(folder, "main"))]
         raise ValueError(f"no local runner for {language}")
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder, "main.py")
-        path.write_text(code, encoding="utf-8")
-        for text in inputs:
-            began = time.perf_counter()
-            spent = lambda: int(1000 * (time.perf_counter() - began))  # noqa: B023, E731
-            try:
-                done = subprocess.run([sys.executable, "-I", str(path)], input=text, capture_output=True, text=True, timeout=seconds, cwd=folder, check=False)
-                yield Outcome(done.stdout, done.returncode, False, False, spent())
-            except subprocess.TimeoutExpired:
-                yield Outcome("", -1, True, False, spent())
+
+    def run(code: str, language: str, inputs: Iterator[str], seconds: float) -> Iterator[Outcome]:
+        with tempfile.TemporaryDirectory() as folder:
+            program = command(folder, code, language)
+            for text in inputs:
+                began = time.perf_counter()
+                try:
+                    done = subprocess.run(program, input=text, capture_output=True, text=True, timeout=seconds, cwd=folder, check=False, preexec_fn=limited)  # noqa: PLW1509
+                    # Out of memory shows as an allocation that failed, or as a kill by the system.
+                    over = done.returncode != 0 and (re.search("MemoryError|bad_alloc|Cannot allocate memory", done.stderr) is not None or done.returncode == -9)
+                    yield Outcome(done.stdout, done.returncode, False, over, int(1000 * (time.perf_counter() - began)))
+                except subprocess.TimeoutExpired:
+                    yield Outcome("", -1, True, False, int(1000 * (time.perf_counter() - began)))
+
+    return run
+
+
+local_python = local_program(4096)
+
+
+def agrees(got: str, want: str, tolerance: float = 1e-6) -> bool:
+    """Whether a run may go on: equal tokens, or numbers within the tolerance. The verdict itself is a column of ``compare``."""
+    a, b = got.split(), want.split()
+
+    def near(x: str, y: str) -> bool:
+        try:
+            return abs(float(x) - float(y)) <= tolerance * max(1.0, abs(float(y)))
+        except ValueError:
+            return False
+
+    return len(a) == len(b) and all(x == y or near(x, y) for x, y in zip(a, b, strict=True))
 
 
 def run_programs(programs: DataFrame, cases: DataFrame, runner: Runner, abort: bool = True) -> DataFrame:
@@ -49,8 +95,8 @@ def run_programs(programs: DataFrame, cases: DataFrame, runner: Runner, abort: b
 
     ``programs``: candidate, pid, language, code, seconds. ``cases``: pid, ord, input,
     expected. A candidate's cases run in order in one task; with ``abort`` they stop at
-    the first that does not run or whose tokens differ. A runner that raises gives one
-    row with the error and fails no task.
+    the first that does not run or whose output differs, even as numbers. A runner that
+    raises gives one row with the error and fails no task.
     """
     bundle = F.array_sort(F.collect_list(F.struct("ord", "input", "expected")))
     rows = programs.join(cases.groupBy("pid").agg(bundle.alias("cases")), "pid").repartition("candidate")
@@ -65,7 +111,7 @@ def run_programs(programs: DataFrame, cases: DataFrame, runner: Runner, abort: b
                     results = runner(row["code"], row["language"], (c["input"] for c in row["cases"]), row["seconds"])
                     for case, got in zip(row["cases"], results):  # noqa: B905  the runner may stop early
                         out.append((row["candidate"], case["ord"], *got, case["expected"], None))
-                        if abort and (got.timed_out or got.over_memory or got.exit_code or got.stdout.split() != case["expected"].split()):
+                        if abort and (got.timed_out or got.over_memory or got.exit_code or not agrees(got.stdout, case["expected"])):
                             break
                 except Exception as e:  # noqa: BLE001  whatever a runner raises belongs in its row
                     out.append((row["candidate"], None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
@@ -77,6 +123,65 @@ def run_programs(programs: DataFrame, cases: DataFrame, runner: Runner, abort: b
     return rows.select("candidate", "language", "code", "seconds", "cases").mapInArrow(run, ddl)
 
 
+def run_status(runs: DataFrame, equal: Column) -> DataFrame:
+    """Runs with their status; a program that doesn't compile is CE and one that couldn't be run SE, as their only case."""
+    status = case_status(F.col("timed_out"), F.col("over_memory"), F.col("exit_code"), equal)
+    failed = F.when(F.col("error").startswith("CompileError"), "CE").otherwise("SE")
+    return runs.withColumns({"status": F.when(F.col("error").isNotNull(), failed).otherwise(status), "ord": F.coalesce("ord", F.lit(0))})
+
+
+class Reply(NamedTuple):
+    text: str
+    prompt_tokens: int
+    completion_tokens: int
+
+
+#: A model: system prompt, user prompt and budget (LOW or HIGH) to a reply. It must be safe to call again, as tasks are retried.
+Model = Callable[[str, str, str], Reply]
+
+
+def asked(prompts: DataFrame, key: list[str], model: Model, needs_object: bool = True) -> DataFrame:
+    """Each prompt's reply: key, reply, prompt_tokens, completion_tokens, calls, error.
+
+    ``prompts``: key, system, user, budget. A reply on a low budget in which no JSON
+    object can be found is asked for once more on the high one. A model that raises gives a
+    row with the error and fails no task.
+    """
+    fields = [prompts.schema[k] for k in key]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", reply string, prompt_tokens long, completion_tokens long, calls int, error string"
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.select(["system", "user", "budget"]).to_pylist():
+                text, used, calls, error = None, [0, 0], 0, None
+                try:
+                    for budget in [row["budget"], *(["HIGH"] if row["budget"] == "LOW" and needs_object else [])]:
+                        got = model(row["system"], row["user"], budget)
+                        text, calls = got.text, calls + 1
+                        used = [used[0] + got.prompt_tokens, used[1] + got.completion_tokens]
+                        if not needs_object or first_object(text) is not None:
+                            break
+                except Exception as e:  # noqa: BLE001  whatever a model raises belongs in its row
+                    error = f"{type(e).__name__}: {e}"
+                out.append((text, *used, calls, error))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            made = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), *made], names=[*key, "reply", "prompt_tokens", "completion_tokens", "calls", "error"])
+
+    return prompts.select(*key, "system", "user", "budget").mapInArrow(run, ddl)
+
+
+def script(routes: list[tuple[str, str]]) -> Model:
+    """A model that answers with the reply of the first keyword that the prompt contains; characters stand for tokens."""
+
+    def answer(system: str, user: str, budget: str) -> Reply:
+        text = next((reply for keyword, reply in routes if keyword in system + user), "")
+        return Reply(text, len(system) + len(user), len(text))
+
+    return answer
+
+
 def scripted(prompts: DataFrame, routes: DataFrame) -> DataFrame:
     """Each prompt with the reply of the first route whose keyword it contains; characters stand for tokens.
 

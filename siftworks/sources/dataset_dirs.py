@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import comparison_mode, language
-from ..operators.validate import derived_labels, overlay
+from ..functions.text import case_bytes, comparison_mode, language, ordered_digest
+from ..operators import select
+from ..operators.validate import derived_labels, overlay, stale
+from ..session import cut
 
 META = "id string, difficulty int, tags array<string>, comparison string, time_limit_seconds double, memory_limit_bytes long"
 CASE = "input string, expected string"
@@ -123,9 +127,117 @@ def write_problems(problem_rows: DataFrame, cases: DataFrame, root: str) -> None
     cases.repartitionByRange("pid", "ord").sortWithinPartitions("pid", "ord").write.mode("overwrite").parquet(f"{root}/case")
 
 
-def manifest(config: dict, **stages: DataFrame) -> str:
-    """Settings and the small aggregate of each stage as JSON."""
-    return json.dumps({"config": config, **{name: [r.asDict(True) for r in df.collect()] for name, df in stages.items()}}, ensure_ascii=False, sort_keys=True, default=str)
+#: Columns of a verified row that meta.json holds, under these names.
+META_COLUMNS = {
+    "name": "name", "source_name": "source", "cf_rating": "difficulty", "difficulty_name": "difficulty_name", "difficulty_bin": "difficulty_bin", "difficulty_bin_source": "difficulty_bin_source", "primary_category": "category", "category_source": "category_source",
+    "category_matched": "category_matched", "categories_all": "categories_all", "cf_tags": "tags", "taco_tags": "taco_tags", "taco_skill_types": "taco_skill_types", "taco_difficulty": "taco_difficulty", "taco_match": "taco_match", "taco_url": "taco_url",
+    "time_limit_seconds": "time_limit_seconds", "time_limit_source": "time_limit_source", "memory_limit_bytes": "memory_limit_bytes", "comparison": "comparison", "n_python3_solutions": "n_python3_solutions",
+}
+
+
+def export_problems(rows: DataFrame, public: str, private: str, most_cases: int = 30, most_field_bytes: int = 32 << 10, most_bytes: int = 256 << 10) -> DataFrame:
+    """A directory for each verified problem: problem.md, meta.json, tests.json and reference.py; verification.json in the private tree.
+
+    ``rows``: cc_id, description, tests of each origin, code, attempts, max_ms and the
+    columns of ``META_COLUMNS``. The cases are the longest prefix of the selected ones that fits.
+    Both roots are folders that all executors can write to as files; each file is written
+    under another name first, so a task that is run again leaves whole files. Returns cc_id,
+    n_cases, bytes and the cases' digest.
+    """
+    from ..operators.gate import ORIGINS
+
+    rows = cut(rows)
+    origins = F.array(*(F.struct(F.lit(o).alias("origin"), F.coalesce(F.col(f"{o}_tests"), F.array().cast(rows.schema[f"{o}_tests"].dataType)).alias("tests")) for o in ORIGINS))
+    each = rows.select(F.col("cc_id").alias("pid"), F.explode(origins).alias("o")).select("pid", "o.origin", F.posexplode("o.tests").alias("ord", "t")).select("pid", "origin", "ord", "t.input", "t.output")
+    picked = select.select_cases(each, most_cases, most_field_bytes)
+    size = F.octet_length("input") + F.octet_length("output")
+    picked = select.bounded_prefix(picked, ["pid"], ["position"], size, most_cases, most_bytes)
+    cases = picked.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("position", "input", F.col("output").alias("expected"), "origin"))).alias("cases"))
+    empty = F.array().cast(cases.schema["cases"].dataType)
+    both = rows.withColumnRenamed("cc_id", "pid").join(cases, "pid", "left").withColumn("cases", F.coalesce("cases", empty))
+    tests = F.to_json(F.transform("cases", lambda c: F.struct(c["input"].alias("input"), c["expected"].alias("expected"))))
+    digest = ordered_digest("cases")
+    of = lambda o: F.size(F.filter("cases", lambda c: c["origin"] == o))
+    by_origin = F.map_from_arrays(F.array(*map(F.lit, ORIGINS)), F.array(*map(of, ORIGINS)))
+    made_of = F.struct(F.size("cases").alias("total"), by_origin.alias("by_origin"), digest.alias("cases_digest"))
+    given = [F.col(c).alias(n) for c, n in META_COLUMNS.items() if c in rows.columns]
+    meta = F.to_json(F.struct(F.col("pid").alias("id"), *given, made_of.alias("tests"), F.struct(F.lit("python").alias("language"), F.sha2("code", 256).alias("sha256"), F.lit(True).alias("verified")).alias("reference")))
+    proof = F.to_json(F.struct(F.col("pid").alias("pid"), "comparison", "attempt", "max_ms", F.size("attempts").alias("tried"), F.transform("attempts", lambda a: F.struct(a["attempt"].alias("attempt"), a["verdict"].alias("verdict"))).alias("attempts")))
+    files = both.select("pid", F.coalesce("description", F.lit("")).alias("problem_md"), meta.alias("meta_json"), tests.alias("tests_json"), F.col("code").alias("reference_py"), proof.alias("verification_json"), F.size("cases").alias("n_cases"), case_bytes("cases").alias("bytes"), digest.alias("digest"))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                for name in ("problem.md", "meta.json", "tests.json", "reference.py", "verification.json"):
+                    place = Path(private if name == "verification.json" else public, row["pid"], name)
+                    place.parent.mkdir(parents=True, exist_ok=True)
+                    part = place.with_name(f"{name}.{uuid.uuid4().hex}.part")
+                    part.write_text(row[name.replace(".", "_")], encoding="utf-8")
+                    part.replace(place)
+            yield batch.select(["pid", "n_cases", "bytes", "digest"]).rename_columns(["cc_id", "n_cases", "bytes", "digest"])
+
+    return cut(files.mapInArrow(run, "cc_id string, n_cases int, bytes long, digest string"))
+
+
+def _filesystem(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the driver's, in any store that Spark writes."""
+    system, place = _filesystem(spark, path)
+    out = system.create(place, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def prune(spark: SparkSession, root: str, keep: DataFrame, delete: bool = False) -> list[str]:
+    """Problem directories under the root that are not in ``keep`` (pid), by name; with ``delete`` those that could not be removed.
+
+    The listing is the driver's; files beside the directories are left alone.
+    """
+    system, place = _filesystem(spark, root)
+    present = [(s.getPath().getName(),) for s in system.listStatus(place) if s.isDirectory()]
+    found = sorted(r[0] for r in stale(spark.createDataFrame(present, "pid string"), keep, "pid").collect())
+    if not delete:
+        return found
+    return [name for name in found if not system.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, name), True)]
+
+
+def manifest(config: dict, most: int = 10_000, **stages: DataFrame) -> str:
+    """Settings and the small aggregate of each stage as JSON; a stage of more rows than ``most`` is refused."""
+    out: dict = {"config": config}
+    for name, df in stages.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"stage {name} is no small aggregate")
+        out[name] = [r.asDict(True) for r in rows]
+    return json.dumps(out, ensure_ascii=False, sort_keys=True, default=str)
+
+
+def tests_file(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, input, expected) of one file of tests."""
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{CASE}>>")).alias("ord", "c")).select("ord", F.coalesce("c.input", F.lit("")).alias("input"), F.coalesce("c.expected", F.lit("")).alias("expected"))
+
+
+def reference_file(spark: SparkSession, path: str) -> DataFrame:
+    """(code, language) of one source file, by its ending."""
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("code"), F.lit("cpp" if path.endswith((".cpp", ".cc", ".cxx")) else "python").alias("language"))
+
+
+def solution_file(spark: SparkSession, path: str) -> DataFrame:
+    """(steps, code, language) of one solution file in its full or short form."""
+    return solutions(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")).select("steps", "code", "language")
+
+
+def bundles(spark: SparkSession, root: str, most_memory_mb: int) -> DataFrame:
+    """Problems with a reference and their tests as one row each, with the memory that a run of them gets."""
+    cases = test_cases(spark, root).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("ord", "input", "expected"))).alias("cases"))
+    rows = problems(spark, root).where("reference is not null").join(cases, "pid")
+    return rows.withColumn("memory_mb", memory_limit(F.nullif("memory_limit_mb", F.lit(0)), most_memory_mb))
 
 
 def read_pool(spark: SparkSession, path: str, schema: str, passed_only: bool = False) -> DataFrame:

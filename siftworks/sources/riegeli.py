@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # ---- Fixed values of the format. ----
 BLOCK, BLOCK_HEADER, CHUNK_HEADER = 1 << 16, 24, 40
@@ -125,18 +126,42 @@ def _shard(c) -> tuple:
     return split.alias("split"), F.coalesce(number.try_cast("int"), F.lit(0)).alias("shard")
 
 
-def scan_records(spark: SparkSession, path: str, pattern: str = "*.riegeli*", ids: DataFrame | None = None, skip_transposed: bool = True) -> DataFrame:
+SPLITS = ("train", "valid", "test")
+
+
+def shards(spark: SparkSession, path: str, pattern: str = "*.riegeli*", train_shards: int | None = None) -> DataFrame:
+    """(split, shard, path, ord) of the record files, training files first; of those at most the first ``train_shards``.
+
+    Only the listing is read, no content.
+    """
+    listed = _files(spark, path, pattern).select("path", *_shard(F.col("path")))
+    rank = F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split"))
+    nth = F.row_number().over(Window.partitionBy("split").orderBy("shard", "path"))
+    out = listed.withColumn("_n", nth)
+    if train_shards is not None:
+        out = out.where((F.col("split") != "train") | (F.col("_n") <= train_shards))
+    return out.select("split", "shard", "path", (F.when(rank == 0, len(SPLITS)).otherwise(rank - 1) * 1_000_000 + F.col("_n")).cast("long").alias("ord"))
+
+
+def scan_records(spark: SparkSession, path: str, pattern: str = "*.riegeli*", ids: DataFrame | None = None, skip_transposed: bool = True, train_shards: int | None = None) -> DataFrame:
     """(split, shard, record_index, raw) of every record, or of those in ``ids`` (split, shard, record_index).
 
-    With ids, files without a wanted record are not decoded: the ids are grouped by
-    shard and joined to the file list before any content is unpacked.
+    Files are chosen by name before any is read: with ids only those that have a wanted
+    record, with ``train_shards`` only the first so many of the training split. The chosen
+    paths come to the driver, which holds the listing anyway. A file is one unit of work, so
+    it can have 2 GB at most.
     """
-    files = _files(spark, path, pattern).select(*_shard(F.col("path")), "content")
-    if ids is not None:
-        wanted = ids.groupBy("split", "shard").agg(F.collect_set("record_index").alias("wanted"))
-        files = files.join(wanted, ["split", "shard"])
+    wanted = None if ids is None else ids.groupBy("split", "shard").agg(F.collect_set("record_index").alias("wanted"))
+    if ids is None and train_shards is None:
+        content = _files(spark, path, pattern)
     else:
-        files = files.withColumn("wanted", F.lit(None).cast("array<int>"))
+        chosen = shards(spark, path, pattern, train_shards)
+        if wanted is not None:
+            chosen = chosen.join(wanted.select("split", "shard"), ["split", "shard"], "left_semi")
+        paths = [r[0] for r in chosen.orderBy("ord").select("path").collect()]
+        content = spark.read.format("binaryFile").load(paths).select("path", "content") if paths else spark.createDataFrame([], "path string, content binary")
+    files = content.select(*_shard(F.col("path")), "content")
+    files = files.withColumn("wanted", F.lit(None).cast("array<int>")) if wanted is None else files.join(wanted, ["split", "shard"])
 
     def run(batches):
         for batch in batches:
