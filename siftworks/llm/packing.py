@@ -13,8 +13,8 @@ for, so a length that a third of all rows share is numbered by many tasks.
 What the driver sends out is the patterns. Each of them leaves some length with less
 than half of its rest, so a length k ends at most log2(4096 / k) + 2 patterns, and a bin
 has at most 90 distinct lengths: 14,000 patterns and 41 MB at the very most, whatever the
-rows; 0.3 to 1.5 MB as measured. Counts per part are one for each length and each
-million rows.
+rows; 0.3 to 1.5 MB as measured. Counts per part are at most 16 for each length, and one
+for each further million rows.
 
 Defined results: null and empty texts are the closing id alone (length 1); strings of
 special tokens in a text are those tokens, as the tokenizer has it; repeated rows are
@@ -40,18 +40,77 @@ from .common import cut, map_texts, table
 CAPACITY = 4096
 CLOSING = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Rows of one length that one part numbers.
-PART_ROWS = 1_000_000
+#: Rows of one length that one part numbers; a length of more than a few rows has some parts all the same.
+PART_ROWS, FEW_ROWS, FEW_PARTS = 1_000_000, 256, 16
 #: Distinct words whose ids a process remembers in each of two generations.
 REMEMBERED = 150_000
 
 # Characters whose handling is the same in every version of Unicode: texts made of
 # these are split here, all others by the tokenizer itself.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa0-įı-ɏ]*\Z")
-_LETTER = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
-# The tokenizer's own split pattern (fixed value), for those characters.
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+def _classes() -> np.ndarray:
+    """White space 0, letter 1, number 2, other 3, of the characters that ``_PLAIN`` allows."""
+    kinds = np.full(0x250, 3, np.uint8)
+    for c in range(0x250):
+        ch = chr(c)
+        kinds[c] = 0 if ch.isspace() and c not in range(0x1C, 0x20) else 1 if ch.isalpha() else 2 if ch.isnumeric() else 3
+    return kinds
+
+
+_CLASS = _classes()
+#: What follows an apostrophe that begins a word of its own (fixed values of the tokenizer's pattern).
+_AFTER_APOSTROPHE = ("s", "t", "m", "d", "re", "ve", "ll")
+_MIX = np.random.default_rng(8).integers(1 << 63, size=0x250, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word of lower-cased plain text, as the tokenizer splits it: letters together, numbers one by
+    one, anything else together, and some endings with the apostrophe before them."""
+    kind = _CLASS[codes]
+    before = np.concatenate([[0], kind[:-1]])
+    begins = (kind > 0) & ((kind != before) | (kind == 2))
+    quotes = np.flatnonzero(begins & (codes == 0x27))
+    if len(quotes):
+        padded = np.concatenate([codes, [0, 0, 0]])
+        for ending in _AFTER_APOSTROPHE:
+            n = len(ending)
+            at = quotes[np.all([padded[quotes + 1 + j] == ord(ch) for j, ch in enumerate(ending)], axis=0)]
+            begins[at + 1] = False
+            rest = at + 1 + n
+            rest = rest[rest < len(codes)]
+            begins[rest[kind[rest] == 1]] = True
+            quotes = np.setdiff1d(quotes, at, assume_unique=True)
+    edges = np.flatnonzero(begins | (kind == 0))
+    first = np.flatnonzero(begins)
+    at = np.searchsorted(edges, first, "right")
+    return first, np.concatenate([edges, [len(codes)]])[at]
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x)])) for x in (_BASE, _BACK))
+
+
+def alike(codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the distinct words, the place of one of each; for all words, which of those they equal.
+
+    Words are told apart by a polynomial hash, and every word is then compared with its
+    representative, so equal means equal.
+    """
+    power, inverse = _powers(1 << max(20, len(codes).bit_length()))
+    sums = _MIX[codes]
+    sums *= power[: len(codes)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sums)])
+    hashes = (sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64)
+    _, of, which = np.unique(hashes, return_index=True, return_inverse=True)
+    size = end - first
+    # Places are 32-bit: a slice of text is far smaller, and one text has at most 2**31 bytes.
+    inner = np.arange(size.sum(), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+    here, twin = (np.repeat(x.astype(np.int32), size) + inner for x in (first, first[of][which]))
+    same = np.array_equal(size, size[of][which]) and np.array_equal(codes[here], codes[twin])
+    return (of, which) if same else (np.arange(len(first)), np.arange(len(first)))
 
 
 class Encoder:
@@ -89,22 +148,45 @@ class Encoder:
         """Whether the text is split here: known characters, and no special token in it."""
         return bool(_PLAIN.match(text)) and not any(t in text for t in self.special)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [_SPLIT.findall(t.lower()) if t and self.splits(t) else None for t in texts]
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; what goes on occurring is remembered."""
         if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known  # words that go on occurring come back from the older generation
+            self.known, self.older = {}, self.known
         known, older = self.known, self.older
+        found = list(map(known.get, words))
         fresh = []
-        for w in {w for words in split if words for w in words if w not in known}:
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
+        for i in (i for i, x in enumerate(found) if x is None):
+            if (ids := older.get(words[i])) is not None:
+                known[words[i]] = found[i] = ids
             else:
-                fresh.append(w)
-        for i in range(0, len(fresh), 1_000):
-            part = fresh[i : i + 1_000]
-            known.update(zip(part, self.words(part), strict=True))
-        get = known.__getitem__
-        return [b"" if not t else b"".join(map(get, words)) if words is not None else self.whole([t])[0] for t, words in zip(texts, split, strict=True)]
+                fresh.append(i)
+        for k in range(0, len(fresh), 1_000):
+            part = fresh[k : k + 1_000]
+            for i, ids in zip(part, self.words([words[i] for i in part]), strict=True):
+                known[words[i]] = found[i] = ids
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        plain = [i for i, t in enumerate(texts) if t and self.splits(t)]
+        out = [b"" if not t else None for t in texts]
+        if plain:
+            # All plain texts as one, with a space between; a text's words are those up to its end.
+            flat = "\n".join([texts[i] for i in plain]).lower()
+            codes = np.frombuffer(flat.encode("utf-32-le"), "<u4")
+            first, end = split(codes)
+            of, which = alike(codes, first, end)
+            ids = self.ids_of([flat[a:b] for a, b in zip(first[of].tolist(), end[of].tolist(), strict=True)])
+            size = np.array([len(x) // 4 for x in ids], np.int64)
+            all_ids = np.frombuffer(b"".join(ids), "<u4")
+            begin = (np.cumsum(size) - size)[which]
+            size = size[which]
+            made = all_ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
+            upto = np.concatenate([[0], np.cumsum(size)])
+            edges = np.cumsum([len(texts[i]) + 1 for i in plain])
+            last = upto[np.searchsorted(first, edges)]
+            for i, a, b in zip(plain, [0, *last[:-1].tolist()], last.tolist(), strict=True):
+                out[i] = made[4 * a : 4 * b]
+        return [self.whole([t])[0] if x is None else x for t, x in zip(texts, out, strict=True)]
 
 
 @lru_cache(1)
@@ -196,11 +278,12 @@ def pack(found: DataFrame, capacity: int = CAPACITY, keep: tuple[str, ...] = ("d
     # Rows get a number of their own before they are kept: it deals equal rows over the parts, and stays as it is.
     found = cut(found.select(*names, F.monotonically_increasing_id().alias("_row")))
     count = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # at most one row for each length
-    parts = found.sparkSession.createDataFrame([(n, -(-c // PART_ROWS)) for n, c in count.items()], "length long, _parts int")
+    parts_of = {n: max(-(-c // PART_ROWS), min(FEW_PARTS, -(-c // FEW_ROWS))) for n, c in count.items()}
+    parts = found.sparkSession.createDataFrame(list(parts_of.items()), "length long, _parts int")
     dealt = found.join(F.broadcast(parts), "length").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int"))
     before: dict[int, np.ndarray] = {}  # of each part of a length: pieces of that length in earlier parts
     for r in dealt.groupBy("length", "_part").count().collect():
-        before.setdefault(r[0], np.zeros(-(-count[r[0]] // PART_ROWS) + 1, np.int64))[r[1] + 1] = r[2]
+        before.setdefault(r[0], np.zeros(parts_of[r[0]] + 1, np.int64))[r[1] + 1] = r[2]
     before = {n: x.cumsum() for n, x in before.items()}
     # Each length of a pattern takes a run of ranks: first rank, first sequence, offset, uses of the pattern.
     runs: dict[int, list[tuple[int, int, int, int]]] = {}
