@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import reports
-from .config import settings
+from .config import load, settings
 from .operators import agents, external, metrics
 from .plans import build
 from .session import session
@@ -77,8 +77,7 @@ def benchmark(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def build_(spark: SparkSession, args: argparse.Namespace) -> None:
-    given = json.loads(Path(args.settings).read_text(encoding="utf-8")) if args.settings else {}
-    work = build.Build(spark, args.records, args.labels, args.work, settings(given), args.oversample, args.train_shards)
+    work = build.Build(spark, args.records, args.labels, args.work, load(args.settings) if args.settings else settings(), args.oversample, args.train_shards)
     for stage in build.STAGES[build.STAGES.index(args.first) : build.STAGES.index(args.last) + 1]:
         if stage == "verify":
             passed, rejects = work.verified(external.local_program(args.memory))
@@ -118,7 +117,7 @@ def parser() -> argparse.ArgumentParser:
     p = verbs.choices["build"]
     for flag in ("--records", "--labels", "--work", "--public", "--private"):
         p.add_argument(flag, required=True)
-    p.add_argument("--settings", help="JSON file")
+    p.add_argument("--settings", help="JSON or YAML file")
     p.add_argument("--first", choices=build.STAGES, default=build.STAGES[0])
     p.add_argument("--last", choices=build.STAGES, default=build.STAGES[-1])
     p.add_argument("--oversample", type=float, default=1.4)

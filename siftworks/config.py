@@ -6,6 +6,7 @@ import json
 import os
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, fields, replace
+from pathlib import Path
 
 from .functions.classify import CATEGORIES, RATING_BINS
 from .operators.gate import GateLimits
@@ -54,6 +55,16 @@ class Settings:
         return json.dumps(asdict(self), sort_keys=True)
 
 
+def load(path: str, environment: Mapping[str, str] | None = None) -> Settings:
+    """Settings from a JSON or YAML file; YAML needs the ``yaml`` module."""
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith((".yaml", ".yml")):
+        import yaml  # optional; only files of that kind need it
+
+        return settings(yaml.safe_load(text) or {}, environment)
+    return settings(json.loads(text), environment)
+
+
 def settings(given: Mapping | None = None, environment: Mapping[str, str] | None = None, prefix: str = "SIFTWORKS_") -> Settings:
     """Defaults, overlaid by nested values and then by variables such as ``SIFTWORKS_SAMPLING_TARGET``. Unknown names raise."""
     out = Settings()

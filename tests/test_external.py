@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from siftworks.config import settings
+from siftworks.config import load, settings
 from siftworks.functions import noisy_json
 from siftworks.operators import external, verdicts
 
@@ -41,6 +41,15 @@ def test_script_and_prompt(spark):
     assert made == '{"k": 1} please solve and check'
 
 
+def test_settings_file(tmp_path):
+    (tmp_path / "s.json").write_text('{"output": {"max_cases": 7}}')
+    assert load(str(tmp_path / "s.json"), {}).output.max_cases == 7
+    pytest.importorskip("yaml")
+    (tmp_path / "s.yaml").write_text("sampling:\n  target: 9\n  categories: [DP, Graph]\n")
+    made = load(str(tmp_path / "s.yaml"), {})
+    assert made.sampling.target == 9 and made.sampling.categories == ("DP", "Graph")
+
+
 def test_settings():
     made = settings({"sampling": {"target": 5}}, {"SIFTWORKS_SAMPLING_SEED": "7", "SIFTWORKS_GATES_REQUIRE_STDIO": "false"})
     assert (made.sampling.target, made.sampling.seed, made.gates.require_stdio) == (5, 7, False)
