@@ -75,6 +75,8 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: What a frame tag, a frame name, a faint name beside others, and being hidden leave of a score.
 FRAME_TAG, FRAME, FAINT, HIDDEN = 0.003, 0.01, 0.5, 0.0001
+#: What marks leave at least, however many lie on a path.
+LEAST = 1e-9
 #: Shares of the best score that a content path has, and of the best path's weight that a path among them has.
 CONTENT, WITHIN = 0.1, 0.3
 #: Share of the content's text that the container holds.
@@ -99,7 +101,8 @@ class Page:
             found = self.known[key] = len(self.parent)
             self.parent.append(above)
             self.tag.append(tag)
-            self.weight.append(self.weight[above] * weight)
+            both = self.weight[above] * weight
+            self.weight.append(max(both, LEAST) if both else 0.0)
             self.article.append(self.article[above] or tag in ARTICLE_TAGS)
         return found
 

@@ -31,6 +31,7 @@ ARTICLE = "<article><h1>Title</h1><p>One, two. Three, four.</p></article>"
         ('<p title="a>b">x &lt;y&gt; 3 < 4, z.</p><!-- a > b --><![CDATA[ <p>no</p> ]]>', "x <y> 3 < 4, z."),
         ('<article><p>a, <span hidden>no</span>b.</p><div style="display: none">no, no.</div></article>', "a, b."),
         ("<p>text, here.</p><a href='x", "text, here."),
+        ("<div class=widget>" * 300 + "<p>Deep, but there. It reads, as it should.</p>" + "</div>" * 300, "Deep, but there. It reads, as it should."),
     ],
 )
 def test_pages(page, want):
