@@ -155,6 +155,7 @@ def q17_compare_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, sha256(string_agg(role || chr(30) || text || chr(29), '' ORDER BY turn, role, text)) AS digest, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id""")
 def q26_ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group is one conversation, so a list has a conversation's turns."""
     turns = table(spark, sf_dir, "conversations")
     cases = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     return turns.groupBy("conv_id").agg(text.ordered_digest(cases, "role", "text").alias("digest"), F.count("*").alias("n"))
