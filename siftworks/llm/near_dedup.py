@@ -17,15 +17,15 @@ From signatures to classes:
    members makes n - 1 candidates.
 3. Candidates are verified on the whole texts: Jaccard of their shingle sets of at
    least the threshold.
-4. Links form components. What hubs tie together at a lower similarity is a group, and
-   so is each bucket with a member too far from its hub for that. Members of a group
-   outside its largest component are held against all of its members, in blocks.
+4. Links form components. A hub and the mates of all its buckets are a group; members
+   of a group outside its largest component are held against all of its members, in
+   blocks: by their signatures first, then by the texts of those that may be near.
 
-Of two texts in one bucket, either both are tied to its hub, and so are in one group, or
-the bucket is a group itself. In that group they are in one component, or one of them is
-held against the other. So no link is lost to the choice of hub; what remains is the
-chance that a pair shares no bucket (3e-6 at 0.8) or is ruled out by its signatures (see
-``SIGMAS``), each less above 0.8, and that a shingle's 64-bit hash is another's.
+Two texts of one bucket are in its hub's group. There they are in one component, or one
+of them is held against the other. So no link is lost to the choice of hub; what remains
+is the chance that a pair shares no bucket (3e-6 at 0.8) or is ruled out by its
+signatures (see ``SIGMAS``), each less above 0.8, and that a shingle's 64-bit hash is
+another's.
 
 Nodes, links and components stay in the cluster. Defined results: a text of fewer than
 five words is one shingle; texts without words are copies only of equal texts; a null
@@ -50,11 +50,9 @@ WORDS = 5
 THRESHOLD = 0.8
 #: 24 bands of 4: a pair at 0.8 shares no bucket with probability 3e-6.
 BANDS, ROWS = 24, 4
-#: Pairs of at least this share of the threshold tie a neighbourhood together.
-NEIGHBOURHOOD = 0.6
 #: Strays that a task holds at most, by rows and by bytes of text, and members that it streams past them.
 STRAY_BLOCK, BLOCK_BYTES, MEMBER_CHUNK = 1_000, 4 << 20, 5_000
-#: Smaller cells than these are made of groups that have few, of so many rows.
+#: Rows of a block or chunk where a group has few of them.
 FINE = 128
 #: Signatures that agree on fewer coordinates than so many deviations below the threshold rule a pair out: at 96
 #: coordinates and 0.8, under 58 of them, which a pair at exactly 0.8 has with probability 3e-6.
@@ -240,41 +238,43 @@ def similarities(pairs: DataFrame, texts: DataFrame, size: int = WORDS, weighted
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, j double")
 
 
-KEY = ["kind", "group"]
-CELL = [*KEY, "block", "chunk"]
+CELL = ["group", "block", "chunk"]
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, carried: DataFrame, blocks: int = 1, chunks: int = 1) -> DataFrame:
     """Each group's strays against its members, as cells: a block of strays (role 0), then a chunk of members (role 1).
 
-    The members of a group outside its largest component are its strays; groups of one
-    component have no cells. A large group has many cells, each bounded by rows and by
-    the strays' bytes, so that none is one task's work.
+    ``rows``: group, node, root; ``carried``: what goes along with a node. The members of
+    a group outside its largest component are its strays; groups of one component have no
+    cells. A large group has many cells, each bounded by rows and by the strays' bytes, so
+    that none is one task's work. Groups that one cell could hold are dealt over up to so
+    many blocks and chunks all the same, which copies their rows.
     """
-    size = F.octet_length("text") if "text" in rows.columns else F.lit(0)
-    parts = rows.groupBy(*KEY, "root").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
-    sizes = parts.groupBy(*KEY).agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > top.n")
+    size = F.col("size") if "size" in rows.columns else F.lit(0)
+    parts = rows.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    sizes = parts.groupBy("group").agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > top.n")
     some = lambda n, few, most: F.greatest(F.least(F.ceil(n / FINE), F.lit(few)), F.ceil(n / most))
-    blocks = F.greatest(some(F.col("n") - F.col("top.n"), 4, STRAY_BLOCK), F.ceil((F.col("bytes") - F.col("top.bytes")) / BLOCK_BYTES))
-    sizes = sizes.select(*KEY, F.col("top.root").alias("main"), blocks.cast("int").alias("blocks"), some(F.col("n"), 24, MEMBER_CHUNK).cast("int").alias("chunks"))
-    rows = rows.join(sizes, KEY)
+    blocked = F.greatest(some(F.col("n") - F.col("top.n"), blocks, STRAY_BLOCK), F.ceil((F.col("bytes") - F.col("top.bytes")) / BLOCK_BYTES))
+    sizes = sizes.select("group", F.col("top.root").alias("main"), blocked.cast("int").alias("blocks"), some(F.col("n"), chunks, MEMBER_CHUNK).cast("int").alias("chunks"))
+    rows = rows.join(sizes, "group").join(carried, "node")
     at = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = [*CELL, "role", "node", "root", "signature", *(["text"] if "text" in rows.columns else [])]
+    columns = [*CELL, "role", "node", "root", *(c for c in carried.columns if c != "node")]
     strays = rows.where("root <> main").withColumns({"role": F.lit(0), "block": at(1, "blocks")}).withColumn("chunk", all_of("chunks"))
     members = rows.withColumns({"role": F.lit(1), "chunk": at(2, "chunks")}).withColumn("block", all_of("blocks"))
     return strays.select(columns).unionByName(members.select(columns)).repartition(*CELL).sortWithinPartitions(*CELL, "role")
 
 
-def stray_links(nodes: DataFrame, texts: DataFrame, threshold: float, size: int = WORDS, weighted: bool = False) -> DataFrame:
+def stray_links(placed: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, size: int = WORDS, weighted: bool = False) -> DataFrame:
     """Links between different components of one group that no hub has made.
 
-    ``nodes``: kind, group, node, signature, root (component so far). Strays are a query
-    set against all members of their group, in blocks. First the signatures alone are
-    compared: they tell which nodes are worth an exact comparison, and only the texts of
-    those are sent. A task then gives only links that join components, so at most as
-    many as it has strays and components.
+    ``placed``: group, node, root (component so far); ``nodes``: node, signature. Strays
+    are a query set against all members of their group, in blocks. First the signatures
+    alone are compared: they tell which nodes are worth an exact comparison, and only the
+    texts of those are sent. A task then gives only links that join components, so at
+    most as many as it has strays and components.
     """
+
     def close(signatures: list[bytes], signature: bytes) -> np.ndarray:
         matrix = np.frombuffer(b"".join(signatures), "<u4").reshape(len(signatures), -1)
         least = matrix.shape[1] * (threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / matrix.shape[1]))
@@ -286,29 +286,28 @@ def stray_links(nodes: DataFrame, texts: DataFrame, threshold: float, size: int
         for whole in batches:
             for batch in slices(whole, text) if text else [whole]:
                 for row in zip(*(batch.column(c).to_pylist() for c in [*CELL, "role", "node", "root", "signature", *([text] if text else [])]), strict=True):
-                    yield row[:4] != now, row[:2], row[4:]
-                    now = row[:4]
+                    yield row[:3] != now, row[0], row[3:]
+                    now = row[:3]
 
     def worth(batches):
         held, signed, out = [], [], set()
-        for fresh, key, (role, node, root, signature) in cells(batches):
+        for fresh, group, (role, node, root, signature) in cells(batches):
             if fresh:
                 held, signed = [], []
             if role == 0:
                 held.append((node, root))
                 signed.append(signature)
                 continue
-            others = [(key, held[i][0]) for i in (close(signed, signature) if held else []) if held[i][1] != root]
+            others = [(group, held[i][0]) for i in (close(signed, signature) if held else []) if held[i][1] != root]
             if others:
-                out.update(others, [(key, node)])
+                out.update(others, [(group, node)])
             if len(out) > 100_000:
                 yield flagged(out)
                 out = set()
         yield flagged(out)
 
     def flagged(out):
-        kinds, groups, found = ([x[0][0] for x in out], [x[0][1] for x in out], [x[1] for x in out])
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(groups, pa.int64()), pa.array(found, pa.int64())], names=[*KEY, "node"])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["group", "node"])
 
     def exact(batches):
         shingler = Shingler(size)
@@ -344,9 +343,10 @@ def stray_links(nodes: DataFrame, texts: DataFrame, threshold: float, size: int
     def linked(out):
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    wanted = cut(_dealt(nodes).mapInArrow(worth, "kind int, group long, node long").distinct())
-    rows = nodes.join(wanted, [*KEY, "node"], "left_semi").join(texts, "node")
-    return _dealt(rows).mapInArrow(exact, "a long, b long")
+    wanted = _dealt(placed, nodes.select("node", "signature"), 1, 4).mapInArrow(worth, "group long, node long").distinct()
+    sized = texts.select("node", F.octet_length("text").alias("size"))
+    rows = cut(placed.join(wanted, ["group", "node"], "left_semi").join(sized, "node"))
+    return _dealt(rows, texts.join(nodes.select("node", "signature"), "node")).mapInArrow(exact, "a long, b long")
 
 
 def near_duplicates(
@@ -367,8 +367,7 @@ def near_duplicates(
     live = cut(members.join(shared, "bucket"))
     degree = live.groupBy("node").agg(F.sum("mates").alias("degree"))
     hub = live.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("b"))
-    spokes = live.join(hub, "bucket").where("node <> b")
-    stars = cut(spokes.select(F.col("node").alias("a"), "b").distinct())
+    stars = cut(live.join(hub, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
 
     needed = nodes.join(live.select("node").distinct(), "node", "left_semi").select("h1", "h2", "first_id", "node")
     # The texts of candidates are read several times, so they are written once and removed at the end.
@@ -378,18 +377,15 @@ def near_duplicates(
     links = near.where(F.col("j") >= threshold - 1e-9).select("a", "b")
     roots = cut(components(links))
 
-    # Groups in which pairs that the hubs missed may lie: what hubs tie together, and buckets with a foreign hub.
-    bound = NEIGHBOURHOOD * threshold
-    tied = components(near.where(F.col("j") >= bound).select("a", "b")).select(F.lit(0).alias("kind"), F.col("root").alias("group"), "node")
-    far = near.where(F.col("j") < bound).select(F.col("a").alias("node"), "b")
-    foreign = spokes.where("mates > 2").join(far, ["node", "b"]).select("bucket").distinct()
-    apart = live.join(foreign, "bucket", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("group"), "node")
-    placed = tied.unionByName(apart).join(nodes.select("node", "signature"), "node").join(roots, "node", "left")
-    placed = cut(placed.withColumn("root", F.coalesce("root", "node")))
-    more = cut(stray_links(placed, texts, threshold, size, weighted))
+    # Each hub and its mates, in which pairs that the hubs missed lie.
+    grouped = stars.select(F.col("b").alias("group"), F.col("a").alias("node"))
+    grouped = grouped.unionByName(stars.select(F.col("b").alias("group"), F.col("b").alias("node")).distinct())
+    placed = cut(grouped.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    more = cut(stray_links(placed, nodes, texts, threshold, size, weighted))
     discard(docs.sparkSession, place)
     if not more.isEmpty():
-        roots = cut(components(links.unionByName(more)))
+        # The components so far are stars already; only what joins them is new.
+        roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
 
     named = nodes.join(roots, "node", "left").select("h1", "h2", "first_id", F.coalesce("root", "node").alias("root"))
     named = cut(named)
