@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fold, map_texts, table
+from .common import cut, fold, map_texts, slices, table
 from .learn import Isotonic, Trees
 from .samples import FOLDS, labelled
 from .text_stats import class_counts
@@ -119,17 +119,18 @@ def _counted(sample: DataFrame) -> DataFrame:
 
     def run(batches):
         total: dict[str, list[int]] = {}
-        for batch in batches:
-            if len(total) > 200_000:  # partial sums may go out at any time
-                yield sums(total)
-                total = {}
-            for text, label, of in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
-                at = of if label else FOLDS + of
-                for key in keys_of(set(plain_words(text or "")[0])):
-                    row = total.get(key)
-                    if row is None:
-                        row = total[key] = [0] * (2 * FOLDS)
-                    row[at] += 1
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                if len(total) > 100_000:  # partial sums may go out at any time
+                    yield sums(total)
+                    total = {}
+                for text, label, of in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
+                    at = of if label else FOLDS + of
+                    for key in keys_of(set(plain_words(text or "")[0])):
+                        row = total.get(key)
+                        if row is None:
+                            row = total[key] = [0] * (2 * FOLDS)
+                        row[at] += 1
         yield sums(total)
 
     rows = once.select("r.text", "r.label", "r.fold").mapInArrow(run, "key string, " + ", ".join(f"{n} int" for n in names))
