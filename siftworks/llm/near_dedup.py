@@ -52,6 +52,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 #: Strays that a task holds at most, by rows and by bytes of text, and members that it streams past them.
 STRAY_BLOCK, BLOCK_BYTES, MEMBER_CHUNK = 1_000, 4 << 20, 5_000
+#: Parts of every bucket when its mates are counted into it, and rows of a part when it is joined with its hub.
+SALTS, SALT_ROWS = 16, 1_000
 #: Rows of a block or chunk where a group has few of them.
 FINE = 128
 #: Signatures that agree on fewer coordinates than so many deviations below the threshold rule a pair out: at 96
@@ -364,10 +366,15 @@ def near_duplicates(
 
     members = _buckets(nodes, bands, rows)
     shared = members.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
-    live = cut(members.join(shared, "bucket"))
+    # A bucket may hold a third of all nodes, and neither join can be split where one side is an aggregate: both are salted.
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    live = cut(salted.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["bucket", "salt"]).drop("salt"))
     degree = live.groupBy("node").agg(F.sum("mates").alias("degree"))
-    hub = live.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("b"))
-    stars = cut(live.join(hub, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    hub = live.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub"), F.max("mates").alias("mates"))
+    parts = F.ceil(F.col("mates") / SALT_ROWS).cast("int")
+    hub = hub.select("bucket", F.col("hub.node").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    mates = live.select("bucket", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("salt"))
+    stars = cut(mates.join(hub, ["bucket", "salt"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct())
 
     needed = nodes.join(live.select("node").distinct(), "node", "left_semi").select("h1", "h2", "first_id", "node")
     # The texts of candidates are read several times, so they are written once and removed at the end.
