@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, near_dedup, packing, quality_model, quality_rules, secret_scan, sharding, toxicity
+from . import decontaminate, exact_dedup, html_extract, language_id, near_dedup, packing, quality_model, quality_rules, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": near_dedup.op1_dart_minhash,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_virtual_slots": sharding.op8_virtual_slots,
     "op9_boosted_toxicity": toxicity.op9_boosted_toxicity,
     "op10_fourier_quality": quality_model.op10_fourier_quality,
+    "op11_content_sort": exact_dedup.op11_content_sort,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_prefix_join": decontaminate.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_prefix_join": decontaminate.OP4_SQL, "op11_content_sort": exact_dedup.OP11_SQL}
