@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, language_id, near_dedup, packing, quality_model, quality_rules, secret_scan, sharding, toxicity
+from . import clustering, decontaminate, exact_dedup, html_extract, language_id, near_dedup, packing, quality_model, quality_rules, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": near_dedup.op1_dart_minhash,
@@ -20,6 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_boosted_toxicity": toxicity.op9_boosted_toxicity,
     "op10_fourier_quality": quality_model.op10_fourier_quality,
     "op11_content_sort": exact_dedup.op11_content_sort,
+    "op12_drake_bounds": clustering.op12_drake_bounds,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_prefix_join": decontaminate.OP4_SQL, "op11_content_sort": exact_dedup.OP11_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_prefix_join": decontaminate.OP4_SQL,
+    "op11_content_sort": exact_dedup.OP11_SQL,
+    "op12_drake_bounds": clustering.OP12_SQL,
+}
