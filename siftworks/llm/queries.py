@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clustering, decontaminate, exact_dedup, html_extract, language_id, near_dedup, packing, quality_model, quality_rules, secret_scan, sharding, toxicity
+from . import clustering, decontaminate, exact_dedup, html_extract, language_id, near_dedup, packing, prefix_trie, quality_model, quality_rules, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": near_dedup.op1_dart_minhash,
@@ -21,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fourier_quality": quality_model.op10_fourier_quality,
     "op11_content_sort": exact_dedup.op11_content_sort,
     "op12_drake_bounds": clustering.op12_drake_bounds,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_prefix_join": decontaminate.OP4_SQL,
     "op11_content_sort": exact_dedup.OP11_SQL,
     "op12_drake_bounds": clustering.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
