@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_queries, function_queries, score_queries
+from . import data_queries, function_queries, record_queries, score_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(sorted({**data_queries.QUERIES, **function_queries.QUERIES, **score_queries.QUERIES}.items()))
-ORACLE_SQL: dict[str, str] = {**data_queries.SQL, **function_queries.SQL, **score_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(sorted({**data_queries.QUERIES, **function_queries.QUERIES, **record_queries.QUERIES, **score_queries.QUERIES}.items()))
+ORACLE_SQL: dict[str, str] = {**data_queries.SQL, **function_queries.SQL, **record_queries.SQL, **score_queries.SQL}

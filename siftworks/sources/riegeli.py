@@ -1,23 +1,38 @@
-"""Scan of Riegeli record files: chunks, records and messages as DataFrames.
+"""Riegeli record files: a splittable scan, a stored index of chunks for lookups, and a sink.
 
-Files come through Spark's binary reader, so any store that Spark reads will do, and
-each file is one unit of work. A file is 64 KiB blocks that each begin with a 24-byte
-header. Without those headers the rest is one stream in which chunks follow each other;
-all offsets below are offsets in that stream. Only simple chunks hold records here;
-transposed ones are counted and passed over, unless asked to fail on them.
+A file is 64 KiB blocks that each begin with a 24-byte header. Without those headers the
+rest is one stream in which chunks follow each other; offsets called stream places are offsets
+in that stream. A block header says where the chunk that it interrupts began and ends, so a
+reader can start at any block: a byte range has the chunks that begin in it, and a file of any
+size is as many tasks as it has ranges. Chunk headers alone give the index (40 bytes a chunk);
+records are then read chunk by chunk, by those byte ranges only.
+
+Only simple chunks hold records here; transposed ones are counted and passed over, unless
+asked to fail on them. Hashes in headers are neither checked nor written (zeros).
+
+Files in a store that only Spark's own readers can open come whole through its binary
+reader; there a file is one unit of work and has 2 GB at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatch
 
 import pyarrow as pa
 import zstandard
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from ..session import cut
+from . import stores
+
 # ---- Fixed values of the format. ----
 BLOCK, BLOCK_HEADER, CHUNK_HEADER = 1 << 16, 24, 40
 KINDS = {0x73: "file_signature", 0x6D: "file_metadata", 0x70: "padding", 0x72: "simple", 0x74: "transposed"}
@@ -30,6 +45,12 @@ class FormatError(ValueError):
     """The file or message is not what the format says."""
 
 
+#: Bytes of a file that one task walks for chunk headers; a multiple of the block size.
+RANGE_BYTES = 1024 * BLOCK
+#: Bytes of chunks that one task unpacks.
+TASK_BYTES = 64 << 20
+
+
 @dataclass(frozen=True)
 class Chunk:
     begin: int  # in the file
@@ -37,36 +58,67 @@ class Chunk:
     size: int
     records: int
     decoded: int
-    body: bytes
+    next: int  # in the file: where the chunk after it begins
 
 
-def without_block_headers(data: bytes) -> bytes:
-    return b"".join(data[at + BLOCK_HEADER : at + BLOCK] for at in range(0, len(data), BLOCK))
+STEP = BLOCK - BLOCK_HEADER
 
 
 def file_place(offset: int) -> int:
     """Where a chunk at this stream offset begins in the file: at the block itself if nothing of the block precedes it."""
-    block, inside = divmod(offset, BLOCK - BLOCK_HEADER)
+    block, inside = divmod(offset, STEP)
     return block * BLOCK + (inside + BLOCK_HEADER if inside else 0)
 
 
 def stream_place(place: int) -> int:
     """The stream offset of a file place; a place in a block header is that block's first byte."""
     block, inside = divmod(place, BLOCK)
-    return block * (BLOCK - BLOCK_HEADER) + max(0, inside - BLOCK_HEADER)
-
-
-def chunks(data: bytes) -> Iterator[Chunk]:
-    stream, at = memoryview(without_block_headers(data)), 0
-    while at + CHUNK_HEADER <= len(stream):
-        word = lambda a, b: int.from_bytes(stream[at + a : at + b], "little")  # noqa: B023, E731
-        size, records = word(8, 16), word(25, 32)
-        body = at + CHUNK_HEADER
-        if body + size > len(stream):
-            raise FormatError(f"the chunk at {file_place(at)} ends {body + size - len(stream)} bytes after its file")
-        yield Chunk(file_place(at), KINDS.get(stream[at + 24], hex(stream[at + 24])), size, records, word(32, 40), bytes(stream[body : body + size]))
+    return block * STEP + max(0, inside - BLOCK_HEADER)
+
+
+def stream_bytes(read: Callable[[int, int], bytes], begin: int, size: int) -> bytes:
+    """``size`` bytes of the stream from stream place ``begin``, fewer at the end of the file."""
+    if size <= 0:
+        return b""
+    first, last = begin // STEP * BLOCK + BLOCK_HEADER + begin % STEP, (begin + size - 1) // STEP * BLOCK + BLOCK_HEADER + (begin + size - 1) % STEP
+    data = read(first, last + 1)
+    head = BLOCK - first % BLOCK  # up to the next block
+    if len(data) <= head:
+        return data
+    return data[:head] + b"".join(data[at + BLOCK_HEADER : at + BLOCK] for at in range(head, len(data), BLOCK))
+
+
+def first_chunk(read: Callable[[int, int], bytes], block: int) -> int:
+    """The file place of the first chunk at or after a block's begin, by what the block's header says."""
+    if not block:
+        return 0
+    header = read(block, block + BLOCK_HEADER)
+    if len(header) < BLOCK_HEADER:
+        return block + BLOCK  # the file ends in this header
+    before, after = (int.from_bytes(header[i : i + 8], "little") for i in (8, 16))
+    return block + after if before else block
+
+
+def chunks(read: Callable[[int, int], bytes], size: int, begin: int = 0, end: int | None = None) -> Iterator[Chunk]:
+    """Headers of the chunks that begin in the bytes ``begin`` to ``end`` of a file; ``begin`` is a block's."""
+    length = stream_place(size)
+    end = size if end is None else min(end, size)
+    place = first_chunk(read, begin)
+    while place < end and (at := stream_place(place)) + CHUNK_HEADER <= length:
+        header = stream_bytes(read, at, CHUNK_HEADER)
+        word = lambda a, b: int.from_bytes(header[a:b], "little")  # noqa: B023, E731
+        body, records = at + CHUNK_HEADER, word(25, 32)
+        if body + word(8, 16) > length:
+            raise FormatError(f"the chunk at {place} ends {body + word(8, 16) - length} bytes after its file")
         # A chunk takes at least as many bytes of the file as it has records.
-        at = max(body + size, stream_place(file_place(at) + records))
+        after = file_place(max(body + word(8, 16), stream_place(place + records)))
+        yield Chunk(place, KINDS.get(header[24], hex(header[24])), word(8, 16), records, word(32, 40), after)
+        place = after
+
+
+def body(read: Callable[[int, int], bytes], begin: int, size: int) -> bytes:
+    """What the chunk at a file place holds after its header."""
+    return stream_bytes(read, stream_place(begin) + CHUNK_HEADER, size)
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -98,15 +150,15 @@ def unpacked(block: bytes, packing: int) -> bytes:
     return out
 
 
-def records(chunk: Chunk) -> list[bytes]:
-    """Records of a simple chunk: sizes first, then all values together."""
-    if not chunk.body:
+def records(held: bytes, count: int) -> list[bytes]:
+    """Records of a simple chunk's body: sizes first, then all values together."""
+    if not held:
         raise FormatError("a simple chunk is empty")
-    n, at = varint(chunk.body, 1)
-    sizes = unpacked(chunk.body[at : at + n], chunk.body[0])
-    values = unpacked(chunk.body[at + n :], chunk.body[0])
+    n, at = varint(held, 1)
+    sizes = unpacked(held[at : at + n], held[0])
+    values = unpacked(held[at + n :], held[0])
     out, p, begin = [], 0, 0
-    for _ in range(chunk.records):
+    for _ in range(count):
         size, p = varint(sizes, p)
         out.append(values[begin : begin + size])
         begin += size
@@ -143,76 +195,326 @@ def shards(spark: SparkSession, path: str, pattern: str = "*.riegeli*", train_sh
     return out.select("split", "shard", "path", (F.when(rank == 0, len(SPLITS)).otherwise(rank - 1) * 1_000_000 + F.col("_n")).cast("long").alias("ord"))
 
 
-def scan_records(spark: SparkSession, path: str, pattern: str = "*.riegeli*", ids: DataFrame | None = None, skip_transposed: bool = True, train_shards: int | None = None) -> DataFrame:
-    """(split, shard, record_index, raw) of every record, or of those in ``ids`` (split, shard, record_index).
+HEADERS = "path string, file_size long, signature_ok boolean, begin long, kind string, size long, records long, decoded long, next long, error string"
+
+
+@dataclass
+class Range(InputPartition):
+    path: str
+    size: int
+    begin: int
+    end: int
+
+
+def _headers(path: str, size: int, begin: int, end: int, read: Callable[[int, int], bytes]) -> list[tuple]:
+    """Rows of ``HEADERS`` for a byte range; the last one tells where its structure breaks, if it does."""
+    signature, rows = read(0, 64) == SIGNATURE if not begin else None, []
+    base = (path, size, signature)
+    try:
+        rows += [(*base, c.begin, c.kind, c.size, c.records, c.decoded, c.next, None) for c in chunks(read, size, begin, end)]
+    except FormatError as e:
+        rows.append((*base, None, None, None, 0, 0, None, str(e)))
+    if not rows and not begin:
+        rows.append((*base, None, None, None, 0, 0, None, None))  # an empty file is still a file
+    return rows
+
+
+class RiegeliReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+
+    def partitions(self) -> list[Range]:
+        step = max(BLOCK, int(self.options.get("rangebytes", RANGE_BYTES)) // BLOCK * BLOCK)
+        if "paths" in self.options:
+            files = [f for p in json.loads(self.options["paths"]) for f in stores.listed(p)]
+            scheme = {stores.at(p)[1]: p for p in json.loads(self.options["paths"])}
+        else:
+            root, pattern = self.options["path"], self.options.get("pathglobfilter", "*")
+            files = [f for f in stores.listed(root) if fnmatch(f[0].rpartition("/")[2], pattern) and "/_staged-" not in f[0]]
+            inside = stores.at(root)[1]
+            scheme = {f: root + f[len(inside) :] for f, _ in files}
+        return [Range(scheme[f], size, at, min(at + step, size)) for f, size in files for at in range(0, max(size, 1), step)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        file = stores.Ranges(partition.path)
+        try:
+            yield from _headers(partition.path, partition.size, partition.begin, partition.end, file.read)
+        finally:
+            file.close()
+
+
+class _Named(WriterCommitMessage):
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
+class RiegeliWriter(DataSourceArrowWriter):
+    """Tasks stage a file for each (split, shard) that they meet; the files get their names when all tasks went well.
+
+    Rows of a shard must come to one task, in the order of its records (``write_records`` sees to that)."""
+
+    def __init__(self, options: dict[str, str]):
+        self.staging = stores.Staging(options["path"])
+        self.name, self.chunk = options.get("name", "records"), int(options.get("chunkbytes", 1 << 20))
+        self.packing = {"none": 0, "zstd": 0x7A}[options.get("packing", "zstd")]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        files, rows = [], self._rows(iterator)
+        row = next(rows, None)
+        while row is not None:
+            shard, rest = row[:2], []
+
+            def own(shard=shard, rest=rest, row=row):
+                while row is not None and row[:2] == shard:
+                    yield row[2]
+                    row = next(rows, None)
+                rest.append(row)
+
+            name = f"{self.name}_{shard[0]}.riegeli-{shard[1]:05d}-of-99999"
+            files.append(self.staging.put(name, file_parts(own(), self.packing, self.chunk)))
+            row = rest[0]
+        return _Named(files)
+
+    @staticmethod
+    def _rows(iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
+        for batch in iterator:
+            yield from zip(batch.column("split").to_pylist(), batch.column("shard").to_pylist(), batch.column("raw").to_pylist(), strict=True)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.staging.publish(f for m in messages if m is not None for f in m.files)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.staging.withdraw()
+
+
+class RiegeliSource(DataSource):
+    """``format("riegeli")``: chunk headers of the files below ``path`` (option ``pathGlobFilter``), one task a byte range
+    (``rangeBytes``); as a sink, record files of rows (split, shard, raw) (``name``, ``chunkBytes``, ``packing`` zstd or none)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "riegeli"
+
+    def schema(self) -> str:
+        return HEADERS
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return RiegeliReader(dict(self.options))
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return RiegeliWriter(dict(self.options))
+
+
+def number(n: int) -> bytes:
+    """A varint."""
+    out = bytearray()
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    return bytes(out) + bytes([n])
+
+
+def _packed(block: bytes, packing: int) -> bytes:
+    return number(len(block)) + zstandard.compress(block) if packing else block
+
+
+def file_parts(rows: Iterator[bytes], packing: int = 0x7A, chunk_bytes: int = 1 << 20) -> Iterator[bytes]:
+    """A file of simple chunks as it is written, a chunk at a time. Every block header tells of the chunk that it interrupts."""
+
+    def placed(data: bytes, begin: int) -> bytes:
+        end, out, at, place = file_place(stream_place(begin) + len(data)), [], 0, begin
+        while at < len(data):
+            if place % BLOCK == 0:
+                out.append(bytes(8) + (place - begin).to_bytes(8, "little") + (end - place).to_bytes(8, "little"))
+                place += BLOCK_HEADER
+            n = min(len(data) - at, BLOCK - place % BLOCK)
+            out.append(data[at : at + n])
+            at, place = at + n, place + n
+        return b"".join(out)
+
+    def chunk(held: list[bytes], begin: int) -> bytes:
+        sizes, values = _packed(b"".join(map(number, map(len, held))), packing), b"".join(held)
+        content = bytes([packing]) + number(len(sizes)) + sizes + _packed(values, packing)
+        data = bytes(8) + len(content).to_bytes(8, "little") + bytes(8) + bytes([0x72]) + len(held).to_bytes(7, "little") + len(values).to_bytes(8, "little") + content
+        return data + bytes(max(0, stream_place(begin + len(held)) - stream_place(begin) - len(data)))
 
-    Files are chosen by name before any is read: with ids only those that have a wanted
-    record, with ``train_shards`` only the first so many of the training split. The chosen
-    paths come to the driver, which holds the listing anyway. A file is one unit of work, so
-    it can have 2 GB at most.
+    yield SIGNATURE
+    place, held, size = len(SIGNATURE), [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row)
+        if size >= chunk_bytes:
+            part = placed(chunk(held, place), place)
+            yield part
+            place, held, size = place + len(part), [], 0
+    if held:
+        yield placed(chunk(held, place), place)
+
+
+def registered(spark: SparkSession) -> SparkSession:
+    spark.dataSource.register(RiegeliSource)
+    return spark
+
+
+def write_records(rows: DataFrame, path: str, order: str = "ord", name: str = "records", chunk_bytes: int = 1 << 20, packing: str = "zstd") -> None:
+    """Record files of rows (split, shard, ``order``, raw): one for each (split, shard), its records in order.
+
+    A shard is written by one task, as it comes from the sort; no more than a chunk is held.
     """
-    wanted = None if ids is None else ids.groupBy("split", "shard").agg(F.collect_set("record_index").alias("wanted"))
-    if ids is None and train_shards is None:
-        content = _files(spark, path, pattern)
-    else:
-        chosen = shards(spark, path, pattern, train_shards)
-        if wanted is not None:
-            chosen = chosen.join(wanted.select("split", "shard"), ["split", "shard"], "left_semi")
-        paths = [r[0] for r in chosen.orderBy("ord").select("path").collect()]
-        content = spark.read.format("binaryFile").load(paths).select("path", "content") if paths else spark.createDataFrame([], "path string, content binary")
-    files = content.select(*_shard(F.col("path")), "content")
-    files = files.withColumn("wanted", F.lit(None).cast("array<int>")) if wanted is None else files.join(wanted, ["split", "shard"])
+    registered(rows.sparkSession)
+    dealt = rows.select("split", F.col("shard").cast("int").alias("shard"), order, "raw").repartition("split", "shard").sortWithinPartitions("split", "shard", order)
+    writer = dealt.select("split", "shard", "raw").write.format("riegeli").mode("append")
+    writer.option("name", name).option("chunkBytes", str(chunk_bytes)).option("packing", packing).save(path)
+
+
+def _whole_files(spark: SparkSession, path: str, pattern: str, paths: list[str] | None) -> DataFrame:
+    """Chunk headers of files that only Spark's binary reader opens."""
+    content = _files(spark, path, pattern) if paths is None else spark.read.format("binaryFile").load(paths).select("path", "content")
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                wanted, index, rows = None if row["wanted"] is None else set(row["wanted"]), 0, []
-                for chunk in chunks(row["content"]):
-                    if chunk.kind == "transposed" and not skip_transposed and chunk.records:
-                        raise FormatError("a transposed chunk")
-                    if chunk.kind != "simple" or not chunk.records:
-                        continue
-                    span = range(index, index + chunk.records)
-                    if wanted is None or any(i in wanted for i in span):
-                        rows = [(i, r) for i, r in zip(span, records(chunk), strict=True) if wanted is None or i in wanted]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([row["split"]] * len(rows)), pa.array([row["shard"]] * len(rows), pa.int32()), pa.array([i for i, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())],
-                            names=["split", "shard", "record_index", "raw"],
-                        )
-                    index += chunk.records
-                    if wanted is not None and index > max(wanted):
-                        break
+                data = row["content"]
+                found = _headers(row["path"], len(data), 0, len(data), lambda a, b, data=data: data[a:b])
+                yield _batch(found, HEADERS)
 
-    return files.mapInArrow(run, "split string, shard int, record_index int, raw binary")
+    return content.mapInArrow(run, HEADERS)
 
 
-def scan_chunks(spark: SparkSession, path: str, pattern: str = "*.riegeli*") -> DataFrame:
-    """One row for each chunk, without its content; ``error`` tells where a file's structure breaks."""
+_KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary()}
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = {"path": [], "file_size": [], "signature_ok": [], "begin": [], "kind": [], "records": [], "decoded": [], "error": []}
 
-                def add(begin, kind, n, decoded, error, row=row, out=out):
-                    for k, v in zip(out, (row["path"], len(row["content"]), row["content"][:64] == SIGNATURE, begin, kind, n, decoded, error), strict=True):
-                        out[k].append(v)
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in ddl.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[k]) for i, k in enumerate(kinds)], names=list(names))
+
 
-                try:
-                    for c in chunks(row["content"]):
-                        add(c.begin, c.kind, c.records, c.decoded, None)
-                except FormatError as e:
-                    add(None, None, 0, 0, str(e))
-                kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+def scan_chunks(spark: SparkSession, path: str, pattern: str = "*.riegeli*", range_bytes: int = RANGE_BYTES, paths: list[str] | None = None) -> DataFrame:
+    """One row for each chunk, without its content; ``error`` tells where a file's structure breaks.
 
-    ddl = "path string, file_size long, signature_ok boolean, begin long, kind string, records long, decoded long, error string"
-    return _files(spark, path, pattern).mapInArrow(run, ddl)
+    The ranges of a file must meet: a chunk that ends where no other begins is an error too.
+    """
+    if not stores.known(path):
+        return _whole_files(spark, path, pattern, paths).drop("next")
+    if paths is not None and not paths:
+        return spark.createDataFrame([], HEADERS).drop("next")
+    source = registered(spark).read.format("riegeli").option("path", path).option("pathGlobFilter", pattern).option("rangeBytes", str(range_bytes))
+    found = (source if paths is None else source.option("paths", json.dumps(paths))).load()
+    in_file = Window.partitionBy("path").orderBy(F.col("begin").asc_nulls_last())  # a row a chunk of one file
+    follower = F.lead("begin").over(in_file)
+    apart = (F.col("next") != follower) & F.col("error").isNull()
+    says = F.concat(F.lit("the chunk at "), F.col("begin").cast("string"), F.lit(" ends at "), F.col("next").cast("string"), F.lit(", the next one begins at "), follower.cast("string"))
+    return found.withColumn("error", F.when(apart, says).otherwise(F.col("error"))).drop("next")
+
+
+def chunk_index(spark: SparkSession, path: str, pattern: str = "*.riegeli*", range_bytes: int = RANGE_BYTES, paths: list[str] | None = None) -> DataFrame:
+    """(split, shard, path, begin, size, kind, records, first_record, error) of every chunk that has records, and of every break.
+
+    Store it as a table (``write.parquet``) and lookups read nothing but the chunks that they need.
+    """
+    before = F.sum(F.when(F.col("kind") == "simple", F.col("records")).otherwise(0)).over(Window.partitionBy("path").orderBy(F.col("begin").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    rows = scan_chunks(spark, path, pattern, range_bytes, paths).withColumn("first_record", F.coalesce(before, F.lit(0)))
+    return rows.where("records > 0 OR error IS NOT NULL").select(*_shard(F.col("path")), "path", "begin", "size", "kind", "records", "first_record", "error")
+
+
+def _wanted_chunks(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """Chunks that hold a wanted record, with those records: each id falls to the last chunk that begins at or before it."""
+    key = ["split", "shard"]
+    marks = index.select(*key, F.col("first_record").alias("at"), F.lit(0).alias("kind_"), F.struct("path", "begin", "size", "kind", "records", "first_record", "error").alias("c"))
+    wanted = ids.select(*key, F.col("record_index").cast("long").alias("at")).distinct().select(*key, "at", F.lit(1).alias("kind_"), F.lit(None).cast(marks.schema["c"].dataType).alias("c"))
+    upto = Window.partitionBy(*key).orderBy("at", "kind_")
+    placed = marks.unionByName(wanted).withColumn("c", F.last("c", ignorenulls=True).over(upto)).where("kind_ = 1 AND c IS NOT NULL AND at < c.first_record + c.records")
+    return placed.groupBy(*key, "c").agg(F.collect_list("at").alias("wanted")).select(*key, "c.*", "wanted")  # at most the chunk's records
+
+
+def scan_records(
+    spark: SparkSession,
+    path: str,
+    pattern: str = "*.riegeli*",
+    ids: DataFrame | None = None,
+    skip_transposed: bool = True,
+    train_shards: int | None = None,
+    index: DataFrame | None = None,
+    range_bytes: int = RANGE_BYTES,
+    taken: Accumulator | None = None,
+) -> DataFrame:
+    """(split, shard, record_index, raw) of every record, or of those in ``ids`` (split, shard, record_index).
+
+    Files are chosen by name before any is opened: with ids only those that have a wanted
+    record, with ``train_shards`` only the first so many of the training split. Of those the chunk
+    headers are read, unless a stored ``index`` (``chunk_index``) is given. Then every task reads chunks by
+    their byte ranges, with ids only those that hold a wanted record. ``taken`` adds up the bytes read.
+    """
+    if index is None:
+        paths = None
+        if ids is not None or train_shards is not None:
+            chosen = shards(spark, path, pattern, train_shards)
+            if ids is not None:
+                chosen = chosen.join(ids.select("split", "shard"), ["split", "shard"], "left_semi")
+            paths = [r[0] for r in chosen.orderBy("ord").select("path").collect()]  # names, which the driver has listed anyway
+        index = chunk_index(spark, path, pattern, range_bytes, paths)
+    index = cut(index)
+    rows = index.withColumn("wanted", F.lit(None).cast("array<long>")) if ids is None else _wanted_chunks(index, ids)
+    rows = rows.select("split", "shard", "path", "begin", "size", "kind", "records", "first_record", "error", "wanted")
+    schema = "split string, shard int, record_index int, raw binary"
+
+    def of(found: Iterator[tuple[dict, bytes]]) -> Iterator[pa.RecordBatch]:
+        for row, held in found:
+            span = records(held, row["records"])
+            places = range(row["records"]) if row["wanted"] is None else [i - row["first_record"] for i in sorted(row["wanted"])]
+            yield _batch([(row["split"], row["shard"], row["first_record"] + i, span[i]) for i in places], schema)
+
+    def usable(row: dict) -> bool:
+        if row["error"]:
+            raise FormatError(row["error"])
+        if row["kind"] == "transposed" and not skip_transposed:
+            raise FormatError("a transposed chunk")
+        return row["kind"] == "simple"
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bodies():
+            file, held = None, None
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if not usable(row):
+                        continue
+                    if held != row["path"]:
+                        if file is not None:
+                            file.close()
+                        file, held = stores.Ranges(row["path"]), row["path"]
+                    before = file.taken
+                    yield row, body(file.read, row["begin"], row["size"])
+                    if taken is not None:
+                        taken.add(file.taken - before)
+            if file is not None:
+                file.close()
+
+        return of(bodies())
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bodies():
+            for batch in batches:
+                for file in batch.to_pylist():
+                    for row in file["chunks"]:
+                        if usable(row):
+                            yield row, body(lambda a, b, data=file["content"]: data[a:b], row["begin"], row["size"])
+
+        return of(bodies())
+
+    if not stores.known(path):
+        per_file = rows.groupBy("path").agg(F.collect_list(F.struct(*rows.columns)).alias("chunks"))
+        names = [r[0] for r in per_file.select("path").collect()]
+        content = spark.read.format("binaryFile").load(names).select("path", "content") if names else spark.createDataFrame([], "path string, content binary")
+        return content.join(per_file, "path").select("content", "chunks").mapInArrow(whole, schema)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return rows.repartition(tasks, "path", "begin").sortWithinPartitions("path", "begin").mapInArrow(ranged, schema)
 
 
 def file_profile(scanned: DataFrame) -> DataFrame:
     """Of each file: chunks, records, decoded bytes, chunks by kind, and the first error."""
-    return scanned.groupBy("path", "file_size", "signature_ok").agg(
+    return scanned.groupBy("path", "file_size").agg(
+        F.coalesce(F.max("signature_ok"), F.lit(False)).alias("signature_ok"),
         F.count("kind").alias("chunks"),
         F.sum("records").alias("records"),
         F.sum("decoded").alias("decoded_bytes"),
