@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import checkpoint_root, cut
-from ..sources import riegeli, stores
+from ..sources import messages, riegeli, stores
 from .tables import table
 
 #: Ids of one record file; the files grow in number with the table.
@@ -77,17 +77,69 @@ def q70_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over_files(spark, sf_dir, query)
 
 
+def _varint(value: Column, bits: int = 35) -> Column:
+    """A number below ``2 ** bits`` as hexadecimal digits of its varint."""
+    value, digits = value.cast("long"), []
+    for at in range(0, bits, 7):
+        more = F.when(value >= 1 << (at + 7), 0x80).otherwise(0)
+        digits.append(F.when((value >= 1 << at) | F.lit(at == 0), F.lpad(F.hex((F.shiftright(value, at) % 128 + more).cast("long")), 2, "0")).otherwise(""))
+    return F.concat(*digits)
+
+
+def _number(field: int, value: Column) -> Column:
+    return F.concat(_varint(F.lit(field << 3)), _varint(value))
+
+
+def _text(field: int, value: Column) -> Column:
+    """A text, or a nested message as hexadecimal digits, as a field."""
+    return F.concat(_varint(F.lit(field << 3 | 2)), _varint(F.octet_length(value)), F.hex(value.cast("binary")))
+
+
+def _nested(field: int, *parts: Column) -> Column:
+    inside = F.concat(*parts)
+    return F.concat(_varint(F.lit(field << 3 | 2)), _varint(F.length(inside) / 2), inside)
+
+
+def q71_decoded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as a message of numbers, texts, repeated texts and nested messages, built of column expressions and decoded by batches."""
+    text = lambda c: F.col(c).cast("string")
+    raw = F.concat(
+        _text(1, F.concat(F.lit("zeilé "), text("l_orderkey"))),
+        _number(10, F.col("l_orderkey")),
+        _number(14, F.lit(7)),
+        _number(14, F.col("l_partkey")),
+        _text(15, F.col("l_returnflag")),
+        _nested(4, _text(1, text("l_suppkey")), _text(2, F.repeat(F.col("l_linestatus"), F.col("l_linenumber") * 40))),
+        _nested(8, _number(1, F.col("l_linenumber")), _text(2, text("l_partkey"))),
+        _text(15, F.col("l_linestatus")),
+        F.repeat(_nested(19, _number(1, F.lit(3))), (F.col("l_quantity") % 5).cast("int")),
+        _nested(4, _text(2, F.col("l_returnflag"))),
+        _nested(29, _number(1, F.col("l_linenumber")), _number(2, F.lit(500_000_000))),
+        _number(900, F.col("l_orderkey")),
+    )
+    lines = table(spark, sf_dir, "lineitem").select(F.lit("train").alias("split"), F.col("l_linenumber").cast("int").alias("shard"), F.lit(0).alias("record_index"), F.unhex(raw).alias("raw"))
+    case = lambda i, side: F.get("public_tests", F.lit(i))[side]
+    return messages.decode_problems(lines).select(
+        "name", F.col("cf_contest_id").alias("l_orderkey"), F.col("cf_rating").alias("l_partkey"), F.col("shard").alias("l_linenumber"), F.array_join("cf_tags", ",").alias("tags"), F.size("public_tests").alias("n_cases"),
+        case(0, "input").alias("first_input"), F.length(case(0, "output")).alias("output_length"), case(1, "input").alias("second_input"), case(1, "output").alias("second_output"),
+        F.get("solutions", F.lit(0))["language"].alias("code_language"), F.get("solutions", F.lit(0))["solution"].alias("code"), "n_incorrect_solutions", "time_limit_seconds", F.col("decode_error").isNull().alias("whole"),
+    )
+
+
 _DEALT = f"""d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'valid' ELSE 'train' END AS split,
   floor(doc_id / {SHARD_IDS})::INTEGER AS shard FROM documents)"""
 _PLACED = f"""WITH {_DEALT},
 p AS (SELECT split, shard, row_number() OVER (PARTITION BY split, shard ORDER BY doc_id) - 1 AS record_index, doc_id, sha256(text) AS text_sha256 FROM d)
 SELECT * FROM p"""
 
-QUERIES = {"q68_record_scan": q68_record_scan, "q69_file_profile": q69_file_profile, "q70_point_lookup": q70_point_lookup}
+QUERIES = {"q68_record_scan": q68_record_scan, "q69_file_profile": q69_file_profile, "q70_point_lookup": q70_point_lookup, "q71_decoded_messages": q71_decoded_messages}
 SQL = {
     "q68_record_scan": _PLACED,
     "q69_file_profile": f"""WITH {_DEALT}
 SELECT 'documents_' || split || '.riegeli-' || lpad(shard::VARCHAR, 5, '0') || '-of-99999' AS file, true AS signature_ok, count(*) AS records,
   sum(strlen(doc_id::VARCHAR) + 1 + strlen(text))::BIGINT AS decoded_bytes, true AS whole FROM d GROUP BY split, shard""",
+    "q71_decoded_messages": """SELECT 'zeilé ' || l_orderkey AS name, l_orderkey, l_partkey, l_linenumber, l_returnflag || ',' || l_linestatus AS tags, 2 AS n_cases, l_suppkey::VARCHAR AS first_input,
+  l_linenumber * 40 AS output_length, '' AS second_input, l_returnflag AS second_output, l_linenumber::BIGINT AS code_language, l_partkey::VARCHAR AS code,
+  (l_quantity::BIGINT % 5) AS n_incorrect_solutions, l_linenumber + 0.5::DOUBLE AS time_limit_seconds, true AS whole FROM lineitem""",
     "q70_point_lookup": _PLACED + " WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
 }

@@ -5,11 +5,16 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.text import literal_map
+from . import wire as batches_of
 from .riegeli import FormatError, varint
 
 # ---- Fixed values: enumerations and field numbers of the message. ----
@@ -26,7 +31,7 @@ PROBLEM = {
     18: ("generated_tests", [TEST]), 19: ("incorrect_solutions", [SOLUTION]), 20: ("is_description_translated", "bool"), 21: ("untranslated_description", "text"),
     29: ("time_limit", DURATION), 30: ("memory_limit_bytes", "int"), 31: ("input_file", "text"), 32: ("output_file", "text"),
 }
-WIRE = {"int": 0, "bool": 0, "float": 5}  # everything else has wire type 2
+WIRE = batches_of.WIRE
 
 CASES = "array<struct<input string, output string>>"
 CODES = "array<struct<language long, solution string>>"
@@ -85,6 +90,8 @@ def decoded(data: bytes, fields: dict, counted: frozenset[str] = frozenset()) ->
             value = value.decode("utf-8", "replace")
         elif one == "bool":
             value = bool(value)
+        elif one == "int":
+            value = (value & (1 << 64) - 1 ^ 1 << 63) - (1 << 63)  # two's complement
         if many:
             out.setdefault(name, []).append(value)
         else:
@@ -105,26 +112,71 @@ def problem(data: bytes, keep_incorrect: bool = False) -> dict:
     return out
 
 
-def decode_problems(raw: DataFrame, keep_incorrect: bool = False) -> DataFrame:
-    """Records of ``scan_records`` as problems; ``decode_error`` is null where decoding went well."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def decode_messages(raw: DataFrame, shape: dict, schema: str, keep: tuple[str, ...] = (), column: str = "raw", counted: frozenset[str] = frozenset()) -> DataFrame:
+    """``keep`` columns, the fields of the messages in ``column`` by their table, and ``decode_error``, null where decoding went well.
+
+    ``schema``: names and types of the fields, in any order. A message that can't be decoded has nulls.
+    """
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.select(*keep).schema.fields)
+    ddl = f"{kept}, {schema}, decode_error string" if keep else f"{schema}, decode_error string"
+    target = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches):
+        for whole in batches:
+            for batch in batches_of.slices(whole, column):
+                yield _columns(batch, batch.column(column), shape, counted, keep, target)
+
+    return raw.select(*dict.fromkeys([*keep, column])).mapInArrow(run, ddl)
+
+
+def _columns(batch: pa.RecordBatch, raw: pa.Array, shape: dict, counted: frozenset[str], keep: tuple[str, ...], target: pa.Schema, made=lambda columns: columns) -> pa.RecordBatch:
+    errors = batches_of.Errors(len(raw))
+    columns = made(batches_of.decoded(batches_of.spans(raw), shape, errors, counted))
+    texts = errors.texts()
+    if errors.found:
+        here = pa.array([None if t else i for i, t in enumerate(texts)], pa.int64())
+        columns = {k: v.take(here) for k, v in columns.items()}
+    columns |= {"decode_error": pa.array(texts, pa.string())} | {k: batch.column(k) for k in keep}
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in target], schema=target)
+
+
+def _with_defaults(columns: dict[str, pa.Array]) -> dict[str, pa.Array]:
+    """A batch of problems as ``problem`` makes one."""
+    filled = lambda values, default: pc.fill_null(values, default)
+
+    def nested(lists: pa.ListArray, default: dict) -> pa.ListArray:
+        inner = lists.values
+        parts = [filled(inner.field(k), v) for k, v in default.items()]
+        return pa.ListArray.from_arrays(lists.offsets, pa.StructArray.from_arrays(parts, names=list(default)))
+
+    out = {k: filled(v, DEFAULTS[k]) if k in DEFAULTS else v for k, v in columns.items()}
+    for name in ("public_tests", "private_tests", "generated_tests"):
+        out[name] = nested(out[name], {"input": "", "output": ""})
+    for name in ("solutions", "incorrect_solutions"):
+        if name in out:
+            out[name] = nested(out[name], {"language": 0, "solution": ""})
+    limit = out.pop("time_limit")
+    nanos = pc.divide(pc.cast(filled(limit.field("nanos"), 0), pa.float64()), 1e9)
+    seconds = pc.add(pc.cast(filled(limit.field("seconds"), 0), pa.float64(), safe=False), nanos)
+    out["time_limit_seconds"] = pc.if_else(limit.is_valid(), seconds, None)
+    n = len(limit)
+    out.setdefault("n_incorrect_solutions", pa.array([0] * n, pa.int64()))
+    if "incorrect_solutions" not in out:
+        out["incorrect_solutions"] = pa.ListArray.from_arrays(pa.array([0] * (n + 1), pa.int32()), pa.array([], out["solutions"].type.value_type))
+    return out
+
 
-    kept = ["split", "shard", "record_index"]
+def decode_problems(raw: DataFrame, keep_incorrect: bool = False) -> DataFrame:
+    """Records of ``scan_records`` as problems, a batch at a time; ``decode_error`` is null where decoding went well."""
+    kept = ("split", "shard", "record_index")
     ddl = f"split string, shard int, record_index int, {SCHEMA}, decode_error string"
-    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    target = to_arrow_schema(StructType.fromDDL(ddl))
+    counted = frozenset() if keep_incorrect else frozenset({"incorrect_solutions"})
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch, rows = whole.slice(at, 64), []
-                for row in batch.to_pylist():
-                    try:
-                        made = problem(row["raw"], keep_incorrect) | {"decode_error": None}
-                    except FormatError as e:
-                        made = {"decode_error": str(e)}
-                    rows.append({k: row[k] for k in kept} | made)
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for batch in batches_of.slices(whole, "raw"):
+                yield _columns(batch, batch.column("raw"), PROBLEM, counted, kept, target, _with_defaults)
 
     return raw.mapInArrow(run, ddl)
 
@@ -143,15 +195,15 @@ def field_histogram(raw: DataFrame, samples: int = 4) -> DataFrame:
     """Of each field number: count, wire types, and a few samples (the least by text)."""
 
     def run(batches):
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows = []
-                try:
-                    for number, kind, value in wire(data):
-                        rows.append((number, kind, value[:120].decode("utf-8", "replace") if isinstance(value, bytes) else str(value)))
-                except FormatError:
-                    pass
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.string()))], names=["number", "wire_type", "sample"])
+        for whole in batches:
+            for batch in batches_of.slices(whole, "raw"):
+                m = batches_of.spans(batch.column(0))
+                f = batches_of.fields(m, batches_of.Errors(batch.num_rows))
+                sample = batches_of.texts(m.buffer, f.begin, np.minimum(f.end, f.begin + 120)).to_pylist()
+                for i in np.flatnonzero(f.kind != 2):
+                    k = f.kind[i]
+                    sample[i] = str(f.value[i]) if k == 0 else str(struct.unpack("<d" if k == 1 else "<f", m.buffer[f.begin[i] : f.end[i]].tobytes())[0])
+                yield pa.RecordBatch.from_arrays([pa.array(f.number.astype(np.int32)), pa.array(f.kind.astype(np.int32)), pa.array(sample, pa.string())], names=["number", "wire_type", "sample"])
 
     rows = raw.select("raw").mapInArrow(run, "number int, wire_type int, sample string")
     counted = rows.groupBy("number", "wire_type").agg(F.count("*").alias("n"), F.min("sample").alias("least"), F.max("sample").alias("most"))
