@@ -282,6 +282,46 @@ def q67_capped_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.draw(parts, 100, "p_partkey", share=0.05)
 
 
+#: Traits of a text, in the order in which their cells draw; a text without any is plain.
+TRAITS = {"digits": "[0-9]", "pipes": r"\|", "question": r"\?", "shouting": SHOUTING}
+_TRAITS = [*TRAITS, "~plain"]
+_LIST = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{t}' END" for t, p in TRAITS.items())
+
+
+def _serial_sql(target: int) -> str:
+    """Cell after cell in name order, each from what those before it have left."""
+    parts, before = [], []
+    for i, trait in enumerate(_TRAITS):
+        used = " UNION ALL ".join(f"SELECT doc_id FROM c{j}" for j in before) or "SELECT NULL::BIGINT WHERE false"
+        parts.append(
+            f"c{i} AS MATERIALIZED (SELECT doc_id, '{trait}|' || x.bin AS quota_cell FROM (SELECT doc_id, bin, row_number() OVER (PARTITION BY bin ORDER BY md5(concat_ws(chr(31), '42', category, bin, doc_id::VARCHAR)), doc_id) AS n"
+            f" FROM e WHERE category = '{trait}' AND doc_id NOT IN ({used})) x JOIN k ON k.category = '{trait}' AND k.bin = x.bin WHERE n <= quota)"
+        )
+        before.append(i)
+    return f"""WITH t AS (SELECT doc_id, CASE WHEN length(text) < 1000 THEN 'short' WHEN length(text) < 3000 THEN 'medium' ELSE 'long' END AS bin, list_filter([{_LIST}], lambda x: x IS NOT NULL) AS found FROM documents),
+r AS (SELECT doc_id, bin, CASE WHEN len(found) = 0 THEN ['~plain'] ELSE found END AS categories FROM t),
+e AS MATERIALIZED (SELECT doc_id, bin, unnest(categories) AS category FROM r),
+s AS (SELECT category, bin, count(*) AS n FROM e GROUP BY category, bin),
+b AS (SELECT category, bin, n, least(n, greatest(1, least(3, {target} // (SELECT count(*) FROM s)))) AS base FROM s),
+y AS (SELECT least({target} - sum(base), sum(n - base)) AS seats, sum(n - base) AS room FROM b),
+i AS (SELECT category, bin, base, seats, (seats * (n - base)) // room AS gain, (seats * (n - base)) % room AS rest FROM b, y),
+k AS MATERIALIZED (SELECT category, bin, base + gain + CASE WHEN row_number() OVER (ORDER BY rest DESC, category, bin) <= seats - sum(gain) OVER () THEN 1 ELSE 0 END AS quota FROM i),
+{", ".join(parts)},
+p AS ({" UNION ALL ".join(f"SELECT * FROM c{j}" for j in before)}),
+f AS (SELECT doc_id, categories[1] || '|' || bin AS quota_cell, row_number() OVER (ORDER BY md5(concat_ws(chr(31), '42', doc_id::VARCHAR)), doc_id) AS n FROM r WHERE doc_id NOT IN (SELECT doc_id FROM p))
+SELECT doc_id, quota_cell, false AS filled_beyond_quota FROM p UNION ALL SELECT doc_id, quota_cell, true FROM f WHERE n <= {target} - (SELECT count(*) FROM p)"""
+
+
+@query(_serial_sql(150))
+def q72_competing_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw in which a document is eligible in the cells of all its traits, so that cells compete for it."""
+    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(t)) for t, p in TRAITS.items())))
+    categories = F.when(F.size(found) == 0, F.array(F.lit("~plain"))).otherwise(found)
+    bin_ = F.when(F.length("text") < 1000, "short").when(F.length("text") < 3000, "medium").otherwise("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", bin_.alias("bin"), categories.alias("categories"))
+    return sample.draw(docs.withColumn("category", F.col("categories")[0]), 150, "doc_id", share=1.0)
+
+
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 s AS (SELECT doc_id, len(ls) AS n, list_transform(range(1, 8), lambda i: CASE WHEN i < 7 THEN coalesce(trim(ls[i], ' ' || chr(9) || chr(10) || chr(13)), '') ELSE coalesce(trim(array_to_string(ls[7:], chr(10)), ' ' || chr(9) || chr(10) || chr(13)), '') END) AS st FROM l)
 SELECT doc_id, least(n, 7)::INTEGER AS n_steps, array_to_string(list_filter(list_transform(range(1, 8), lambda i: CASE WHEN st[i] = '' THEN 'S' || i END), lambda x: x IS NOT NULL), ',') AS missing,

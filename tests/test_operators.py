@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -65,6 +66,38 @@ def test_draw(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, sample.draw(rows, 30, "id").collect()))
 
 
+def drawn_one_by_one(rows, target, seed=42, least=3, share=0.3):
+    """Cells in name order, each taking its first free candidates; then the rest by their own lots."""
+    lot = lambda *x: hashlib.md5("\x1f".join(map(str, (seed, *x))).encode()).hexdigest()
+    cells = {}
+    for i, b, _, categories in rows:
+        for c in set(categories):
+            cells.setdefault((c, b), []).append((lot(c, b, i), i))
+    quota = sample.allocate({k: len(v) for k, v in cells.items()}, target, least, max(1, int(target * share)))
+    used, out = set(), []
+    for cell in sorted(cells):
+        free = [i for _, i in sorted(cells[cell]) if i not in used][: quota[cell]]
+        used.update(free)
+        out += [(i, "|".join(cell), False) for i in free]
+    rest = sorted((lot(i), i, f"{c}|{b}") for i, b, c, _ in rows if i not in used)[: max(0, target - len(out))]
+    return sorted(out + [(i, cell, True) for _, i, cell in rest])
+
+
+@pytest.mark.parametrize("seed,target,share", [(1, 30, 0.3), (2, 90, 1.0), (3, 400, 0.2), (4, 5000, 1.0)])
+def test_draw_equals_cell_after_cell(spark, monkeypatch, seed, target, share):
+    """Rows of up to five categories compete; no more than the cells' counts come to the driver."""
+    draw = random.Random(seed)
+    rows = [(i, draw.choice("xxxyz"), "-", draw.sample("ABCDEFG", draw.randrange(1, 6))) for i in range(600)]
+    rows = [(i, b, c[0], c) for i, b, _, c in rows]
+    frame = spark.createDataFrame(rows, "id int, bin string, category string, categories array<string>")
+    collected, collect = [], type(frame).collect
+    monkeypatch.setattr(type(frame), "collect", lambda self: collected.append(collect(self)) or collected[-1])
+    got = sample.draw(frame, target, "id", share=share)
+    assert max(map(len, collected)) <= 21
+    monkeypatch.undo()
+    assert sorted(map(tuple, got.collect())) == drawn_one_by_one(rows, target, share=share)
+
+
 def test_bounded_prefix_equals_loop(spark):
     draw = random.Random(1)
     rows = [(g, i, draw.randint(1, 9)) for g in range(40) for i in range(draw.randint(0, 8))]
