@@ -60,10 +60,15 @@ def counterexample_evidence(ran_clean: Column, equal: Column, by_reference: Colu
     return F.struct(F.lit("counterexample").alias("kind"), strength.alias("strength"), step.alias("step_id"), error.alias("error_type"), confirmed.alias("indicates_invalid"))
 
 
+def definite(status: Column, confidence: Column, least: float = 0.6) -> Column:
+    """Whether a fine verdict takes the place of a scan verdict."""
+    return status.isin("correct", "incorrect") & (confidence >= least)
+
+
 def merged_verdicts(scan: DataFrame, fine: DataFrame, least: float = 0.6) -> DataFrame:
     """Scan verdicts, replaced where a fine verdict is definite and confident enough. Both: candidate, step_id, status, confidence, error_type."""
     f = fine.select("candidate", "step_id", *(F.col(c).alias(f"_{c}") for c in ("status", "confidence", "error_type")))
-    use = F.col("_status").isin("correct", "incorrect") & (F.col("_confidence") >= least)
+    use = definite(F.col("_status"), F.col("_confidence"), least)
     joined = scan.join(f, ["candidate", "step_id"], "left")
     return joined.select("candidate", "step_id", *(F.when(use, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("status", "confidence", "error_type")))
 
@@ -74,6 +79,49 @@ def neighbours(rows: DataFrame, key: str, step: str, reach: int = 1, count: int
     return rows.where(F.col(step).between(0, count - 1)).select(key, F.explode(around).alias(step)).distinct()
 
 
+def _against(evidence: DataFrame, runs: DataFrame, *more: str) -> DataFrame:
+    """What speaks against candidates, failed runs too, as items to be decided on; ``more`` columns come along."""
+    sand = runs.where("e is not null").select("candidate", "e.*", F.lit(1 << 62).alias("pos"), *more)
+    columns = ["candidate", "kind", "strength", "step_id", "error_type", "indicates_invalid", "pos", *more]
+    every = evidence.withColumn("pos", F.col("pos").cast("long")).select(*columns).unionByName(sand.select(*columns)).where("indicates_invalid")
+    return every.select("candidate", "step_id", "error_type", F.lit(0).alias("semantic"), (-priority(F.col("kind"))).alias("p"), (-F.col("strength")).alias("s"), "pos", "strength", F.lit(None).cast("double").alias("ok"), *more)
+
+
+def _steps(verdicts: DataFrame, *more: str) -> DataFrame:
+    return verdicts.select(
+        "candidate", F.when(F.col("status") == "incorrect", F.col("step_id")).alias("step_id"), "error_type", F.lit(1).alias("semantic"), F.lit(0).alias("p"), F.lit(0).alias("s"), F.lit(0).cast("long").alias("pos"),
+        F.lit(None).cast("int").alias("strength"), F.when(F.col("status") == "correct", F.col("confidence")).alias("ok"), *more,
+    )
+
+
+def _found(on: Column) -> Column:
+    """The aggregate of a candidate's items that are ``on``: the earliest step first, on one step evidence before verdicts, then
+    priority, strength and order."""
+    placed = on & F.col("step_id").isNotNull()
+    return F.struct(
+        F.min_by(F.when(placed, F.struct("step_id", "error_type")), F.when(placed, F.struct(step_rank("step_id"), "semantic", "p", "s", "pos"))).alias("first"),
+        F.max(F.when(on, F.col("strength"))).alias("strength"),
+        F.count_if(placed & (F.col("semantic") == 1)).alias("n_incorrect"),
+        F.count_if(on & (F.col("semantic") == 0)).alias("n_against"),
+        F.avg(F.when(on, F.col("ok"))).alias("ok"),
+    )
+
+
+def _decision(found: Column, status: Column) -> list[Column]:
+    """The columns of a decision from an aggregate, null where a candidate has no items."""
+    against, step = F.coalesce(found["n_against"], F.lit(0)) > 0, found["first"]["step_id"]
+    invalid = against | (F.coalesce(found["n_incorrect"], F.lit(0)) > 0)
+    kind = F.when(F.coalesce(found["first"]["error_type"], F.lit("NONE")) != "NONE", found["first"]["error_type"]).when(step == "S7", "E7").when(step.isNotNull(), "E8").otherwise("NONE")
+    sure = F.when(against, 0.5 + 0.1 * found["strength"]).otherwise(F.coalesce(found["ok"], F.lit(0.5)))
+    return [
+        status.alias("exec_status"),
+        (~invalid).alias("process_valid"),
+        step.alias("first_error_step"),
+        F.when(invalid, kind).otherwise("NONE").alias("error_type"),
+        F.round(F.least(sure, F.lit(1.0)), 2).alias("confidence"),
+    ]
+
+
 def fuse(evidence: DataFrame, verdicts: DataFrame, executions: DataFrame) -> DataFrame:
     """One decision for each candidate of ``executions`` (candidate, status; null status: not run).
 
@@ -83,37 +131,37 @@ def fuse(evidence: DataFrame, verdicts: DataFrame, executions: DataFrame) -> Dat
     step wins; on one step evidence before verdicts, then priority, strength and order.
     """
     ran = executions.select("candidate", F.col("status").alias("exec_status"), sandbox_evidence(F.col("status")).alias("e"))
-    sand = ran.where("e is not null").select("candidate", "e.*", F.lit(1 << 62).alias("pos"))
-    columns = ["candidate", "kind", "strength", "step_id", "error_type", "indicates_invalid", "pos"]
-    against = evidence.withColumn("pos", F.col("pos").cast("long")).select(*columns).unionByName(sand.select(*columns)).where("indicates_invalid")
-    items = against.select("candidate", "step_id", "error_type", F.lit(0).alias("semantic"), (-priority(F.col("kind"))).alias("p"), (-F.col("strength")).alias("s"), F.col("pos").cast("long").alias("pos"), F.col("strength"), F.lit(None).cast("double").alias("ok"))
-    steps = verdicts.select(
-        "candidate", F.when(F.col("status") == "incorrect", F.col("step_id")).alias("step_id"), "error_type", F.lit(1).alias("semantic"), F.lit(0).alias("p"), F.lit(0).alias("s"), F.lit(0).cast("long").alias("pos"),
-        F.lit(None).cast("int").alias("strength"), F.when(F.col("status") == "correct", F.col("confidence")).alias("ok"),
-    )
-    found = items.unionByName(steps).groupBy("candidate").agg(
-        F.min_by(
-            F.when(F.col("step_id").isNotNull(), F.struct("step_id", "error_type")),
-            F.when(F.col("step_id").isNotNull(), F.struct(step_rank("step_id"), "semantic", "p", "s", "pos")),
-        ).alias("first"),
-        F.max("strength").alias("strength"),
-        F.count_if((F.col("semantic") == 1) & F.col("step_id").isNotNull()).alias("n_incorrect"),
-        F.count_if(F.col("semantic") == 0).alias("n_against"),
-        F.avg("ok").alias("ok"),
-    )
-    out = ran.drop("e").join(found, "candidate", "left")
-    invalid = (F.coalesce("n_against", F.lit(0)) > 0) | (F.coalesce("n_incorrect", F.lit(0)) > 0)
-    step = F.col("first.step_id")
-    kind = F.when(F.coalesce(F.col("first.error_type"), F.lit("NONE")) != "NONE", F.col("first.error_type")).when(step == "S7", "E7").when(step.isNotNull(), "E8").otherwise("NONE")
-    sure = F.when(F.coalesce("n_against", F.lit(0)) > 0, 0.5 + 0.1 * F.col("strength")).otherwise(F.coalesce("ok", F.lit(0.5)))
-    return out.select(
-        "candidate",
-        "exec_status",
-        (~invalid).alias("process_valid"),
-        step.alias("first_error_step"),
-        F.when(invalid, kind).otherwise("NONE").alias("error_type"),
-        F.round(F.least(sure, F.lit(1.0)), 2).alias("confidence"),
-    )
+    found = _against(evidence, ran).unionByName(_steps(verdicts)).groupBy("candidate").agg(_found(F.lit(True)).alias("found"))
+    return ran.drop("e").join(found, "candidate", "left").select("candidate", *_decision(F.col("found"), F.col("exec_status")))
+
+
+SWITCHES = ("rules", "semantic", "fine", "consistency", "counterexample", "execution")
+
+
+def ablate(evidence: DataFrame, verdicts: DataFrame, executions: DataFrame, configs: dict[str, dict[str, bool]]) -> DataFrame:
+    """The decision on each candidate under each of several sets of ``SWITCHES`` (on unless false), in one pass.
+
+    ``evidence``: as for ``fuse``, with the ``layer`` of each row (rules, consistency, counterexample).
+    ``verdicts``: candidate, step_id, and structs ``scan`` and ``fine`` of status, confidence and error_type, ``fine`` null
+    where there is none. Every item carries a bit for each configuration that it survives in, so layers are read and shuffled
+    once, and one aggregation by candidate decides for all configurations.
+    """
+    names = list(configs)
+    bits = lambda *wanted: sum(1 << i for i, n in enumerate(names) if all(configs[n].get(k, True) == on for k, on in wanted))
+    mask = lambda *wanted: F.lit(bits(*wanted)).cast("long")
+    of_layer = F.coalesce(*(F.when(F.col("layer") == k, mask((k, True))) for k in ("rules", "consistency", "counterexample")), F.lit(0).cast("long"))
+    ran = executions.select("candidate", "status", sandbox_evidence(F.col("status")).alias("e"), mask(("execution", True)).alias("mask"))
+    items = _against(evidence.withColumn("mask", of_layer), ran, "mask")
+    use = F.coalesce(definite(F.col("fine.status"), F.col("fine.confidence")), F.lit(False))
+    verdict = lambda which, m: F.struct(F.col(f"{which}.status").alias("status"), F.col(f"{which}.confidence").alias("confidence"), F.col(f"{which}.error_type").alias("error_type"), m.alias("mask"))
+    both = F.when(use, F.array(verdict("fine", mask(("semantic", True), ("fine", True))), verdict("scan", mask(("semantic", True), ("fine", False))))).otherwise(F.array(verdict("scan", mask(("semantic", True)))))
+    steps = verdicts.select("candidate", "step_id", F.explode(both).alias("v")).select("candidate", "step_id", "v.*")
+    on = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+    every = items.unionByName(_steps(steps, "mask")).where("mask <> 0")
+    found = every.groupBy("candidate").agg(*(_found(on(i)).alias(f"c{i}") for i in range(len(names))))
+    status = lambda n: F.col("status") if configs[n].get("execution", True) else F.lit(None).cast("string")
+    each = F.array(*(F.struct(F.lit(n).alias("config"), *_decision(F.col(f"c{i}"), status(n))) for i, n in enumerate(names)))
+    return ran.drop("e", "mask").join(found, "candidate", "left").select("candidate", F.explode(each).alias("d")).select("candidate", "d.*")
 
 
 def quadrant(accepted: Column, process_valid: Column, wrong_before_code: Column) -> Column:
@@ -136,7 +184,7 @@ def layered(structural: DataFrame, scan: DataFrame, fine: DataFrame, consistency
 
     Switches: ``rules``, ``semantic``, ``fine``, ``consistency``, ``counterexample``, ``execution``; all on by default.
     """
-    on = {k: switches.get(k, True) for k in ("rules", "semantic", "fine", "consistency", "counterexample", "execution")}
+    on = {k: switches.get(k, True) for k in SWITCHES}
     evidence = structural.where(F.lit(on["rules"]))
     for name, rows in (("consistency", consistency), ("counterexample", counterexample)):
         evidence = evidence.unionByName(rows.where(F.lit(on[name])))

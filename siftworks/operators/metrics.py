@@ -155,12 +155,3 @@ def histogram(rows: DataFrame, *columns: str) -> DataFrame:
     """(column, value, n) of several columns in one pass."""
     pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
     return rows.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
-
-
-def ablation(build, configs: dict[str, dict[str, bool]]) -> DataFrame:
-    """The same plan under several sets of switches, united with a ``config`` column."""
-    out = None
-    for name, switches in configs.items():
-        one = build(**switches).withColumn("config", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out

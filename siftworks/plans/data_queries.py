@@ -101,17 +101,17 @@ def q06_first_wins_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.first_wins(keyed, "host", "page_id").select("host", "page_id")
 
 
-@query("""WITH c AS (SELECT c_custkey, c_nationkey, c_custkey % 3 = 0 AS listed FROM customer),
-s AS (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_nationkey < 18 GROUP BY s_nationkey),
+@query("""WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS listed FROM customer),
+s AS (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_acctbal > 7000 GROUP BY s_nationkey),
 m AS (SELECT o_orderkey, CASE WHEN c.listed THEN 'key' WHEN s.s_suppkey IS NOT NULL THEN 'title' ELSE 'none' END AS taco_match
       FROM orders LEFT JOIN c ON o_custkey = c_custkey LEFT JOIN s ON c_nationkey = s_nationkey)
 SELECT taco_match, count(*)::BIGINT AS n FROM m GROUP BY taco_match""")
 def q07_match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders to the listed customers by key, else to the first supplier of the customer's nation, if the index has that nation."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
-    listed = customers.where("c_custkey % 3 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("taco_key"), F.lit("").alias("title"), F.col("c_custkey").alias("ref"), F.col("c_custkey").alias("ord"))
-    nations = table(spark, sf_dir, "supplier").where("s_nationkey < 18").select(F.lit(None).cast("string").alias("taco_key"), F.concat(F.lit("n"), "s_nationkey").alias("title"), F.col("s_suppkey").alias("ref"), F.col("s_suppkey").alias("ord"))
+    listed = customers.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.concat(F.lit("c"), "c_custkey").alias("taco_key"), F.lit("").alias("title"), F.col("c_custkey").alias("ref"), F.col("c_custkey").alias("ord"))
+    nations = table(spark, sf_dir, "supplier").where("s_acctbal > 7000").select(F.lit(None).cast("string").alias("taco_key"), F.concat(F.lit("n"), "s_nationkey").alias("title"), F.col("s_suppkey").alias("ref"), F.col("s_suppkey").alias("ord"))
     key, titles = F.concat(F.lit("c"), "o_custkey"), F.array(F.concat(F.lit("n"), "c_nationkey"))
     rows = orders.select("o_orderkey", "o_custkey", "c_nationkey")
     return enrich.match_counts(enrich.cascade(rows, "o_orderkey", key, titles, listed.unionByName(nations), ["ref"], "ord"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich, external, fusion, gate, metrics, select, validate, verdicts
+from ..session import cut
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -150,7 +151,7 @@ def q23_quadrant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _POS = "(l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey)"
 _STEP, _ERROR = "'S' || (1 + l_partkey % 7)", "'E' || (1 + l_suppkey % 8)"
-_RULE_SQL = f"SELECT l_orderkey AS c, {_STEP} AS step, {_ERROR} AS err, 4 AS prio, 1 + l_quantity::INTEGER % 5 AS strength, {_POS} AS pos FROM lineitem WHERE l_linenumber % 3 = 1 AND l_returnflag = 'R'"
+_RULE_SQL = f"SELECT l_orderkey AS c, {_STEP} AS step, {_ERROR} AS err, 4 AS prio, 1 + l_quantity::INTEGER % 5 AS strength, {_POS} AS pos FROM lineitem WHERE l_linenumber % 3 <> 0 AND l_returnflag = 'R'"
 _COUNTER_SQL = f"SELECT l_orderkey, {_STEP}, {_ERROR}, 5, CASE WHEN l_tax > 0.04 THEN 5 ELSE 3 END, {_POS} FROM lineitem WHERE l_linenumber % 3 = 0 AND l_linestatus = 'F' AND l_returnflag = 'R'"
 _CONSISTENCY_SQL = "SELECT o_orderkey, 'S7', 'E6', 3, CASE WHEN o_orderpriority < '3' THEN 3 ELSE 2 END, 0 FROM orders WHERE o_totalprice >= 300000"
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'AC' WHEN 'O' THEN 'WA' ELSE 'TLE' END"
@@ -182,7 +183,7 @@ def _layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     pos = F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey")
     wrong = F.col("l_returnflag") == "R"
     columns = ["candidate", "kind", "strength", "step_id", "error_type", "indicates_invalid", "pos"]
-    rule = lines.where("l_linenumber % 3 = 1").select(F.col("l_orderkey").alias("candidate"), F.lit("rule").alias("kind"), (1 + F.col("l_quantity").cast("int") % 5).alias("strength"), step.alias("step_id"), error.alias("error_type"), wrong.alias("indicates_invalid"), pos.alias("pos"))
+    rule = lines.where("l_linenumber % 3 <> 0").select(F.col("l_orderkey").alias("candidate"), F.lit("rule").alias("kind"), (1 + F.col("l_quantity").cast("int") % 5).alias("strength"), step.alias("step_id"), error.alias("error_type"), wrong.alias("indicates_invalid"), pos.alias("pos"))
     found = fusion.counterexample_evidence(F.col("l_linestatus") == "F", ~wrong, F.col("l_tax") > 0.04, step, error)
     counter = lines.where("l_linenumber % 3 = 0").select(F.col("l_orderkey").alias("candidate"), found.alias("e"), pos.alias("pos")).select("candidate", "e.*", "pos").select(columns)
     clash = fusion.consistency_evidence(F.col("o_totalprice") < 300000, F.col("o_orderpriority") < "3")
@@ -204,6 +205,26 @@ def q24_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(of["structural"].unionByName(of["counterexample"]), of["scan"], of["executions"])
 
 
+def _in_one_scan(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The evidence and the verdicts of ``_layers`` from one scan of the lines, of which what both need is kept."""
+    named = lambda c, n, p: F.concat(F.lit(p), (1 + c % n).cast("string"))
+    sure = lambda c: ((1 + c % 4) / F.lit(4.0)).alias("confidence")
+    pos = F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey")
+    step, error, wrong = named(F.col("l_partkey"), 7, "S"), named(F.col("l_suppkey"), 8, "E"), F.col("l_returnflag") == "R"
+    found = fusion.counterexample_evidence(F.col("l_linestatus") == "F", ~wrong, F.col("l_tax") > 0.04, step, error)
+    rule = F.struct(F.lit("rule").alias("kind"), (1 + F.col("l_quantity").cast("int") % 5).alias("strength"), step.alias("step_id"), error.alias("error_type"), wrong.alias("indicates_invalid"))
+    is_rule = F.col("l_linenumber") % 3 != 0
+    row = F.struct(F.when(is_rule, "rules").otherwise("counterexample").alias("layer"), F.when(is_rule, rule).otherwise(found).alias("e"), pos.alias("pos"))
+    fine = F.col("l_quantity") > 25
+    most, least, top = F.max("l_discount"), F.min("l_partkey"), F.max(F.when(fine, F.col("l_partkey")))
+    scan = F.struct(F.when(most > 0.09, "incorrect").when(most > 0.07, "suspicious").otherwise("correct").alias("status"), sure(least), named(least, 8, "E").alias("error_type"))
+    closer = F.struct(F.when(top % 3 == 0, "incorrect").when(top % 3 == 1, "correct").otherwise("unverifiable").alias("status"), sure(top), named(F.max(F.when(fine, F.col("l_suppkey"))), 8, "E").alias("error_type"))
+    columns = [F.col("l_orderkey").alias("candidate"), named(F.col("l_suppkey"), 7, "S").alias("verdict_on"), row.alias("r"), *(F.col(c) for c in ("l_discount", "l_partkey", "l_suppkey", "l_quantity"))]
+    read = cut(lines.select(*columns))
+    grouped = read.groupBy("candidate", F.col("verdict_on").alias("step_id")).agg(scan.alias("scan"), F.when(top.isNotNull(), closer).alias("fine"))
+    return read.select("candidate", "r.layer", "r.e.*", "r.pos"), grouped
+
+
 LAYERS = {"full": {}, "no_rules": {"rules": False}, "no_semantic": {"semantic": False}, "no_fine": {"fine": False}, "no_evidence": {"consistency": False, "counterexample": False}, "no_execution": {"execution": False}}
 
 
@@ -216,13 +237,11 @@ LAYERS = {"full": {}, "no_rules": {"rules": False}, "no_semantic": {"semantic":
 def q50_layered_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All layers of the evaluation, and what is decided without each."""
     of = _layers(spark, sf_dir)
-
-    def build(**switches: bool) -> DataFrame:
-        at = lambda c, v: F.count_if(F.col(c) == v)
-        made = fusion.layered(*(of[k] for k in ("structural", "scan", "fine", "consistency", "counterexample", "executions")), **switches)
-        return made.agg(F.count("*").alias("n"), F.count_if(~F.col("process_valid")).alias("invalid"), at("first_error_step", "S7").alias("at_code"), at("error_type", "E6").alias("e6"), F.round(F.sum("confidence"), 1).alias("confidence"))
-
-    return metrics.ablation(build, LAYERS)
+    evidence, verdicts = _in_one_scan(table(spark, sf_dir, "lineitem"))
+    clash = of["consistency"].withColumn("layer", F.lit("consistency"))
+    made = fusion.ablate(evidence.unionByName(clash), verdicts, of["executions"], LAYERS)
+    at = lambda c, v: F.count_if(F.col(c) == v)
+    return made.groupBy("config").agg(F.count("*").alias("n"), F.count_if(~F.col("process_valid")).alias("invalid"), at("first_error_step", "S7").alias("at_code"), at("error_type", "E6").alias("e6"), F.round(F.sum("confidence"), 1).alias("confidence"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 OR o_orderstatus = 'P' OR o_totalprice >= 300000 OR o_orderpriority LIKE '1%' THEN 'HIGH' ELSE 'LOW' END AS budget FROM orders""")

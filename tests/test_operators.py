@@ -246,3 +246,27 @@ def test_validation(spark):
     assert both.select(validate.overlay(F.col("o"), F.col("e"))).first()[0] == {"a": "1", "b": None}
     good, bad = validate.quarantined(spark.createDataFrame([("S1", "correct", 3), ("S9", "correct", 9)], "step_id string, status string, strength int"), validate.domain_checks())
     assert good.count() == 1 and bad.first()["broken"] == ["step_id", "strength"]
+
+
+def test_ablation_equals_layer_by_layer(spark):
+    """One pass for all configurations against the layered plan run once for each."""
+    draw = random.Random(8)
+    step, error = lambda: draw.choice([None, "S1", "S4", "S7"]), lambda: draw.choice([None, "NONE", "E2", "E6"])
+    columns = ["candidate", "layer", "kind", "strength", "step_id", "error_type", "indicates_invalid", "pos"]
+    evidence = [(f"c{draw.randrange(40)}", draw.choice(["rules", "consistency", "counterexample"]), draw.choice(list(fusion.PRIORITY)), draw.randrange(1, 6), step(), error(), draw.random() < 0.6, i) for i in range(120)]
+    verdict = lambda: (draw.choice(["correct", "incorrect", "suspicious", "unverifiable"]), draw.choice([None, 0.3, 0.6, 0.9]), error())
+    pairs = sorted({(f"c{draw.randrange(40)}", f"S{draw.randrange(1, 8)}") for _ in range(150)})
+    verdicts = [(c, s, verdict(), verdict() if draw.random() < 0.5 else None) for c, s in pairs]
+    executions = spark.createDataFrame([(f"c{i}", draw.choice(["AC", "WA", "TLE", None])) for i in range(45)], "candidate string, status string")
+    rows = spark.createDataFrame(evidence, "candidate string, layer string, kind string, strength int, step_id string, error_type string, indicates_invalid boolean, pos long")
+    one = "struct<status:string,confidence:double,error_type:string>"
+    both = spark.createDataFrame(verdicts, f"candidate string, step_id string, scan {one}, fine {one}")
+    configs = {"all": {}, "none": dict.fromkeys(fusion.SWITCHES, False), **{f"no_{k}": {k: False} for k in fusion.SWITCHES}}
+    got = {}
+    for r in fusion.ablate(rows, both, executions, configs).collect():
+        got.setdefault(r["config"], []).append(tuple(r[c] for c in ("candidate", "exec_status", "process_valid", "first_error_step", "error_type", "confidence")))
+    layer = lambda name: rows.where(F.col("layer") == name).select(*(c for c in columns if c != "layer"))
+    of = lambda name: both.where(F.col(name).isNotNull()).select("candidate", "step_id", f"{name}.*")
+    for name, switches in configs.items():
+        want = fusion.layered(layer("rules"), of("scan"), of("fine"), layer("consistency"), layer("counterexample"), executions, **switches)
+        assert sorted(map(str, got[name])) == sorted(str(tuple(r)) for r in want.collect()), name
