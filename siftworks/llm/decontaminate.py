@@ -9,7 +9,9 @@ shingle also fixes where the window must begin (positional bound) and end (lengt
 bound); the words at that place are then compared one by one.
 
 Items are a query set: they are read in blocks of bounded size, every block goes
-over all documents, and what it finds travels along with the row, without a shuffle.
+over all documents, and what it finds travels along with the row, without a shuffle. If
+there are several blocks, the documents with what was found so far are written to the shared
+folder after each and read again for the next, so a task holds one block at a time.
 
 Defined results: null and wordless texts have no words and are never hit; items
 without words match nothing; items of one id count once; a null item id is named
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, words_of
+from .common import discard, map_texts, shared_path, table, words_of, written
 
 WINDOW = 10
 #: Words of a shingle. Three word numbers under 2**21 fit one 64-bit key exactly.
 SHINGLE = 3
 #: Columns of the result and those used inside; a kept column of such a name gives way.
 MADE = ("n_words", "n_hit", "hit_ranges", "items", "_hits", "_items", "_h", "_i", "_t")
+#: Pairs of a place and a window that are held at a time (about 60 bytes each).
+CANDIDATES = 1 << 18
 #: Words of the items in one block; a block is what is broadcast, about 100 bytes a word.
 BLOCK_WORDS = 400_000
 
@@ -74,25 +78,31 @@ class Block:
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
     def occurrences(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and window of each window that the numbered words hold."""
+        """Begin and window of each window that the numbered words hold; at most one of a length at each place.
+
+        Candidates are looked at in parts of bounded size, and word after word, so that what does not fit goes early.
+        """
         n = len(ids)
         begins, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for size in self.sizes:
             places, keys = _keys(ids, size)
             lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
-            many = hi - lo
-            if not many.any():
-                continue
-            rows = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            begin, window = np.repeat(places, many) - self.at[rows], self.window[rows]
-            fits = (begin >= 0) & (begin + self.length[window] <= n)
-            begin, window = begin[fits], window[fits]
-            steps = np.arange(self.words.shape[1])
-            inside = steps < self.length[window][:, None]
-            text = ids[np.minimum(begin[:, None] + steps, n - 1)]
-            same = ((text == self.words[window]) | ~inside).all(axis=1)
-            begins.append(begin[same])
-            found.append(window[same])
+            some = np.flatnonzero(hi > lo)
+            upto = np.cumsum(hi[some] - lo[some])
+            total = int(upto[-1]) if len(some) else 0
+            for part in range(0, total, CANDIDATES):
+                nth = np.arange(part, min(part + CANDIDATES, total))
+                at = np.searchsorted(upto, nth, "right")
+                row = hi[some[at]] - (upto[at] - nth)
+                begin, window = places[some[at]] - self.at[row], self.window[row]
+                fits = (begin >= 0) & (begin + self.length[window] <= n)
+                begin, window = begin[fits], window[fits]
+                for step in range(self.words.shape[1]):
+                    inside = step < self.length[window]
+                    same = ~inside | (ids[np.minimum(begin + step, n - 1)] == self.words[window, step])
+                    begin, window = begin[same], window[same]
+                begins.append(begin)
+                found.append(window)
         return np.concatenate(begins), np.concatenate(found)
 
 
@@ -208,7 +218,7 @@ def decontaminate(
     found = docs.withColumns({"_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
     carried = tuple(c for c in keep if c != "text")
     left = blocks(benchmark, block_words, window)
-    block = next(left, None)
+    block, before = next(left, None), None
     while True:
         if block is not None:
             block.order_by_rarity(_counted(docs, block))
@@ -217,7 +227,11 @@ def decontaminate(
         found = _pass(found, block, carried, last)
         if following is None:
             break
-        block = following
+        path = shared_path(docs.sparkSession, "decontamination")
+        docs = found = written(found, "decontamination", path)
+        if before:
+            discard(docs.sparkSession, before)
+        block, before = following, path
     ends = F.col("_hits")
     n_hit = F.aggregate(
         F.sequence(F.lit(0), F.size(ends) - 2, F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.get(ends, i + 1) - F.get(ends, i)

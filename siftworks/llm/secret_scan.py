@@ -18,9 +18,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -101,13 +102,21 @@ def pair_bits(candidate: str) -> float:
     return sum(found) / max(1, len(found))
 
 
+#: A candidate of more characters is searched for the stretches of its surroundings, instead of listing its own.
+LONG = 4096
+
+
 def without_copies(around: str, candidate: str) -> str:
     """``around`` with spaces for what it shares with the candidate; a copy must not make the candidate cheap."""
-    parts = {candidate[i : i + LEAST] for i in range(len(candidate) - LEAST + 1)}
+    places = range(len(around) - LEAST + 1)
+    if len(candidate) > LONG:
+        shared = [i for i in places if around[i : i + LEAST] in candidate]
+    else:
+        parts = {candidate[i : i + LEAST] for i in range(len(candidate) - LEAST + 1)}
+        shared = [i for i in places if around[i : i + LEAST] in parts]
     out = list(around)
-    for i in range(len(around) - LEAST + 1):
-        if around[i : i + LEAST] in parts:
-            out[i : i + LEAST] = " " * LEAST
+    for i in shared:
+        out[i : i + LEAST] = " " * LEAST
     return "".join(out)
 
 
@@ -143,14 +152,30 @@ def private_blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+class Cover:
+    """Whether a stretch of text touches any of some spans, in the logarithm of their number."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        ordered = sorted(spans)
+        self.begins = [a for a, _ in ordered]
+        self.reach = list(accumulate((b for _, b in ordered), max))  # the furthest end so far
+
+    def touches(self, a: int, b: int) -> bool:
+        before = bisect_left(self.begins, b)
+        return before > 0 and self.reach[before - 1] > a
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], share: float = NOVEL_SHARE) -> list[tuple[int, int, str]]:
-    """Candidates in a sensitive context whose marginal compressed size is near that of a random string of their alphabet."""
+    """Candidates in a sensitive context whose marginal compressed size is near that of a random string of their alphabet.
+
+    Time follows the text: spans and key blocks are looked up in sorted lists, and what is compressed beside a candidate is bounded.
+    """
     low = text.lower()
     if len(low) != len(text):  # a few letters change length; positions must hold
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     if not any(k in low for k in SENSITIVE):
         return []
-    blocks = private_blocks(text)
+    blocks, held = Cover(private_blocks(text)), Cover([(x, y) for x, y, _ in taken])
     out, last = [], -1  # end of the last candidate in a sensitive context
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
@@ -158,13 +183,13 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], share: float = NOV
         at = a + name if (name := m[0].rstrip("=").find("=") + 1) and len(m[0]) - name >= LEAST else a
         if not (
             any(k in low[max(0, a - REACH) : max(a, at)] for k in SENSITIVE)
-            or any(x <= a < y for x, y in blocks)
+            or blocks.touches(a, a + 1)
             or (last >= 0 and a - last <= REACH and ADJOINING.fullmatch(text, last, a))
         ):
             continue
         last = b
         s = text[at:b]
-        if not any(c.isalpha() for c in s) or any(x < b and a < y for x, y, _ in taken):
+        if held.touches(a, b):
             continue
         if not any(c.isdigit() for c in s) and pair_bits(s) < PAIR_BITS:
             continue

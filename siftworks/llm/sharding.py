@@ -4,8 +4,12 @@ Every record hashes into one of a few thousand slots; the slot never changes.
 A small versioned map says which shard owns each slot, and rebalancing or growing
 edits that map only: records move slot by slot, and no record is hashed anew.
 
+A slot that one id, or rows without any, make heavier than ``HEAVY`` of a shard can't be
+balanced by moving slots. The map lists such slots as spread: their rows are dealt over all
+slots by their number in the stored table, so shards stay equal whatever one id holds.
+
 Defined results: a null text has size 1 and crc32 0; a null id is dealt by its
-text; repeated rows share a slot and get places of their own; an empty table
+text; repeated rows share a slot unless it is spread, and get places of their own; an empty table
 gives an empty result; columns other than the id and the text are not read.
 """
 
@@ -21,6 +25,8 @@ from .common import cut, table
 
 #: Slots of a map. The map is broadcast, so this is also the bound of what is broadcast.
 SLOTS = 4096
+#: Share of a shard's bytes from which a slot of several rows is spread.
+HEAVY = 1 / 64
 #: Rows of one slot that one part numbers, so that one hot slot is not one task's work.
 PART_ROWS = 1_000_000
 
@@ -32,6 +38,7 @@ class SlotMap:
     version: int
     shards: int
     owner: tuple[int, ...]
+    spread: frozenset[int] = frozenset()
 
     def moved(self, other: SlotMap) -> list[int]:
         return [i for i, (a, b) in enumerate(zip(self.owner, other.owner, strict=True)) if a != b]
@@ -85,7 +92,7 @@ def rebalanced(old: SlotMap, load: dict[int, int]) -> SlotMap:
         total[high] -= load[a] - load[b]
         total[low] += load[a] - load[b]
         owner[a], owner[b] = low, high
-    return SlotMap(old.version + 1, old.shards, tuple(owner))
+    return SlotMap(old.version + 1, old.shards, tuple(owner), old.spread)
 
 
 def grown(old: SlotMap, load: dict[int, int] | None = None) -> SlotMap:
@@ -103,7 +110,7 @@ def grown(old: SlotMap, load: dict[int, int] | None = None) -> SlotMap:
         w = weight(slot)
         if w and taken + w <= goal + 0.5 and total[shard] - w >= goal - max(1, w):
             owner[slot], taken, total[shard] = new, taken + w, total[shard] - w
-    return SlotMap(old.version + 1, new + 1, tuple(owner))
+    return SlotMap(old.version + 1, new + 1, tuple(owner), old.spread)
 
 
 def slot_of(id_column: str = "doc_id", text: str = "text", slots: int = SLOTS) -> Column:
@@ -128,8 +135,8 @@ def slot_loads(records: DataFrame) -> DataFrame:
 
 
 def map_frame(spark: SparkSession, slot_map: SlotMap) -> DataFrame:
-    rows = [(slot_map.version, slot, shard) for slot, shard in enumerate(slot_map.owner)]
-    return spark.createDataFrame(rows, "version int, virtual_slot int, shard int")
+    rows = [(slot_map.version, slot, shard, slot in slot_map.spread) for slot, shard in enumerate(slot_map.owner)]
+    return spark.createDataFrame(rows, "version int, virtual_slot int, shard int, spread boolean")
 
 
 def save_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
@@ -142,9 +149,9 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     stored = spark.read.parquet(path)
     if version is None:
         version = stored.agg(F.max("version")).first()[0]
-    rows = stored.where(F.col("version") == version).select("virtual_slot", "shard").orderBy("virtual_slot").collect()
+    rows = stored.where(F.col("version") == version).select("virtual_slot", "shard", "spread").orderBy("virtual_slot").collect()
     owner = tuple(r["shard"] for r in rows)
-    return SlotMap(int(version), max(owner) + 1, owner)
+    return SlotMap(int(version), max(owner) + 1, owner, frozenset(r["virtual_slot"] for r in rows if r["spread"]))
 
 
 def numbered(records: DataFrame) -> DataFrame:
@@ -152,6 +159,21 @@ def numbered(records: DataFrame) -> DataFrame:
     return records.withColumn("_row", F.monotonically_increasing_id())
 
 
+def spread_slots(loads: DataFrame, shards: int) -> frozenset[int]:
+    """Slots of several rows that are heavier than ``HEAVY`` of a shard, from the loads (at most one row a slot)."""
+    rows = loads.collect()
+    total = sum(r["bytes"] for r in rows)
+    return frozenset(r["virtual_slot"] for r in rows if r["rows"] > 1 and r["bytes"] * shards > total * HEAVY)
+
+
+def respread(records: DataFrame, spread: frozenset[int], slots: int = SLOTS) -> DataFrame:
+    """Numbered records, those of spread slots dealt over all slots by their number."""
+    if not spread:
+        return records
+    anywhere = F.pmod(F.xxhash64("_row"), F.lit(slots)).cast("int")
+    return records.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(*sorted(spread)), anywhere).otherwise(F.col("virtual_slot")))
+
+
 def assign(records: DataFrame, slot_map: SlotMap) -> DataFrame:
     """Records with their shard and a gapless place (``slot``) in it, from 0.
 
@@ -180,8 +202,11 @@ def assign(records: DataFrame, slot_map: SlotMap) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
     """All records in shards of nearly equal bytes, and the map that says so (version 2, edited from the even one)."""
     records = cut(numbered(measured(docs, slots=slots)))
+    first = even_map(shards, slots)
+    spread = spread_slots(slot_loads(records), shards)
+    records = respread(records, spread, slots)
     load = {r["virtual_slot"]: r["bytes"] for r in slot_loads(records).collect()}
-    slot_map = rebalanced(even_map(shards, slots), load)
+    slot_map = rebalanced(SlotMap(first.version, shards, first.owner, spread), load)
     return assign(records, slot_map), slot_map
 
 

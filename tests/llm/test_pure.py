@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 import string
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from siftworks.llm import html_extract, language_id, learn, near_dedup, packing, quality_rules, secret_scan, sharding, text_stats, toxicity
+from siftworks.llm import decontaminate, html_extract, language_id, learn, near_dedup, packing, quality_rules, secret_scan, sharding, text_stats, toxicity
 from siftworks.llm.common import words_of
 
 
@@ -259,3 +260,79 @@ def test_long_texts_take_linear_time(text):
         began = time.process_time()
         f(text)
         assert time.process_time() - began < 5
+
+
+def credentials(n):
+    """Lines of a dump in which every line has base spans and candidates beside them."""
+    draw = random.Random(6)
+    hexes = lambda k: "".join(draw.choices("0123456789abcdef", k=k))
+    keys = lambda k: "".join(draw.choices(string.ascii_letters + string.digits, k=k))
+    lines, size = [], 0
+    while size < n:
+        lines.append(f'token = "{hexes(32)}" api_key: {keys(24)} credential {keys(30)} -----BEGIN PRIVATE KEY-----{keys(64)}-----END')
+        size += len(lines[-1]) + 1
+    return "\n".join(lines)
+
+
+def test_credential_dumps_take_linear_time():
+    times = []
+    for n in (1_250_000, 2_500_000, 10_000_000):
+        text = credentials(n)
+        began = time.process_time()
+        base = secret_scan.base_spans(text)
+        found = secret_scan.novel_spans(text, base)
+        times.append(time.process_time() - began)
+        assert len(base) > n / 200 and len(found) > n / 400
+    assert times[-1] < 60 and times[-1] < 8 * 1.4 * max(times[0], 0.5) and times[1] < 2 * 1.4 * max(times[0], 0.5)
+
+
+def test_cover_equals_plain():
+    draw = random.Random(2)
+    for _ in range(200):
+        spans = [(a, a + draw.randrange(1, 9)) for a in draw.choices(range(60), k=draw.randrange(6))]
+        cover = secret_scan.Cover(spans)
+        for a in range(70):
+            for n in (1, 4):
+                assert cover.touches(a, a + n) == any(x < a + n and a < y for x, y in spans)
+
+
+def test_long_candidates():
+    draw = random.Random(3)
+    long = "".join(draw.choices(string.ascii_letters + string.digits, k=3_000_000))
+    began = time.process_time()
+    assert [x[2] for x in secret_scan.novel_spans(f"bearer {long}", [])] == ["novel"]
+    assert time.process_time() - began < 20
+    for n in (40, secret_scan.LONG + 40):  # the copy before it is blanked at either length
+        s = "".join(draw.choices(string.ascii_letters, k=n))
+        around = f"see {s[:30]} and {s[5:45]} here"
+        plain = list(around)
+        for i in range(len(around) - 15):
+            if around[i : i + 16] in s:
+                plain[i : i + 16] = " " * 16
+        assert secret_scan.without_copies(around, s) == "".join(plain)
+
+
+@pytest.mark.parametrize("alphabet,floor", [(string.digits, 0.9), (string.ascii_uppercase + string.digits, 0.95), (string.ascii_letters + string.digits, 0.95), (string.ascii_lowercase, 0.9)])
+def test_planted_secrets_on_either_side_of_the_gates(alphabet, floor):
+    """What is found of random strings by length and place; what is too short or too far from a sensitive word is not looked at."""
+    draw = random.Random(1)
+    share = lambda n, gap: sum(bool(secret_scan.novel_spans(f"The credential of the server{' ' * gap}{''.join(draw.choices(alphabet, k=n))} is new.", [])) for _ in range(150)) / 150
+    assert share(20, 1) >= floor and share(32, 1) >= floor and share(secret_scan.LEAST, 1) >= floor - 0.1
+    assert share(32, 20) >= floor
+    assert share(secret_scan.LEAST - 1, 1) == 0 and share(32, 60) == 0
+
+
+def test_many_windows_of_one_prefix_stay_small():
+    """200 windows that begin with one shingle, in a text that repeats it: few candidates are held at a time."""
+    draw = random.Random(5)
+    items = [("i", [b"a", b"b", b"c", *(draw.choice([b"x", b"y", b"z"]) for _ in range(7))]) for _ in range(200)]
+    block = decontaminate.Block([(str(n), w) for n, (_, w) in enumerate(items)])
+    block.order_by_rarity({k: 1 if at == 0 else 5 for w in block.windows for at, k in enumerate(block.shingles(w))})
+    words = [b"a", b"b", b"c"] * 160_000
+    words[900:910] = items[7][1]
+    ids = block.numbers(words)
+    tracemalloc.start()
+    begin, which = block.occurrences(ids)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert begin.tolist() == [900] and "7" in block.owners[which[0]]
