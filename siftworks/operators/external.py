@@ -10,6 +10,7 @@ import sys
 import tempfile
 import time
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 from pathlib import Path
 from typing import NamedTuple
 
@@ -17,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.compare import outputs_equal
 from ..functions.noisy_json import first_object
+from ..session import cut
 from .verdicts import case_status
 
 
@@ -90,37 +93,74 @@ def agrees(got: str, want: str, tolerance: float = 1e-6) -> bool:
     return len(a) == len(b) and all(x == y or near(x, y) for x, y in zip(a, b, strict=True))
 
 
-def run_programs(programs: DataFrame, cases: DataFrame, runner: Runner, abort: bool = True) -> DataFrame:
-    """(candidate, ord, stdout, exit_code, timed_out, over_memory, time_ms, expected, error) of each case run.
+RUNS = "ord int, stdout string, exit_code int, timed_out boolean, over_memory boolean, time_ms long, expected string, error string"
 
-    ``programs``: candidate, pid, language, code, seconds. ``cases``: pid, ord, input,
-    expected. A candidate's cases run in order in one task; with ``abort`` they stop at
-    the first that does not run or whose output differs, even as numbers. A runner that
-    raises gives one row with the error and fails no task.
+
+def _streamed(programs: DataFrame, cases: DataFrame, runner: Runner, abort: bool) -> DataFrame:
+    """Runs of each candidate on its cases in order, as both come from the sort: no list of cases is made.
+
+    A candidate's program is the row before its cases. A runner takes inputs as it needs them; a candidate's
+    rows that it leaves are passed over.
     """
-    bundle = F.array_sort(F.collect_list(F.struct("ord", "input", "expected")))
-    rows = programs.join(cases.groupBy("pid").agg(bundle.alias("cases")), "pid").repartition("candidate")
     kind = programs.schema["candidate"].dataType.simpleString()
-    ddl = f"candidate {kind}, ord int, stdout string, exit_code int, timed_out boolean, over_memory boolean, time_ms long, expected string, error string"
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    first = programs.select("candidate", F.lit(None).cast("int").alias("ord"), "language", "code", "seconds", *none("input", "expected"))
+    each = programs.select("candidate", "pid").join(cases, "pid").select("candidate", F.col("ord").cast("int").alias("ord"), *none("language", "code"), F.lit(None).cast("double").alias("seconds"), "input", "expected")
+    rows = first.unionByName(each).repartition("candidate").sortWithinPartitions("candidate", F.col("ord").asc_nulls_first())
+    names = ["candidate", *(f.split()[0] for f in RUNS.split(", "))]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stream():
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield batch.schema.field("candidate").type, row
+
+        for _, candidate in groupby(stream(), lambda x: x[1]["candidate"]):
+            key, program = next(candidate)
+            ahead = next(candidate, None)
+            if ahead is None:
+                continue  # no cases
+            given = []
+
+            def inputs(ahead=ahead, candidate=candidate, given=given):
+                for _, case in chain([ahead], candidate):
+                    given.append((case["ord"], case["expected"]))
+                    yield case["input"]
+
+            made = lambda *row: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [key, *kinds], strict=True)], names=names)  # noqa: B023, E731
+            try:
+                for got in runner(program["code"], program["language"], inputs(), program["seconds"]):
+                    place, expected = given.pop(0)
+                    yield made(program["candidate"], place, *got, expected, None)
+                    if abort and not went_well(got, expected):
+                        break
+            except Exception as e:  # noqa: BLE001  whatever a runner raises belongs in its row
+                yield made(program["candidate"], *[None] * 7, f"{type(e).__name__}: {e}")
+
+    return rows.mapInArrow(run, f"candidate {kind}, {RUNS}")
+
+
+def went_well(got: Outcome, expected: str) -> bool:
+    return not (got.timed_out or got.over_memory or got.exit_code) and agrees(got.stdout, expected)
+
+
+def run_programs(programs: DataFrame, cases: DataFrame, runner: Runner, abort: bool = True, probe: int = 0) -> DataFrame:
+    """(candidate, ord, stdout, exit_code, timed_out, over_memory, time_ms, expected, error) of each case run.
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = []
-                try:
-                    results = runner(row["code"], row["language"], (c["input"] for c in row["cases"]), row["seconds"])
-                    for case, got in zip(row["cases"], results):  # noqa: B905  the runner may stop early
-                        out.append((row["candidate"], case["ord"], *got, case["expected"], None))
-                        if abort and (got.timed_out or got.over_memory or got.exit_code or not agrees(got.stdout, case["expected"])):
-                            break
-                except Exception as e:  # noqa: BLE001  whatever a runner raises belongs in its row
-                    out.append((row["candidate"], None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-                columns = list(zip(*out, strict=True)) or [()] * 9
-                kinds = [batch.schema.field("candidate").type, pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.string(), pa.string()]
-                names = ["candidate", "ord", "stdout", "exit_code", "timed_out", "over_memory", "time_ms", "expected", "error"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    return rows.select("candidate", "language", "code", "seconds", "cases").mapInArrow(run, ddl)
+    ``programs``: candidate (unique), pid, language, code, seconds. ``cases``: pid, ord, input,
+    expected. A candidate's cases run in order in one task; with ``abort`` they stop at
+    the first that does not run or whose output differs, even as numbers. With ``probe`` they run in two
+    waves: the cases before that number all run first, and the others are sent to and run for those
+    candidates only that passed all of them. A runner that raises gives one row with the error and fails no task.
+    """
+    if not probe:
+        return _streamed(programs, cases, runner, abort)
+    first = cut(_streamed(programs, cases.where(F.col("ord") < probe), runner, False))
+    ran = F.col("error").isNull() & ~F.col("timed_out") & ~F.col("over_memory") & (F.col("exit_code") == 0)
+    failed = first.where(~F.coalesce(ran & outputs_equal("stdout", "expected", "float"), F.lit(False))).select("candidate")
+    left = programs.join(failed, "candidate", "left_anti")
+    return first.unionByName(_streamed(left, cases.where(F.col("ord") >= probe), runner, abort))
 
 
 def run_status(runs: DataFrame, equal: Column) -> DataFrame:

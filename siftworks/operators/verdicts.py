@@ -48,11 +48,12 @@ def worst(results: DataFrame, keys: list[str], status: str = "status", severity:
     return out.withColumn("status", F.coalesce(F.get(F.array(*map(F.lit, severity)), (F.col("_rank") - 1).cast("int")), F.lit("AC"))).drop("_rank")
 
 
-def two_stage(results: DataFrame, keys: list[str], order: str, probe: int = 3, most_failures: int = 5) -> DataFrame:
+def two_stage(results: DataFrame, keys: list[str], order: str, probe: int = 3, most_failures: int = 5, totals: DataFrame | None = None) -> DataFrame:
     """Verification in two stages: the first cases must all pass before the rest count, which stop at the first failure.
 
     ``results``: keys, order, status, time_ms. Adds verdict, passed, ran, skipped,
-    max_ms, total_ms and up to ``most_failures`` failures in order.
+    max_ms, total_ms and up to ``most_failures`` failures in order. Where results have only the cases that ran
+    (``external.run_programs`` in waves), ``totals`` (keys, cases_total) tells how many there are.
     """
     bad = F.col("status") != "AC"
     firsts = results.groupBy(*keys).agg(
@@ -60,6 +61,8 @@ def two_stage(results: DataFrame, keys: list[str], order: str, probe: int = 3, m
         F.min(F.when(bad, F.col(order))).alias("_first"),
         F.max(F.when(F.col(order) < probe, bad)).alias("_probe_failed"),
     )
+    if totals is not None:
+        firsts = firsts.drop("cases_total").join(totals.select(*keys, "cases_total"), keys)
     # All probe cases run; after them nothing runs past the first failure.
     last = F.when(F.col("_probe_failed"), F.lit(probe - 1)).otherwise(F.col("_first"))
     ran = results.join(firsts.select(*keys, last.alias("_last")), keys).where(F.col("_last").isNull() | (F.col(order) <= F.col("_last")))

@@ -17,6 +17,8 @@ from ..sources import dataset_dirs, messages, riegeli
 
 STAGES = ("pool", "enrich", "sample", "verify", "write")
 PYTHON3 = 3
+#: Cases that a solution must all pass before the others are sent to it.
+PROBE = 3
 
 
 def require(spark: SparkSession, path: str, what: str, hint: str) -> str:
@@ -43,10 +45,10 @@ def verification(problems: DataFrame, settings: Settings, runner: external.Runne
     tried = problems.select(F.col("cc_id").alias("pid"), F.least(F.coalesce("time_limit_seconds", F.lit(settings.gates.default_seconds)), F.lit(of.timeout_cap_seconds)).alias("seconds"), F.posexplode("solutions").alias("place", "s"))
     tried = tried.where((F.col("s.language") == PYTHON3) & (F.size(tags.python2(F.col("s.solution"))) == 0)).select("pid", "seconds", "place", F.col("s.solution").alias("code"))
     tried = cut(select.shortest_first(tried, "pid", "code", "place", of.max_solutions).withColumn("candidate", F.concat_ws("#", "pid", F.col("attempt").cast("string"))))
-    runs = cut(external.run_programs(tried.select("candidate", "pid", F.lit("python").alias("language"), "code", "seconds"), cases, runner))
+    runs = cut(external.run_programs(tried.select("candidate", "pid", F.lit("python").alias("language"), "code", "seconds"), cases, runner, probe=PROBE))
     status = lambda mode: external.run_status(runs, compare.outputs_equal("stdout", "expected", mode, of.tolerance, of.tolerance))
     token = status("token")
-    rolled = verdicts.two_stage(token.select("candidate", "ord", "status", "time_ms"), ["candidate"], "ord")
+    rolled = verdicts.two_stage(token.select("candidate", "ord", "status", "time_ms"), ["candidate"], "ord", PROBE)
     head = F.struct(F.col("status").alias("verdict"), F.col("stdout").alias("stdout_head"), F.col("expected").alias("expected_head"))
     failed = token.where("status <> 'AC'").groupBy("candidate").agg(F.collect_list(head).alias("_failures"))  # at most the cases of a problem
     floats = verdicts.first_failure(status("float").select("candidate", "ord", "status"), ["candidate"], "ord").select("candidate", (F.col("status") == "AC").alias("_close"))

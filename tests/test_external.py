@@ -33,6 +33,31 @@ def test_runs(spark):
     assert {r["candidate"]: r["status"] for r in rolled.collect()} == {"ok": "AC", "wrong": "WA", "crash": "RE"}
 
 
+def test_waves_send_the_rest_to_survivors(spark):
+    """100 cases: a program that fails a probe case runs the probe alone, one that fails later stops there."""
+    programs = spark.createDataFrame([("ok", "p", "x", "", 1.0), ("early", "p", "x", "fail 1", 1.0), ("late", "p", "x", "fail 40", 1.0), ("raises", "p", "x", "raise", 1.0), ("none", "q", "x", "", 1.0)], "candidate string, pid string, language string, code string, seconds double")
+    cases = spark.createDataFrame([("p", i, str(i), str(2 * i)) for i in range(100)], "pid string, ord int, input string, expected string")
+
+    def runner(code, language, inputs, seconds):
+        for text in inputs:
+            if code == "raise":
+                raise RuntimeError("no")
+            wrong = code == f"fail {text}"
+            yield external.Outcome("0.1" if wrong else str(2 * int(text)), 0, False, False, 1)
+
+    waves = external.run_programs(programs, cases, runner, probe=3)
+    assert "collect_list" not in waves._jdf.queryExecution().toString()
+    ran = {r["candidate"]: r["count"] for r in waves.groupBy("candidate").count().collect()}
+    assert ran == {"ok": 100, "early": 3, "late": 41, "raises": 1}
+    plain = external.run_programs(programs, cases, runner).collect()
+    assert {c: sorted(r["ord"] for r in plain if r["candidate"] == c) for c in ("ok", "early", "late")} == {"ok": list(range(100)), "early": [0, 1], "late": list(range(41))}
+    assert [r["error"] for r in plain if r["candidate"] == "raises"] == ["RuntimeError: no"]
+    status = external.run_status(waves.where("error IS NULL"), F.col("stdout") == F.col("expected"))
+    totals = programs.join(cases.groupBy("pid").count().withColumnRenamed("count", "cases_total"), "pid")
+    rolled = {r["candidate"]: (r["verdict"], r["cases_run"], r["skipped"]) for r in verdicts.two_stage(status, ["candidate"], "ord", 3, totals=totals).collect()}
+    assert rolled == {"ok": ("AC", 100, 0), "early": ("WA", 3, 97), "late": ("WA", 41, 59)}
+
+
 def test_script_and_prompt(spark):
     routes = spark.createDataFrame([("check", "fine", 1), ("solve", "done", 0)], "keyword string, reply string, ord int")
     prompts = spark.createDataFrame([(1, "please solve and check"), (2, "check it"), (3, "none")], "id int, prompt string")
