@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from ..session import checkpoint_root, cut
+from ..session import checkpoint_root, cut, settled
 
 __all__ = ["checkpoint_root", "cut", "discard", "fold", "map_texts", "shared_path", "slices", "table", "words_of", "written"]
 
@@ -37,7 +37,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settled(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
