@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import classify, tags
@@ -101,6 +101,39 @@ def funnel(rows: DataFrame, reason: str = "reject_reasons", passed: str = "passe
     return rows.select(F.explode(marks).alias("metric")).groupBy("metric").agg(F.count("*").alias("n"))
 
 
+#: What ``gate`` can give as a reason.
+REASONS = ("source_excluded", "no_python3_solution", "non_stdio", "multiple_answers", "interactive", "time_limit_too_large", "too_few_tests", "too_many_tests", "description_too_large", "proto_error")
+
+
+class Tally:
+    """Counts that are taken while rows pass on their way to a sink, so that no second scan is needed.
+
+    ``rows`` is to be written instead of the given ones; ``counts`` waits until that is done. Names with a
+    count of 0 are left out, as in ``funnel``.
+    """
+
+    def __init__(self, rows: DataFrame, /, **counts: Column):
+        self._names, self._seen = list(counts), Observation()
+        self.rows = rows.observe(self._seen, *(n.alias(f"c{i}") for i, n in enumerate(counts.values())))
+
+    def counts(self) -> dict[str, int]:
+        seen = self._seen.get
+        return {n: int(seen[f"c{i}"]) for i, n in enumerate(self._names) if seen[f"c{i}"]}
+
+
+def tallied(rows: DataFrame, names: tuple[str, ...] = REASONS, reason: str = "reject_reasons", passed: str = "passed", **values: tuple[str, ...]) -> Tally:
+    """The counts of ``funnel`` for known reasons (others together as ``reason:other``), and passed rows by the known ``values`` of columns."""
+    known = F.array(*map(F.lit, names)).cast("array<string>")
+    return Tally(
+        rows,
+        records=F.count(F.lit(1)),
+        passed=F.count_if(passed),
+        **{f"reason:{n}": F.count_if(F.array_contains(reason, n)) for n in names},
+        **{"reason:other": F.sum(F.size(F.filter(reason, lambda r: ~F.array_contains(known, r))))},
+        **{f"{column}:{v}": F.count_if(F.col(passed) & (F.col(column) == v)) for column, given in values.items() for v in given},
+    )
+
+
 def passed_by(rows: DataFrame, *keys: str, passed: str = "passed") -> DataFrame:
     return rows.where(passed).groupBy(*keys).agg(F.count("*").alias("n"))
 

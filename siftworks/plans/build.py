@@ -102,6 +102,17 @@ class Build:
         rows.write.mode("overwrite").parquet(self._at(stage))
         return self.spark.read.parquet(self._at(stage))
 
+    def _tallied(self, stage: str, tally: gate.Tally) -> DataFrame:
+        """Keeps a stage's rows and, beside them, what was counted as they were written."""
+        rows = self._kept(stage, tally.rows)
+        dataset_dirs.write_text(self.spark, self._at(f"{stage}.json"), json.dumps(tally.counts()))
+        return rows
+
+    def counts(self, stage: str) -> dict[str, int]:
+        """What was counted when a stage was written."""
+        place = require(self.spark, self._at(f"{stage}.json"), f"the counts of stage {stage}", f"run stage {stage} first")
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(place).collect()))
+
     def _of(self, stage: str) -> DataFrame:
         return self.spark.read.parquet(require(self.spark, self._at(stage), f"the result of stage {stage}", f"run stage {stage} first"))
 
@@ -111,11 +122,14 @@ class Build:
         return messages.with_names(messages.decode_problems(raw)).withColumn("cc_id", composite_id("split", "shard", "record_index"))
 
     def pool(self) -> DataFrame:
-        return self._kept("pool", gate.gate(self.problems(), self.settings.gates))
+        sources = tuple(messages.SOURCES.values())
+        return self._tallied("pool", gate.tallied(gate.gate(self.problems(), self.settings.gates), source_name=sources))
 
     def enriched(self) -> DataFrame:
-        index = enrich.label_index(self.spark.read.parquet(self.labels).withColumn("ord", F.monotonically_increasing_id()), "ord")
-        return self._kept("enrich", enrich.enrich(self._of("pool").where("passed"), index, "ord"))
+        index = enrich.label_index(dataset_dirs.in_file_order(self.spark.read.parquet(self.labels)), "ord")
+        rows = enrich.enrich(self._of("pool").where("passed"), index, "ord")
+        of = lambda how: F.count_if(F.col("taco_match") == how)
+        return self._tallied("enrich", gate.Tally(rows, rows=F.count(F.lit(1)), key=of("key"), title=of("title"), none=of("none"), rated=F.count("cf_rating"), labelled=F.count("taco_difficulty")))
 
     def sampled(self) -> DataFrame:
         rows = sample.prepared(self._of("enrich"))
@@ -134,10 +148,11 @@ class Build:
         made = dataset_dirs.export_problems(chosen.drop("description").join(self.problems(chosen).select("cc_id", "description", *(f"{o}_tests" for o in gate.ORIGINS)), "cc_id"), public, private, of.max_cases, of.max_field_bytes, of.max_problem_bytes)
         stale = dataset_dirs.prune(self.spark, public, made.select(F.col("cc_id").alias("pid")), delete=prune)
         text = dataset_dirs.manifest(
-            json.loads(self.settings.as_json()), pool=gate.funnel(self._of("pool")), match=enrich.match_counts(self._of("enrich")), modes=metrics.zero_filled(chosen, "comparison", compare.MODES),
+            json.loads(self.settings.as_json()), modes=metrics.zero_filled(chosen, "comparison", compare.MODES),
             cells=chosen.groupBy("quota_cell", "filled_beyond_quota").count(), impact=impact(chosen), rejects=self._of("rejects").select(F.explode("reasons").alias("reason")).groupBy("reason").count(),
             totals=made.agg(F.count("*").alias("problems"), F.sum("n_cases").alias("cases"), F.sum("bytes").alias("bytes")),
         )
+        text = json.dumps(json.loads(text) | {"pool": self.counts("pool"), "match": self.counts("enrich")}, ensure_ascii=False, sort_keys=True)
         dataset_dirs.write_text(self.spark, f"{public}/manifest.json", text)
         return {"manifest": text, "stale": stale}
 

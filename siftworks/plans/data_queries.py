@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 SHOUTING = "(^|[^A-Za-z0-9_])[A-Z]{6,}([^A-Za-z0-9_]|$)"
 SIGNALS = (("has_digit", "[0-9]"), ("shouting", SHOUTING), ("piped", r"\|"), ("licence", "(^|[^A-Za-z0-9_])[Ll][Ii][Cc][Ee][Nn][Ss][Ee]"))
 
-_GATED = rf"""
+GATED_SQL = rf"""
   SELECT doc_id, lang, source,
          list_filter([CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'lang_excluded' END, CASE WHEN strlen(text) > 8000 THEN 'too_large' END,
                       CASE WHEN length(text) < 200 THEN 'too_short' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'has_digit' END,
@@ -35,7 +35,7 @@ _GATED = rf"""
   FROM documents"""
 
 
-def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     found = gate.reasons(
         ("lang_excluded", ~F.col("lang").isin("en", "de", "fr")),
@@ -46,17 +46,17 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", "source", found.alias("reject_reasons")).withColumn("passed", F.size("reject_reasons") == 0)
 
 
-@query(f"""WITH g AS ({_GATED})
+@query(f"""WITH g AS ({GATED_SQL})
 SELECT metric, count(*)::BIGINT AS n FROM (
   SELECT 'records' AS metric FROM g UNION ALL SELECT 'passed' FROM g WHERE len(reject_reasons) = 0
   UNION ALL SELECT 'reason:' || unnest(reject_reasons) FROM g) GROUP BY metric""")
 def q01_gate_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.funnel(_gated(spark, sf_dir))
+    return gate.funnel(gated_documents(spark, sf_dir))
 
 
-@query(f"WITH g AS ({_GATED}) SELECT source, lang, count(*)::BIGINT AS n FROM g WHERE len(reject_reasons) = 0 GROUP BY source, lang")
+@query(f"WITH g AS ({GATED_SQL}) SELECT source, lang, count(*)::BIGINT AS n FROM g WHERE len(reject_reasons) = 0 GROUP BY source, lang")
 def q02_passed_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.passed_by(_gated(spark, sf_dir), "source", "lang")
+    return gate.passed_by(gated_documents(spark, sf_dir), "source", "lang")
 
 
 @query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{name}' END" for name, p in SIGNALS) + "], lambda x: x IS NOT NULL), ',') AS signals FROM documents")

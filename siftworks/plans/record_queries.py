@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import checkpoint_root, cut
-from ..sources import messages, riegeli, stores
+from ..operators import gate
+from ..sources import dataset_dirs, messages, riegeli, stores
+from . import data_queries
 from .tables import table
 
 #: Ids of one record file; the files grow in number with the table.
@@ -30,8 +33,7 @@ def _over_files(spark: SparkSession, sf_dir: str, query: Callable[[DataFrame, st
     raw = F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit(""))).cast("binary")
     riegeli.write_records(documents.select("split", "shard", F.col("doc_id").alias("ord"), raw.alias("raw")), folder, name="documents")
     found = cut(query(documents, folder))
-    system, path = stores.at(folder)
-    system.delete_dir(path)
+    dataset_dirs.remove(spark, folder)
     return found
 
 
@@ -77,6 +79,19 @@ def q70_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over_files(spark, sf_dir, query)
 
 
+def q73_counted_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gated documents written as JSON lines, and their funnel as it was counted by that write."""
+    rows = data_queries.gated_documents(spark, sf_dir)
+    tally = gate.tallied(rows, ("lang_excluded", "too_large", "too_short", "has_digit", "shouting"))
+    place = f"{checkpoint_root(spark).rstrip('/')}/pool-{uuid.uuid4().hex}"
+    dataset_dirs.write_pool(tally.rows, place)
+    written = dataset_dirs.read_pool(spark, place, "doc_id long, passed boolean, reject_reasons array<string>")
+    checked = cut(written.groupBy(F.when(F.col("passed"), "passed").otherwise("rejected").alias("metric")).agg(F.count("*").alias("n")).where("metric = 'rejected'"))
+    dataset_dirs.remove(spark, place)
+    counted = spark.createDataFrame(sorted(tally.counts().items()), "metric string, n long")
+    return counted.unionByName(checked)
+
+
 def _varint(value: Column, bits: int = 35) -> Column:
     """A number below ``2 ** bits`` as hexadecimal digits of its varint."""
     value, digits = value.cast("long"), []
@@ -132,7 +147,7 @@ _PLACED = f"""WITH {_DEALT},
 p AS (SELECT split, shard, row_number() OVER (PARTITION BY split, shard ORDER BY doc_id) - 1 AS record_index, doc_id, sha256(text) AS text_sha256 FROM d)
 SELECT * FROM p"""
 
-QUERIES = {"q68_record_scan": q68_record_scan, "q69_file_profile": q69_file_profile, "q70_point_lookup": q70_point_lookup, "q71_decoded_messages": q71_decoded_messages}
+QUERIES = {"q68_record_scan": q68_record_scan, "q69_file_profile": q69_file_profile, "q70_point_lookup": q70_point_lookup, "q71_decoded_messages": q71_decoded_messages, "q73_counted_write": q73_counted_write}
 SQL = {
     "q68_record_scan": _PLACED,
     "q69_file_profile": f"""WITH {_DEALT}
@@ -141,5 +156,6 @@ SELECT 'documents_' || split || '.riegeli-' || lpad(shard::VARCHAR, 5, '0') || '
     "q71_decoded_messages": """SELECT 'zeilé ' || l_orderkey AS name, l_orderkey, l_partkey, l_linenumber, l_returnflag || ',' || l_linestatus AS tags, 2 AS n_cases, l_suppkey::VARCHAR AS first_input,
   l_linenumber * 40 AS output_length, '' AS second_input, l_returnflag AS second_output, l_linenumber::BIGINT AS code_language, l_partkey::VARCHAR AS code,
   (l_quantity::BIGINT % 5) AS n_incorrect_solutions, l_linenumber + 0.5::DOUBLE AS time_limit_seconds, true AS whole FROM lineitem""",
+    "q73_counted_write": data_queries.SQL["q01_gate_funnel"] + f" UNION ALL SELECT 'rejected', count(*)::BIGINT FROM ({data_queries.GATED_SQL}) WHERE len(reject_reasons) > 0",
     "q70_point_lookup": _PLACED + " WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
 }

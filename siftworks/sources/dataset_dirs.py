@@ -194,6 +194,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes what is at the place, in any store."""
+    system, place = _filesystem(spark, path)
+    system.delete(place, True)
+
+
 def prune(spark: SparkSession, root: str, keep: DataFrame, delete: bool = False) -> list[str]:
     """Problem directories under the root that are not in ``keep`` (pid), by name; with ``delete`` those that could not be removed.
 
@@ -247,12 +253,20 @@ def read_pool(spark: SparkSession, path: str, schema: str, passed_only: bool = F
 
 
 def write_pool(rows: DataFrame, path: str) -> None:
+    """JSON lines. For the counts of what is written give ``gate.tallied(rows).rows``: they are taken in the same scan."""
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Rows of Parquet files with ``ord``, their place by file and row: the same however files are split among tasks."""
+    if "ord" in rows.columns:
+        return rows
+    return rows.withColumn("ord", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
 def extract_index(spark: SparkSession, raw: str, columns: list[str], out: str) -> DataFrame:
-    """Only the wanted columns of all shards as one table; the reader fetches no other column."""
-    spark.read.parquet(raw).select(*columns).write.mode("overwrite").parquet(out)
+    """Only the wanted columns of all shards as one table, with ``ord``; the reader fetches no other column."""
+    in_file_order(spark.read.parquet(raw)).select(*columns, "ord").write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 

@@ -270,3 +270,19 @@ def test_ablation_equals_layer_by_layer(spark):
     for name, switches in configs.items():
         want = fusion.layered(layer("rules"), of("scan"), of("fine"), layer("consistency"), layer("counterexample"), executions, **switches)
         assert sorted(map(str, got[name])) == sorted(str(tuple(r)) for r in want.collect()), name
+
+
+def test_counts_of_a_write_equal_the_funnel(spark, tmp_path):
+    rows = spark.range(500).select("id", F.array_compact(F.array(F.when(F.col("id") % 3 == 0, "a"), F.when(F.col("id") % 5 == 0, "b"), F.when(F.col("id") % 7 == 0, "odd"))).alias("reject_reasons"), (F.col("id") % 2).cast("string").alias("source"))
+    rows = rows.withColumn("passed", F.size("reject_reasons") == 0)
+    tally = gate.tallied(rows, ("a", "b", "never"), source=("0", "1"))
+    spark.sparkContext.setJobGroup("one-scan", "")
+    tally.rows.write.json(str(tmp_path / "pool"))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-scan"))
+    counts = tally.counts()
+    assert jobs == len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-scan")) == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {r["metric"]: r["n"] for r in gate.funnel(rows).collect()}
+    want["reason:other"] = want.pop("reason:odd")
+    want |= {f"source:{r['source']}": r["n"] for r in gate.passed_by(rows, "source").collect()}
+    assert counts == want and spark.read.json(str(tmp_path / "pool")).count() == 500
