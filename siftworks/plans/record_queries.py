@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..session import checkpoint_root, cut
 from ..operators import gate
-from ..sources import dataset_dirs, messages, riegeli, stores
+from ..sources import dataset_dirs, messages, riegeli
 from . import data_queries
 from .tables import table
 
@@ -28,8 +28,7 @@ def _dealt(documents: DataFrame) -> DataFrame:
 def _over_files(spark: SparkSession, sf_dir: str, query: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """What a query makes of record files with a record ``id, line end, text`` for each document; the files are removed then."""
     documents = _dealt(table(spark, sf_dir, "documents"))
-    place = stores.Staging(f"{checkpoint_root(spark).rstrip('/')}/records")
-    folder = f"{place.root}-{place.job}"
+    folder = f"{checkpoint_root(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
     raw = F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit(""))).cast("binary")
     riegeli.write_records(documents.select("split", "shard", F.col("doc_id").alias("ord"), raw.alias("raw")), folder, name="documents")
     found = cut(query(documents, folder))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from ..functions.text import case_bytes, comparison_mode, language, ordered_dige
 from ..operators import select
 from ..operators.validate import derived_labels, overlay, stale
 from ..session import cut
+from .stores import write_files
 
 META = "id string, difficulty int, tags array<string>, comparison string, time_limit_seconds double, memory_limit_bytes long"
 CASE = "input string, expected string"
@@ -140,9 +139,9 @@ def export_problems(rows: DataFrame, public: str, private: str, most_cases: int
 
     ``rows``: cc_id, description, tests of each origin, code, attempts, max_ms and the
     columns of ``META_COLUMNS``. The cases are the longest prefix of the selected ones that fits.
-    Both roots are folders that all executors can write to as files; each file is written
-    under another name first, so a task that is run again leaves whole files. Returns cc_id,
-    n_cases, bytes and the cases' digest.
+    Both roots are in any store that ``stores`` knows. Files are staged and appear when all of a tree
+    has been written, the private tree first, so a problem that is shown has its proof. Returns cc_id, n_cases,
+    bytes and the cases' digest.
     """
     from ..operators.gate import ORIGINS
 
@@ -165,18 +164,12 @@ def export_problems(rows: DataFrame, public: str, private: str, most_cases: int
     proof = F.to_json(F.struct(F.col("pid").alias("pid"), "comparison", "attempt", "max_ms", F.size("attempts").alias("tried"), F.transform("attempts", lambda a: F.struct(a["attempt"].alias("attempt"), a["verdict"].alias("verdict"))).alias("attempts")))
     files = both.select("pid", F.coalesce("description", F.lit("")).alias("problem_md"), meta.alias("meta_json"), tests.alias("tests_json"), F.col("code").alias("reference_py"), proof.alias("verification_json"), F.size("cases").alias("n_cases"), case_bytes("cases").alias("bytes"), digest.alias("digest"))
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                for name in ("problem.md", "meta.json", "tests.json", "reference.py", "verification.json"):
-                    place = Path(private if name == "verification.json" else public, row["pid"], name)
-                    place.parent.mkdir(parents=True, exist_ok=True)
-                    part = place.with_name(f"{name}.{uuid.uuid4().hex}.part")
-                    part.write_text(row[name.replace(".", "_")], encoding="utf-8")
-                    part.replace(place)
-            yield batch.select(["pid", "n_cases", "bytes", "digest"]).rename_columns(["cc_id", "n_cases", "bytes", "digest"])
-
-    return cut(files.mapInArrow(run, "cc_id string, n_cases int, bytes long, digest string"))
+    files = cut(files)
+    named = lambda name, column: F.struct(F.concat("pid", F.lit(f"/{name}")).alias("name"), F.col(column).alias("text"))
+    shown = F.array(named("problem.md", "problem_md"), named("meta.json", "meta_json"), named("tests.json", "tests_json"), named("reference.py", "reference_py"))
+    write_files(files.select(named("verification.json", "verification_json").alias("f")).select("f.*"), private)
+    write_files(files.select(F.explode(shown).alias("f")).select("f.*").where("text IS NOT NULL"), public)
+    return files.select(F.col("pid").alias("cc_id"), F.col("n_cases").cast("int").alias("n_cases"), F.col("bytes").cast("long").alias("bytes"), "digest")
 
 
 def _filesystem(spark: SparkSession, path: str):

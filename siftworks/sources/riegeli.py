@@ -20,13 +20,14 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
 from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
@@ -243,49 +244,25 @@ class RiegeliReader(DataSourceReader):
             file.close()
 
 
-class _Named(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
-
-
-class RiegeliWriter(DataSourceArrowWriter):
-    """Tasks stage a file for each (split, shard) that they meet; the files get their names when all tasks went well.
+class RiegeliWriter(stores.StagedWriter):
+    """Tasks stage a file for each (split, shard) that they meet.
 
     Rows of a shard must come to one task, in the order of its records (``write_records`` sees to that)."""
 
     def __init__(self, options: dict[str, str]):
-        self.staging = stores.Staging(options["path"])
+        super().__init__(options["path"])
         self.name, self.chunk = options.get("name", "records"), int(options.get("chunkbytes", 1 << 20))
         self.packing = {"none": 0, "zstd": 0x7A}[options.get("packing", "zstd")]
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        files, rows = [], self._rows(iterator)
-        row = next(rows, None)
-        while row is not None:
-            shard, rest = row[:2], []
-
-            def own(shard=shard, rest=rest, row=row):
-                while row is not None and row[:2] == shard:
-                    yield row[2]
-                    row = next(rows, None)
-                rest.append(row)
-
-            name = f"{self.name}_{shard[0]}.riegeli-{shard[1]:05d}-of-99999"
-            files.append(self.staging.put(name, file_parts(own(), self.packing, self.chunk)))
-            row = rest[0]
-        return _Named(files)
+    def files(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
+        for (split, shard), rows in groupby(self._rows(iterator), lambda row: row[:2]):
+            yield f"{self.name}_{split}.riegeli-{shard:05d}-of-99999", file_parts((row[2] for row in rows), self.packing, self.chunk)
 
     @staticmethod
     def _rows(iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
         for batch in iterator:
             yield from zip(batch.column("split").to_pylist(), batch.column("shard").to_pylist(), batch.column("raw").to_pylist(), strict=True)
 
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        self.staging.publish(f for m in messages if m is not None for f in m.files)
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self.staging.withdraw()
-
 
 class RiegeliSource(DataSource):
     """``format("riegeli")``: chunk headers of the files below ``path`` (option ``pathGlobFilter``), one task a byte range
@@ -364,7 +341,7 @@ def write_records(rows: DataFrame, path: str, order: str = "ord", name: str = "r
     registered(rows.sparkSession)
     dealt = rows.select("split", F.col("shard").cast("int").alias("shard"), order, "raw").repartition("split", "shard").sortWithinPartitions("split", "shard", order)
     writer = dealt.select("split", "shard", "raw").write.format("riegeli").mode("append")
-    writer.option("name", name).option("chunkBytes", str(chunk_bytes)).option("packing", packing).save(path)
+    writer.option("name", name).option("chunkBytes", str(chunk_bytes)).option("packing", packing).save(stores.qualified(rows.sparkSession, path))
 
 
 def _whole_files(spark: SparkSession, path: str, pattern: str, paths: list[str] | None) -> DataFrame:
@@ -394,6 +371,7 @@ def scan_chunks(spark: SparkSession, path: str, pattern: str = "*.riegeli*", ran
 
     The ranges of a file must meet: a chunk that ends where no other begins is an error too.
     """
+    path = stores.qualified(spark, path)
     if not stores.known(path):
         return _whole_files(spark, path, pattern, paths).drop("next")
     if paths is not None and not paths:
@@ -501,7 +479,7 @@ def scan_records(
 
         return of(bodies())
 
-    if not stores.known(path):
+    if not stores.known(stores.qualified(spark, path)):
         per_file = rows.groupBy("path").agg(F.collect_list(F.struct(*rows.columns)).alias("chunks"))
         names = [r[0] for r in per_file.select("path").collect()]
         content = spark.read.format("binaryFile").load(names).select("path", "content") if names else spark.createDataFrame([], "path string, content binary")

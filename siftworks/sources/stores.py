@@ -10,11 +10,18 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
+
+#: Files that the driver moves at a time; a move is a call to the store.
+MOVES = 16
 
 
 def at(place: str) -> tuple[fs.FileSystem, str]:
@@ -26,6 +33,12 @@ def at(place: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), place
 
 
+def qualified(spark: SparkSession, place: str) -> str:
+    """The place with its scheme, as Spark's readers and writers understand it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def known(place: str) -> bool:
     """Whether tasks can open the place themselves; some stores only Spark's readers know."""
     try:
@@ -73,10 +86,15 @@ class Staging:
         system, path = at(self.root)
         return system, f"{path.rstrip('/')}/_staged-{self.job}"
 
+    def begun(self) -> Staging:
+        """Makes the folder, in the driver alone: a task that still runs when the job is withdrawn finds none to write to."""
+        system, folder = self.folder()
+        system.create_dir(folder, recursive=True)
+        return self
+
     def put(self, name: str, parts: Iterable[bytes]) -> tuple[str, str]:
         """Writes a file whose place will be ``root/name``; returns its staged path and that name, for ``publish``."""
         system, folder = self.folder()
-        system.create_dir(folder, recursive=True)
         path = f"{folder}/{uuid.uuid4().hex}"
         with system.open_output_stream(path) as out:
             for part in parts:
@@ -86,17 +104,74 @@ class Staging:
     def publish(self, files: Iterable[tuple[str, str]]) -> None:
         """Moves the files of tasks that went well to their places; a file that is there is replaced."""
         system, path = at(self.root)
-        made = set()
-        for staged, name in files:
-            place = f"{path.rstrip('/')}/{name}"
-            above = place.rpartition("/")[0]
-            if above not in made:
-                system.create_dir(above, recursive=True)
-                made.add(above)
-            system.move(staged, place)
+        moves = [(staged, f"{path.rstrip('/')}/{name}") for staged, name in files]
+        for above in {place.rpartition("/")[0] for _, place in moves}:
+            system.create_dir(above, recursive=True)
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(lambda move: system.move(*move), moves))
         self.withdraw()
 
     def withdraw(self) -> None:
         system, folder = self.folder()
-        if system.get_file_info(folder).type != fs.FileType.NotFound:
-            system.delete_dir(folder)
+        for last in (False, False, True):  # a task may be adding a file just now
+            try:
+                if system.get_file_info(folder).type != fs.FileType.NotFound:
+                    system.delete_dir(folder)
+                return
+            except OSError:
+                if last:
+                    raise
+
+
+class Staged(WriterCommitMessage):
+    """The files that a task has staged, with their names."""
+
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
+class StagedWriter(DataSourceArrowWriter):
+    """A sink whose files appear when all tasks went well; ``files`` says what a task makes of its rows."""
+
+    def __init__(self, root: str):
+        self.staging = Staging(root).begun()
+
+    def files(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterable[bytes]]]:
+        raise NotImplementedError
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        return Staged([self.staging.put(name, parts) for name, parts in self.files(iterator)])
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.staging.publish(f for m in messages if m is not None for f in m.files)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.staging.withdraw()
+
+
+class TextWriter(StagedWriter):
+    def files(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterable[bytes]]]:
+        for batch in iterator:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                yield name, [text.encode("utf-8", "surrogatepass")]
+
+
+class TextFiles(DataSource):
+    """``format("text_files")``: a sink of one file for each row (name, text) below ``path``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "text_files"
+
+    def schema(self) -> str:
+        return "name string, text string"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return TextWriter(self.options["path"])
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """A file for each row (name, text) below the root, all or none; files of those names are replaced."""
+    spark = rows.sparkSession
+    spark.dataSource.register(TextFiles)
+    rows.select("name", "text").write.format("text_files").mode("append").save(qualified(spark, root))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,8 +111,31 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
 
 def test_stores(tmp_path):
     assert stores.known("/a/b") and stores.known("file:/a/b") and not stores.known("viewfs://store/in")
-    staging = stores.Staging(f"file://{tmp_path}/root")
+    staging = stores.Staging(f"file://{tmp_path}/root").begun()
     files = [staging.put("p/one.txt", [b"1", b"2"]), staging.put("two.txt", [b"3"])]
     staging.put("lost.txt", [b"a task that ran twice"])
     staging.publish(files)
     assert (tmp_path / "root/p/one.txt").read_bytes() == b"12" and sorted(os.listdir(tmp_path / "root")) == ["p", "two.txt"]
+
+
+def test_files_appear_together(spark, tmp_path, monkeypatch):
+    rows = spark.range(60).select(F.concat(F.lit("p"), F.col("id").cast("string"), F.lit("/a.txt")).alias("name"), F.concat(F.lit("text é "), F.col("id").cast("string")).alias("text"))
+    root = tmp_path / "tree"
+    stores.write_files(rows, str(root))
+    stores.write_files(rows.limit(3).withColumn("text", F.lit("new")), str(root))
+    assert len(os.listdir(root)) == 60 and (root / "p7/a.txt").read_text() == "text é 7" and not [x for x in os.listdir(root) if x.startswith("_")]
+    assert sum((root / f"p{i}/a.txt").read_text() == "new" for i in range(60)) == 3
+    broken = rows.withColumn("text", F.when(F.col("name") == "p59/a.txt", F.raise_error(F.lit("stop"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="stop"):
+        stores.write_files(broken, str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists() or os.listdir(tmp_path / "none") == []
+
+
+def test_unknown_store_makes_no_local_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    rows = spark.createDataFrame([("a/b.txt", "x")], "name string, text string")
+    with pytest.raises(Exception):  # noqa: B017  whichever of Spark and Arrow refuses it first
+        stores.write_files(rows, "nostore://bucket/tree")
+    with pytest.raises(pa.ArrowInvalid):
+        stores.at("nostore://bucket/tree")
+    assert os.listdir(tmp_path) == []
