@@ -9,7 +9,9 @@ import subprocess
 import sys
 import tempfile
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import chain, groupby
 from pathlib import Path
 from typing import NamedTuple
@@ -180,31 +182,79 @@ class Reply(NamedTuple):
 Model = Callable[[str, str, str], Reply]
 
 
-def asked(prompts: DataFrame, key: list[str], model: Model, needs_object: bool = True) -> DataFrame:
+class Busy(Exception):
+    """Raised by a model that should be asked again later."""
+
+
+#: Calls that a task has under way at a time, times that a busy model is asked, and the first pause after that, which doubles.
+IN_FLIGHT, TRIES, PAUSE = 16, 5, 1.0
+
+
+def patient(model: Model, tries: int = TRIES, pause: float = PAUSE, sleep: Callable[[float], None] = time.sleep) -> Model:
+    """The model, asked again after growing pauses as long as it is busy."""
+
+    def call(system: str, user: str, budget: str) -> Reply:
+        for n in range(tries - 1):
+            try:
+                return model(system, user, budget)
+            except Busy:
+                sleep(pause * 2**n)
+        return model(system, user, budget)
+
+    return call
+
+
+def _answer(row: dict, model: Model, needs_object: bool) -> tuple:
+    """reply, prompt_tokens, completion_tokens, calls, error of one prompt."""
+    text, used, calls, error = None, [0, 0], 0, None
+    try:
+        for budget in [row["budget"], *(["HIGH"] if row["budget"] == "LOW" and needs_object else [])]:
+            got = model(row["system"], row["user"], budget)
+            text, calls = got.text, calls + 1
+            used = [used[0] + got.prompt_tokens, used[1] + got.completion_tokens]
+            if not needs_object or first_object(text) is not None:
+                break
+    except Exception as e:  # noqa: BLE001  whatever a model raises belongs in its row
+        error = f"{type(e).__name__}: {e}"
+    return (text, *used, calls, error)
+
+
+def in_order(work: Callable[[dict], tuple], rows: Iterator[dict], at_once: int) -> Iterator[tuple]:
+    """Results in the order of the rows, with at most ``at_once`` of them under way or waiting for those before."""
+    with ThreadPoolExecutor(at_once) as pool:
+        waiting: deque = deque()
+        for row in rows:
+            if len(waiting) == at_once:
+                yield waiting.popleft().result()
+            waiting.append(pool.submit(work, row))
+        while waiting:
+            yield waiting.popleft().result()
+
+
+def asked(prompts: DataFrame, key: list[str], model: Model, needs_object: bool = True, in_flight: int = IN_FLIGHT, tries: int = TRIES, pause: float = PAUSE, most_tokens: int | None = None) -> DataFrame:
     """Each prompt's reply: key, reply, prompt_tokens, completion_tokens, calls, error.
 
     ``prompts``: key, system, user, budget. A reply on a low budget in which no JSON
-    object can be found is asked for once more on the high one. A model that raises gives a
-    row with the error and fails no task.
+    object can be found is asked for once more on the high one. A task keeps up to ``in_flight`` calls under
+    way, so the model must bear threads; rows come out in their order. A model that raises ``Busy`` is asked again
+    after pauses. Once a task has used ``most_tokens`` its further prompts get an error instead of a call. A model
+    that raises gives a row with the error and fails no task.
     """
     fields = [prompts.schema[k] for k in key]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", reply string, prompt_tokens long, completion_tokens long, calls int, error string"
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call, used = patient(model, tries, pause), [0]
+
+        def work(row: dict) -> tuple:
+            if most_tokens is not None and used[0] >= most_tokens:
+                return (None, 0, 0, 0, "OverBudget: the task has used its tokens")
+            made = _answer(row, call, needs_object)
+            used[0] += made[1] + made[2]  # a little late where several calls end together
+            return made
+
         for batch in batches:
-            out = []
-            for row in batch.select(["system", "user", "budget"]).to_pylist():
-                text, used, calls, error = None, [0, 0], 0, None
-                try:
-                    for budget in [row["budget"], *(["HIGH"] if row["budget"] == "LOW" and needs_object else [])]:
-                        got = model(row["system"], row["user"], budget)
-                        text, calls = got.text, calls + 1
-                        used = [used[0] + got.prompt_tokens, used[1] + got.completion_tokens]
-                        if not needs_object or first_object(text) is not None:
-                            break
-                except Exception as e:  # noqa: BLE001  whatever a model raises belongs in its row
-                    error = f"{type(e).__name__}: {e}"
-                out.append((text, *used, calls, error))
+            out = list(in_order(work, iter(batch.select(["system", "user", "budget"]).to_pylist()), in_flight))
             columns = list(zip(*out, strict=True)) or [()] * 5
             made = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), *made], names=[*key, "reply", "prompt_tokens", "completion_tokens", "calls", "error"])

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +69,63 @@ def test_script_and_prompt(spark):
     assert made == '{"k": 1} please solve and check'
 
 
+def test_calls_in_flight(spark):
+    """32 slow prompts take the time of one window, in their order and with the usage of a run one by one."""
+    prompts = spark.createDataFrame([(i, "s", f"user {i}", "LOW" if i % 4 else "HIGH") for i in range(32)], "id int, system string, user string, budget string").coalesce(1)
+
+    def model(system, user, budget):
+        time.sleep(0.3)
+        n = int(user.split()[1])
+        if n == 9:
+            raise ValueError("no")
+        return external.Reply('{"n": %d}' % n if n % 3 or budget == "HIGH" else "nothing", len(user), n)
+
+    external.asked(prompts.limit(1), ["id"], model).collect()  # starts the worker
+    began = time.perf_counter()
+    together = external.asked(prompts, ["id"], model, in_flight=32).collect()
+    took = time.perf_counter() - began
+    one_by_one = external.asked(prompts, ["id"], model, in_flight=1).collect()
+    assert together == one_by_one and [r["id"] for r in together] == list(range(32))
+    assert took < 32 * 0.3 / 3
+    assert {r["calls"] for r in together} == {0, 1, 2} and together[9]["error"] == "ValueError: no"
+
+
+def test_busy_models_are_asked_again():
+    pauses, calls = [], []
+
+    def model(system, user, budget):
+        calls.append(user)
+        if len(calls) < 4:
+            raise external.Busy("later")
+        return external.Reply("done", 1, 1)
+
+    assert external.patient(model, 5, 0.5, pauses.append)("s", "u", "LOW").text == "done" and pauses == [0.5, 1.0, 2.0]
+    calls.clear()
+    with pytest.raises(external.Busy):
+        external.patient(model, 3, 0.5, pauses.append)("s", "u", "LOW")
+
+
+def test_budget_of_a_task(spark):
+    prompts = spark.createDataFrame([(i, "s", "u", "HIGH") for i in range(20)], "id int, system string, user string, budget string").coalesce(1)
+    got = external.asked(prompts, ["id"], lambda system, user, budget: external.Reply("{}", 3, 2), in_flight=1, most_tokens=22).collect()
+    assert [r["calls"] for r in got] == [1] * 5 + [0] * 15 and all(r["error"].startswith("OverBudget") for r in got[5:])
+
+
+def test_window_is_bounded():
+    under_way, most, lock = [0], [0], threading.Lock()
+
+    def work(row):
+        with lock:
+            under_way[0] += 1
+            most[0] = max(most[0], under_way[0])
+        time.sleep(0.001 * (row["i"] % 5))
+        with lock:
+            under_way[0] -= 1
+        return (row["i"],)
+
+    assert list(external.in_order(work, ({"i": i} for i in range(200)), 7)) == [(i,) for i in range(200)] and most[0] <= 7
+
+
 def test_settings_file(tmp_path):
     (tmp_path / "s.json").write_text('{"output": {"max_cases": 7}}')
     assert load(str(tmp_path / "s.json"), {}).output.max_cases == 7
