@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from ..functions import compare, tags
 from ..functions.text import composite_id
 from ..operators import enrich, external, gate, metrics, sample, select, verdicts
 from ..session import cut
-from ..sources import dataset_dirs, messages, riegeli
+from ..sources import dataset_dirs, messages, riegeli, stores
 
 STAGES = ("pool", "enrich", "sample", "verify", "write")
 PYTHON3 = 3
@@ -73,18 +75,22 @@ def split_by_verification(selected: DataFrame, results: DataFrame) -> tuple[Data
     return passed, rejects
 
 
-def final_selection(verified: DataFrame, target: int, settings: Settings) -> DataFrame:
-    """The verified rows drawn anew to the real target, with the cell that each was drawn for."""
+def final_selection(verified: DataFrame, target: int, settings: Settings, kept: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """The verified rows drawn anew to the real target, with the cell that each was drawn for. ``kept`` stores the draw."""
     rows = verified.withColumns({"bin": F.col("difficulty_bin"), "category": F.col("primary_category"), "categories": F.col("categories_all")})
     of = settings.sampling
     rows = rows.where(F.col("category").isin(*of.categories) & F.col("bin").isin(*(name for _, _, name in of.rating_bins)))
-    chosen = sample.draw(rows.select("cc_id", "bin", "category", "categories"), target, "cc_id", of.seed, of.min_per_cell, of.max_per_category_share)
+    chosen = kept(sample.draw(rows.select("cc_id", "bin", "category", "categories"), target, "cc_id", of.seed, of.min_per_cell, of.max_per_category_share))
     return verified.join(chosen, "cc_id")
 
 
 @dataclass
 class Build:
-    """A build in a working folder that driver and executors share."""
+    """A build in a working folder that driver and executors share.
+
+    Every stage is stored as a new version of a table that is bucketed and sorted by ``cc_id``, and read in its newest
+    whole version. Stages are joined by ``cc_id`` as they lie, without an exchange.
+    """
 
     spark: SparkSession
     records: str  # record files
@@ -95,12 +101,44 @@ class Build:
     #: At most so many shards of the training split; None for all.
     train_shards: int | None = None
 
+    #: Buckets of the tables; a working folder keeps the number it was begun with.
+    buckets: int = 64
+
     def _at(self, stage: str) -> str:
         return f"{self.work}/{stage}"
 
+    def _versions(self, stage: str) -> list[int]:
+        """Versions of a stage that were written to their end."""
+        system, place = dataset_dirs.filesystem(self.spark, self._at(stage))
+        if not system.exists(place):
+            return []
+        found = [s.getPath() for s in system.listStatus(place)]
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and system.exists(path(p, "_SUCCESS")))
+
+    def _layout(self) -> int:
+        place = self._at("layout.json")
+        system, path = dataset_dirs.filesystem(self.spark, place)
+        if not system.exists(path):
+            dataset_dirs.write_text(self.spark, place, json.dumps({"buckets": self.buckets}))
+        return json.loads(self.spark.read.text(place, wholetext=True).first()[0])["buckets"]
+
+    def _table(self, stage: str, version: int) -> DataFrame:
+        """A stored version with its layout; a session that does not know it is told."""
+        place = stores.qualified(self.spark, f"{self._at(stage)}/v{version}")
+        name = f"stage_{hashlib.md5(place.encode()).hexdigest()}"
+        if not self.spark.catalog.tableExists(name):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(place).schema.fields)
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (cc_id) SORTED BY (cc_id) INTO {self._layout()} BUCKETS LOCATION '{place}'")
+        return self.spark.table(name)
+
     def _kept(self, stage: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").parquet(self._at(stage))
-        return self.spark.read.parquet(self._at(stage))
+        version, buckets = max(self._versions(stage), default=0) + 1, self._layout()
+        place = stores.qualified(self.spark, f"{self._at(stage)}/v{version}")
+        # Bucketed writes need a table; its rows come one bucket a task, so a bucket is one file.
+        name = f"stage_{hashlib.md5(place.encode()).hexdigest()}"
+        rows.repartition(buckets, "cc_id").write.format("parquet").mode("overwrite").bucketBy(buckets, "cc_id").sortBy("cc_id").option("path", place).saveAsTable(name)
+        return self.spark.table(name)
 
     def _tallied(self, stage: str, tally: gate.Tally) -> DataFrame:
         """Keeps a stage's rows and, beside them, what was counted as they were written."""
@@ -114,7 +152,8 @@ class Build:
         return json.loads("\n".join(r[0] for r in self.spark.read.text(place).collect()))
 
     def _of(self, stage: str) -> DataFrame:
-        return self.spark.read.parquet(require(self.spark, self._at(stage), f"the result of stage {stage}", f"run stage {stage} first"))
+        require(self.spark, self._at(stage), f"the result of stage {stage}", f"run stage {stage} first")
+        return self._table(stage, max(self._versions(stage)))
 
     def problems(self, ids: DataFrame | None = None) -> DataFrame:
         wanted = None if ids is None else ids.select("split", "shard", "record_index")
@@ -133,19 +172,23 @@ class Build:
 
     def sampled(self) -> DataFrame:
         rows = sample.prepared(self._of("enrich"))
-        return self._kept("sample", final_selection(rows, int(self.settings.sampling.target * self.oversample), self.settings))
+        return self._kept("sample", self._drawn(rows, int(self.settings.sampling.target * self.oversample)))
+
+    def _drawn(self, rows: DataFrame, target: int) -> DataFrame:
+        return final_selection(rows, target, self.settings, lambda chosen: self._kept("drawn", chosen))
 
     def verified(self, runner: external.Runner) -> tuple[DataFrame, DataFrame]:
         chosen = self._of("sample")
-        results = verification(self.problems(chosen), self.settings, runner)
+        records = self._kept("records", self.problems(chosen))
+        results = self._kept("results", verification(records, self.settings, runner))
         passed, rejects = split_by_verification(chosen.drop("quota_cell", "filled_beyond_quota"), results)
         return self._kept("verify", passed), self._kept("rejects", rejects)
 
     def written(self, public: str, private: str, prune: bool = False) -> dict:
         """Problem directories, labels and verification apart from them, what is stale, and the manifest."""
         of = self.settings.output
-        chosen = cut(final_selection(self._of("verify"), self.settings.sampling.target, self.settings))
-        made = dataset_dirs.export_problems(chosen.drop("description").join(self.problems(chosen).select("cc_id", "description", *(f"{o}_tests" for o in gate.ORIGINS)), "cc_id"), public, private, of.max_cases, of.max_field_bytes, of.max_problem_bytes)
+        chosen = cut(self._drawn(self._of("verify"), self.settings.sampling.target))
+        made = dataset_dirs.export_problems(chosen.drop("description").join(self._of("records").select("cc_id", "description", *(f"{o}_tests" for o in gate.ORIGINS)), "cc_id"), public, private, of.max_cases, of.max_field_bytes, of.max_problem_bytes)
         stale = dataset_dirs.prune(self.spark, public, made.select(F.col("cc_id").alias("pid")), delete=prune)
         text = dataset_dirs.manifest(
             json.loads(self.settings.as_json()), modes=metrics.zero_filled(chosen, "comparison", compare.MODES),

@@ -172,14 +172,14 @@ def export_problems(rows: DataFrame, public: str, private: str, most_cases: int
     return files.select(F.col("pid").alias("cc_id"), F.col("n_cases").cast("int").alias("n_cases"), F.col("bytes").cast("long").alias("bytes"), "digest")
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file of the driver's, in any store that Spark writes."""
-    system, place = _filesystem(spark, path)
+    system, place = filesystem(spark, path)
     out = system.create(place, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
@@ -189,7 +189,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Removes what is at the place, in any store."""
-    system, place = _filesystem(spark, path)
+    system, place = filesystem(spark, path)
     system.delete(place, True)
 
 
@@ -198,7 +198,7 @@ def prune(spark: SparkSession, root: str, keep: DataFrame, delete: bool = False)
 
     The listing is the driver's; files beside the directories are left alone.
     """
-    system, place = _filesystem(spark, root)
+    system, place = filesystem(spark, root)
     present = [(s.getPath().getName(),) for s in system.listStatus(place) if s.isDirectory()]
     found = sorted(r[0] for r in stale(spark.createDataFrame(present, "pid string"), keep, "pid").collect())
     if not delete:

@@ -80,6 +80,21 @@ def test_build(spark, folder, tmp_path):
     assert sorted(os.listdir(public / pid)) == ["meta.json", "problem.md", "reference.py", "tests.json"] and os.listdir(private / pid) == ["verification.json"]
     meta = json.loads((public / pid / "meta.json").read_text())
     assert meta["tests"]["total"] == 25 and meta["reference"]["verified"] and meta["difficulty"] == 800 and meta["tests"]["by_origin"]["public"] == 2
+    # Stages lie bucketed: they are joined without an exchange, also where a session has not written them itself.
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for table in spark.catalog.listTables():
+        if table.name.startswith("stage_"):
+            spark.sql(f"DROP TABLE {table.name}")
+    for one, other in (("sample", "results"), ("enrich", "drawn"), ("verify", "records"), ("verify", "drawn")):
+        both = work._of(one).join(work._of(other), "cc_id")
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString(), (one, other)
+        both.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    before = work._versions("sample")
+    (tmp_path / f"work/sample/v{before[-1] + 1}").mkdir()  # a write that did not end is passed over
+    assert work._versions("sample") == before and work._of("sample").count() == 4
+    assert work.counts("pool")["records"] == 5 and told["pool"]["passed"] == 4 and told["match"].items() >= {"rows": 4, "key": 1, "none": 3, "labelled": 1}.items()
     read = dataset_dirs.bundles(spark, str(public), 128).where(F.col("pid") == pid).first()
     assert read["memory_mb"] == 128 and len(read["cases"]) == 25 and read["cases"][0]["input"] == "0 1\n" and read["reference"].startswith("a, b")
     assert work.written(str(public), str(private), prune=True)["stale"] == [] and not (public / "stale").exists()
