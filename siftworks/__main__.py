@@ -1,4 +1,4 @@
-"""Command line: ``python -m siftworks judge|evaluate|solve|benchmark|build|profile``."""
+"""Command line: ``python -m siftworks judge|evaluate|solve|benchmark|variants|ablation|repairs|candidates|build|profile|fields``."""
 
 from __future__ import annotations
 
@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from . import reports
 from .config import load, settings
-from .operators import agents, external, metrics
-from .plans import build
+from .operators import agents, candidates, external, metrics
+from .plans import build, experiments
 from .session import session
-from .sources import dataset_dirs, riegeli
+from .sources import dataset_dirs, messages, riegeli
 
 
 def model_of(name: str) -> external.Model:
@@ -66,16 +66,55 @@ def solve(spark: SparkSession, args: argparse.Namespace) -> None:
     shown(agents.solve_and_repair(*one_problem(spark, args), model_of(args.model), external.local_program(args.memory), args.repairs), args.out)
 
 
-def benchmark(spark: SparkSession, args: argparse.Namespace) -> None:
-    """All problems of a data set solved and mended: rates, by difficulty and by tag."""
+def problem_rows(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     listed = dataset_dirs.problems(spark, args.root)
-    rows = listed.select("pid", F.col("pid").alias("candidate"), "statement", F.col("difficulty").alias("rating"), "reference", "reference_language", F.coalesce("time_limit_seconds", F.lit(args.seconds)).alias("seconds"), "comparison", "tags")
+    return listed.select("pid", F.col("pid").alias("candidate"), "statement", F.col("difficulty").alias("rating"), "reference", "reference_language", F.coalesce("time_limit_seconds", F.lit(args.seconds)).alias("seconds"), "comparison", "tags")
+
+
+def benchmark(spark: SparkSession, args: argparse.Namespace) -> None:
+    """All problems of a data set solved and mended: rates, by difficulty and by tag, with a page each where ``--out`` is given."""
+    rows = problem_rows(spark, args)
     done = agents.solve_and_repair(rows, dataset_dirs.test_cases(spark, args.root), model_of(args.model), external.local_program(args.memory), args.repairs)
     scored = done.withColumns({"accepted": F.col("exec_status") == "AC", "error_type": F.coalesce("error_type", F.lit("NONE"))})
+    if args.out:
+        experiments.write_solver_run(done, args.out)
     for title, table in (("Rates", metrics.solver_rates(scored)), ("By difficulty", metrics.difficulty_breakdown(scored, "rating")), ("By tag", metrics.tag_breakdown(scored))):
         print(dataset_dirs.markdown(title, table))
 
 
+def variants(spark: SparkSession, args: argparse.Namespace, ablation: bool = False) -> None:
+    """Labelled variants of a data set evaluated, in all configurations of the ablation or in the full one."""
+    found = dataset_dirs.variants(spark, args.root, args.private)
+    records = experiments.evaluated(dataset_dirs.problems(spark, args.root), found, model_of(args.model), external.local_program(args.memory), ablation)
+    print(json.dumps(experiments.write_evaluation(records, args.out), sort_keys=True))
+
+
+def ablation(spark: SparkSession, args: argparse.Namespace) -> None:
+    variants(spark, args, True)
+
+
+def repairs(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The three ways to repair compared on all problems of a data set."""
+    records = experiments.repair_experiment(problem_rows(spark, args), dataset_dirs.test_cases(spark, args.root), model_of(args.model), external.local_program(args.memory), args.repairs)
+    table = dataset_dirs.markdown("Ways to repair", metrics.experiment(records).orderBy("strategy"))
+    if args.out:
+        records.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{args.out}/records")
+        dataset_dirs.write_text(spark, f"{args.out}/summary.md", table)
+    print(table)
+
+
+def candidates_(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Candidates of all four kinds built, checked and written as bundles, with a report; violations end the run with 1."""
+    rows = problem_rows(spark, args)
+    made = experiments.built_candidates(rows, dataset_dirs.test_cases(spark, args.root), model_of(args.model), external.local_program(args.memory))
+    broken = experiments.candidate_violations(made)
+    dataset_dirs.write_bundles(made, args.out, args.private)
+    print(dataset_dirs.markdown("Candidates", candidates.report(made)))
+    print(dataset_dirs.markdown("Violations", broken))
+    if not broken.isEmpty():
+        raise SystemExit(1)
+
+
 def build_(spark: SparkSession, args: argparse.Namespace) -> None:
     work = build.Build(spark, args.records, args.labels, args.work, load(args.settings) if args.settings else settings(), args.oversample, args.train_shards)
     for stage in build.STAGES[build.STAGES.index(args.first) : build.STAGES.index(args.last) + 1]:
@@ -92,16 +131,22 @@ def profile(spark: SparkSession, args: argparse.Namespace) -> None:
     print(dataset_dirs.markdown("Record files", riegeli.file_profile(riegeli.scan_chunks(spark, args.records))))
 
 
+def fields(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Field numbers found in record files beside those that are declared."""
+    found = messages.inspected(riegeli.scan_records(spark, args.records)).orderBy("number")
+    print(dataset_dirs.markdown("Fields", found.withColumns({"wire_types": F.col("wire_types").cast("string"), "samples": F.col("samples").cast("string")})))
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="siftworks", description=__doc__)
     verbs = top.add_subparsers(required=True)
-    for name, call in (("judge", judge), ("evaluate", evaluate), ("solve", solve), ("benchmark", benchmark), ("build", build_), ("profile", profile)):
+    for name, call in (("judge", judge), ("evaluate", evaluate), ("solve", solve), ("benchmark", benchmark), ("variants", variants), ("ablation", ablation), ("repairs", repairs), ("candidates", candidates_), ("build", build_), ("profile", profile), ("fields", fields)):
         p = verbs.add_parser(name)
         p.set_defaults(call=call)
         p.add_argument("--memory", type=int, default=512, help="MB that a program may have")
         p.add_argument("--seconds", type=float, default=2.0)
         p.add_argument("--comparison", default="token")
-        if name in ("evaluate", "solve", "benchmark"):
+        if name in ("evaluate", "solve", "benchmark", "variants", "ablation", "repairs", "candidates"):
             p.add_argument("--model", required=True, help="module:function, or a JSON file of [keyword, reply] pairs")
             p.add_argument("--repairs", type=int, default=3)
             p.add_argument("--out", help="file of the report, .md or .html")
@@ -113,7 +158,9 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--tests", required=True)
     verbs.choices["judge"].add_argument("--code", required=True)
     verbs.choices["evaluate"].add_argument("--solution", required=True)
-    verbs.choices["benchmark"].add_argument("--root", required=True)
+    for name in ("benchmark", "variants", "ablation", "repairs", "candidates"):
+        verbs.choices[name].add_argument("--root", required=True)
+        verbs.choices[name].add_argument("--private", help="tree of the labels")
     p = verbs.choices["build"]
     for flag in ("--records", "--labels", "--work", "--public", "--private"):
         p.add_argument(flag, required=True)
@@ -123,7 +170,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--oversample", type=float, default=1.4)
     p.add_argument("--train-shards", type=int)
     p.add_argument("--prune", action="store_true", help="remove problem directories that are no longer selected")
-    verbs.choices["profile"].add_argument("--records", required=True)
+    for name in ("profile", "fields"):
+        verbs.choices[name].add_argument("--records", required=True)
     return top
 
 

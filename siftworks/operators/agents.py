@@ -100,12 +100,13 @@ def _verdict(prefix: str) -> list[Column]:
     return [F.when(status.isin(*validate.STATUSES), status).otherwise("unverifiable").alias("status"), text.clamped_confidence(f"{prefix}confidence").alias("confidence"), text.error_type(F.coalesce(F.col(f"{prefix}error_type"), F.lit(""))).alias("error_type")]
 
 
-def evidence_layers(candidates: DataFrame, model: external.Model, runner: external.Runner | None = None) -> dict[str, DataFrame]:
+def evidence_layers(candidates: DataFrame, model: external.Model, runner: external.Runner | None = None, adaptive: bool = True, everything: bool = False) -> dict[str, DataFrame]:
     """All layers' evidence on each candidate, as ``fusion.layered`` takes it, and what the model has used.
 
     ``candidates``: candidate, statement, steps, code, language, rating, reference,
     reference_language, seconds. Fine verification, consistency and counterexamples are
-    not sought where a rule has already failed hard, or without suspicion. A layer whose
+    not sought where a rule has already failed hard, or without suspicion; with ``everything`` a failed rule spares
+    nothing. Without ``adaptive`` the scan is asked for on the low budget. A layer whose
     model raises or answers nonsense brings no rows.
     """
     rows = candidates.withColumn("_solution", _solution(F.col("steps"), F.col("code"), F.col("language")))
@@ -113,9 +114,9 @@ def evidence_layers(candidates: DataFrame, model: external.Model, runner: extern
     reference = F.when(F.coalesce("reference", F.lit("")) != "", F.concat(F.lit("Reference, to hold the steps against: "), "reference")).otherwise("")
     found = rows.select("candidate", F.posexplode(fusion.structural_evidence(F.col("steps"), F.col("language"), F.col("code"))).alias("pos", "e"))
     structural = cut(found.select("candidate", "e.*", F.col("pos").cast("long").alias("pos")))
-    soft = rows.join(structural.where("indicates_invalid").select("candidate").distinct(), "candidate", "left_anti")
+    soft = rows if everything else rows.join(structural.where("indicates_invalid").select("candidate").distinct(), "candidate", "left_anti")
 
-    budget = fusion.budget(F.lit(0), F.lit(False), F.lit(False), F.col("rating"), F.lit("verify"))
+    budget = fusion.budget(F.lit(0), F.lit(False), F.lit(False), F.col("rating"), F.lit("verify")) if adaptive else F.lit("LOW")
     scanned = cut(external.asked(_prompts(rows, ["candidate"], VERIFIER, SCAN, budget, reference=reference, **given), ["candidate"], model))
     steps = cut(validate.padded_steps(_step_rows(scanned), rows.select("candidate")).withColumn("claim", F.coalesce("claim", F.lit(""))))
 

@@ -143,18 +143,22 @@ def ablate(evidence: DataFrame, verdicts: DataFrame, executions: DataFrame, conf
 
     ``evidence``: as for ``fuse``, with the ``layer`` of each row (rules, consistency, counterexample).
     ``verdicts``: candidate, step_id, and structs ``scan`` and ``fine`` of status, confidence and error_type, ``fine`` null
-    where there is none. Every item carries a bit for each configuration that it survives in, so layers are read and shuffled
+    where there is none. Rows of either that are ``hard`` (optional) count only with the rules left out; of a hard verdict
+    that is its fine one. Every item carries a bit for each configuration that it survives in, so layers are read and shuffled
     once, and one aggregation by candidate decides for all configurations.
     """
     names = list(configs)
     bits = lambda *wanted: sum(1 << i for i, n in enumerate(names) if all(configs[n].get(k, True) == on for k, on in wanted))
     mask = lambda *wanted: F.lit(bits(*wanted)).cast("long")
-    of_layer = F.coalesce(*(F.when(F.col("layer") == k, mask((k, True))) for k in ("rules", "consistency", "counterexample")), F.lit(0).cast("long"))
+    hard = lambda rows: F.coalesce("hard", F.lit(False)) if "hard" in rows.columns else F.lit(False)
+    soft_mask = lambda rows, *wanted: F.when(hard(rows), mask(*wanted, ("rules", False))).otherwise(mask(*wanted))
+    of_layer = F.coalesce(*(F.when(F.col("layer") == k, soft_mask(evidence, (k, True))) for k in ("rules", "consistency", "counterexample")), F.lit(0).cast("long"))
     ran = executions.select("candidate", "status", sandbox_evidence(F.col("status")).alias("e"), mask(("execution", True)).alias("mask"))
     items = _against(evidence.withColumn("mask", of_layer), ran, "mask")
     use = F.coalesce(definite(F.col("fine.status"), F.col("fine.confidence")), F.lit(False))
     verdict = lambda which, m: F.struct(F.col(f"{which}.status").alias("status"), F.col(f"{which}.confidence").alias("confidence"), F.col(f"{which}.error_type").alias("error_type"), m.alias("mask"))
-    both = F.when(use, F.array(verdict("fine", mask(("semantic", True), ("fine", True))), verdict("scan", mask(("semantic", True), ("fine", False))))).otherwise(F.array(verdict("scan", mask(("semantic", True)))))
+    closely, all_of = soft_mask(verdicts, ("semantic", True), ("fine", True)), mask(("semantic", True))
+    both = F.when(use, F.array(verdict("fine", closely), verdict("scan", all_of.bitwiseXOR(closely)))).otherwise(F.array(verdict("scan", all_of)))
     steps = verdicts.select("candidate", "step_id", F.explode(both).alias("v")).select("candidate", "step_id", "v.*")
     on = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
     every = items.unionByName(_steps(steps, "mask")).where("mask <> 0")

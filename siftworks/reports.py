@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import html
+import json
 from collections.abc import Mapping
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 QUADRANTS = {
     "full_correct": "Accepted, and the process is valid", "ac_but_invalid": "Accepted, though the process is not valid",
     "implementation_error": "Not accepted: the steps hold, the code does not", "reasoning_error": "Not accepted: a step is wrong",
@@ -39,3 +44,15 @@ def audit_html(row: Mapping) -> str:
         f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>body{{font-family:sans-serif;max-width:60em;margin:2em auto}}pre{{white-space:pre-wrap}}b{{color:{colour}}}</style></head>'
         f"<body><h1>{title}</h1><p><b>{html.escape(QUADRANTS.get(row.get('quadrant'), 'Not run'))}</b></p><pre>{html.escape(audit_markdown(row))}</pre></body></html>"
     )
+
+
+def pages(rows: DataFrame, name: Column, as_html: bool = False) -> DataFrame:
+    """(name, text): the page of each row, as ``stores.write_files`` takes them."""
+
+    def run(batches):
+        for batch in batches:
+            given = map(json.loads, batch.column("row").to_pylist())
+            texts = [(audit_html if as_html else audit_markdown)(g) for g in given]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(texts, pa.string())], names=["name", "text"])
+
+    return rows.select(name.alias("name"), F.to_json(F.struct(*rows.columns)).alias("row")).mapInArrow(run, "name string, text string")

@@ -208,3 +208,9 @@ def field_histogram(raw: DataFrame, samples: int = 4) -> DataFrame:
     rows = raw.select("raw").mapInArrow(run, "number int, wire_type int, sample string")
     counted = rows.groupBy("number", "wire_type").agg(F.count("*").alias("n"), F.min("sample").alias("least"), F.max("sample").alias("most"))
     return counted.groupBy("number").agg(F.sum("n").alias("n"), F.sort_array(F.collect_set("wire_type")).alias("wire_types"), F.slice(F.array_sort(F.array_distinct(F.concat(F.collect_list("least"), F.collect_list("most")))), 1, samples).alias("samples"))
+
+
+def inspected(raw: DataFrame, fields: dict = PROBLEM, samples: int = 3) -> DataFrame:
+    """The field histogram with the name that each number is declared under; null for numbers that are not."""
+    declared = literal_map({str(n): name for n, (name, _) in fields.items()})
+    return field_histogram(raw, samples).withColumn("declared", F.try_element_at(declared, F.col("number").cast("string")))
