@@ -33,6 +33,10 @@ from .common import cut, fold, map_texts, table
 #: The bounds of the labelled sample: languages of most documents, documents of least hash of each, characters of a
 #: language in all, and characters from one document, which start at a place chosen by hash.
 LANGUAGES, DOCUMENTS, CHARACTERS, PER_DOCUMENT = 1_000, 128, 40_000, 2_048
+#: Characters of all languages together; more than 75 languages share them.
+ALL_CHARACTERS = 3_000_000
+#: Bytes that the dense tables of a worker take at most; what would be over that is kept as sorted edges (36 bytes a character).
+DENSE_BYTES = 192 << 20
 #: Characters of a block. No result depends on it.
 BLOCK = 1_024
 #: Text bytes that are parsed in step; fewer would leave numpy little to do at once.
@@ -58,9 +62,13 @@ _LOW = np.array([chr(c).isalpha() for c in range(0x250)])
 
 
 class Automaton:
-    """The suffix automaton of some texts as a dense table: state and column to state, 0 for none."""
+    """The suffix automaton of some texts: state and column to state, 0 for none.
 
-    def __init__(self, texts: list[np.ndarray]) -> None:
+    A small alphabet makes a dense table. One that would take more than ``dense_bytes`` is kept as its sorted
+    edges, of which there are at most three a character: slower to look up, with the same results.
+    """
+
+    def __init__(self, texts: list[np.ndarray], dense_bytes: int = 1 << 26) -> None:
         letters = np.unique(np.concatenate([*texts, np.array([32])]))
         self.letters = letters
         self.size = int(sum(map(len, texts)))
@@ -109,11 +117,27 @@ class Automaton:
                             p = link[p]
                 last = new
         self.width = len(letters) + 1  # the last column is for letters the language has not
-        flat = np.zeros(len(step) * self.width, np.int32)
-        for s, moves in enumerate(step):
-            for c, t in moves.items():
-                flat[s * self.width + c] = t * self.width  # states are kept as offsets into the table
-        self.table = flat
+        number = sum(map(len, step))
+        key = np.fromiter((s * self.width + c for s, moves in enumerate(step) for c in moves), np.int64, number)
+        target = np.fromiter((t for moves in step for t in moves.values()), np.int32, number)
+        self.dense = len(step) * self.width * 4 <= min(dense_bytes, (1 << 31) - 1)
+        if self.dense:
+            self.table = np.zeros(len(step) * self.width, np.int32)
+            self.table[key] = target * self.width  # states are kept as offsets into the table
+        else:
+            order = np.argsort(key)
+            self.keys, self.targets = key[order], target[order]
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """The state after each one's next letter, 0 where there is none."""
+        if self.dense:
+            return self.table[state + column]
+        key = state.astype(np.int64) * self.width + column
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.targets[at], 0)
+
+    def nbytes(self) -> int:
+        return self.table.nbytes if self.dense else self.keys.nbytes + self.targets.nbytes
 
     def columns(self, codes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
@@ -151,14 +175,14 @@ class Automaton:
     def _parsed(self, columns, marks, at, last, end, left=None) -> np.ndarray:
         """Marks the phrases of blocks parsed from ``at`` on; returns where the first phrase past ``last`` begins (at most
         the text's end). With ``left``, the ends of an earlier parse, a parse stops where it meets that one."""
-        table, out = self.table, np.array(end, np.int64)
+        out = np.array(end, np.int64)
         lane, pos, state = np.arange(len(at)), at.astype(np.int64), np.zeros(len(at), np.int32)
         while len(lane):
             live = pos < end
             if not live.all():
                 lane, pos, state, last, end = (x[live] for x in (lane, pos, state, last, end))
             c = columns[pos]
-            following = table[state + c]
+            following = self.step(state, c)
             missed = following == 0
             fresh = missed | (state == 0)  # a phrase begins; an unknown letter is one of its own
             stop = fresh & (pos >= last)
@@ -168,7 +192,7 @@ class Automaton:
                 out[lane[met]] = left[lane[met]]
                 stop |= met
                 marks[pos[~fresh & (pos < last)]] = False
-            state = np.where(missed, table[c], following)
+            state = np.where(missed, self.step(np.zeros_like(state), c), following)
             if stop.any():
                 marks[pos[fresh & ~stop]] = True
                 go = ~stop
@@ -181,7 +205,8 @@ class Automaton:
 
 @lru_cache(1)
 def _automata(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> list[tuple[str, Automaton]]:
-    return [(lang, Automaton([normalised(t) for t in texts])) for lang, texts in samples]
+    each = DENSE_BYTES // max(1, len(samples))
+    return [(lang, Automaton([normalised(t) for t in texts], each)) for lang, texts in samples]
 
 
 def parse(texts: list[str | None], automata: list[tuple[str, Automaton]]) -> tuple[list[str], list[float]]:
@@ -219,7 +244,7 @@ def learn(docs: DataFrame, parts: int = 5, held: int = 0) -> tuple[tuple[str, tu
         found.setdefault(r["lang"], []).append((r["h"], r["t"]))
     out = []
     for lang, held_texts in sorted(found.items()):
-        each = max(1, CHARACTERS // len(held_texts))
+        each = max(1, min(CHARACTERS, ALL_CHARACTERS // len(found)) // len(held_texts))
         kept = tuple(t[:each] for _, t in sorted(held_texts) if any(c.isalpha() for c in t[:each]))
         if kept:
             out.append((lang, kept))

@@ -336,3 +336,32 @@ def test_many_windows_of_one_prefix_stay_small():
     assert tracemalloc.get_traced_memory()[1] < 200e6
     tracemalloc.stop()
     assert begin.tolist() == [900] and "7" in block.owners[which[0]]
+
+
+def test_sparse_automata_equal_dense_ones():
+    draw = random.Random(11)
+    for letters in ("ab", string.ascii_lowercase, [chr(0x4E00 + i) for i in range(400)]):
+        code = lambda n, letters=letters: np.array([ord(c) for c in draw.choices(letters, k=n)])
+        reference = [code(draw.randrange(1, 400)) for _ in range(4)]
+        dense, sparse = language_id.Automaton(reference), language_id.Automaton(reference, 0)
+        assert dense.dense and not sparse.dense
+        texts = [np.concatenate([code(30), draw.choice(reference)[:60], code(5)]) for _ in range(30)]
+        codes = np.concatenate([*texts, np.array([0x3A9])])
+        end = np.cumsum([len(t) for t in texts])
+        begin = end - [len(t) for t in texts]
+        assert (dense.phrases(codes, begin, end) == sparse.phrases(codes, begin, end)).all()
+
+
+def test_automata_of_many_letters_stay_small():
+    """Three languages of 40,000 characters over 3,000 letters each; dense tables would take over 1.5 GB."""
+    draw = random.Random(12)
+    samples = tuple((f"l{k}", tuple("".join(chr(0x4E00 + 3000 * k + draw.randrange(3000)) for _ in range(2000)) for _ in range(20))) for k in range(3))
+    language_id._automata.cache_clear()
+    tracemalloc.start()
+    automata = language_id._automata(samples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and sum(a.nbytes() for _, a in automata) < 30e6
+    names, _ = language_id.parse([samples[1][1][3][:500], samples[2][1][0][:300]], automata)
+    assert names == ["l1", "l2"]
+    language_id._automata.cache_clear()
