@@ -8,6 +8,11 @@ fused score. Paths over the threshold are content. The innermost element that ho
 nearly all of them bounds the article. Among them there, a lower threshold, on the
 weight alone, takes in headlines, short paragraphs, tables and lists.
 
+Lists of contributions, such as readers' comments, are known by their items: elements of one path, each with prose
+and a line of few characters beside it, without headlines, that have less than half of the page's text.
+Article elements of one path are told apart: one that is short beside the longest and links elsewhere
+is a pointer to another story, and one inside the longest is a comment.
+
 A name weighs on a score and decides nothing alone: where a page's only prose has such
 a name, or all of it stands in a form, its paths are still those of the highest score.
 
@@ -63,7 +68,10 @@ UNSHOWN_TAGS = frozenset("head noscript template object svg canvas audio video".
 #: Parts of class, id or role names that tell of the frame whatever stands beside them ...
 FRAME_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars footer masthead "
-    "comment comments commentlist disqus cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login share sharing pagination pager toolbar outbrain taboola widget widgets".split()
+    "comment comments commentlist disqus feedback cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login share sharing pagination pager toolbar outbrain taboola "
+    # the same in German, French and Spanish
+    "werbung anzeige anzeigen kommentar kommentare hinweis hinweise seitenleiste fusszeile kopfzeile brotkrumen publicite pub annonce annonces commentaire commentaires temoins bandeau "
+    "publicidad anuncio anuncios comentario comentarios galletas aviso avisos suscripcion".split()
 )
 #: ... and those that do if nothing else does: an ``article-header`` is the article's, a ``site-header`` the page's.
 FAINT_NAMES = frozenset(
@@ -85,14 +93,23 @@ HELD = 0.9
 MENU_LINKS, MENU_CHARS = 0.6, 60
 
 
+#: Tags of a list's items, how many make a list, the share of them that have prose and a line, and characters of such a line.
+ITEM_TAGS, ITEMS, ITEM_SHARE, BYLINE = frozenset("div section article li".split()), 3, 0.6, 40
+#: An article element with less than this share of the longest one's text beside it is a pointer to another story if it
+#: has a link or at most so many blocks.
+POINTER, POINTER_BLOCKS = 0.25, 2
+
+
 class Page:
     """Paths by number, each after its parent, and the text blocks in page order."""
 
     def __init__(self) -> None:
         self.parent, self.tag, self.weight = [-1], ["html"], [1.0]
         self.article = [False]  # inside an article or main
+        self.opened = [1]  # how many elements have each path
         self.known: dict[tuple[int, str, str, float], int] = {}
-        self.blocks: list[tuple[int, str, int]] = []  # path, text, characters in links
+        self.blocks: list[tuple[int, str, int, int]] = []  # path, text, characters in links, article element
+        self.around = [0]  # of each article element: the one around it, 0 for none
 
     def path(self, above: int, tag: str, label: str, weight: float) -> int:
         key = (above, tag, label, weight)
@@ -104,6 +121,8 @@ class Page:
             both = self.weight[above] * weight
             self.weight.append(max(both, LEAST) if both else 0.0)
             self.article.append(self.article[above] or tag in ARTICLE_TAGS)
+            self.opened.append(0)
+        self.opened[found] += 1
         return found
 
 
@@ -153,6 +172,7 @@ def read(page: str) -> Page:
     where: dict[str, list[int]] = defaultdict(list)  # places in the stack of each open tag
     where["html"].append(0)
     block_at = [0]  # places in the stack of what is not inside a line
+    units = [0]  # open article elements
     parts: list[str] = []
     linked = 0
 
@@ -161,7 +181,7 @@ def read(page: str) -> Page:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip(" ")
             if text:
-                out.blocks.append((stack[-1][1], text, min(linked, len(text))))
+                out.blocks.append((stack[-1][1], text, min(linked, len(text)), units[-1]))
             parts.clear()
         linked = 0
 
@@ -177,7 +197,10 @@ def read(page: str) -> Page:
 
     def pop(to: int) -> None:
         while len(stack) > to:
-            where[stack.pop()[0]].pop()
+            tag = stack.pop()[0]
+            where[tag].pop()
+            if tag == "article":
+                units.pop()
             if block_at[-1] >= len(stack):
                 block_at.pop()
 
@@ -276,6 +299,9 @@ def read(page: str) -> Page:
             block_at.append(len(stack))
         where[tag].append(len(stack))
         stack.append((tag, above))
+        if tag == "article":
+            out.around.append(units[-1])
+            units.append(len(out.around) - 1)
         if closed and tag in ("svg", "canvas"):
             pop(len(stack) - 1)
     end_block()
@@ -299,7 +325,7 @@ def ratios(page: Page) -> tuple[dict[int, list[int]], dict[int, float]]:
     where a frame's name weighs on the path: lists of comments and adverts repeat as well.
     """
     found: dict[int, list[int]] = {}
-    for path, text, linked in page.blocks:
+    for path, text, linked, _ in page.blocks:
         row = found.setdefault(path, [0, 0, 0, 0])
         row[0] += len(text)
         row[1] += len(_PUNCTUATION.findall(text))
@@ -318,9 +344,38 @@ def is_menu(row: list[int]) -> bool:
     return row[3] > MENU_LINKS * row[0] and row[0] < MENU_CHARS * row[2]
 
 
+def listed(page: Page, found: dict[int, list[int]]) -> list[bool]:
+    """Whether each path is inside the items of a list of contributions, such as readers' comments, whatever their names.
+
+    Items are elements of one path under a single element; each has prose and a line of few characters that is no sentence (who
+    wrote it, and when) but no headline. A list with most of the page's text is the article itself, such as an interview.
+    """
+    n = len(page.parent)
+    size, prose, lines, headed = ([0] * n for _ in range(4))
+    for p, (length, punctuation, times, _) in found.items():
+        if not page.weight[p]:
+            continue
+        size[p] += length
+        short = length < BYLINE * times and punctuation < times
+        (lines if short else prose)[p] += times
+        headed[p] += page.tag[p] in HEADLINES
+    for p in range(n - 1, 0, -1):
+        for column in (size, prose, lines, headed):
+            column[page.parent[p]] += column[p]
+    out = [False] * n
+    for p in range(1, n):
+        times = page.opened[p]
+        item = page.tag[p] in ITEM_TAGS and times >= ITEMS and page.opened[page.parent[p]] * ITEMS <= times
+        whole = min(prose[p], lines[p]) >= ITEM_SHARE * times and not headed[p] and 2 * size[p] < size[0]
+        out[p] = out[page.parent[p]] or item and whole
+    return out
+
+
 def chosen(page: Page) -> list[bool]:
     """Whether each path is the article's."""
     found, score = ratios(page)
+    contributed = listed(page, found)
+    score = {p: s for p, s in score.items() if not contributed[p]}
     n = len(page.parent)
     if not score:
         return [False] * n
@@ -365,7 +420,31 @@ def main_text(page: str | None) -> str:
         return ""
     made = read(page)
     of = chosen(made)
-    return " ".join(text for path, text, _ in made.blocks if of[path])
+    kept = [b for b in made.blocks if of[b[0]]]
+    other = other_articles(made, kept)
+    return " ".join(text for _, text, _, unit in kept if unit not in other)
+
+
+def other_articles(page: Page, kept: list[tuple[int, str, int, int]]) -> set[int]:
+    """Article elements that point to other stories, and those inside the longest one, which HTML has for comments.
+
+    Elements of one path are told apart here, as paths can't.
+    """
+    size, linked, blocks = defaultdict(int), defaultdict(int), defaultdict(int)
+    for _, text, links, unit in kept:
+        size[unit] += len(text)
+        linked[unit] += links
+        blocks[unit] += 1
+    if len(page.around) < 3:
+        return set()
+    longest = max(range(1, len(page.around)), key=lambda u: (size[u], -u))
+    out: set[int] = set()
+    for u in range(1, len(page.around)):
+        above = page.around[u]
+        pointer = size[u] < POINTER * size[longest] and (linked[u] or blocks[u] <= POINTER_BLOCKS)
+        if u != longest and (above in out or above == longest and size[u] < size[longest] or not above and pointer):
+            out.add(u)
+    return out
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), column: str = "html") -> DataFrame:

@@ -31,6 +31,21 @@ ARTICLE = "<article><h1>Title</h1><p>One, two. Three, four.</p></article>"
         ('<p title="a>b">x &lt;y&gt; 3 < 4, z.</p><!-- a > b --><![CDATA[ <p>no</p> ]]>', "x <y> 3 < 4, z."),
         ('<article><p>a, <span hidden>no</span>b.</p><div style="display: none">no, no.</div></article>', "a, b."),
         ("<p>text, here.</p><a href='x", "text, here."),
+        # A page builder's names, contributions without a telling name, a notice in another language, a pointer to another story.
+        ('<div class="elementor-widget-container"><p>The article stands here, in a builder page. It goes on, and on, for a while.</p><p>And more of it, quite a lot. Yes.</p></div><div class="note"><p>A note, beside it. It is short, yes.</p></div>',
+         "The article stands here, in a builder page. It goes on, and on, for a while. And more of it, quite a lot. Yes. A note, beside it. It is short, yes."),
+        ('<div class="widget"><p>The article stands here, in a widget. It goes on, and on, for a while.</p></div><footer>All, rights.</footer>', "The article stands here, in a widget. It goes on, and on, for a while."),
+        ('<div class="text"><h1>Title</h1><p>The story begins here, slowly. It has many words, and some marks. So it goes on, for quite a while, as stories do.</p><p>And it ends, in time. The reader is glad, and so is the writer, at last.</p></div>'
+         '<section class="reactions">' + "".join(f'<div class="item"><span class="who">user {i}</span><div class="when">May {i}</div><p>I liked it, a lot!</p></div>' for i in range(4)) + "</section>",
+         "Title The story begins here, slowly. It has many words, and some marks. So it goes on, for quite a while, as stories do. And it ends, in time. The reader is glad, and so is the writer, at last."),
+        ('<div class="talk">' + "".join(f'<div class="turn"><div class="who">{w}</div><p>{t}</p></div>' for w, t in (("Anna", "So it began, did it?"), ("Ben", "It did, and how. We went."), ("Anna", "And then, what came of it?"), ("Ben", "Nothing, at all."))) + "</div>",
+         "Anna So it began, did it? Ben It did, and how. We went. Anna And then, what came of it? Ben Nothing, at all."),
+        ('<div class="hinweis"><p>Diese Seite setzt Kekse ein, wie alle. Weiter so, oder nicht.</p></div><div class="beitrag"><p>Der Text des Beitrags, der lang ist. Er hat Kommas, Punkte, und mehr. So geht es fort.</p><p>Und weiter, bis zum Ende. Ja.</p></div>',
+         "Der Text des Beitrags, der lang ist. Er hat Kommas, Punkte, und mehr. So geht es fort. Und weiter, bis zum Ende. Ja."),
+        ('<main><article><h1>One</h1><p>The text of the article, long enough. It goes on, and on. There is more of it, and more, to be read here.</p><p>Then it ends, as it must. So be it, then.</p></article><article><h3><a href=x>Two</a></h3><p>Read that, too.</p></article></main>',
+         "One The text of the article, long enough. It goes on, and on. There is more of it, and more, to be read here. Then it ends, as it must. So be it, then."),
+        ('<article><p>The text of the article, long enough. It goes on, and on, and on.</p><article><p>First, said a reader.</p></article></article>', "The text of the article, long enough. It goes on, and on, and on."),
+        ('<article><h2>A</h2><p>The first story, which is long enough. It goes on.</p></article><article><h2>B</h2><p>The second story, as long as it. It goes on, too.</p></article>', "A The first story, which is long enough. It goes on. B The second story, as long as it. It goes on, too."),
         ("<div class=widget>" * 300 + "<p>Deep, but there. It reads, as it should.</p>" + "</div>" * 300, "Deep, but there. It reads, as it should."),
     ],
 )
@@ -118,6 +133,7 @@ def test_ratios_equal_a_plain_making():
         want = plain_scores(blocks, weight)
         made = H.read(page)
         _, got = H.ratios(made)
+        assert not any(H.listed(made, H.ratios(made)[0]))
         assert list(got.values()) == pytest.approx(list(want.values()))
         # On these pages the paths over the threshold, and what stands under their common path, are the article.
         best = max(want.values())
