@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import checkpoint_root, cut
-from ..operators import gate
-from ..sources import dataset_dirs, messages, riegeli
-from . import data_queries
+from ..operators import candidates, gate
+from ..sources import dataset_dirs, messages, riegeli, stores
+from . import build, data_queries
 from .tables import table
 
 #: Ids of one record file; the files grow in number with the table.
@@ -91,6 +91,78 @@ def q73_counted_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.unionByName(checked)
 
 
+def q74_problem_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as problem directories, all files together, and read again: statement, meta and every case."""
+    suppliers = table(spark, sf_dir, "supplier")
+    pid = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    meta = F.to_json(F.struct((F.col("s_suppkey") * 10).alias("difficulty"), F.array(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("tags"), F.when(F.col("s_nationkey") > 12, "float").alias("comparison"), F.lit(256 << 20).alias("memory_limit_bytes")))
+    case = lambda i: F.struct(F.concat(F.col("s_name"), F.lit(f" {i}")).alias("input"), F.when(F.col("s_nationkey") > i * 8, F.col("s_nationkey").cast("string")).alias("expected"))
+    files = F.array(*(F.struct(F.concat(pid, F.lit(f"/{n}")).alias("name"), c.alias("text")) for n, c in (("problem.md", F.col("s_name")), ("meta.json", meta), ("tests.json", F.to_json(F.array(*map(case, range(3))))))))
+    place = f"{checkpoint_root(spark).rstrip('/')}/problems-{uuid.uuid4().hex}"
+    stores.write_files(suppliers.select(F.explode(files).alias("f")).select("f.*"), place)
+    given = dataset_dirs.test_cases(spark, place).groupBy("pid").agg(F.count("*").alias("n_cases"), F.count_if(F.col("expected") == "").alias("n_empty"), F.min("input").alias("first_input"))
+    shown = dataset_dirs.problems(spark, place).select("pid", "statement", "difficulty", F.array_join("tags", ",").alias("tags"), "comparison", "memory_limit_mb")
+    found = cut(shown.join(given, "pid"))
+    dataset_dirs.remove(spark, place)
+    return found
+
+
+def q75_bundles_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as labelled variants in a public and a private tree: what each shows of every kind."""
+    at = F.col("s_suppkey")
+    kind = F.when(at % 4 == 0, "correct").when(at % 4 == 1, "natural").when(at % 4 == 2, "injected").otherwise("ac_invalid")
+    rows = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("p"), (at % 7).cast("string")).alias("pid"), F.concat(kind, F.lit("-"), at.cast("string")).alias("name"), F.lit("python").alias("language"), F.col("s_name").alias("code"), F.create_map(F.lit("S1"), F.col("s_name")).alias("steps"),
+        kind.alias("kind"), F.when(kind != "natural", kind == "correct").alias("process_valid"), F.when(kind.isin("injected", "ac_invalid"), "S2").alias("first_error"), F.lit("E2").alias("error_type"), F.when(kind == "injected", "WA").otherwise("AC").alias("exec_status"),
+    )
+    place = f"{checkpoint_root(spark).rstrip('/')}/bundles-{uuid.uuid4().hex}"
+    dataset_dirs.write_bundles(rows, f"{place}/public", f"{place}/private")
+    variants = "name string, language string, code string, steps map<string,string>, pid string"
+    shown = spark.read.schema(variants).json(f"{place}/public/variants").withColumn("tree", F.lit("public"))
+    hidden = spark.read.schema(variants).json(f"{place}/private/variants").withColumn("tree", F.lit("private"))
+    labels = spark.read.schema("name string, process_valid boolean, first_error string, pid string").json(f"{place}/private/labels")
+    both = shown.unionByName(hidden).join(labels, ["pid", "name"], "left")
+    found = cut(both.groupBy("tree", "pid", F.substring_index("name", "-", 1).alias("kind")).agg(F.count("*").alias("n"), F.count_if("process_valid").alias("valid"), F.count("first_error").alias("with_error"), F.min("code").alias("first_code")))
+    dataset_dirs.remove(spark, place)
+    return found
+
+
+def q76_candidate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as candidates: kinds, statuses, error types and first errors, with accepted-but-invalid ones and failed injections."""
+    at = F.col("doc_id")
+    kind = F.when(at % 3 == 0, "injected").when(at % 3 == 1, "ac_invalid").otherwise("natural")
+    rows = table(spark, sf_dir, "documents").select(
+        kind.alias("kind"), F.when(F.length("text") > 1500, "AC").otherwise("WA").alias("exec_status"), F.concat(F.lit("E"), (1 + at % 8).cast("string")).alias("error_type"), F.when(kind != "natural", F.concat(F.lit("S"), (1 + F.length("text") % 7).cast("string"))).alias("first_error"),
+        ((kind == "ac_invalid") & (F.length("text") > 1500)).alias("ac_but_invalid"),
+    )
+    return candidates.report(rows)
+
+
+def q77_label_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What labels would have given documents: tags, skills, bins and categories."""
+    none = F.array().cast("array<string>")
+    rows = table(spark, sf_dir, "documents").select(
+        F.when(F.col("lang") == "en", F.array("source")).when(F.col("lang") == "de", none).alias("taco_tags"), F.when(F.length("text") > 2000, F.array(F.lit("long"))).otherwise(none).alias("taco_skill_types"),
+        F.when(F.col("source").contains("e"), "taco").otherwise("rating").alias("difficulty_bin_source"), F.when(F.col("text").contains("?"), "taco").alias("category_source"),
+    )
+    return build.impact(rows)
+
+
+def q78_verification_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as selected problems and their labels as verification results: who passed, and why the others did not."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cc_id"), F.col("source").alias("name"))
+    attempt = lambda verdict, got, want: F.struct(verdict.alias("verdict"), F.array(F.struct(F.lit(got).alias("stdout_head"), F.lit(want).alias("expected_head"))).alias("failures"))
+    first = F.when(F.col("toxic") == 1, "WA").otherwise("RE")
+    tried = F.when(F.col("quality") == 1, F.array(attempt(F.lit("AC"), "1 2", "1 2"))).otherwise(F.array(attempt(F.lit("WA"), "1 2", "3 4"), attempt(first, "1", "1 2")))
+    results = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("cc_id")).agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
+    results = results.select("cc_id", tried.alias("attempts"), F.when(F.col("quality") == 1, "token").alias("comparison"), F.concat(F.lit("code "), F.col("cc_id").cast("string")).alias("code"))
+    passed, rejects = build.split_by_verification(docs, results)
+    none = F.lit(None)
+    return passed.select("cc_id", "name", "reference_sha256", none.cast("int").alias("tried"), none.cast("string").alias("reasons"), none.cast("boolean").alias("suspected")).unionByName(
+        rejects.select("cc_id", "name", none.cast("string").alias("reference_sha256"), "tried", F.array_join("reasons", ",").alias("reasons"), "suspected")
+    )
+
+
 def _varint(value: Column, bits: int = 35) -> Column:
     """A number below ``2 ** bits`` as hexadecimal digits of its varint."""
     value, digits = value.cast("long"), []
@@ -146,7 +218,8 @@ _PLACED = f"""WITH {_DEALT},
 p AS (SELECT split, shard, row_number() OVER (PARTITION BY split, shard ORDER BY doc_id) - 1 AS record_index, doc_id, sha256(text) AS text_sha256 FROM d)
 SELECT * FROM p"""
 
-QUERIES = {"q68_record_scan": q68_record_scan, "q69_file_profile": q69_file_profile, "q70_point_lookup": q70_point_lookup, "q71_decoded_messages": q71_decoded_messages, "q73_counted_write": q73_counted_write}
+QUERIES = {"q68_record_scan": q68_record_scan, "q69_file_profile": q69_file_profile, "q70_point_lookup": q70_point_lookup, "q71_decoded_messages": q71_decoded_messages, "q73_counted_write": q73_counted_write,
+           "q74_problem_directories": q74_problem_directories, "q75_bundles_apart": q75_bundles_apart, "q76_candidate_report": q76_candidate_report, "q77_label_impact": q77_label_impact, "q78_verification_split": q78_verification_split}
 SQL = {
     "q68_record_scan": _PLACED,
     "q69_file_profile": f"""WITH {_DEALT}
@@ -156,5 +229,17 @@ SELECT 'documents_' || split || '.riegeli-' || lpad(shard::VARCHAR, 5, '0') || '
   l_linenumber * 40 AS output_length, '' AS second_input, l_returnflag AS second_output, l_linenumber::BIGINT AS code_language, l_partkey::VARCHAR AS code,
   (l_quantity::BIGINT % 5) AS n_incorrect_solutions, l_linenumber + 0.5::DOUBLE AS time_limit_seconds, true AS whole FROM lineitem""",
     "q73_counted_write": data_queries.SQL["q01_gate_funnel"] + f" UNION ALL SELECT 'rejected', count(*)::BIGINT FROM ({data_queries.GATED_SQL}) WHERE len(reject_reasons) > 0",
+    "q74_problem_directories": """SELECT 's' || s_suppkey AS pid, s_name AS statement, (s_suppkey * 10)::INTEGER AS difficulty, 'nation,' || s_nationkey AS tags, CASE WHEN s_nationkey > 12 THEN 'float' ELSE 'token' END AS comparison, 256 AS memory_limit_mb,
+  3::BIGINT AS n_cases, ((s_nationkey <= 0)::INTEGER + (s_nationkey <= 8)::INTEGER + (s_nationkey <= 16)::INTEGER)::BIGINT AS n_empty, s_name || ' 0' AS first_input FROM supplier""",
+    "q75_bundles_apart": """WITH v AS (SELECT 'p' || s_suppkey % 7 AS pid, CASE s_suppkey % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'natural' WHEN 2 THEN 'injected' ELSE 'ac_invalid' END AS kind, s_name FROM supplier)
+SELECT CASE WHEN kind IN ('correct', 'natural') THEN 'public' ELSE 'private' END AS tree, pid, kind, count(*) AS n, count(*) FILTER (kind = 'correct') AS valid, count(*) FILTER (kind IN ('injected', 'ac_invalid')) AS with_error, min(s_name) AS first_code FROM v GROUP BY ALL""",
+    "q76_candidate_report": """WITH c AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'injected' WHEN 1 THEN 'ac_invalid' ELSE 'natural' END AS kind, CASE WHEN length(text) > 1500 THEN 'AC' ELSE 'WA' END AS exec_status, 'E' || (1 + doc_id % 8) AS error_type,
+  CASE WHEN doc_id % 3 < 2 THEN 'S' || (1 + length(text) % 7) END AS first_error FROM documents),
+p AS (SELECT 'kind' AS "column", kind AS value FROM c UNION ALL SELECT 'exec_status', exec_status FROM c UNION ALL SELECT 'error_type', error_type FROM c UNION ALL SELECT 'first_error', first_error FROM c)
+SELECT "column", value, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT 'ac_but_invalid', 'true', count(*) FROM c WHERE kind = 'ac_invalid' AND exec_status = 'AC' UNION ALL SELECT 'injection', 'accepted', count(*) FROM c WHERE kind = 'injected' AND exec_status = 'AC'""",
+    "q77_label_impact": """SELECT count(*) FILTER (lang = 'en') AS with_tags, count(*) FILTER (length(text) > 2000) AS with_skill_types, count(*) FILTER (contains(source, 'e')) AS bin_from_labels, count(*) FILTER (contains(text, '?')) AS category_from_labels FROM documents""",
+    "q78_verification_split": """WITH l AS (SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels GROUP BY doc_id)
+SELECT d.doc_id AS cc_id, source AS name, CASE WHEN quality = 1 THEN sha256('code ' || d.doc_id) END AS reference_sha256, CASE WHEN quality = 1 THEN NULL WHEN l.doc_id IS NULL THEN 0 ELSE 2 END AS tried,
+  CASE WHEN quality = 1 THEN NULL WHEN l.doc_id IS NULL THEN 'missing' WHEN toxic = 1 THEN 'WA' ELSE 'RE,WA' END AS reasons, CASE WHEN quality = 1 THEN NULL ELSE coalesce(toxic = 1, false) END AS suspected FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id""",
     "q70_point_lookup": _PLACED + " WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
 }
