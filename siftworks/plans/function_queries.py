@@ -248,16 +248,19 @@ def q09_supply_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.supply_counts(rows)
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN '' ELSE 'print(' || doc_id || ')' END AS code, '## S1' || chr(10) || 'one' || chr(10) || chr(10) || '## S2' || chr(10) || 'new ' || doc_id || chr(10) || chr(10) || '## S4' || chr(10) || 'four' AS merged, 'S3,S5,S6,S7' AS missing FROM documents""")
+_SAID = "'[' || regexp_replace(coalesce(text, ''), '[#`' || chr(10) || chr(13) || ']', ' ', 'g') || ']'"
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN '' ELSE {_SAID} END AS code, sha256('## S1' || chr(10) || 'one ' || source || chr(10) || chr(10) || '## S2' || chr(10) || {_SAID} || chr(10) || chr(10) || '## S4' || chr(10) || 'four ' || lang) AS merged_sha256, 'S3,S5,S6,S7' AS missing FROM documents""")
 def q48_merged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A code block in an answer, and an answer's sections over those of another."""
-    n = F.col("doc_id").cast("string")
+    """The text of a document as a code block in an answer, and as a section of an answer over those of another."""
+    said = F.concat(F.lit("["), F.regexp_replace(F.coalesce("text", F.lit("")), "[#`\n\r]", " "), F.lit("]"))
     fence = F.when(F.col("doc_id") % 3 == 0, "```python\n").when(F.col("doc_id") % 3 == 1, "```c++ \n").otherwise("```java\n")
-    base = F.lit("# S1 title\nno\n### S1 begin\none\n\n##### S2\nold\n")
-    patch = F.concat(F.lit("## S2 again\nnew "), n, F.lit("\n\n## S4\nfour\n"))
+    base = F.concat(F.lit("# S1 title\nno\n### S1 begin\none "), "source", F.lit("\n\n##### S2\nold "), "source", F.lit("\n"))
+    patch = F.concat(F.lit("## S2 again\n"), said, F.lit("\n\n## S4\nfour "), "lang", F.lit("\n"))
     steps = text.merged_sections(text.sections(base), text.sections(patch))
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.code_block(F.concat(F.lit("see\n"), fence, F.lit("print("), n, F.lit(")\n```\n"))).alias("code"), steps.alias("steps"))
-    return rows.select("doc_id", "code", text.rendered_sections("steps").alias("merged"), joined(text.missing_sections("steps")).alias("missing"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.code_block(F.concat(F.lit("see\n"), fence, said, F.lit("\n```\n"))).alias("code"), steps.alias("steps"))
+    return rows.select("doc_id", "code", F.sha2(text.rendered_sections("steps"), 256).alias("merged_sha256"), joined(text.missing_sections("steps")).alias("missing"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'S1=a' || o_orderkey || ',S3=last' ELSE 'S2=b' || o_orderkey END AS steps, 'f(' || o_orderkey || ')' AS code, CASE WHEN o_orderkey % 2 = 0 THEN 'cpp' ELSE 'python' END AS language FROM orders""")
