@@ -191,6 +191,8 @@ def q71_decoded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     raw = F.concat(
         _text(1, F.concat(F.lit("zeilé "), text("l_orderkey"))),
+        _number(6, F.col("l_linenumber")),
+        _number(7, F.col("l_suppkey") % 40),
         _number(10, F.col("l_orderkey")),
         _number(14, F.lit(7)),
         _number(14, F.col("l_partkey")),
@@ -205,13 +207,22 @@ def q71_decoded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = table(spark, sf_dir, "lineitem").select(F.lit("train").alias("split"), F.col("l_linenumber").cast("int").alias("shard"), F.lit(0).alias("record_index"), F.unhex(raw).alias("raw"))
     case = lambda i, side: F.get("public_tests", F.lit(i))[side]
-    return messages.decode_problems(lines).select(
-        "name", F.col("cf_contest_id").alias("l_orderkey"), F.col("cf_rating").alias("l_partkey"), F.col("shard").alias("l_linenumber"), F.array_join("cf_tags", ",").alias("tags"), F.size("public_tests").alias("n_cases"),
+    return messages.with_names(messages.decode_problems(lines)).select(
+        "name", "source_name", "difficulty_name", F.col("cf_contest_id").alias("l_orderkey"), F.col("cf_rating").alias("l_partkey"), F.col("shard").alias("l_linenumber"), F.array_join("cf_tags", ",").alias("tags"), F.size("public_tests").alias("n_cases"),
         case(0, "input").alias("first_input"), F.length(case(0, "output")).alias("output_length"), case(1, "input").alias("second_input"), case(1, "output").alias("second_output"),
         F.get("solutions", F.lit(0))["language"].alias("code_language"), F.get("solutions", F.lit(0))["solution"].alias("code"), "n_incorrect_solutions", "time_limit_seconds", F.col("decode_error").isNull().alias("whole"),
     )
 
 
+def q79_shard_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record files by split and shard in their order, of the training split the first three."""
+    return _over_files(spark, sf_dir, lambda _, folder: riegeli.shards(spark, folder, train_shards=3).select("split", "shard", "ord", F.element_at(F.split("path", "/"), -1).alias("file")))
+
+
+def _named_sql(code: str, names: dict[int, str]) -> str:
+    return f"CASE {code} {' '.join(f'WHEN {k} THEN {v!r}' for k, v in names.items())} ELSE 'UNKNOWN_' || {code} END"
+
+
 _DEALT = f"""d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'valid' ELSE 'train' END AS split,
   floor(doc_id / {SHARD_IDS})::INTEGER AS shard FROM documents)"""
 _PLACED = f"""WITH {_DEALT},
@@ -219,13 +230,13 @@ p AS (SELECT split, shard, row_number() OVER (PARTITION BY split, shard ORDER BY
 SELECT * FROM p"""
 
 QUERIES = {"q68_record_scan": q68_record_scan, "q69_file_profile": q69_file_profile, "q70_point_lookup": q70_point_lookup, "q71_decoded_messages": q71_decoded_messages, "q73_counted_write": q73_counted_write,
-           "q74_problem_directories": q74_problem_directories, "q75_bundles_apart": q75_bundles_apart, "q76_candidate_report": q76_candidate_report, "q77_label_impact": q77_label_impact, "q78_verification_split": q78_verification_split}
+           "q74_problem_directories": q74_problem_directories, "q75_bundles_apart": q75_bundles_apart, "q76_candidate_report": q76_candidate_report, "q77_label_impact": q77_label_impact, "q78_verification_split": q78_verification_split, "q79_shard_listing": q79_shard_listing}
 SQL = {
     "q68_record_scan": _PLACED,
     "q69_file_profile": f"""WITH {_DEALT}
 SELECT 'documents_' || split || '.riegeli-' || lpad(shard::VARCHAR, 5, '0') || '-of-99999' AS file, true AS signature_ok, count(*) AS records,
   sum(strlen(doc_id::VARCHAR) + 1 + strlen(text))::BIGINT AS decoded_bytes, true AS whole FROM d GROUP BY split, shard""",
-    "q71_decoded_messages": """SELECT 'zeilé ' || l_orderkey AS name, l_orderkey, l_partkey, l_linenumber, l_returnflag || ',' || l_linestatus AS tags, 2 AS n_cases, l_suppkey::VARCHAR AS first_input,
+    "q71_decoded_messages": f"""SELECT 'zeilé ' || l_orderkey AS name, {_named_sql("l_linenumber", messages.SOURCES)} AS source_name, {_named_sql("l_suppkey % 40", messages.DIFFICULTIES)} AS difficulty_name, l_orderkey, l_partkey, l_linenumber, l_returnflag || ',' || l_linestatus AS tags, 2 AS n_cases, l_suppkey::VARCHAR AS first_input,
   l_linenumber * 40 AS output_length, '' AS second_input, l_returnflag AS second_output, l_linenumber::BIGINT AS code_language, l_partkey::VARCHAR AS code,
   (l_quantity::BIGINT % 5) AS n_incorrect_solutions, l_linenumber + 0.5::DOUBLE AS time_limit_seconds, true AS whole FROM lineitem""",
     "q73_counted_write": data_queries.SQL["q01_gate_funnel"] + f" UNION ALL SELECT 'rejected', count(*)::BIGINT FROM ({data_queries.GATED_SQL}) WHERE len(reject_reasons) > 0",
@@ -241,5 +252,7 @@ SELECT "column", value, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT 'ac_b
     "q78_verification_split": """WITH l AS (SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels GROUP BY doc_id)
 SELECT d.doc_id AS cc_id, source AS name, CASE WHEN quality = 1 THEN sha256('code ' || d.doc_id) END AS reference_sha256, CASE WHEN quality = 1 THEN NULL WHEN l.doc_id IS NULL THEN 0 ELSE 2 END AS tried,
   CASE WHEN quality = 1 THEN NULL WHEN l.doc_id IS NULL THEN 'missing' WHEN toxic = 1 THEN 'WA' ELSE 'RE,WA' END AS reasons, CASE WHEN quality = 1 THEN NULL ELSE coalesce(toxic = 1, false) END AS suspected FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id""",
+    "q79_shard_listing": f"""WITH {_DEALT}, s AS (SELECT split, shard, row_number() OVER (PARTITION BY split ORDER BY shard) AS n FROM (SELECT DISTINCT split, shard FROM d))
+SELECT split, shard, CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1000000 ELSE 2000000 END + n AS ord, 'documents_' || split || '.riegeli-' || lpad(shard::VARCHAR, 5, '0') || '-of-99999' AS file FROM s WHERE split <> 'train' OR n <= 3""",
     "q70_point_lookup": _PLACED + " WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
 }
