@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, map_texts, shared_path, slices, table, words_of, written
+from .common import among, cut, discard, map_texts, shared_path, slices, table, words_of, written
 from .graph import components
 
 WORDS = 5
@@ -379,7 +379,8 @@ def near_duplicates(
     needed = nodes.join(live.select("node").distinct(), "node", "left_semi").select("h1", "h2", "first_id", "node")
     # The texts of candidates are read several times, so they are written once and removed at the end.
     place = shared_path(docs.sparkSession, "near-dedup-texts")
-    texts = written(_texts_of(docs, needed), "", place)
+    candidate = among(needed, "first_id")  # the texts of the others don't leave the scan
+    texts = written(_texts_of(docs.where(candidate(F.col("doc_id"))), needed), "", place)
     near = cut(similarities(stars, texts, size, weighted))
     links = near.where(F.col("j") >= threshold - 1e-9).select("a", "b")
     roots = cut(components(links))
@@ -410,9 +411,13 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
     Of several rows of that id and of equal words the least stays, by the columns in ``keep`` in order.
 
-    Rows find their class by doc_id and content key, so two texts under one doc_id are told apart.
+    Rows find their class by doc_id and content key, so two texts under one doc_id are told apart. Rows whose
+    id is in no class of several rows stay as they are read; only the others are looked at again.
     """
-    found = near_duplicates(docs)
+    found = cut(near_duplicates(docs))
+    several = found.where("h1 is not null").groupBy("class_node").agg(F.count("*").alias("n")).where("n > 1")
+    copied = among(found.join(several, "class_node", "left_semi").select("doc_id"), "doc_id")(F.col("doc_id"))
+    lone, docs = docs.where(~copied).select(*keep), docs.where(copied)
     classed = found.where("h1 is not null and class_id <=> first_id and doc_id <=> class_id")
     # One first row for each class: of several contents under one doc_id the least key stays.
     stay = classed.groupBy("class_node").agg(F.first("class_id").alias("class_id"), F.min(F.struct("h1", "h2")).alias("k"), F.count("*").alias("_rows"))
@@ -422,7 +427,7 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     first = rows.join(stay, match)
     single = first.where("_rows = 1").select(*keep)
     repeated = first.where("_rows > 1").groupBy("class_id", "_h1", "_h2").agg(F.min(F.struct(*keep)).alias("_row")).select("_row.*")
-    return single.unionByName(repeated).unionByName(rows.where("h1 is null").select(*keep))
+    return lone.unionByName(single).unionByName(repeated).unionByName(rows.where("h1 is null").select(*keep))
 
 
 def keyed(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:

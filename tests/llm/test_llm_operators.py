@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftworks.llm import decontaminate, html_extract, language_id, near_dedup, packing, quality_model, quality_rules, secret_scan, sharding, toxicity
+from siftworks.llm import common, decontaminate, html_extract, language_id, near_dedup, packing, quality_model, quality_rules, secret_scan, sharding, toxicity
 from siftworks.llm.graph import components
 
 from llm_plain import shingle_set
@@ -317,6 +317,19 @@ def test_hot_id_leaves_shards_equal(spark, hot, tmp_path):
         assert (r["a"], r["b"] + 1) == (0, r["n"]) and r["n"] == r["c"]
 
 
+@pytest.mark.parametrize("most", [1 << 27, 64])
+def test_filter_of_ids(spark, monkeypatch, most):
+    """No id is missed, null and negative ones neither; a filter that is full lets all through."""
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    monkeypatch.setattr(common, "LEAST_BITS", min(most, common.LEAST_BITS))
+    ids = [None, 0, -1, 2**62, *range(5, 40_000, 7)]
+    every = spark.createDataFrame([(i,) for i in [*ids, *range(100_000, 140_000)]], "id long")
+    held = every.where(common.among(spark.createDataFrame([(i,) for i in ids], "id long"), "id")(F.col("id")))
+    got = [r["id"] for r in held.collect()]
+    assert set(ids) <= set(got) and (len(got) < len(ids) + 4_000 if most > 64 else len(got) == every.count())
+    assert every.where(common.among(every.limit(0), "id")(F.col("id"))).count() == 0
+
+
 def test_blocks_of_items_are_not_chained(spark):
     vocabulary = [f"w{i}" for i in range(500)]
     draw = random.Random(4)
@@ -417,6 +430,28 @@ def test_rules(spark, learned, odd, empty):
     assert quality_rules.judge(docs, {}).where("kept = base_failed").count() == 0
 
 
+def test_quality_rules_beyond_the_broadcast_languages(spark, monkeypatch):
+    """Whether a language's reference is broadcast or joined, its documents are judged alike."""
+    draw = random.Random(31)
+    words = {lang: ["".join(draw.choices(letters, k=draw.randrange(2, 7))) for _ in range(60)] for lang, letters in (("aa", "abcd"), ("bb", "efgh"), ("cc", "ijkl"), ("dd", "mnop"))}
+    texts, langs = [], []
+    for i in range(240):
+        lang = draw.choice(["aa", "aa", "aa", "bb", "bb", "cc"])
+        texts.append(" ".join(draw.choices(words[lang if draw.random() < 0.8 else "dd"], k=draw.randrange(40, 200))))
+        langs.append(draw.choice([lang, lang, lang, None]))
+    docs = documents(spark, [*texts, "too short", None], [*langs, "ee", "aa"])
+    rows = lambda: sorted(map(str, quality_rules.judge(docs, quality_rules.references(docs)).where("doc_id < 400").drop("class_distance", "word_distance").collect()))
+    far = lambda: {r["doc_id"]: (r["class_distance"], r["word_distance"]) for r in quality_rules.judge(docs.where("lang IS NOT NULL"), quality_rules.references(docs)).collect()}
+    want, distances = rows(), far()
+    monkeypatch.setattr(quality_rules, "LANGUAGES", 1)
+    known = {i for i, lang in enumerate([*langs, "ee", "aa"]) if lang is not None}
+    mine = quality_rules.references(docs)
+    assert mine.others is not None and len(mine) == 2
+    assert far() == distances and {i for i in distances} == known
+    keep = lambda found: [r for r in found if any(f"doc_id={i}," in r for i in known)]
+    assert keep(rows()) == keep(want)
+
+
 def test_quality_rules_rare_language(spark):
     """A clean text of a language of few documents is not rejected by the words of another; odd characters still are."""
     draw = random.Random(21)
