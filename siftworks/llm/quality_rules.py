@@ -11,10 +11,9 @@ weigh as much as ten of its own. So a language of few documents has a reference
 tells little and rejects little, at every size by the same rule.
 
 Defined results: a null text has no words and fails the base rules; a document without
-a language is held against all languages' references and the nearest counts; one whose
-language has no passing document, or is beyond the languages that have references of
-their own, is held against the character classes of all documents alone; without any
-reference the base rules decide alone; repeated rows get equal results; extra columns
+a language is held against the references of the ``LANGUAGES`` most common languages and the
+nearest counts; one whose language has no passing document is held against the character classes of
+all documents alone; without any reference the base rules decide alone; repeated rows get equal results; extra columns
 are not read.
 """
 
@@ -39,7 +38,7 @@ MOST_REPEATED = 30  # per cent
 COMMON = 64
 #: Documents of a language that the mean of all documents weighs as much as.
 POOLED = 10
-#: Languages of most documents that have references of their own; this bounds what is broadcast (1,000: 6 MB).
+#: Languages of most documents whose references are broadcast (1,000: 6 MB); documents of others are joined with theirs.
 LANGUAGES = 1_000
 #: A document is rejected if a Jensen-Shannon distance (base 2, 0 to 1) is over this and what
 #: chance alone makes of a text of its length.
@@ -86,8 +85,33 @@ def fails(words: list[str], repeated: int) -> bool:
     return len(words) < LEAST_WORDS or 100 * repeated > MOST_REPEATED * len(words)
 
 
-def references(docs: DataFrame) -> dict[str | None, Reference]:
-    """A reference for each language, and one of all documents' character classes under None (no words)."""
+class References(dict):
+    """A reference for each of the most common languages, and one of all documents' character classes under None (no words).
+
+    ``others``: the rows that other languages' references are made of, by language (lang, rows), or None; ``mean``: the
+    documents' mean share of each class.
+    """
+
+    others: DataFrame | None = None
+    mean: np.ndarray | None = None
+
+
+ROWS = "array<struct<kind:int,word:binary,share:double,n:int>>"
+
+
+def _reference(found: list, mean: np.ndarray) -> Reference:
+    """The reference that a language's rows make: class sums (kind from 0), its documents and words, and common words (kind -1)."""
+    classes_n = len(CLASSES)
+    sums_ = {r["kind"]: r["share"] for r in found if r["kind"] >= 0}
+    n = sums_[classes_n]
+    common = sorted((r for r in found if r["kind"] < 0), key=lambda r: r["n"])
+    shares = np.array([r["share"] / n for r in common])
+    kinds = np.array([sums_.get(i, 0.0) for i in range(classes_n)]) + POOLED * mean
+    return Reference(kinds / kinds.sum(), [bytes(r["word"]) for r in common], np.append(shares, max(0.0, 1 - shares.sum())), int(sums_[classes_n + 1]))
+
+
+def references(docs: DataFrame) -> References:
+    """What documents are held against, made of all that pass the base rules."""
     classes_n = len(CLASSES)
 
     def run(batches):
@@ -143,29 +167,39 @@ def references(docs: DataFrame) -> dict[str | None, Reference]:
     top = cut(rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= COMMON + classes_n + 2))
     pooled = {r["kind"]: r["share"] for r in top.where(F.col("kind").between(0, classes_n)).groupBy("kind").agg(F.sum("share").alias("share")).collect()}
     if not pooled:
-        return {}
+        return References()
     mean = np.array([pooled.get(i, 0.0) for i in range(classes_n)]) / pooled[classes_n]
-    kept = top.where(F.col("kind") == classes_n).orderBy(F.desc("share"), "lang").limit(LANGUAGES).select("lang")
+    ranked = top.where(F.col("kind") == classes_n).orderBy(F.desc("share"), "lang")
+    kept = [r["lang"] for r in ranked.limit(LANGUAGES + 1).select("lang").collect()]
+    more, kept = len(kept) > LANGUAGES, kept[:LANGUAGES]
+    known = F.col("lang").isin(kept)
     by: dict[str, list] = {}
-    for r in top.join(F.broadcast(kept), "lang").collect():
+    for r in top.where(known).collect():
         by.setdefault(r["lang"], []).append(r)
-    out: dict[str | None, Reference] = {None: Reference(mean / mean.sum(), [], np.ones(1), 0)}
-    for lang, found in sorted(by.items()):
-        sums_ = {r["kind"]: r["share"] for r in found if r["kind"] >= 0}
-        n = sums_[classes_n]
-        common = sorted((r for r in found if r["kind"] < 0), key=lambda r: r["n"])
-        shares = np.array([r["share"] / n for r in common])
-        kinds = np.array([sums_.get(i, 0.0) for i in range(classes_n)]) + POOLED * mean
-        out[lang] = Reference(kinds / kinds.sum(), [bytes(r["word"]) for r in common], np.append(shares, max(0.0, 1 - shares.sum())), int(sums_[classes_n + 1]))
+    out = References({None: Reference(mean / mean.sum(), [], np.ones(1), 0)})
+    out |= {lang: _reference(found, mean) for lang, found in sorted(by.items())}
+    out.mean = mean
+    if more:  # at most as many rows a language as it has classes and common words
+        out.others = cut(top.where(~known).groupBy("lang").agg(F.collect_list(F.struct("kind", "word", "share", "n")).cast(ROWS).alias("rows")))
     return out
 
 
 def judge(docs: DataFrame, refs: dict[str | None, Reference], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Base columns, both distances (null where a guard holds) and the verdict."""
+    others = getattr(refs, "others", None)
+    if others is None:
+        return _judged(docs, dict(refs), None, keep)
+    common = F.col("lang").isNull() | F.col("lang").isin([k for k in refs if k is not None])
+    rest = docs.where(~common).join(others.withColumnRenamed("rows", "_reference"), "lang", "left")
+    return _judged(docs.where(common), dict(refs), None, keep).unionByName(_judged(rest, dict(refs), refs.mean, keep))
+
+
+def _judged(docs: DataFrame, refs: dict[str | None, Reference], mean: np.ndarray | None, keep: tuple[str, ...]) -> DataFrame:
+    """With ``mean``, a document's reference is made of the rows that it brings along (``_reference``)."""
     shared = docs.sparkSession.sparkContext.broadcast(refs)
 
     def make():
-        refs = shared.value
+        refs = dict(shared.value)
         place = {lang: {w: i for i, w in enumerate(r.words)} for lang, r in refs.items()}
         every = [k for k in refs if k is not None] or list(refs)
 
@@ -188,6 +222,11 @@ def judge(docs: DataFrame, refs: dict[str | None, Reference], keep: tuple[str, .
             return best
 
         def call(texts, batch):
+            if mean is not None:
+                for lang, found in zip(batch.column("lang").to_pylist(), batch.column("_reference"), strict=True):
+                    if lang not in refs and found.is_valid:
+                        refs[lang] = _reference(found.as_py(), mean)
+                        place[lang] = {w: i for i, w in enumerate(refs[lang].words)}
             rows = [base(t) for t in texts]
             far = [distances(t, lang) if t and not r[-1] else (None, None, True) for t, lang, r in zip(texts, batch.column("lang").to_pylist(), rows, strict=True)]
             out = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), map(list, zip(*rows, strict=True)), strict=True))
@@ -198,7 +237,7 @@ def judge(docs: DataFrame, refs: dict[str | None, Reference], keep: tuple[str, .
         return call
 
     columns = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
-    return map_texts(docs, make, columns, keep, also=("lang",))
+    return map_texts(docs, make, columns, keep, also=("lang",) if mean is None else ("lang", "_reference"))
 
 
 def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
