@@ -398,7 +398,7 @@ def chunk_index(spark: SparkSession, path: str, pattern: str = "*.riegeli*", ran
 def _wanted_chunks(index: DataFrame, ids: DataFrame) -> DataFrame:
     """Chunks that hold a wanted record, with those records: each id falls to the last chunk that begins at or before it."""
     key = ["split", "shard"]
-    marks = index.select(*key, F.col("first_record").alias("at"), F.lit(0).alias("kind_"), F.struct("path", "begin", "size", "kind", "records", "first_record", "error").alias("c"))
+    marks = index.where("kind = 'simple'").select(*key, F.col("first_record").alias("at"), F.lit(0).alias("kind_"), F.struct("path", "begin", "size", "kind", "records", "first_record", "error").alias("c"))
     wanted = ids.select(*key, F.col("record_index").cast("long").alias("at")).distinct().select(*key, "at", F.lit(1).alias("kind_"), F.lit(None).cast(marks.schema["c"].dataType).alias("c"))
     upto = Window.partitionBy(*key).orderBy("at", "kind_")
     placed = marks.unionByName(wanted).withColumn("c", F.last("c", ignorenulls=True).over(upto)).where("kind_ = 1 AND c IS NOT NULL AND at < c.first_record + c.records")

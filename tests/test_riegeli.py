@@ -75,6 +75,20 @@ def test_lookup_reads_wanted_chunks_only(spark, place, tmp_path):
     assert sorted(riegeli.missing_ids(ids, found)) == [("test", 1, 0), ("train", 7, 10**9)]
 
 
+def test_lookup_beside_transposed_chunks(spark, tmp_path):
+    """A transposed chunk has no records here; the next chunk's first record has the number that its own would have had."""
+    parts = list(riegeli.file_parts(iter([b"a", b"b", b"c"]), 0, 1))  # a chunk each, all in the first block
+    odd = bytearray(parts[2])
+    odd[24] = 0x74
+    (tmp_path / "t_train.riegeli").write_bytes(parts[0] + parts[1] + bytes(odd) + parts[3])
+    ids = spark.createDataFrame([("train", 0, 0), ("train", 0, 1)], "split string, shard int, record_index int")
+    for index in (None, riegeli.chunk_index(spark, str(tmp_path))):
+        found = riegeli.scan_records(spark, str(tmp_path), ids=ids, index=index).collect()
+        assert {r["record_index"]: bytes(r["raw"]) for r in found} == {0: b"a", 1: b"c"}
+    with pytest.raises(Exception, match="transposed"):
+        riegeli.scan_records(spark, str(tmp_path), skip_transposed=False).collect()
+
+
 def test_ranges_that_do_not_meet(spark, tmp_path):
     data = bytearray(b"".join(riegeli.file_parts(iter(made()), 0, 30_000)))
     at = 2 * riegeli.BLOCK
