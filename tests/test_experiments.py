@@ -12,6 +12,7 @@ from test_agents import BAD, GOOD, STEPS, cases, problems, scan, solution
 from siftworks.__main__ import main
 from siftworks.operators import external, metrics
 from siftworks.plans import experiments
+from siftworks.sources import riegeli
 
 STEP_TEXTS = {s["step_id"]: s["content"] for s in STEPS}
 
@@ -128,3 +129,14 @@ def test_solver_run_writes_pages(spark, labelled, tmp_path, capsys):
     assert sorted(os.listdir(tmp_path / "out/solver/first")) == ["report.html", "report.md"]
     told = json.loads((tmp_path / "out/summary.json").read_text())
     assert told["rates"][0]["pass_at_1"] == 1.0 and told["refine"]["refine_at_1"] == 0.0 and spark.read.json(str(tmp_path / "out/records")).count() == 2
+
+
+def test_fields_and_profile_of_record_files(spark, tmp_path, capsys):
+    message = lambda i: b"\x0a\x03abc" + b"\x30" + bytes([i % 7]) + b"\xf8\x31\x05"  # noqa: E731  name, source, and field 799
+    (tmp_path / "x_train.riegeli-00000-of-00001").write_bytes(b"".join(riegeli.file_parts(iter(map(message, range(300))), 0x7A, 400)))
+    main(["fields", "--records", str(tmp_path)], spark)
+    page = capsys.readouterr().out
+    assert "| 1 | 300 | [2] | [abc] | name |" in page and "| 799 | 300 | [0] | [5] |  |" in page
+    main(["profile", "--records", str(tmp_path)], spark)
+    page = capsys.readouterr().out
+    assert "x_train.riegeli-00000-of-00001" in page and "| 300 |" in page
