@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Turns of paths that one trie is made of, unless they are one path.
-LIMIT = 200_000
+#: Turns of paths that one subtrie has at most, unless they are one path. A bucket has half as many on average; one with eight
+#: times that takes about 250 MB of its task.
+LIMIT = 100_000
 #: Hexadecimal digits of a digest: 128 bits.
 DIGITS = 32
 #: Characters of joined ids that are hashed at a time.
