@@ -11,7 +11,7 @@ TASK_LINK = r"atcoder\.jp/contests/([^/]+)/tasks/([^/?#]+)"
 PRACTICE_LINK = r"codechef\.com/problems/([^/?#]+)"
 LEADING_NUMBER = r"^p\d+\s+"
 HEADING = r"(?m)^#{2,5}\s*(S[1-7])\b"
-SECTION = r"(?ms)^##\s+(S[1-7])[^\n]*\n(.*?)(?=^##\s+S[1-7]|\z)"
+HEAD = r"(?m)^##\s+(?=S[1-7])"
 FENCE = r"(?s)```(?:python|py|cpp|c\+\+)?\s*\n(.*?)```"
 STEPS = ("S1", "S2", "S3", "S4", "S5", "S6", "S7")
 #: Old names of comparison modes.
@@ -122,13 +122,14 @@ def bound(value: Column, use) -> Column:
 
 def sections(c: Column | str) -> Column:
     """Step to text of a Markdown answer; of two sections of one step the last counts."""
-    text = F.regexp_replace(column(c), HEADING, "## $1")
-    found = F.struct(F.regexp_extract_all(text, F.lit(SECTION), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(SECTION), F.lit(2)).alias("v"))
+    # Cut before each heading: one pass over the text. What comes before the first is no section, nor is a heading without a line end.
+    parts = F.split(F.regexp_replace(column(c), HEADING, "## $1"), HEAD)
+    held = F.filter(F.slice(parts, 2, F.size(parts)), lambda x: x.contains("\n"))
+    found = F.transform(held, lambda x: F.struct(F.substring(x, 1, 2).alias("k"), x.alias("v")))
 
     def last_of_each(p: Column) -> Column:
-        pairs = F.transform(p["k"], lambda k, i: F.struct(k.alias("k"), i.alias("i")))
-        last = F.filter(pairs, lambda x: ~F.array_contains(F.slice(p["k"], x["i"] + 2, F.size(p["k"])), x["k"]))
-        return F.map_from_entries(F.array_sort(F.transform(last, lambda x: F.struct(x["k"].alias("key"), stripped(F.get(p["v"], x["i"])).alias("value")))))
+        last = F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["k"] == x["k"]))
+        return F.map_from_entries(F.array_sort(F.transform(last, lambda x: F.struct(x["k"].alias("key"), stripped(F.substr(x["v"], F.locate("\n", x["v"]) + 1)).alias("value")))))
 
     return bound(found, last_of_each)
 
