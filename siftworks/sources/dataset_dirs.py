@@ -6,32 +6,28 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import case_bytes, comparison_mode, language, ordered_digest
 from ..operators import select
 from ..operators.validate import derived_labels, overlay, stale
 from ..session import cut
-from .stores import write_files
+from .stores import read_files, write_files
 
 META = "id string, difficulty int, tags array<string>, comparison string, time_limit_seconds double, memory_limit_bytes long"
 CASE = "input string, expected string"
 VARIANT = "name string, language string, code string, steps map<string,string>, label map<string,string>"
 
 
-def _texts(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """pid and text of every ``root/<pid>/name``; nothing where there is none."""
-    schema = T.StructType.fromDDL("path string, modificationTime timestamp, length long, content binary")
-    files = spark.read.schema(schema).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
-    parts = F.split("path", "/")
-    return files.select(F.element_at(parts, -2).alias("pid"), F.col("content").cast("string").alias("text"))
+def _texts(spark: SparkSession, root: str, *names: str) -> DataFrame:
+    """pid and, under its name, the text of each of these files of every ``root/<pid>``, also below parts of the root; no row where there is none of them."""
+    files = read_files(spark, root, *names)
+    return files.select(F.element_at(F.split("folder", "/"), -1).alias("pid"), *(F.col(f"`{n}`").cast("string").alias(n) for n in names))
 
 
 def problems(spark: SparkSession, root: str) -> DataFrame:
     """One row for each directory with a statement; id, comparison and limits fall back to defaults."""
-    meta = _texts(spark, root, "meta.json").select("pid", F.from_json("text", META).alias("m"))
-    python, cpp = (_texts(spark, root, f"reference.{e}").select("pid", F.col("text").alias(e)) for e in ("py", "cpp"))
-    df = _texts(spark, root, "problem.md").withColumnRenamed("text", "statement").join(meta, "pid", "left").join(python, "pid", "left").join(cpp, "pid", "left")
+    files = _texts(spark, root, "problem.md", "meta.json", "reference.py", "reference.cpp").toDF("pid", "statement", "meta", "py", "cpp").where("statement IS NOT NULL")
+    df = files.withColumn("m", F.from_json("meta", META))
     return df.select(
         "pid",
         F.coalesce("m.id", "pid").alias("id"),
@@ -48,7 +44,7 @@ def problems(spark: SparkSession, root: str) -> DataFrame:
 
 def test_cases(spark: SparkSession, root: str) -> DataFrame:
     """(pid, ord, input, expected) from tests.json; absent keys are empty. Numbered text files count up to their first gap."""
-    listed = _texts(spark, root, "tests.json").select("pid", F.posexplode(F.from_json("text", f"array<struct<{CASE}>>")).alias("ord", "c"))
+    listed = _texts(spark, root, "tests.json").select("pid", F.posexplode(F.from_json("`tests.json`", f"array<struct<{CASE}>>")).alias("ord", "c"))
     listed = listed.select("pid", "ord", F.coalesce("c.input", F.lit("")).alias("input"), F.coalesce("c.expected", F.lit("")).alias("expected"))
     return listed
 
@@ -74,11 +70,11 @@ def variants(spark: SparkSession, public: str, private: str | None = None) -> Da
     """
     out = None
     for root in filter(None, (public, private)):
-        each = _texts(spark, root, "variants.json").select("pid", F.explode(F.from_json("text", f"array<struct<{VARIANT.replace(' string', ':string').replace(' map', ':map')}>>")).alias("v"))
+        each = _texts(spark, root, "variants.json").select("pid", F.explode(F.from_json("`variants.json`", f"array<struct<{VARIANT.replace(' string', ':string').replace(' map', ':map')}>>")).alias("v"))
         rows = each.select("pid", F.col("v.name").alias("name"), language(F.coalesce("v.language", F.lit("python"))).alias("language"), F.col("v.code").alias("code"), F.col("v.steps").alias("steps"), F.col("v.label").alias("own"))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if private:
-        held = _texts(spark, private, "labels.json").select("pid", F.explode(F.from_json(F.get_json_object("text", "$.labels"), "map<string,map<string,string>>")).alias("name", "external"))
+        held = _texts(spark, private, "labels.json").select("pid", F.explode(F.from_json(F.get_json_object("`labels.json`", "$.labels"), "map<string,map<string,string>>")).alias("name", "external"))
         out = out.join(held, ["pid", "name"], "left")
     else:
         out = out.withColumn("external", F.lit(None).cast("map<string,string>"))

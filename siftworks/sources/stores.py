@@ -1,9 +1,9 @@
 """Files of a store read by ranges and written in two steps, from any task.
 
 A place is a path or a URI that Arrow's file systems know (local, S3, GCS, ABFS, HDFS). Files are
-written under a staging folder beside their place; when the whole job has gone well the driver moves
-them where they belong, and when not, the folder goes with all that is in it. A task that fails, or
-runs twice, leaves nothing that anybody reads.
+written under a staging folder beside their place; when the whole job has gone well they are moved
+where they belong (a sink's few files by the driver, a file for each row by tasks), and when not, the
+folder goes with all that is in it. A task that fails, or runs twice, leaves nothing that anybody reads.
 """
 
 from __future__ import annotations
@@ -17,11 +17,16 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
-#: Files that the driver moves at a time; a move is a call to the store.
+from ..session import cut
+
+#: Files that the driver, or a task, moves at a time; a move is a call to the store.
 MOVES = 16
+#: Bytes of files, and folders, that a task passes on at a time.
+BATCH_BYTES, BATCH_FOLDERS = 2 << 20, 1000
 
 
 def at(place: str) -> tuple[fs.FileSystem, str]:
@@ -101,14 +106,31 @@ class Staging:
                 out.write(part)
         return path, name
 
-    def publish(self, files: Iterable[tuple[str, str]]) -> None:
-        """Moves the files of tasks that went well to their places; a file that is there is replaced."""
+    def move(self, files: Iterable[tuple[str, str]]) -> int:
+        """Moves staged files to their places; a file that is there is replaced, one that an earlier try has moved is left."""
         system, path = at(self.root)
         moves = [(staged, f"{path.rstrip('/')}/{name}") for staged, name in files]
         for above in {place.rpartition("/")[0] for _, place in moves}:
             system.create_dir(above, recursive=True)
-        with ThreadPoolExecutor(MOVES) as pool:
-            list(pool.map(lambda move: system.move(*move), moves))
+
+        def one(staged: str, place: str) -> None:
+            try:
+                system.move(staged, place)
+            except OSError:
+                if [f.type for f in system.get_file_info([staged, place])] != [fs.FileType.NotFound, fs.FileType.File]:
+                    raise
+
+        if isinstance(system, fs.LocalFileSystem):  # nothing to wait for
+            for each in moves:
+                one(*each)
+        else:
+            with ThreadPoolExecutor(MOVES) as pool:
+                list(pool.map(lambda each: one(*each), moves))
+        return len(moves)
+
+    def publish(self, files: Iterable[tuple[str, str]]) -> None:
+        """Moves the files of tasks that went well to their places."""
+        self.move(files)
         self.withdraw()
 
     def withdraw(self) -> None:
@@ -149,29 +171,109 @@ class StagedWriter(DataSourceArrowWriter):
         self.staging.withdraw()
 
 
-class TextWriter(StagedWriter):
-    def files(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterable[bytes]]]:
-        for batch in iterator:
-            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                yield name, [text.encode("utf-8", "surrogatepass")]
-
-
-class TextFiles(DataSource):
-    """``format("text_files")``: a sink of one file for each row (name, text) below ``path``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "text_files"
+def write_files(rows: DataFrame, root: str) -> None:
+    """A file for each row (name, text) below the root, all or none; files of those names are replaced.
 
-    def schema(self) -> str:
-        return "name string, text string"
+    Tasks stage the files; when all are staged, tasks move them. The driver sees neither texts nor names.
+    """
+    staging = Staging(qualified(rows.sparkSession, root)).begun()
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return TextWriter(self.options["path"])
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            put = [staging.put(name.as_py(), [text.as_py().encode("utf-8", "surrogatepass")]) for name, text in zip(batch.column("name"), batch.column("text"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(side, pa.string()) for side in (zip(*put, strict=True) if put else ([], []))], ["staged", "name"])
 
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([staging.move(zip(*(batch.column(c).to_pylist() for c in ("staged", "name")), strict=True))], pa.int64())})
 
-def write_files(rows: DataFrame, root: str) -> None:
-    """A file for each row (name, text) below the root, all or none; files of those names are replaced."""
-    spark = rows.sparkSession
-    spark.dataSource.register(TextFiles)
-    rows.select("name", "text").write.format("text_files").mode("append").save(qualified(spark, root))
+    try:
+        staged = cut(rows.select("name", "text").mapInArrow(stage, "staged string, name string"))
+        staged.mapInArrow(move, "n long").agg(F.sum("n")).collect()
+    finally:
+        staging.withdraw()
+
+
+def _seen(folder: str, system: fs.FileSystem) -> list[fs.FileInfo]:
+    """What lies directly in a folder; names with a leading ``_`` or ``.`` are passed over, as Spark's readers do."""
+    return [f for f in system.get_file_info(fs.FileSelector(folder)) if not f.base_name.startswith((".", "_"))]
+
+
+def _below(spark: SparkSession, root: str) -> DataFrame:
+    """The folders directly below the root, and the root itself (not ``deep``), dealt to tasks; one task lists that single folder."""
+
+    def run(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = at(root)
+        folders = [(path, False), *((f.path, True) for f in _seen(path, system) if f.type == fs.FileType.Directory)]
+        for i in range(0, len(folders), BATCH_FOLDERS):
+            some = folders[i : i + BATCH_FOLDERS]
+            yield pa.RecordBatch.from_pydict({"folder": pa.array([f for f, _ in some], pa.string()), "deep": pa.array([d for _, d in some], pa.bool_())})
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "folder string, deep boolean").repartition(tasks, "folder")
+
+
+def read_files(spark: SparkSession, root: str, *names: str) -> DataFrame:
+    """Of every folder at or below the root with a file of these names: ``folder``, its path, and the bytes of each file under its name, null where there is none.
+
+    Folders are walked and read by tasks, which share out what lies directly below the root; the driver lists nothing. A tree
+    of very many folders has them in parts, ``root/<part>/<folder>``. In a store that only Spark's own readers can open the driver
+    lists all files.
+    """
+    root = qualified(spark, root)
+    if not known(root):
+        schema = T.StructType.fromDDL("path string, modificationTime timestamp, length long, content binary")
+        files = spark.read.schema(schema).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{','.join(names)}}}").load(root)
+        place = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+        return place.groupBy("folder").agg(*(F.first(F.when(F.col("name") == n, F.col("content")), ignorenulls=True).alias(n) for n in names))
+    system, path = at(root)
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), *[pa.binary()] * len(names)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["folder", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = at(root)
+        rows, size = [], 0
+        for given in batches:
+            for first in given.to_pylist():
+                left = [first["folder"]]
+                while left:
+                    folder = left.pop()
+                    seen = _seen(folder, system)
+                    if first["deep"]:
+                        left.extend(f.path for f in seen if f.type == fs.FileType.Directory)
+                    held = {}
+                    for f in seen:
+                        if f.type == fs.FileType.File and f.base_name in names:
+                            with system.open_input_file(f.path) as file:
+                                held[f.base_name] = file.read()
+                    if held:
+                        rows.append((folder, *map(held.get, names)))
+                        size += sum(map(len, held.values()))
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_FOLDERS:
+                        yield batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    return _below(spark, root).mapInArrow(run, "folder string, " + ", ".join(f"`{n}` binary" for n in names))
+
+
+def remove_files(spark: SparkSession, root: str) -> None:
+    """Removes a tree: tasks what lies in the folders directly below the root, the driver what is left."""
+    root = qualified(spark, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = at(root)
+        for given in batches:
+            gone = [f["folder"] for f in given.to_pylist() if f["deep"] and system.get_file_info(f["folder"]).type != fs.FileType.NotFound]
+            for folder in gone:
+                system.delete_dir(folder)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(gone)], pa.int64())})
+
+    _below(spark, root).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    system, path = at(root)
+    system.delete_dir(path)

@@ -7,7 +7,7 @@ import struct
 import pytest
 import zstandard
 
-from siftworks.sources import dataset_dirs, messages, riegeli
+from siftworks.sources import dataset_dirs, messages, riegeli, stores
 
 
 def varint(n):
@@ -126,6 +126,35 @@ def test_bundles_keep_labels_private(spark, tree, tmp_path):
     assert spark.read.json(str(tmp_path / "s/labels")).count() == 2
 
 
+def test_directories_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Trees in parts: the driver lists no file, and directories of one name in two parts are two problems."""
+    root = tmp_path / "tree"
+    files = [(f"{part}/p{i}/{name}", text) for part in (0, 1) for i in range(5) for name, text in (("problem.md", f"{part} {i}"), ("tests.json", json.dumps([{"input": f"{part}"}])), ("meta.json", json.dumps({"difficulty": part * 10 + i})))]
+    stores.write_files(spark.createDataFrame([*files, ("0/_hidden/problem.md", "no"), ("0/.h/problem.md", "no"), ("1/p0/tests/problem.txt", "no"), ("1/bare/meta.json", "{}")], "name string, text string"), str(root))
+    assert sorted(x.name for x in root.iterdir()) == ["0", "1"]
+    want = sorted((f"p{i}", f"{part} {i}", part * 10 + i, None) for part in (0, 1) for i in range(5))
+    listed = lambda: dataset_dirs.problems(spark, str(root)).select("pid", "statement", "difficulty", "reference")
+    assert listed().inputFiles() == [] and dataset_dirs.test_cases(spark, str(root)).inputFiles() == []
+    assert sorted(map(tuple, listed().collect())) == want and dataset_dirs.test_cases(spark, str(root)).count() == 10
+    with pytest.raises(FileNotFoundError):
+        dataset_dirs.problems(spark, str(tmp_path / "none"))
+    monkeypatch.setattr(stores, "known", lambda _: False)  # a store that only Spark opens
+    assert sorted(map(tuple, listed().collect())) == want
+    monkeypatch.undo()
+    stores.remove_files(spark, str(root))
+    assert not root.exists()
+
+
+def test_moves_are_repeated(tmp_path):
+    """A task that moves files and runs again finds them moved; a file that was never there is an error."""
+    staging = stores.Staging(str(tmp_path / "tree")).begun()
+    files = [staging.put(f"p{i}/a.txt", [b"x"]) for i in range(3)]
+    assert staging.move(files[:2]) == 2 and staging.move(files) == 3
+    assert all((tmp_path / f"tree/p{i}/a.txt").read_bytes() == b"x" for i in range(3))
+    with pytest.raises(OSError):
+        staging.move([(f"{files[0][0]}-none", "p9/a.txt")])
+
+
 def test_solutions(spark):
     full = json.dumps({"problem_id": "p", "steps": [{"step_id": "s01", "title": "", "content": "a"}, {"step_id": "S1", "content": "b"}, {"step_id": "zz", "content": "c"}], "code": {"language": "c++", "code": "int main"}})
     short = json.dumps({"S1": "x", "S7": "y", "code": "print(1)"})
