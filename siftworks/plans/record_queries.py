@@ -92,13 +92,16 @@ def q73_counted_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q74_problem_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers written as problem directories, all files together in parts of the tree, and read again: statement, meta and every case."""
+    """Suppliers written as problem directories, all files together in parts of the tree, and read again: statement, meta and every case. A tenth have their cases as numbered text files."""
     suppliers = table(spark, sf_dir, "supplier").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")  # few bytes, many files
     pid = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
     part = F.floor(F.col("s_suppkey") / SHARD_IDS).cast("string")
     meta = F.to_json(F.struct((F.col("s_suppkey") * 10).alias("difficulty"), F.array(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("tags"), F.when(F.col("s_nationkey") > 12, "float").alias("comparison"), F.lit(256 << 20).alias("memory_limit_bytes")))
-    case = lambda i: F.struct(F.concat(F.col("s_name"), F.lit(f" {i}")).alias("input"), F.when(F.col("s_nationkey") > i * 8, F.col("s_nationkey").cast("string")).alias("expected"))
-    files = F.array(*(F.struct(F.concat(part, F.lit("/"), pid, F.lit(f"/{n}")).alias("name"), c.alias("text")) for n, c in (("problem.md", F.col("s_name")), ("meta.json", meta), ("tests.json", F.to_json(F.array(*map(case, range(3))))))))
+    cases = [(F.concat(F.col("s_name"), F.lit(f" {i}")), F.when(F.col("s_nationkey") > i * 8, F.col("s_nationkey").cast("string"))) for i in range(3)]
+    named = lambda n, c: F.struct(F.concat(part, F.lit("/"), pid, F.lit(f"/{n}")).alias("name"), c.alias("text"))
+    listed = F.array(named("tests.json", F.to_json(F.array(*(F.struct(given.alias("input"), expected.alias("expected")) for given, expected in cases)))))
+    numbered = F.array(*(named(f"tests/{n}{i}.txt", F.coalesce(c, F.lit(""))) for i, case in enumerate(cases, 1) for n, c in zip(("input", "expected"), case, strict=True)))
+    files = F.concat(F.array(named("problem.md", F.col("s_name")), named("meta.json", meta)), F.when(F.col("s_suppkey") % 10 == 0, numbered).otherwise(listed))
     place = f"{checkpoint_root(spark).rstrip('/')}/problems-{uuid.uuid4().hex}"
     stores.write_files(suppliers.select(F.explode(files).alias("f")).select("f.*"), place)
     given = dataset_dirs.test_cases(spark, place).groupBy("pid").agg(F.count("*").alias("n_cases"), F.count_if(F.col("expected") == "").alias("n_empty"), F.min("input").alias("first_input"))

@@ -11,10 +11,15 @@ from ..functions.text import case_bytes, comparison_mode, language, ordered_dige
 from ..operators import select
 from ..operators.validate import derived_labels, overlay, stale
 from ..session import cut
+from . import stores
 from .stores import read_files, write_files
 
 META = "id string, difficulty int, tags array<string>, comparison string, time_limit_seconds double, memory_limit_bytes long"
 CASE = "input string, expected string"
+#: Names of numbered cases, input and expected output.
+NUMBERED = (("input{}.txt", "expected{}.txt"), ("{}.in", "{}.out"))
+#: JSON is read whole or not at all: strings of any length, and no null for what is malformed.
+WHOLE = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)}
 VARIANT = "name string, language string, code string, steps map<string,string>, label map<string,string>"
 
 
@@ -43,10 +48,18 @@ def problems(spark: SparkSession, root: str) -> DataFrame:
 
 
 def test_cases(spark: SparkSession, root: str) -> DataFrame:
-    """(pid, ord, input, expected) from tests.json; absent keys are empty. Numbered text files count up to their first gap."""
-    listed = _texts(spark, root, "tests.json").select("pid", F.posexplode(F.from_json("`tests.json`", f"array<struct<{CASE}>>")).alias("ord", "c"))
-    listed = listed.select("pid", "ord", F.coalesce("c.input", F.lit("")).alias("input"), F.coalesce("c.expected", F.lit("")).alias("expected"))
-    return listed
+    """(pid, ord, input, expected) of every ``root/<pid>``, also below parts of the root: from tests.json, whose absent keys are empty.
+
+    Where there is none, from the text files of ``tests`` under the first names of ``NUMBERED`` that are there, numbered from 1 up to their first gap.
+    A tests.json that can't be read whole, or an input without its expected output, is an error.
+    """
+    files = stores.read_series(spark, root, "tests.json", "tests", NUMBERED)
+    refused = lambda what: F.raise_error(F.concat_ws(" ", "folder", F.lit(what), "n"))
+    text = lambda side: F.regexp_replace(F.col(side).cast("string"), "\r\n?", "\n")
+    listed = F.coalesce(F.from_json(F.col("first").cast("string"), f"array<struct<{CASE}>>", WHOLE), refused("has a tests.json without an array"))
+    numbered = F.array(F.struct(text("first").alias("input"), F.coalesce(text("second"), refused("lacks the expected output of case")).alias("expected")))
+    cases = files.select(F.element_at(F.split("folder", "/"), -1).alias("pid"), "n", F.posexplode(F.when(F.col("n").isNull(), listed).otherwise(numbered)).alias("ord", "c"))
+    return cases.select("pid", F.coalesce(F.col("n") - 1, "ord").alias("ord"), F.coalesce("c.input", F.lit("")).alias("input"), F.coalesce("c.expected", F.lit("")).alias("expected"))
 
 
 def numbered_cases(spark: SparkSession, root: str) -> DataFrame:

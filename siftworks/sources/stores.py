@@ -8,11 +8,13 @@ folder goes with all that is in it. A task that fails, or runs twice, leaves not
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.window import Window
 
 from ..session import cut
 
@@ -27,6 +30,8 @@ from ..session import cut
 MOVES = 16
 #: Bytes of files, and folders, that a task passes on at a time.
 BATCH_BYTES, BATCH_FOLDERS = 2 << 20, 1000
+#: Columns of what tasks read of a tree.
+KINDS = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32()}
 
 
 def at(place: str) -> tuple[fs.FileSystem, str]:
@@ -213,26 +218,19 @@ def _below(spark: SparkSession, root: str) -> DataFrame:
     return spark.range(0, 1, 1, 1).mapInArrow(run, "folder string, deep boolean").repartition(tasks, "folder")
 
 
-def read_files(spark: SparkSession, root: str, *names: str) -> DataFrame:
-    """Of every folder at or below the root with a file of these names: ``folder``, its path, and the bytes of each file under its name, null where there is none.
+def _content(system: fs.FileSystem, path: str) -> bytes:
+    with system.open_input_file(path) as file:
+        return file.read()
 
-    Folders are walked and read by tasks, which share out what lies directly below the root; the driver lists nothing. A tree
-    of very many folders has them in parts, ``root/<part>/<folder>``. In a store that only Spark's own readers can open the driver
-    lists all files.
-    """
-    root = qualified(spark, root)
-    if not known(root):
-        schema = T.StructType.fromDDL("path string, modificationTime timestamp, length long, content binary")
-        files = spark.read.schema(schema).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{','.join(names)}}}").load(root)
-        place = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-        return place.groupBy("folder").agg(*(F.first(F.when(F.col("name") == n, F.col("content")), ignorenulls=True).alias(n) for n in names))
+
+def _walked(spark: SparkSession, root: str, take: Callable[[fs.FileSystem, str, list[fs.FileInfo]], Iterator[tuple]], columns: dict[str, str]) -> DataFrame:
+    """The rows that ``take`` makes of every folder at or below the root, from its path and what lies directly in it; by tasks, which share out what lies directly below the root."""
     system, path = at(root)
     if system.get_file_info(path).type == fs.FileType.NotFound:
         raise FileNotFoundError(root)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), *[pa.binary()] * len(names)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["folder", *names])
+        return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, k in zip(zip(*rows, strict=True), columns.values(), strict=True)], list(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = at(root)
@@ -245,21 +243,83 @@ def read_files(spark: SparkSession, root: str, *names: str) -> DataFrame:
                     seen = _seen(folder, system)
                     if first["deep"]:
                         left.extend(f.path for f in seen if f.type == fs.FileType.Directory)
-                    held = {}
-                    for f in seen:
-                        if f.type == fs.FileType.File and f.base_name in names:
-                            with system.open_input_file(f.path) as file:
-                                held[f.base_name] = file.read()
-                    if held:
-                        rows.append((folder, *map(held.get, names)))
-                        size += sum(map(len, held.values()))
-                    if size >= BATCH_BYTES or len(rows) >= BATCH_FOLDERS:
-                        yield batch(rows)
-                        rows, size = [], 0
+                    for row in take(system, folder, seen):
+                        rows.append(row)
+                        size += sum(len(v) for v in row if isinstance(v, bytes))
+                        if size >= BATCH_BYTES or len(rows) >= BATCH_FOLDERS:
+                            yield batch(rows)
+                            rows, size = [], 0
         if rows:
             yield batch(rows)
 
-    return _below(spark, root).mapInArrow(run, "folder string, " + ", ".join(f"`{n}` binary" for n in names))
+    return _below(spark, root).mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in columns.items()))
+
+
+def _opened(spark: SparkSession, root: str, names: Iterable[str]) -> DataFrame:
+    """``path`` and ``content`` of all files below the root whose names match, by Spark's own reader, which lists empty files but passes over them; the driver lists them all."""
+    schema = T.StructType.fromDDL("path string, modificationTime timestamp, length long, content binary")
+    files = spark.read.schema(schema).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{','.join(names)}}}").load(root).select("path", "content")
+    listed = [(re.sub("^([^:/]+):///", r"\1:/", unquote(path)),) for path in files.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    return files.unionByName(empty.withColumn("content", F.lit(bytearray())))
+
+
+def read_files(spark: SparkSession, root: str, *names: str) -> DataFrame:
+    """Of every folder at or below the root with a file of these names: ``folder``, its path, and the bytes of each file under its name, null where there is none.
+
+    Folders are walked and read by tasks, which share out what lies directly below the root; the driver lists nothing. A tree
+    of very many folders has them in parts, ``root/<part>/<folder>``. In a store that only Spark's own readers can open the driver
+    lists all files.
+    """
+    root = qualified(spark, root)
+    if not known(root):
+        place = _opened(spark, root, names).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+        return place.groupBy("folder").agg(*(F.first(F.when(F.col("name") == n, F.col("content")), ignorenulls=True).alias(n) for n in names))
+
+    def take(system: fs.FileSystem, folder: str, seen: list[fs.FileInfo]) -> Iterator[tuple]:
+        held = {f.base_name: _content(system, f.path) for f in seen if f.type == fs.FileType.File and f.base_name in names}
+        if held:
+            yield folder, *map(held.get, names)
+
+    return _walked(spark, root, take, {"folder": "string", **dict.fromkeys(names, "binary")})
+
+
+def read_series(spark: SparkSession, root: str, whole: str, below: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Of every folder at or below the root (folder, n, first, second): the bytes of its file ``whole`` as ``first``, without ``n``; where
+    there is none, a row for each number from 1 to the last before a gap in the names of the files in its folder ``below``.
+
+    ``pairs`` are the names of two files with ``{}`` for the number; the first pair counts of which there is a number 1. ``second`` is null
+    where its file is missing. The tree is read as by ``read_files``.
+    """
+    root = qualified(spark, root)
+    if not known(root):
+        files = _opened(spark, root, [whole, *(name.format("*") for pair in pairs for name in pair)])
+        mark = lambda kind, n, side: F.struct(F.lit(kind).alias("kind"), n.alias("n"), F.lit(side).alias("side"))
+        marks = [F.when(F.element_at(F.split("path", "/"), -1) == whole, mark(0, F.lit(1), "first"))]
+        for kind, pair in enumerate(pairs, 1):
+            for side, name in zip(("first", "second"), pair, strict=True):
+                number = F.regexp_extract("path", f"/{re.escape(below)}/{'([1-9][0-9]*)'.join(map(re.escape, name.split('{}')))}$", 1)
+                marks.append(F.when(number != "", mark(kind, number.try_cast("int"), side)))
+        files = files.select("path", "content", F.coalesce(*marks).alias("m")).where("m.n IS NOT NULL")
+        folder = F.regexp_replace("path", F.when(F.col("m.kind") == 0, "/[^/]*$").otherwise("/[^/]*/[^/]*$"), F.lit(""))
+        side = lambda name: F.first(F.when(F.col("m.side") == name, F.col("content")), ignorenulls=True).alias(name)
+        found = files.groupBy(folder.alias("folder"), F.col("m.kind").alias("kind"), F.col("m.n").alias("n")).agg(side("first"), side("second")).where("first IS NOT NULL")
+        found = found.withColumn("nth", F.row_number().over(Window.partitionBy("folder", "kind").orderBy("n"))).where("n = nth")
+        found = found.withColumn("least", F.min("kind").over(Window.partitionBy("folder"))).where("kind = least")
+        return found.select("folder", F.when(F.col("kind") > 0, F.col("n")).alias("n"), "first", "second")
+
+    def take(system: fs.FileSystem, folder: str, seen: list[fs.FileInfo]) -> Iterator[tuple]:
+        held = {f.base_name: f for f in seen}
+        if whole in held and held[whole].type == fs.FileType.File:
+            yield folder, None, _content(system, held[whole].path), None
+        elif below in held and held[below].type == fs.FileType.Directory:
+            files = {f.base_name: f.path for f in _seen(held[below].path, system) if f.type == fs.FileType.File}
+            first, second = next((pair for pair in pairs if pair[0].format(1) in files), pairs[0])
+            for n in itertools.takewhile(lambda n: first.format(n) in files, itertools.count(1)):
+                other = files.get(second.format(n))
+                yield folder, n, _content(system, files[first.format(n)]), other and _content(system, other)
+
+    return _walked(spark, root, take, {"folder": "string", "n": "int", "first": "binary", "second": "binary"})
 
 
 def remove_files(spark: SparkSession, root: str) -> None:

@@ -145,6 +145,39 @@ def test_directories_are_read_by_tasks(spark, tmp_path, monkeypatch):
     assert not root.exists()
 
 
+def test_cases_of_every_form(spark, tmp_path, monkeypatch):
+    """Where there is no tests.json the cases are numbered text files, up to their first gap; in any store, and below parts of the tree."""
+    root = tmp_path / "tree"
+    series = lambda pid, first, second, *numbers: [(f"{pid}/tests/{name.format(n)}", f"{side}{n}\n") for n in numbers for side, name in (("i", first), ("o", second))]
+    files = [
+        ("a/tests.json", json.dumps([{"input": "x"}, {"expected": "y"}])), *series("a", "input{}.txt", "expected{}.txt", 1), ("b/problem.md", "b"), *series("b", "input{}.txt", "expected{}.txt", *range(1, 13), 14), *series("b", "{}.in", "{}.out", 1),
+        *series("7/c", "{}.in", "{}.out", 1, 2, 4), *series("7/c", "input{}.txt", "expected{}.txt", 2), ("7/d/tests/input1.txt", "1\r\n2\r3\n"), ("7/d/tests/expected1.txt", ""), ("7/d/tests/expected2.txt", "o"), *series("e", "input{}.txt", "expected{}.txt", 2),
+        ("f/tests.json", "[]"), *series("f", "input{}.txt", "expected{}.txt", 1), ("g/tests/input01.txt", "no"), ("g/tests/input0.txt", "no"), *series("_h", "input{}.txt", "expected{}.txt", 1),
+    ]
+    stores.write_files(spark.createDataFrame(files, "name string, text string"), str(root))
+    want = [("a", 0, "x", ""), ("a", 1, "", "y"), *(("b", n - 1, f"i{n}\n", f"o{n}\n") for n in range(1, 13)), ("c", 0, "i1\n", "o1\n"), ("c", 1, "i2\n", "o2\n"), ("d", 0, "1\n2\n3\n", "")]
+    read = lambda at: sorted(map(tuple, dataset_dirs.test_cases(spark, str(at)).collect()))
+    assert read(root) == want
+    assert read(root / "b") == want[2:14]  # a single problem
+    monkeypatch.setattr(stores, "known", lambda _: False)  # a store that only Spark opens
+    assert read(root) == want and read(root / "b") == want[2:14]
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_cases_are_never_dropped(spark, tmp_path, monkeypatch, known):
+    """A case of any length is read; what can't be read is an error, not a problem without cases."""
+    if not known:
+        monkeypatch.setattr(stores, "known", lambda _: False)
+    for name, text in {"long/p/tests.json": json.dumps([{"input": "x" * 20_000_001}, {"input": "y"}]), "torn/p/tests.json": '[{"input": "a"}, {"inp', "empty/p/tests.json": "", "lost/p/tests/input1.txt": "a"}.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True)
+        path.write_text(text)
+    assert sorted((r["ord"], len(r["input"])) for r in dataset_dirs.test_cases(spark, str(tmp_path / "long")).collect()) == [(0, 20_000_001), (1, 1)]
+    for name, said in {"torn": "MALFORMED_RECORD_IN_PARSING", "empty": "p has a tests.json without an array", "lost": "p lacks the expected output of case 1"}.items():
+        with pytest.raises(Exception, match=said):
+            dataset_dirs.test_cases(spark, str(tmp_path / name)).collect()
+
+
 def test_moves_are_repeated(tmp_path):
     """A task that moves files and runs again finds them moved; a file that was never there is an error."""
     staging = stores.Staging(str(tmp_path / "tree")).begun()
